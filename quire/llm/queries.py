@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, secrets, sstable, tokencount, transport
+from . import decontaminate, langid, mixing, secrets, sstable, tokencount, transport
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "text", "source", F.round("rate", 6).alias("rate"), "n_copies", "copy", "shuffle_key")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.build_index(table(spark, sf_dir, "documents"))
+    return decontaminate.contamination(decontaminate.find_items(index, table(spark, sf_dir, "benchmark")))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_spans(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -51,6 +56,6 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(spark, folder, shards).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_transport, op3_poisson_mix, op6_secrets, op7_token_counts, op8_language, op10_sstable)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_transport, op3_poisson_mix, op4_decontaminate, op6_secrets, op7_token_counts, op8_language, op10_sstable)}
 
-ORACLES: dict[str, str] = {"op3_poisson_mix": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_poisson_mix": mixing.ORACLE, "op4_decontaminate": decontaminate.ORACLE}
