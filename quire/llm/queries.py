@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, mixing, secrets, sstable, tokencount, transport
+from . import decontaminate, langid, mixing, neardup, secrets, sstable, tokencount, transport
 from .common import table
 
 
@@ -51,11 +51,15 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, model, keep=("held_out",))
 
 
+def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, threshold=85)
+
+
 def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, shards = sstable.write_shards(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
     return sstable.read_shards(spark, folder, shards).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_transport, op3_poisson_mix, op4_decontaminate, op6_secrets, op7_token_counts, op8_language, op10_sstable)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_transport, op3_poisson_mix, op4_decontaminate, op6_secrets, op7_token_counts, op8_language, op9_superminhash, op10_sstable)}
 
 ORACLES: dict[str, str] = {"op3_poisson_mix": mixing.ORACLE, "op4_decontaminate": decontaminate.ORACLE}
