@@ -28,11 +28,14 @@ block of its own; other columns aren't read.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from pathlib import Path
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -50,62 +53,86 @@ MAGIC = b"QSSTAB01"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 BLOCK, RESTART, SHARD = 64 << 10, 16, 16 << 20
 BITS_A_KEY, PROBES = 10, 7
-#: Encoded pieces that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Encoded pieces that a worker remembers before it drops those that came once.
+REMEMBERED = 600_000
 
 
 class Encoder:
     """The ids that the tokenizers library gives, as packed little-endian integers.
 
     The byte-level pre-tokenizer never puts a token across a single space that
-    follows a non-space, so the library encodes each piece between such spaces
-    once and the piece's ids are remembered. A text with any other space is
-    encoded whole.
+    follows a non-space, nor across a letter and a comma or full stop after it.
+    So the library encodes each piece between such places once, and the piece's
+    ids are remembered. Pieces of Latin letters alone are one pre-token, so a
+    second instance of the same vocabulary encodes them without looking for
+    more. A text with any other space is encoded whole.
     """
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
-        self.library = Tokenizer.from_file(public_tokenizers.path(name))
+        path = public_tokenizers.path(name)
+        self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        self.letters = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.stops = dict(zip(",.", self._encode([",", "."]), strict=True))
         self.pieces: dict[str, bytes | None] = {}
-        self.heads: dict[str, bytes | None] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes | None], new: list[str], before: str) -> None:
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-        for piece, ids in zip(new, self._encode([before + x for x in new]), strict=True):
-            known[piece] = None if not piece or piece[-1].isspace() else ids
+        self.again: set[str] = set()
+
+    def _encode(self, texts: list[str], letters: bool = False) -> list[bytes]:
+        library = self.letters if letters else self.library
+        return [np.array(x.ids, self.kind).tobytes() for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Remembers new pieces, each with the space before it."""
+        stopped = [(p, p[:-1], p[-1]) for p in new if p[-1:] in self.stops and p[:-1].isalpha()]
+        stems = (new - {p for p, _, _ in stopped}) | ({s for _, s, _ in stopped} - self.pieces.keys())
+        plain = [s for s in stems if s.isalpha() and (s.isascii() or max(s) < "\u0180")]
+        other = list(stems.difference(plain))
+        self.pieces.update(zip(plain, self._encode([" " + s for s in plain], letters=True), strict=True))
+        for piece, ids in zip(other, self._encode([" " + s for s in other]), strict=True):
+            self.pieces[piece] = None if not piece or piece[-1].isspace() else ids
+        for piece, stem, stop in stopped:
+            self.pieces[piece] = self.pieces[stem] + self.stops[stop]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        if new := {s[0] for s in split} - self.heads.keys():
-            self._learn(self.heads, list(new), "")
-        rest = [s[1:] for s in split]
-        every = set().union(*rest)
-        if new := every - self.pieces.keys():
-            if len(self.pieces) + len(new) > REMEMBERED:
-                self.pieces.clear()
-                new = every
-            self._learn(self.pieces, list(new), " ")
-        out, piece, whole = [], self.pieces.__getitem__, []
-        for i, (s, r) in enumerate(zip(split, rest, strict=True)):
+        heads = [s[0] for s in split]
+        for s in split:
+            del s[0]
+        every = set().union(*split)
+        if len(self.pieces) + len(every) > REMEMBERED:  # only what came more than once stays
+            self.pieces = {p: self.pieces[p] for p in self.again} if len(self.again) < REMEMBERED // 2 else {}
+            self.again = set()
+        known = every & self.pieces.keys()
+        self.again |= known
+        self._learn(every - known)
+        out, piece, whole = self._encode(heads), self.pieces.__getitem__, []
+        for i, (head, s) in enumerate(zip(heads, split, strict=True)):
             try:
-                out.append(b"".join([self.heads[s[0]], *map(piece, r)]))
+                if s:
+                    out[i] += b"".join(map(piece, s))
+                    if not head or head[-1].isspace():
+                        whole.append(i)
             except TypeError:  # a piece that can't stand alone
-                out.append(b"")
                 whole.append(i)
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
 
+@functools.cache
+def encoder(name: str) -> Encoder:
+    """One for each worker; what it remembers serves its later tasks."""
+    return Encoder(name)
+
+
 def encode_key(key: int | None) -> bytes:
     """Bytes that sort as the identifiers do; null first."""
     return b"\0" if key is None else b"\1" + (key + (1 << 63)).to_bytes(8)
@@ -277,9 +304,9 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int | None = 0, key: str
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        end = b"" if end_id is None else np.array([end_id], encoder.kind).tobytes()
-        task, done, writer = TaskContext.get(), [], Writer(encoder.kind)
+        encode = encoder(tokenizer)
+        end = b"" if end_id is None else np.array([end_id], encode.kind).tobytes()
+        task, done, writer = TaskContext.get(), [], Writer(encode.kind)
         where, base = fs.FileSystem.from_uri(folder) if urlsplit(folder).scheme else (fs.LocalFileSystem(), folder)
         where.create_dir(base, recursive=True)
 
@@ -292,11 +319,11 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int | None = 0, key: str
             done.append((name, len(writer.keys), writer.ids))
 
         for b in batches:
-            for k, ids in zip(b.column(0).to_pylist(), encoder(b.column(1).to_pylist()), strict=True):
+            for k, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
                 writer.add(encode_key(k), ids + end)
                 if writer.size >= SHARD:
                     close()
-                    writer = Writer(encoder.kind)
+                    writer = Writer(encode.kind)
         if writer.keys:
             close()
         if done:
