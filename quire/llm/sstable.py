@@ -55,6 +55,8 @@ BLOCK, RESTART, SHARD = 64 << 10, 16, 16 << 20
 BITS_A_KEY, PROBES = 10, 7
 #: Encoded pieces that a worker remembers before it drops those that came once.
 REMEMBERED = 600_000
+#: Words encoded as one line.
+LINE = 100
 
 
 class Encoder:
@@ -79,15 +81,24 @@ class Encoder:
         model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.letters = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
-        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.stops = dict(zip(",.", self._encode([",", "."]), strict=True))
         self.pieces: dict[str, bytes | None] = {}
         self.again: set[str] = set()
 
-    def _encode(self, texts: list[str], letters: bool = False) -> list[bytes]:
-        library = self.letters if letters else self.library
-        return [np.array(x.ids, self.kind).tobytes() for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each with a space before it; many words a call, cut apart by the library's word numbers."""
+        out, width = [], self.kind.itemsize
+        lines = ["\n".join([" " + w for w in words[i : i + LINE]]) for i in range(0, len(words), LINE)]
+        for x in self.letters.encode_batch(lines, add_special_tokens=False):
+            ids = np.array(x.ids, self.kind).tobytes()
+            cuts = (np.flatnonzero(np.diff(np.array(x.word_ids, np.int32), prepend=-1)) * width).tolist()
+            out += [ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True)]
+        return out
 
     def _learn(self, new: set[str]) -> None:
         """Remembers new pieces, each with the space before it."""
@@ -95,7 +106,7 @@ class Encoder:
         stems = (new - {p for p, _, _ in stopped}) | ({s for _, s, _ in stopped} - self.pieces.keys())
         plain = [s for s in stems if s.isalpha() and (s.isascii() or max(s) < "\u0180")]
         other = list(stems.difference(plain))
-        self.pieces.update(zip(plain, self._encode([" " + s for s in plain], letters=True), strict=True))
+        self.pieces.update(zip(plain, self._encode_words(plain), strict=True))
         for piece, ids in zip(other, self._encode([" " + s for s in other]), strict=True):
             self.pieces[piece] = None if not piece or piece[-1].isspace() else ids
         for piece, stem, stop in stopped:
