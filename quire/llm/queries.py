@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, mixing, neardup, secrets, sstable, tokencount, transport
+from . import decontaminate, langid, mixing, neardup, secrets, sstable, tokencount, transport, urlfilter
 from .common import table
 
 
+#: The curated rules of the query.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = transport.store_text(table(spark, sf_dir, "documents"))
     read = transport.read_media(media)
@@ -60,6 +68,6 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(spark, folder, shards).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_transport, op3_poisson_mix, op4_decontaminate, op6_secrets, op7_token_counts, op8_language, op9_superminhash, op10_sstable)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_transport, op3_poisson_mix, op4_decontaminate, op6_secrets, op7_token_counts, op8_language, op9_superminhash, op10_sstable)}
 
 ORACLES: dict[str, str] = {"op3_poisson_mix": mixing.ORACLE, "op4_decontaminate": decontaminate.ORACLE}
