@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, mixing, neardup, secrets, sstable, tokencount, transport, urlfilter
+from . import decontaminate, langid, mixing, neardup, repeats, secrets, sstable, tokencount, transport, urlfilter
 from .common import table
 
 
@@ -44,6 +44,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(decontaminate.find_items(index, table(spark, sf_dir, "benchmark")))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_spans(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -68,6 +74,6 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(spark, folder, shards).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_transport, op3_poisson_mix, op4_decontaminate, op6_secrets, op7_token_counts, op8_language, op9_superminhash, op10_sstable)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_transport, op3_poisson_mix, op4_decontaminate, op5_repeats, op6_secrets, op7_token_counts, op8_language, op9_superminhash, op10_sstable)}
 
 ORACLES: dict[str, str] = {"op3_poisson_mix": mixing.ORACLE, "op4_decontaminate": decontaminate.ORACLE}
