@@ -34,7 +34,8 @@ def bm25(pages: DataFrame, query: str, limit: int | None = CANDIDATES, keys: Seq
     if not terms:
         return words.select(*keys, F.lit(0.0).alias("score")).where(F.lit(False))
     fits = lambda i, w: F.startswith(w, F.lit(terms[i])) if i == len(terms) - 1 else w == terms[i]
-    tf = [F.size(F.filter("words", lambda w, i=i: fits(i, w))).cast("double").alias(f"tf{i}") for i in range(len(terms))]
+    count = lambda i: F.size(F.filter("words", lambda w: fits(i, w))).cast("double").alias(f"tf{i}")
+    tf = [count(i) for i in range(len(terms))]
     counted = words.select(*keys, F.size("words").cast("double").alias("dl"), *tf)
     stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))])
     every = counted.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row

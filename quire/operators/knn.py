@@ -96,7 +96,7 @@ def _nearest(shared, k: int, decimals: int, names: tuple[str, str]):
             d = np.round(np.sqrt(np.maximum(d, 0)), decimals)
             own = np.argsort(np.array(b.column(0).to_pylist()), kind="stable")
             order = own[np.argsort(d[:, own], axis=1, kind="stable")[:, :k]]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x in keys for _ in range(order.shape[1])], b.schema.field(0).type), b.column(0).take(pa.array(order.ravel())), pa.array(np.take_along_axis(d, order, 1).ravel())], names=list(names))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x in keys for _ in range(order.shape[1])], b.schema.field(0).type), b.column(0).take(pa.array(order.ravel())), pa.array(np.take_along_axis(d, order, 1).ravel())], names=[*names, "distance"])
 
     return nearest
 
