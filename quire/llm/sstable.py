@@ -57,17 +57,22 @@ BITS_A_KEY, PROBES = 10, 7
 REMEMBERED = 600_000
 #: Words encoded as one line.
 LINE = 100
+#: Marks pieces at the start of a line; a text that holds it is encoded whole.
+START = "\0"
+LINE_START = f" \n {START}"
+#: Documents encoded together.
+TOGETHER, TOGETHER_CHARS = 1_024, 8 << 20
 
 
 class Encoder:
     """The ids that the tokenizers library gives, as packed little-endian integers.
 
-    The byte-level pre-tokenizer never puts a token across a single space that
-    follows a non-space, nor across a letter and a comma or full stop after it.
-    So the library encodes each piece between such places once, and the piece's
-    ids are remembered. Pieces of Latin letters alone are one pre-token, so a
-    second instance of the same vocabulary encodes them without looking for
-    more. A text with any other space is encoded whole.
+    The byte-level pre-tokenizer never puts a token across a single space or
+    newline between other characters, nor across a letter and a comma or full
+    stop after it. So the library encodes each piece between such places once,
+    and the piece's ids are remembered. Pieces of Latin letters alone are one
+    pre-token, so a second instance of the same vocabulary encodes them without
+    looking for more. A text with any other white space is encoded whole.
     """
 
     def __init__(self, name: str):
@@ -83,8 +88,9 @@ class Encoder:
         self.letters = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.stops = dict(zip(",.", self._encode([",", "."]), strict=True))
-        self.pieces: dict[str, bytes | None] = {}
+        self.newline, *stops = self._encode(["\n", ",", "."])
+        self.stops = dict(zip(",.", stops, strict=True))
+        self.pieces: dict[str, bytes | None] = {"\n": self.newline}
         self.again: set[str] = set()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -93,7 +99,7 @@ class Encoder:
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, each with a space before it; many words a call, cut apart by the library's word numbers."""
         out, width = [], self.kind.itemsize
-        lines = ["\n".join([" " + w for w in words[i : i + LINE]]) for i in range(0, len(words), LINE)]
+        lines = [" " + "\n ".join(words[i : i + LINE]) for i in range(0, len(words), LINE)]
         for x in self.letters.encode_batch(lines, add_special_tokens=False):
             ids = np.array(x.ids, self.kind).tobytes()
             cuts = (np.flatnonzero(np.diff(np.array(x.word_ids, np.int32), prepend=-1)) * width).tolist()
@@ -101,37 +107,41 @@ class Encoder:
         return out
 
     def _learn(self, new: set[str]) -> None:
-        """Remembers new pieces, each with the space before it."""
-        stopped = [(p, p[:-1], p[-1]) for p in new if p[-1:] in self.stops and p[:-1].isalpha()]
-        stems = (new - {p for p, _, _ in stopped}) | ({s for _, s, _ in stopped} - self.pieces.keys())
-        plain = [s for s in stems if s.isalpha() and (s.isascii() or max(s) < "\u0180")]
-        other = list(stems.difference(plain))
-        self.pieces.update(zip(plain, self._encode_words(plain), strict=True))
-        for piece, ids in zip(other, self._encode([" " + s for s in other]), strict=True):
-            self.pieces[piece] = None if not piece or piece[-1].isspace() else ids
-        for piece, stem, stop in stopped:
-            self.pieces[piece] = self.pieces[stem] + self.stops[stop]
+        """Remembers new pieces, each with the space before it; those that begin a line start with START and have none."""
+        pieces, plain, other, stopped = self.pieces, [], [], []
+        for p in new:
+            if p.isalpha():
+                (plain if p.isascii() or max(p) < "\u0180" else other).append(p)
+            elif p[-1:] in self.stops and (stem := p[:-1]).isalpha():
+                stopped.append((p, stem))
+                if stem not in pieces and stem not in new:
+                    (plain if stem.isascii() or max(stem) < "\u0180" else other).append(stem)
+            else:
+                other.append(p)
+        pieces.update(zip(plain, self._encode_words(plain), strict=True))
+        for piece, ids in zip(other, self._encode([p[1:] if p[:1] == START else " " + p for p in other]), strict=True):
+            bare = p if (p := piece.removeprefix(START)) else " "
+            pieces[piece] = None if bare[0].isspace() or bare[-1].isspace() else ids
+        for piece, stem in stopped:
+            pieces[piece] = pieces[stem] + self.stops[piece[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        heads = [s[0] for s in split]
-        for s in split:
-            del s[0]
+        split = [(START + t.replace("\n", LINE_START)).split(" ") for t in texts]
         every = set().union(*split)
         if len(self.pieces) + len(every) > REMEMBERED:  # only what came more than once stays
-            self.pieces = {p: self.pieces[p] for p in self.again} if len(self.again) < REMEMBERED // 2 else {}
-            self.again = set()
-        known = every & self.pieces.keys()
-        self.again |= known
-        self._learn(every - known)
-        out, piece, whole = self._encode(heads), self.pieces.__getitem__, []
-        for i, (head, s) in enumerate(zip(heads, split, strict=True)):
+            kept = self.again if len(self.again) < REMEMBERED // 2 else ()
+            self.pieces, self.again = {"\n": self.newline} | {p: self.pieces[p] for p in kept}, set()
+        new = every.difference(self.pieces)
+        if 2 * len(self.pieces) > REMEMBERED:
+            self.again |= every - new
+        self._learn(new)
+        out, piece, whole = [], self.pieces.__getitem__, []
+        for i, s in enumerate(split):
             try:
-                if s:
-                    out[i] += b"".join(map(piece, s))
-                    if not head or head[-1].isspace():
-                        whole.append(i)
+                out.append(b"".join(map(piece, s)) if START not in texts[i] else None)
             except TypeError:  # a piece that can't stand alone
+                out.append(None)
+            if out[i] is None:
                 whole.append(i)
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
@@ -308,6 +318,20 @@ class Reader:
         return out
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts of several batches."""
+    keys, texts, size = [], [], 0
+    for b in batches:
+        keys += b.column(0).to_pylist()
+        texts += (new := b.column(1).to_pylist())
+        size += sum(map(len, new))
+        if len(keys) >= TOGETHER or size >= TOGETHER_CHARS:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def write_shards(df: DataFrame, tokenizer: str, end_id: int | None = 0, key: str = "doc_id", text: str = "text", folder: str | None = None) -> tuple[str, DataFrame]:
     """Writes the shards; returns their folder and the table (shard, docs, ids), in order of the names."""
     spark = df.sparkSession
@@ -329,8 +353,8 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int | None = 0, key: str
             where.move(temporary, f"{base}/{name}")
             done.append((name, len(writer.keys), writer.ids))
 
-        for b in batches:
-            for k, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+        for keys, texts in _together(batches):
+            for k, ids in zip(keys, encode(texts), strict=True):
                 writer.add(encode_key(k), ids + end)
                 if writer.size >= SHARD:
                     close()
