@@ -54,5 +54,20 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+_resident: dict[object, object] = {}
+
+
+def resident(key: object, make: Callable[[], object]) -> object:
+    """An object that a worker keeps for its later tasks: what an operator has loaded or remembered.
+
+    There is one at a time, so workers that serve several operators in turn don't
+    add up what each of them holds.
+    """
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def batch_of(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

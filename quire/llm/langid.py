@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_map, batch_of
+from .common import arrow_map, batch_of, resident
 
 MODEL_DOCS = 20_000
 MAX_WORDS, MAX_GRAMS, MAX_N = 120_000, 80_000, 5
@@ -56,7 +57,7 @@ def _grams(word: str, n: int) -> list[str]:
 
 
 def _scores(counts: dict[str, list[float]], k: int) -> np.ndarray:
-    c = np.array(list(counts.values()), np.float64).reshape(-1, k) + SMOOTHING
+    c = np.array(list(counts.values()), np.float64).reshape(len(counts), k) + SMOOTHING
     return np.log(c / c.sum(axis=0)).astype(np.float32)
 
 
@@ -150,10 +151,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", model_doc
 
 def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row (key, columns in keep, lang_pred, score) for each row of df."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, identity = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = resident(("language", identity), lambda: Scorer(shared.value))
         for b in batches:
             got = [scorer(t) for t in b.column("_text").to_pylist()]
             yield batch_of(dict(zip(b.schema.names[:-1], b.columns[:-1], strict=True)) | {"lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64())})

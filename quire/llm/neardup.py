@@ -40,7 +40,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, batch_of, stored
+from .common import arrow_map, batch_of, resident, stored
 
 SHINGLE, THRESHOLD = 5, 80
 ROWS, MISS = 4, 1e-5
@@ -137,7 +137,7 @@ def signed(df: DataFrame, key: str, text: str, size: int, threshold: int) -> Dat
     slots = ROWS * bands_for(threshold)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, pack = WordHashes(), zstandard.ZstdCompressor(3).compress
+        hashes, pack = resident("words", WordHashes), zstandard.ZstdCompressor(3).compress
         for b in batches:
             n, digest, bands, packed = [], [], [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
@@ -156,7 +156,7 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> D
     both = pairs.join(texts.select(F.col("digest").alias("b"), F.col("packed").alias("packed_b")), "b").join(texts.select(F.col("digest").alias("a"), F.col("packed").alias("packed_a")), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
+        hashes, unpack = resident("words", WordHashes), zstandard.ZstdDecompressor().decompress
         last, own = None, None  # rows with one a stand together after the join
         for rows in batches:
             keep = []
@@ -194,7 +194,7 @@ def _undecided(size: int, threshold: int):
 
     def link(rows: pa.Table) -> pa.Table:
         digest, root = rows.column("digest").to_pylist(), rows.column("component").to_pylist()
-        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
+        hashes, unpack = resident("words", WordHashes), zstandard.ZstdDecompressor().decompress
         sets = [shingles(unpack(p), size, hashes) for p in rows.column("packed").to_pylist()]
         sizes = np.array([len(s) for s in sets])
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)

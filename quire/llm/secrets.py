@@ -31,7 +31,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, batch_of
+from .common import arrow_map, batch_of, resident
 
 #: Order in which kinds that start at one place are listed.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pgp")
@@ -157,7 +157,7 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = automaton()
+        words = resident("keywords", automaton)
         for b in batches:
             spans = [[s._asdict() for s in find(t, words)] for t in b.column(1).to_pylist()]
             yield batch_of({"key": b.column(0), "spans": pa.array(spans, kind)})

@@ -28,7 +28,6 @@ block of its own; other columns aren't read.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import struct
@@ -47,7 +46,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import arrow_map, batch_of, shared_folder, stored
+from .common import arrow_map, batch_of, resident, shared_folder, stored
 
 MAGIC = b"QSSTAB01"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
@@ -148,10 +147,9 @@ class Encoder:
         return out
 
 
-@functools.cache
 def encoder(name: str) -> Encoder:
-    """One for each worker; what it remembers serves its later tasks."""
-    return Encoder(name)
+    """The worker's own; what it remembers serves its later tasks."""
+    return resident(("encoder", name), lambda: Encoder(name))
 
 
 def encode_key(key: int | None) -> bytes:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, batch_of, shared_folder
+from .common import arrow_map, batch_of, resident, shared_folder
 
 CACHE = "tokenizer string, content binary, n_tokens bigint"
 
@@ -80,7 +80,7 @@ def count_tokens(df: DataFrame, tokenizer: str, cache: str | None = None, key: s
     misses = distinct.join(known.select("content"), "content", "left_anti").select("content", "_text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = load_counter(tokenizer)
+        counter = resident(("counter", tokenizer), lambda: load_counter(tokenizer))
         for b in batches:
             yield batch_of({"content": b.column(0), "n_tokens": pa.array(counter(b.column(1).to_pylist()), pa.int64())})
 
