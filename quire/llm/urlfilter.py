@@ -10,10 +10,12 @@ than on urls:
 
 * a segment becomes a wildcard where its parent has more than MAX_CHILDREN
   children and it holds less than MIN_SHARE of the parent's urls;
-* siblings merge if what follows them is distributed like what follows all their
-  siblings (total variation up to MAX_DISTANCE) and their labels don't differ
-  significantly (Z standard deviations); a branch without labels doesn't merge
-  into labelled ones, as nothing shows that they agree.
+* siblings are kin if the same segment follows them most often; they merge if what
+  follows them is distributed as in their kin together (total variation up to
+  MAX_DISTANCE) and their shares of bad labels agree: siblings that are as bad as all together, those that are significantly
+  (Z standard deviations) less bad and those more bad merge apart from each
+  other, each only where it agrees with its set; branches without labels merge
+  among themselves, as nothing shows that they agree with others.
 
 A template's purity is its share of allowed labels, smoothed by PRIOR labels of
 which half are allowed; templates below MIN_PURITY are rejected. So a template
@@ -35,10 +37,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
 
-MAX_CHILDREN, MIN_SHARE = 32, 0.01
+MAX_CHILDREN, MIN_SHARE = 32, 1 / 32
 MAX_DISTANCE, Z = 0.25, 1.96
 PRIOR, MIN_PURITY = 2.0, 0.3
-WILD, MERGED = "*", "{merged}"
+WILD = "*"
 #: Rules written into one expression at most; more are joined.
 INLINE_RULES = 200
 
@@ -88,6 +90,14 @@ def _rate(bad: Column, labelled: Column) -> Column:
     return (bad + PRIOR / 2) / (labelled + PRIOR)
 
 
+def _test(a: str, b: str) -> tuple[Column, Column]:
+    """How much a set's rate of bad labels differs from that of the set around it, and how much of that may be chance."""
+    of = lambda x: F.col(f"{x}_good") + F.col(f"{x}_bad")
+    pooled = _rate(F.col(f"{b}_bad"), of(b))
+    differs = F.coalesce(F.try_divide(F.col(f"{a}_bad"), of(a)) - pooled, F.lit(0.0))
+    return differs, Z * F.sqrt(pooled * (1 - pooled) * (F.coalesce(F.try_divide(F.lit(1), of(a)), F.lit(1)) + 1 / (of(b) + PRIOR)))
+
+
 def learn_templates(urls: DataFrame) -> DataFrame:
     """(host, plain, template, good, bad, purity) for each host and plain path of urls (host, plain, good, bad)."""
     rows = urls.groupBy("host", "plain").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
@@ -98,21 +108,24 @@ def learn_templates(urls: DataFrame) -> DataFrame:
     for _ in range(depth):
         here = rows.where(F.size("rest") > 0).withColumns({"seg": F.col("rest")[0], "next": F.coalesce(F.get("rest", F.lit(1)), F.lit(""))})
         nodes = here.groupBy(*parent, "seg", "next").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
-        pool = nodes.groupBy(*parent, "next").agg(F.sum("n").alias("next_n"))
-        own = nodes.groupBy(*parent, "seg").agg(*[F.sum(c).alias(f"own_{c}") for c in ("n", "good", "bad")])
-        every = own.groupBy(*parent).agg(F.count("*").alias("children"), *[F.sum(f"own_{c}").alias(f"all_{c}") for c in ("n", "good", "bad")])
-        own = own.join(every, parent)
+        own = nodes.groupBy(*parent, "seg").agg(F.max(F.struct("n", "next"))["next"].alias("mode"), *[F.sum(c).alias(f"own_{c}") for c in ("n", "good", "bad")])
+        every = own.groupBy(*parent).agg(F.count("*").alias("children"), F.sum("own_n").alias("parent_n"))
+        kin = own.groupBy(*parent, "mode").agg(*[F.sum(f"own_{c}").alias(f"all_{c}") for c in ("n", "good", "bad")])
+        own = own.join(every, parent).join(kin, [*parent, "mode"])
+        after = nodes.select(*parent, "seg", "next", "n").join(own.select(*parent, "seg", "mode", "own_n", "all_n"), [*parent, "seg"])
+        pool = after.groupBy(*parent, "mode", "next").agg(F.sum("n").alias("next_n"))
         share, common = F.col("n") / F.col("own_n"), F.col("next_n") / F.col("all_n")
-        distance = nodes.select(*parent, "seg", "next", "n").join(own, [*parent, "seg"]).join(pool, [*parent, "next"]).groupBy(*parent, "seg").agg((0.5 * (1 + F.sum(F.abs(share - common) - common))).alias("distance"))
+        distance = after.join(pool, [*parent, "mode", "next"]).groupBy(*parent, "seg").agg((0.5 * (1 + F.sum(F.abs(share - common) - common))).alias("distance"))
         own = own.join(distance, [*parent, "seg"])
-        labelled, all_labelled = F.col("own_good") + F.col("own_bad"), F.col("all_good") + F.col("all_bad")
-        one, pooled = _rate(F.col("own_bad"), labelled), _rate(F.col("all_bad"), all_labelled)
-        agree = F.abs(one - pooled) <= Z * F.sqrt(pooled * (1 - pooled) * (1 / (labelled + PRIOR) + 1 / (all_labelled + PRIOR)))
-        alike = (F.col("distance") <= MAX_DISTANCE) & F.when(all_labelled > 0, (labelled > 0) & agree).otherwise(True)
-        wild = (F.col("children") > MAX_CHILDREN) & (F.col("own_n") < MIN_SHARE * F.col("all_n"))
-        kind = own.select(*parent, "seg", F.when(wild, WILD).when(alike, MERGED).alias("kind"))
-        merged = kind.where(F.col("kind") == MERGED).groupBy(*parent).agg(F.count("*").alias("merged"))
-        kind = kind.join(merged, parent, "left").withColumn("name", F.when(F.col("kind") == WILD, WILD).when(F.col("merged") > 1, F.coalesce("kind", "seg")).otherwise(F.col("seg")))
+        one, spread = _test("own", "all")
+        side = F.when(F.col("own_good") + F.col("own_bad") == 0, "none").when(F.abs(one) <= spread, "same").when(one < 0, "low").otherwise("high")
+        wild = (F.col("children") > MAX_CHILDREN) & (F.col("own_n") < MIN_SHARE * F.col("parent_n"))
+        own = own.withColumns({"wild": wild, "side": F.when(F.col("distance") <= MAX_DISTANCE, side)})
+        sides = own.where("side is not null AND NOT wild").groupBy(*parent, "mode", "side").agg(F.count("*").alias("alike"), *[F.sum(f"own_{c}").alias(f"side_{c}") for c in ("good", "bad")])
+        own = own.join(sides, [*parent, "mode", "side"], "left")
+        one, spread = _test("own", "side")
+        alike = F.coalesce((F.col("alike") > 1) & (F.abs(one) <= spread), F.lit(False))
+        kind = own.withColumn("name", F.when(F.col("wild"), WILD).when(alike, F.concat(F.lit("{"), "side", F.lit("}"))).otherwise(F.col("seg")))
         moved = here.join(kind.select(*parent, "seg", "name"), [*parent, "seg"])
         moved = moved.select("host", "plain", F.concat("done", F.lit("/"), "name").alias("done"), F.slice("rest", 2, F.size("rest")).alias("rest"), "n", "good", "bad")
         rows = stored(moved.unionByName(rows.where(F.size("rest") == 0)))
