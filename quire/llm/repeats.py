@@ -34,6 +34,8 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_map, batch_of, stored
 
@@ -171,6 +174,33 @@ def covered(group: list[tuple[int, bytes]], length: int = LENGTH) -> list[list[t
     return [_merged(f) for f in found]
 
 
+def maximal_groups(group: list[tuple[int, bytes]], length: int = LENGTH) -> list[tuple[int, int, list[int]]]:
+    """(left, right, members): the maximal repeats of at least length bytes across contexts, with all contexts that hold them.
+
+    In an interval of the right extensions the left extensions have a tree of
+    intervals of their own; one that no deeper right extension holds is maximal
+    on both sides.
+    """
+    right, left = [c[at:] for at, c in group], [c[:at][::-1] for at, c in group]
+    order = sorted(range(len(group)), key=right.__getitem__)
+    place = {x: i for i, x in enumerate(order)}
+    rank = {x: i for i, x in enumerate(sorted(range(len(group)), key=left.__getitem__))}
+    lcp = [common(right[a], right[b]) for a, b in zip(order, order[1:], strict=False)]
+    out = []
+    for depth, a, b in intervals(lcp):
+        own = sorted(order[a : b + 1], key=rank.__getitem__)
+        near = [common(left[x], left[y]) for x, y in zip(own, own[1:], strict=False)]
+        trees = list(intervals(near))
+        if min(near) == 0:
+            trees.append((0, 0, len(own) - 1))  # nothing in common on the left
+        for n, i, j in trees:
+            members = own[i : j + 1]
+            at = sorted(place[x] for x in members)
+            if n + depth >= length and min(lcp[at[0] : at[-1]]) == depth:
+                out.append((n, depth, sorted(members)))
+    return out
+
+
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
@@ -253,42 +283,68 @@ def _asked_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield batch_of(dict(zip(("anchor", "context", "place", "bytes"), (pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)), strict=True)))
 
 
+def _anchor_groups(batches: Iterator[pa.RecordBatch], again: bool = False) -> Iterator[tuple[int, list[int], list[tuple[int, bytes]]]]:
+    """Anchor, context hashes and contexts of rows that come sorted by anchor; those with one left out.
+
+    again: a context that repeats comes twice.
+    """
+    anchor, names, group = None, [], []
+    for b in batches:
+        for h, c, p, raw, whole in zip(*(b.column(x).to_pylist() for x in ("anchor", "context", "place", "bytes", "whole")), strict=True):
+            if h != anchor:
+                if len(group) > 1:
+                    yield anchor, names, group
+                anchor, names, group = h, [], []
+            n = 1 + (whole and again)
+            names += [c] * n
+            group += [(p, raw)] * n
+    if len(group) > 1:
+        yield anchor, names, group
+
+
+def _rows_out(rows: Iterator[tuple], names: tuple[str, ...], kinds: tuple[pa.DataType, ...], size: int = 5_000) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, size)):
+        yield batch_of({n: pa.array(c, k) for n, c, k in zip(names, zip(*part, strict=True), kinds, strict=True)})
+
+
 def _ranges_by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges (anchor, context, start, end) of contexts that come sorted by anchor."""
-    anchor, names, group, out = None, [], [], []
-
-    def close() -> None:
-        if len(group) > 1:
-            out.extend((anchor, name, a, z) for name, ranges in zip(names, covered(group), strict=True) for a, z in ranges)
-        names.clear()
-        group.clear()
+    rows = ((h, name, a, z) for h, names, group in _anchor_groups(batches) for name, ranges in zip(names, covered(group), strict=True) for a, z in ranges)
+    return _rows_out(rows, ("anchor", "context", "start", "end"), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))
 
-    def flush() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        out.clear()
-        return batch_of(dict(zip(("anchor", "context", "start", "end"), (pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)), strict=True)))
 
-    for b in batches:
-        for h, c, p, raw in zip(*(b.column(x).to_pylist() for x in ("anchor", "context", "place", "bytes")), strict=True):
-            if h != anchor:
-                close()
-                anchor = h
-            names.append(c)
-            group.append((p, raw))
-        if len(out) > 5_000:
-            yield flush()
-    close()
-    yield flush()
+def _groups_by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members (anchor, context, group, start, end) of the maximal repeats of contexts that come sorted by anchor."""
+    ident = lambda *x: int(np.uint64(xxhash.xxh3_64_intdigest(repr(x))).astype(np.int64))
+    rows = ((h, names[x], ident(h, n, depth, sorted({names[y] for y in members})), -n, depth) for h, names, group in _anchor_groups(batches, again=True) for n, depth, members in maximal_groups(group) for x in {names[y]: y for y in members}.values())
+    return _rows_out(rows, ("anchor", "context", "group", "start", "end"), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of each context, hashed: (anchor, context, start, string)."""
+    """Every string of each context, hashed: (anchor, context, whole, start, string)."""
     digest = xxhash.xxh3_64_intdigest
     for b in batches:
-        for h, c, p, raw in zip(*(b.column(x).to_pylist() for x in ("anchor", "context", "place", "bytes")), strict=True):
+        for h, c, p, raw, whole in zip(*(b.column(x).to_pylist() for x in ("anchor", "context", "place", "bytes", "whole")), strict=True):
             view, n = memoryview(raw), len(raw) - LENGTH + 1
             hashes = np.array([digest(view[i : i + LENGTH]) for i in range(n)], np.uint64)
-            yield batch_of({"anchor": pa.array([h] * n, pa.int64()), "context": pa.array([c] * n, pa.int64()), "start": pa.array(range(-p, n - p), pa.int32()), "string": _signed(hashes)})
+            yield batch_of({"anchor": pa.array([h] * n, pa.int64()), "context": pa.array([c] * n, pa.int64()), "whole": pa.array([whole] * n, pa.bool_()), "start": pa.array(range(-p, n - p), pa.int32()), "string": _signed(hashes)})
+
+
+def _occurrences(kind: pa.DataType):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for i, data, numbers, sizes in _opened(b):
+                marks: dict[tuple[int, int], list[dict]] = {}
+                for m in b.column("marks")[i].as_py():
+                    marks.setdefault((m["anchor"], m["context"]), []).append(m)
+                found, keys, ends = anchors(numbers, sizes), b.column("keys")[i].as_py(), np.cumsum(sizes)
+                for pair, p, first, last in zip(zip(found[0].view(np.int64).tolist(), contexts(data, found).view(np.int64).tolist(), strict=True), *(x.tolist() for x in found[1:]), strict=True):
+                    for m in marks.get(pair, ()):
+                        a, z = (first, last + LENGTH) if m["start"] is None else (p + m["start"], p + m["end"])
+                        d = int(np.searchsorted(ends, a, "right"))
+                        yield m["group"], z - a, keys[d], a - int(ends[d] - sizes[d])
+
+    return lambda batches: _rows_out(rows(batches), ("group", "length", "key", "start"), (pa.int64(), pa.int32(), kind, pa.int64()))
 
 
 def _cut(kind: pa.DataType):
@@ -329,8 +385,20 @@ def _cut(kind: pa.DataType):
     return cut
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, spans, kept) for each row of df: the removed ranges of bytes and the remaining bytes."""
+class Evidence(NamedTuple):
+    """What the blocks hold in common."""
+
+    blocks: DataFrame
+    #: (anchor, context, block, n) of anchors that occur more than once
+    places: DataFrame
+    #: (anchor, context, whole, home, contexts): whole where the context itself repeats
+    contexts: DataFrame
+    #: (anchor, context, place, bytes, whole) of anchors with several contexts, up to CAP, and beyond
+    few: DataFrame
+    many: DataFrame
+
+
+def evidence(df: DataFrame, key: str, text: str) -> Evidence:
     blocks = packed_blocks(df, key, text)
     rows = arrow_map(blocks, _anchor_rows, "anchor bigint, context bigint, block bigint, n int")
     often = rows.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
@@ -338,26 +406,55 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     each = some.groupBy("anchor", "context").agg((F.sum("n") > 1).alias("whole"), F.min("block").alias("home"))
     sides = each.groupBy("anchor").agg(F.count("*").alias("contexts"))
     each = stored(each.join(sides, "anchor").where("whole OR contexts > 1"))
-
     asked = each.where("contexts > 1").groupBy(F.col("home").alias("block")).agg(F.collect_list(F.struct("anchor", "context")).alias("asked"))
     sent = arrow_map(blocks.join(asked, "block").select("block", "sizes", "data", "asked"), _asked_contexts, "anchor bigint, context bigint, place int, bytes binary")
-    size = each.where("contexts > 1").select("anchor", "context", "contexts")
+    size = each.where("contexts > 1").select("anchor", "context", "contexts", "whole")
     sent = stored(sent.join(size, ["anchor", "context"]))
-    few = sent.where(F.col("contexts") <= CAP).select("anchor", "context", "place", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    ranges = arrow_map(few, _ranges_by_anchor, "anchor bigint, context bigint, start int, end int")
-    many = arrow_map(sent.where(F.col("contexts") > CAP).select("anchor", "context", "place", "bytes"), _strings, "anchor bigint, context bigint, start int, string bigint")
-    twice = many.groupBy("anchor", "string").agg(F.min("context").alias("least"), F.max("context").alias("most")).where("least != most").select("anchor", "string")
-    hot = many.join(twice, ["anchor", "string"]).select("anchor", "context", "start", (F.col("start") + LENGTH).alias("end"))
-    ranges = stored(ranges.unionByName(hot))
+    own = ("anchor", "context", "place", "bytes", "whole")
+    few = sent.where(F.col("contexts") <= CAP).select(*own).repartition("anchor").sortWithinPartitions("anchor")
+    return Evidence(blocks, some, each, few, sent.where(F.col("contexts") > CAP).select(*own))
+
+
+def _hot_strings(e: Evidence) -> DataFrame:
+    """(anchor, context, start, string) of the strings of LENGTH bytes that several contexts of a hot anchor hold, or one that repeats."""
+    many = arrow_map(e.many, _strings, "anchor bigint, context bigint, whole boolean, start int, string bigint")
+    twice = many.groupBy("anchor", "string").agg(F.min("context").alias("least"), F.max("context").alias("most"), F.bool_or("whole").alias("whole"))
+    twice = twice.where("least != most OR whole").select("anchor", "string")
+    return many.join(twice, ["anchor", "string"])
 
-    places = some.select("block", "anchor", "context")
-    whole = places.join(each.where("whole").select("anchor", "context"), ["anchor", "context"]).select("block", "anchor", "context", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
-    part = places.join(each.where("NOT whole").select("anchor", "context"), ["anchor", "context"], "left_semi").join(ranges, ["anchor", "context"]).select("block", "anchor", "context", "start", "end")
+
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, spans, kept) for each row of df: the removed ranges of bytes and the remaining bytes."""
+    e = evidence(df, key, text)
+    ranges = arrow_map(e.few, _ranges_by_anchor, "anchor bigint, context bigint, start int, end int")
+    hot = _hot_strings(e).select("anchor", "context", "start", (F.col("start") + LENGTH).alias("end"))
+    ranges = stored(ranges.unionByName(hot))
+    places, none = e.places.select("block", "anchor", "context"), F.lit(None).cast("int")
+    whole = places.join(e.contexts.where("whole").select("anchor", "context"), ["anchor", "context"]).select("block", "anchor", "context", none.alias("start"), none.alias("end"))
+    part = places.join(e.contexts.where("NOT whole").select("anchor", "context"), ["anchor", "context"], "left_semi").join(ranges, ["anchor", "context"]).select("block", "anchor", "context", "start", "end")
     marks = whole.unionByName(part).groupBy("block").agg(F.collect_list(F.struct("anchor", "context", "start", "end")).alias("marks"))
-    key_type = blocks.schema["keys"].dataType.elementType
-    from pyspark.sql.pandas.types import to_arrow_type
+    kind = e.blocks.schema["keys"].dataType.elementType
+    out = arrow_map(e.blocks.join(marks, "block", "left").select("keys", "sizes", "data", "marks"), _cut(to_arrow_type(kind)), f"key {kind.simpleString()}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return out.withColumnRenamed("key", key)
+
 
-    out = arrow_map(blocks.join(marks, "block", "left").select("keys", "sizes", "data", "marks"), _cut(to_arrow_type(key_type)), f"key {key_type.simpleString()}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+def repeat_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(group, length, key, start): the maximal repeats around each anchor, with all their occurrences, in bytes.
+
+    A repeat that is longer than an anchor's context appears in a group for each
+    of its anchors, cut at the contexts' ends. For anchors with more than CAP
+    contexts the groups are those of equal strings of LENGTH bytes.
+    """
+    e = evidence(df, key, text)
+    shape = "anchor bigint, context bigint, group bigint, start int, end int"
+    found = arrow_map(e.few, _groups_by_anchor, shape)
+    hot = _hot_strings(e).select("anchor", "context", F.xxhash64("anchor", "string").alias("group"), "start", (F.col("start") + LENGTH).alias("end"))
+    none = F.lit(None).cast("int")
+    whole = e.contexts.where("whole AND contexts = 1").select("anchor", "context", F.xxhash64("anchor", "context").alias("group"), none.alias("start"), none.alias("end"))
+    wanted = e.places.select("block", "anchor", "context").join(stored(found.unionByName(hot).unionByName(whole)), ["anchor", "context"])
+    wanted = wanted.groupBy("block").agg(F.collect_list(F.struct("anchor", "context", "group", "start", "end")).alias("marks"))
+    kind = e.blocks.schema["keys"].dataType.elementType
+    out = arrow_map(e.blocks.join(wanted, "block").select("keys", "sizes", "data", "marks"), _occurrences(to_arrow_type(kind)), f"group bigint, length int, key {kind.simpleString()}, start bigint")
     return out.withColumnRenamed("key", key)
 
 
