@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -47,16 +48,34 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of BATCH_ROWS rows at most."""
+    """mapInArrow with batches of BATCH_ROWS rows at most, in workers that give memory back after each task."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(fn.__module__)
+        yield from fn(batches)
+        tidy()
+
+    return df.mapInArrow(run, schema)
 
 
 _resident: dict[object, object] = {}
 
 
+_owner = ""
+
+
+def begin(owner: str) -> None:
+    """Drops what a worker has kept for another operator than the one whose task begins."""
+    global _owner
+    if owner != _owner:
+        _resident.clear()
+        _owner = owner
+        tidy()
+
+
 def resident(key: object, make: Callable[[], object]) -> object:
     """An object that a worker keeps for its later tasks: what an operator has loaded or remembered.
 
@@ -69,5 +88,13 @@ def resident(key: object, make: Callable[[], object]) -> object:
     return _resident[key]
 
 
+def tidy() -> None:
+    """Returns freed memory to the system; allocators otherwise keep much of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batch_of(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

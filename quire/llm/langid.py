@@ -38,7 +38,7 @@ SMOOTHING = 0.5
 #: Words up to which the evidence of a document adds up in its score.
 EVIDENCE = 12
 #: Unseen words whose scores a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 WORD = re.compile(r"[^\W\d_]+")
 

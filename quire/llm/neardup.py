@@ -46,7 +46,7 @@ SHINGLE, THRESHOLD = 5, 80
 ROWS, MISS = 4, 1e-5
 CAP = 2_048
 #: Words whose hash a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 # The constants of the 64-bit mixer.
 STEP, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
