@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,7 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    # Complete with scheme and host, so that other readers than Spark find the same place.
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}")
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full)
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:

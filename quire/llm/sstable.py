@@ -35,7 +35,6 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from pathlib import Path
-from urllib.parse import urlsplit
 
 import numpy as np
 import public_tokenizers
@@ -340,7 +339,7 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int | None = 0, key: str
         encode = encoder(tokenizer)
         end = b"" if end_id is None else np.array([end_id], encode.kind).tobytes()
         task, done, writer = TaskContext.get(), [], Writer(encode.kind)
-        where, base = fs.FileSystem.from_uri(folder) if urlsplit(folder).scheme else (fs.LocalFileSystem(), folder)
+        where, base = fs.FileSystem.from_uri(folder)
         where.create_dir(base, recursive=True)
 
         def close() -> None:
@@ -348,6 +347,8 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int | None = 0, key: str
             temporary = f"{base}/_{name}.{task.taskAttemptId()}"
             with where.open_output_stream(temporary, compression=None) as f:
                 f.write(writer.finish())
+            if where.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:
+                where.delete_file(f"{base}/{name}")  # of an earlier attempt; some stores don't replace
             where.move(temporary, f"{base}/{name}")
             done.append((name, len(writer.keys), writer.ids))
 
