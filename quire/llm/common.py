@@ -58,7 +58,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin(fn.__module__)
+        begin(f"{fn.__module__}.{fn.__qualname__}")
         yield from fn(batches)
         tidy()
 
@@ -72,7 +72,7 @@ _owner = ""
 
 
 def begin(owner: str) -> None:
-    """Drops what a worker has kept for another operator than the one whose task begins."""
+    """Drops what a worker has kept for another step than the one whose task begins."""
     global _owner
     if owner != _owner:
         _resident.clear()

@@ -16,9 +16,9 @@ A lookup asks the filter, searches the index and then one block by bisection.
 
 Writing sorts the documents by ranges of the identifier; each task encodes its
 range and writes its shards to the shared folder under a temporary name and
-renames them, so a task that runs again leaves the same files. Reading goes
-through Spark's binaryFile source. The place where a shard's ids begin among
-all ids comes from the shards' totals, a row each.
+renames them, so a task that runs again leaves the same files. Reading
+opens the files and takes a block at a time. The place where a shard's ids begin
+among all ids comes from the shards' totals, a row each.
 
 Defined cases: a null text is empty and has the end id alone; a null identifier
 sorts first; rows with equal identifiers are kept, ordered by text; an empty
@@ -34,6 +34,7 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -58,6 +59,8 @@ LINE = 100
 #: Marks pieces at the start of a line; a text that holds it is encoded whole.
 START = "\0"
 LINE_START = f" \n {START}"
+#: Documents in a batch that is read.
+ROWS = 1_000
 #: Documents encoded together.
 TOGETHER, TOGETHER_CHARS = 1_024, 8 << 20
 
@@ -281,19 +284,24 @@ class Writer:
 
 
 class Reader:
-    """A shard that was read."""
+    """A shard, from its bytes or from an open file, of which a block is read at a time."""
 
-    def __init__(self, data: bytes):
-        at, size, bloom, bloom_size, self.docs, self.ids, width, magic = FOOTER.unpack(data[-FOOTER.size :])
+    def __init__(self, source: bytes | pa.NativeFile):
+        self.source = source
+        whole = len(source) if isinstance(source, bytes) else source.size()
+        at, size, bloom, bloom_size, self.docs, self.ids, width, magic = FOOTER.unpack(self._read(whole - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a shard")
-        self.data, self.kind = data, np.dtype(f"<u{width}")
-        self.blocks = [(k, *struct.unpack("<QQ", v)) for k, v in Block(data[at : at + size]).entries()]
-        self.bloom = data[bloom : bloom + bloom_size]
+        self.kind = np.dtype(f"<u{width}")
+        self.blocks = [(k, *struct.unpack("<QQ", v)) for k, v in Block(self._read(at, size)).entries()]
+        self.bloom = self._read(bloom, bloom_size)
+
+    def _read(self, at: int, size: int) -> bytes:
+        return self.source[at : at + size] if isinstance(self.source, bytes) else self.source.read_at(size, at)
 
     def _block(self, i: int) -> Block:
         _, at, size = self.blocks[i]
-        return Block(self.data[at : at + size])
+        return Block(self._read(at, size))
 
     def entries(self) -> Iterator[tuple[bytes, bytes]]:
         for i in range(len(self.blocks)):
@@ -369,41 +377,37 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int | None = 0, key: str
 
 
 def read_shards(spark: SparkSession, folder: str, shards: DataFrame, with_ids: bool = False) -> DataFrame:
-    """(key, start, n_tokens, ids_crc32, shard[, ids]) for each document in the shards, read from their files.
+    """(key, start, n_tokens, ids_crc32, shard[, ids]) for each document in the shards, read from their files a block at a time.
 
     start: the ids of all documents before it. ids_crc32: over little-endian
     unsigned 32-bit integers.
     """
-    if shards.isEmpty():
-        return spark.createDataFrame([], "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard string" + ", ids array<int>" * with_ids)
+    schema = "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard string" + ", ids array<int>" * with_ids
+    n = shards.count()
+    if not n:
+        return spark.createDataFrame([], schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = fs.FileSystem.from_uri(folder)
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                shard, cols, at = Reader(data.as_py()), ([], [], [], [], []), 0
-
-                def out(name=name, cols=cols) -> pa.RecordBatch:
-                    got = {"key": pa.array(cols[0], pa.int64()), "own": pa.array(cols[1], pa.int64()), "n_tokens": pa.array(cols[2], pa.int64()), "ids_crc32": pa.array(cols[3], pa.int64()), "shard": pa.array([name] * len(cols[0]), pa.string())}
-                    if with_ids:
-                        got["ids"] = pa.array(cols[4], pa.list_(pa.int32()))
-                    for c in cols:
-                        c.clear()
-                    return batch_of(got)
-
-                for k, v in shard.entries():
-                    ids = np.frombuffer(v, shard.kind)
-                    row = (decode_key(k), at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids.astype(np.int32) if with_ids else None)
-                    for c, x in zip(cols, row, strict=True):
-                        c.append(x)
-                    at += len(ids)
-                    if len(cols[0]) >= 2_000:
-                        yield out()
-                if cols[0]:
-                    yield out()
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.sst").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
-    docs = arrow_map(files, read, "key bigint, own bigint, n_tokens bigint, ids_crc32 bigint, shard string" + ", ids array<int>" * with_ids)
+            for name, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with where.open_input_file(f"{base}/{name}") as f:
+                    shard = Reader(f)
+                    entries = shard.entries()
+                    while part := list(islice(entries, ROWS)):
+                        keys, starts, sizes, sums, ids = [], [], [], [], []
+                        for k, v in part:
+                            own = np.frombuffer(v, shard.kind)
+                            keys.append(decode_key(k))
+                            starts.append(at)
+                            sizes.append(len(own))
+                            sums.append(zlib.crc32(own.astype("<u4").tobytes()))
+                            if with_ids:
+                                ids.append(own.astype(np.int32))
+                            at += len(own)
+                        got = {"key": pa.array(keys, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(sums, pa.int64()), "shard": pa.array([name] * len(keys), pa.string())}
+                        yield batch_of(got | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {}))
+
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each shard
-    places = shards.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("_before"))
-    return docs.join(places, "shard").select("key", (F.col("own") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32", "shard", *["ids"] * with_ids)
+    places = shards.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
+    return arrow_map(places.repartition(-(-n // 2)), read, schema)
