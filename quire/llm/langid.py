@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import arrow_map, batch_of, resident
 
 MODEL_DOCS = 20_000
-MAX_WORDS, MAX_GRAMS, MAX_N = 120_000, 80_000, 5
+MAX_WORDS, MAX_GRAMS, MAX_N = 80_000, 60_000, 5
 #: Weight of a count that wasn't seen.
 SMOOTHING = 0.5
 #: Words up to which the evidence of a document adds up in its score.
