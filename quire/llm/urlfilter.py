@@ -107,16 +107,17 @@ def learn_templates(urls: DataFrame) -> DataFrame:
     parent = ["host", "done"]
     for _ in range(depth):
         here = rows.where(F.size("rest") > 0).withColumns({"seg": F.col("rest")[0], "next": F.coalesce(F.get("rest", F.lit(1)), F.lit(""))})
-        nodes = here.groupBy(*parent, "seg", "next").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
+        # Tables of counts are written between steps: each is used several times, and the plans stay short.
+        nodes = stored(here.groupBy(*parent, "seg", "next").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")]))
         own = nodes.groupBy(*parent, "seg").agg(F.max(F.struct("n", "next"))["next"].alias("mode"), *[F.sum(c).alias(f"own_{c}") for c in ("n", "good", "bad")])
         every = own.groupBy(*parent).agg(F.count("*").alias("children"), F.sum("own_n").alias("parent_n"))
         kin = own.groupBy(*parent, "mode").agg(*[F.sum(f"own_{c}").alias(f"all_{c}") for c in ("n", "good", "bad")])
-        own = own.join(every, parent).join(kin, [*parent, "mode"])
+        own = stored(own.join(every, parent).join(kin, [*parent, "mode"]))
         after = nodes.select(*parent, "seg", "next", "n").join(own.select(*parent, "seg", "mode", "own_n", "all_n"), [*parent, "seg"])
         pool = after.groupBy(*parent, "mode", "next").agg(F.sum("n").alias("next_n"))
         share, common = F.col("n") / F.col("own_n"), F.col("next_n") / F.col("all_n")
         distance = after.join(pool, [*parent, "mode", "next"]).groupBy(*parent, "seg").agg((0.5 * (1 + F.sum(F.abs(share - common) - common))).alias("distance"))
-        own = own.join(distance, [*parent, "seg"])
+        own = stored(own.join(distance, [*parent, "seg"]))
         one, spread = _test("own", "all")
         side = F.when(F.col("own_good") + F.col("own_bad") == 0, "none").when(F.abs(one) <= spread, "same").when(one < 0, "low").otherwise("high")
         wild = (F.col("children") > MAX_CHILDREN) & (F.col("own_n") < MIN_SHARE * F.col("parent_n"))
