@@ -62,7 +62,7 @@ LINE_START = f" \n {START}"
 #: Documents in a batch that is read.
 ROWS = 1_000
 #: Documents encoded together.
-TOGETHER, TOGETHER_CHARS = 1_024, 8 << 20
+TOGETHER, TOGETHER_CHARS = 512, 4 << 20
 
 
 class Encoder:
@@ -70,7 +70,7 @@ class Encoder:
 
     The byte-level pre-tokenizer never puts a token across a single space or
     newline between other characters, nor across a letter and a comma or full
-    stop after it. So the library encodes each piece between such places once,
+    stop at the end of a piece. So the library encodes each piece between such places once,
     and the piece's ids are remembered. Pieces of Latin letters alone are one
     pre-token, so a second instance of the same vocabulary encodes them without
     looking for more. A text with any other white space is encoded whole.
@@ -87,7 +87,10 @@ class Encoder:
         model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.letters = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # Words are encoded many in a line, each ended by a newline, which no merge joins to a letter.
+        line = "\u010a"  # as the byte-level alphabet writes it; then space, tab and return
+        joined = any(line in t and t.strip(line + "\u0120\u0109\u010d") for t in model["vocab"])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated" if joined else "merged_with_previous"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.newline, *stops = self._encode(["\n", ",", "."])
         self.stops = dict(zip(",.", stops, strict=True))
@@ -97,34 +100,45 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each with a space before it; many words a call, cut apart by the library's word numbers."""
-        out, width = [], self.kind.itemsize
-        lines = [" " + "\n ".join(words[i : i + LINE]) for i in range(0, len(words), LINE)]
-        for x in self.letters.encode_batch(lines, add_special_tokens=False):
-            ids = np.array(x.ids, self.kind).tobytes()
-            cuts = (np.flatnonzero(np.diff(np.array(x.word_ids, np.int32), prepend=-1)) * width).tolist()
-            out += [ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True)]
+    def _encode_words(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words of letters, each with what stands before it."""
+        out, width, end = [], self.kind.itemsize, np.frombuffer(self.newline, self.kind)[0]
+        lines = [before + f"\n{before}".join(words[i : i + LINE]) + "\n" for i in range(0, len(words), LINE)]
+        for x in self.letters.encode_batch_fast(lines, add_special_tokens=False):
+            numbers, at = np.array(x.ids, self.kind), 0
+            ids = numbers.tobytes()
+            for cut in (np.flatnonzero(numbers == end) * width).tolist():
+                out.append(ids[at:cut])
+                at = cut + width
         return out
 
     def _learn(self, new: set[str]) -> None:
         """Remembers new pieces, each with the space before it; those that begin a line start with START and have none."""
-        pieces, plain, other, stopped = self.pieces, [], [], []
+        pieces, plain, heads, other, stopped = self.pieces, [], [], [], []
         for p in new:
-            if p.isalpha():
-                (plain if p.isascii() or max(p) < "\u0180" else other).append(p)
-            elif p[-1:] in self.stops and (stem := p[:-1]).isalpha():
-                stopped.append((p, stem))
-                if stem not in pieces and stem not in new:
-                    (plain if stem.isascii() or max(stem) < "\u0180" else other).append(stem)
+            stem = p
+            if p[-1:] in self.stops:
+                stem = p[:-1]
+                if stem[-1:].isalpha():
+                    stopped.append((p, stem))
+                    if stem in pieces or stem in new:
+                        continue
+                else:
+                    stem = p
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0180"):
+                plain.append(stem)
+            elif stem[:1] == START and (word := stem[1:]).isalpha() and (word.isascii() or max(word) < "\u0180"):
+                heads.append(word)
             else:
-                other.append(p)
-        pieces.update(zip(plain, self._encode_words(plain), strict=True))
+                other.append(stem)
+        pieces.update(zip(plain, self._encode_words(plain, " "), strict=True))
+        pieces.update(zip([START + w for w in heads], self._encode_words(heads, ""), strict=True))
         for piece, ids in zip(other, self._encode([p[1:] if p[:1] == START else " " + p for p in other]), strict=True):
             bare = p if (p := piece.removeprefix(START)) else " "
             pieces[piece] = None if bare[0].isspace() or bare[-1].isspace() else ids
         for piece, stem in stopped:
-            pieces[piece] = pieces[stem] + self.stops[piece[-1]]
+            ids = pieces[stem]
+            pieces[piece] = None if ids is None else ids + self.stops[piece[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [(START + t.replace("\n", LINE_START)).split(" ") for t in texts]
