@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.functions import text as T
 
+from .scanning import spread
+
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 CANDIDATES, SNIPPET_WORDS = 40, 12
@@ -15,11 +17,11 @@ CANDIDATES, SNIPPET_WORDS = 40, 12
 
 def postings(pages: DataFrame, keys: Sequence[str] = ("doc_id",), content: str = "text") -> DataFrame:
     """(keys, term, tf): how often each term stands in each page. A derived table to store, partitioned or sorted by term."""
-    return pages.select(*keys, F.explode(T.tokens(content)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return spread(pages.select(*keys, content)).select(*keys, F.explode(T.tokens(content)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def lengths(pages: DataFrame, keys: Sequence[str] = ("doc_id",), content: str = "text") -> DataFrame:
-    return pages.select(*keys, F.size(T.tokens(content)).cast("long").alias("dl"))
+    return spread(pages.select(*keys, content)).select(*keys, F.size(T.tokens(content)).cast("long").alias("dl"))
 
 
 def bm25(pages: DataFrame, query: str, limit: int | None = CANDIDATES, keys: Sequence[str] = ("doc_id",), content: str = "text", decimals: int = 6) -> DataFrame:
@@ -30,7 +32,7 @@ def bm25(pages: DataFrame, query: str, limit: int | None = CANDIDATES, keys: Seq
     row. Scores are rounded, ties go to the least key. No terms, no rows.
     """
     terms = T.match_terms(query)
-    words = pages.select(*keys, T.tokens(content).alias("words"))
+    words = spread(pages.select(*keys, content)).select(*keys, T.tokens(content).alias("words"))
     if not terms:
         return words.select(*keys, F.lit(0.0).alias("score")).where(F.lit(False))
     fits = lambda i, w: F.startswith(w, F.lit(terms[i])) if i == len(terms) - 1 else w == terms[i]
@@ -69,7 +71,7 @@ def snippet(pages: DataFrame, query: str, keys: Sequence[str] = ("doc_id",), con
     """(keys, snippet): a window of words from the first hit, hits marked, dots where text is left out."""
     terms = T.match_terms(query)
     hit = lambda w: F.startswith(w, F.lit(terms[-1])) | w.isin(terms[:-1]) if terms[:-1] else F.startswith(w, F.lit(terms[-1]))
-    rows = pages.select(*keys, T.tokens(content).alias("words"))
+    rows = spread(pages.select(*keys, content)).select(*keys, T.tokens(content).alias("words"))
     at = F.get(F.filter(F.transform("words", lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull()), F.lit(0))
     rows = rows.withColumn("at", at).where("at is not null")
     window = F.transform(F.slice("words", F.col("at") + 1, F.lit(words)), lambda w: F.when(hit(w), F.concat(F.lit(marks[0]), w, F.lit(marks[1]))).otherwise(w))

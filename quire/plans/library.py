@@ -10,6 +10,7 @@ from pyspark.sql import Window, functions as F
 
 from quire.functions import text as T
 from quire.operators import catalog, ingest, verify
+from quire.operators.scanning import spread
 from quire.streaming import folds
 
 from .registry import literal, query, table
@@ -118,7 +119,8 @@ _PAGES = "(SELECT doc_id, CAST(i + 1 AS INTEGER) AS page_number, substr(text, i
 
 
 def _pages(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(T.paginate("text")).alias("n", "content")).select("document_id", (F.col("n") + 1).alias("page_number"), "content")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select(F.col("doc_id").alias("document_id"), F.posexplode(T.paginate("text")).alias("n", "content")).select("document_id", (F.col("n") + 1).alias("page_number"), "content")
 
 
 @query(f"SELECT doc_id AS document_id, page_number FROM {_PAGES} WHERE NOT (page_number = 1 AND doc_id IN (SELECT vec_id FROM embeddings))")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import citation as C, text as T
 from quire.operators import fulltext, hybrid
+from quire.operators.scanning import spread
 from quire.sources import payloads
 
 from .registry import literal, query, table
@@ -21,12 +22,12 @@ DOC_TOKENS = TOKENS.format("text")
 
 @query(f"SELECT doc_id, {NORMAL.format('text')} AS folded FROM documents")
 def normalize_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.normalized("text").alias("folded"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.normalized("text").alias("folded"))
 
 
 @query(rf"SELECT doc_id, trim(regexp_replace(translate(lower(text), '{LATIN}', '{BARE}'), '\s+', ' ', 'g')) AS folded FROM documents")
 def fold_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.fold("text").alias("folded"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.fold("text").alias("folded"))
 
 
 @query(f"SELECT doc_id, CAST(len({DOC_TOKENS}) AS INTEGER) AS n FROM documents")
@@ -74,7 +75,7 @@ def hard_split(spark, d):
 SELECT doc_id, CAST(i + 1 AS INTEGER) AS page_number, substr(t, i * 4000 + 1, 4000) AS content FROM (SELECT doc_id, t, unnest(range(0, CAST(ceil(length(t) / 4000.0) AS BIGINT))) AS i FROM t)""")
 def paginate(spark, d):
     """Documents hold no empty lines, so packing never joins; tests cover it."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.paginate("text")).alias("n", "content")).select("doc_id", (F.col("n") + 1).alias("page_number"), "content")
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.paginate("text")).alias("n", "content")).select("doc_id", (F.col("n") + 1).alias("page_number"), "content")
 
 
 def _bm25_sql(query_text: str, limit: int = 40) -> str:
