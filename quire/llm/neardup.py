@@ -254,3 +254,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     alone = named.where("component is null").select("key", "n_shingles", F.col("key").alias("component_id"))
     out = linked.join(least, "component").select("key", "n_shingles", "component_id").unionByName(alone)
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def oracle(size: int, threshold: int) -> str:
+    """DuckDB SQL for near_duplicates over documents: all pairs that share a shingle, and all that each document reaches."""
+    return f"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {size} + 2), lambda i: array_to_string(w[i:i + {size - 1}], ' '))) END AS s FROM words),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {threshold} * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT doc_id AS id, doc_id AS to_id FROM sets UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.to_id = l.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN (SELECT id, min(to_id) AS component_id FROM reach GROUP BY id) ON id = doc_id
+"""

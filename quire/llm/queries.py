@@ -76,4 +76,4 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_transport, op3_poisson_mix, op4_decontaminate, op5_repeats, op6_secrets, op7_token_counts, op8_language, op9_superminhash, op10_sstable)}
 
-ORACLES: dict[str, str] = {"op3_poisson_mix": mixing.ORACLE, "op4_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op3_poisson_mix": mixing.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_repeats": repeats.ORACLE, "op9_superminhash": neardup.oracle(3, 85)}

@@ -473,3 +473,18 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tupl
         if depth >= least and len({texts[t][i - 1] if i else -1 - t for t, i in own}) > 1:
             out.append((depth, sorted(own)))
     return sorted(out)
+
+
+#: DuckDB SQL for the query: every string of LENGTH bytes is compared.
+ORACLE = f"""
+WITH doc AS (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+str AS (SELECT doc_id, i, md5(array_slice(t, i + 1, i + {LENGTH})) AS h FROM (SELECT doc_id, t, unnest(range(0, n - {LENGTH - 1})) AS i FROM doc)),
+hit AS (SELECT doc_id, i FROM str WHERE h IN (SELECT h FROM str GROUP BY h HAVING count(*) > 1)),
+edge AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > {LENGTH}, true) AS new FROM hit),
+run AS (SELECT doc_id, i, count(*) FILTER (WHERE new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge),
+span AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS z FROM run GROUP BY doc_id, r),
+side AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+cut AS (SELECT s.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(hex(t), 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(hex(any_value(t)), 2 * max(z) + 1) AS kept FROM side s JOIN doc d ON s.doc_id = d.doc_id GROUP BY s.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN kept IS NULL THEN t ELSE unhex(kept) END) AS kept_sha256
+FROM doc LEFT JOIN cut USING (doc_id)
+"""
