@@ -28,6 +28,7 @@ block of its own; other columns aren't read.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import struct
@@ -53,7 +54,7 @@ FOOTER = struct.Struct("<QQQQQQB7x8s")
 BLOCK, RESTART, SHARD = 64 << 10, 16, 16 << 20
 BITS_A_KEY, PROBES = 10, 7
 #: Encoded pieces that a worker remembers before it drops those that came once.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Words encoded as one line.
 LINE = 100
 #: Marks pieces at the start of a line; a text that holds it is encoded whole.
@@ -141,6 +142,13 @@ class Encoder:
             pieces[piece] = None if ids is None else ids + self.stops[piece[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        gc.disable()  # nothing here forms cycles, and there are millions of pieces to look through
+        try:
+            return self._ids(texts)
+        finally:
+            gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         split = [(START + t.replace("\n", LINE_START)).split(" ") for t in texts]
         every = set().union(*split)
         if len(self.pieces) + len(every) > REMEMBERED:  # only what came more than once stays
