@@ -7,6 +7,7 @@ of seq; on unbounded streams the same aggregate runs on each trigger's state.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -119,3 +120,57 @@ def idempotent_append(path: str, keys: list[str]) -> Callable[[DataFrame, int],
         rows.write.mode("append").parquet(path)
 
     return sink
+
+
+STATE = "text string, calls string, is_done boolean"
+
+
+def fold_stream(fragments: DataFrame, stream: str = "stream_id", seq: str = "seq") -> DataFrame:
+    """(stream, text, calls, is_done) after each trigger, for unbounded streams of fragments in either dialect.
+
+    The state of a stream is what has been folded so far, so fragments of one
+    trigger are taken in order of seq and later triggers add to it. calls is JSON
+    by index.
+    """
+    kind = fragments.schema[stream].dataType.simpleString()
+    rows = fragments.select(stream, seq, "payload").groupBy(stream)
+    return rows.applyInPandasWithState(_folder(stream, seq), f"{stream} {kind}, {STATE}", STATE, "update", "NoTimeout")
+
+
+def _folder(stream: str, seq: str):
+    import pandas as pd
+
+    def fold(key, frames, state):
+        text, calls, done = ("", "{}", False) if not state.exists else state.get
+        found = json.loads(calls)
+        events = pd.concat(list(frames)).sort_values(seq)["payload"]
+        for payload in events:
+            added, done = fold_event(payload, found, done)
+            text += added
+        state.update((text, json.dumps(found), done))
+        yield pd.DataFrame({stream: [key[0]], "text": [text], "calls": [json.dumps(found)], "is_done": [done]})
+
+    return fold
+
+
+def fold_event(payload: str, calls: dict[str, dict], done: bool) -> tuple[str, bool]:
+    """The text that an event adds, and whether the stream has ended; pieces of calls are added to calls."""
+    try:
+        event = json.loads(payload)
+    except ValueError:
+        return "", done
+    if not isinstance(event, dict):
+        return "", done
+    add = lambda index, **parts: [calls.setdefault(str(index), {"id": "", "name": "", "arguments": ""}).update({k: calls[str(index)][k] + (v or "")}) for k, v in parts.items()]
+    if event.get("choices"):
+        delta = event["choices"][0].get("delta") or {}
+        for c in delta.get("tool_calls") or ():
+            own = c.get("function") or {}
+            add(c.get("index") or 0, id=c.get("id"), name=own.get("name"), arguments=own.get("arguments"))
+        return delta.get("content") or "", done
+    delta, block = event.get("delta") or {}, event.get("content_block") or {}
+    if block.get("type") == "tool_use":
+        add(event.get("index"), id=block.get("id"), name=block.get("name"))
+    elif delta.get("type") == "input_json_delta":
+        add(event.get("index"), arguments=delta.get("partial_json"))
+    return delta.get("text") or "" if delta.get("type") == "text_delta" else "", done or event.get("type") == "message_stop"

@@ -261,3 +261,55 @@ def test_curation(spark):
     assert works.first().title == "x.y" and moved.where("document_id = 'a'").first().edition_id == editions.first().edition_id
     with pytest.raises(ValueError, match="unknown status"):
         catalog.set_status(docs, docs, "nope")
+
+
+def test_stateful_fold(spark, tmp_path):
+    source = tmp_path / "in"
+    schema = "stream_id string, seq int, payload string"
+    rows = lambda name, events, at: spark.createDataFrame([(name, at + i, e) for i, e in enumerate(events)], schema)
+    name = f"f{uuid.uuid4().hex}"
+    rows("a", CHOICES[:3], 0).unionByName(rows("b", BLOCKS[:4], 0)).write.parquet(str(source))
+    q = folds.fold_stream(spark.readStream.schema(schema).parquet(str(source))).writeStream.format("memory").queryName(name).outputMode("update").start()
+    q.processAllAvailable()
+    rows("a", CHOICES[3:], 3).unionByName(rows("b", BLOCKS[4:], 4)).write.mode("append").parquet(str(source))
+    q.processAllAvailable()
+    q.stop()
+    last = {}
+    for r in spark.table(name).collect():
+        last[r.stream_id] = max(last.get(r.stream_id, ("", "", False)), (r.text, r.calls, r.is_done), key=lambda x: len(x[1]))
+    assert last["a"][0] == "Je cherche." and json.loads(last["a"][1]) == {"0": {"id": "call_1", "name": "search_library", "arguments": '{"query":"kant"}'}}
+    assert last["b"][2] and json.loads(last["b"][1])["1"]["arguments"] == '{"query":"kant"}'
+
+
+class Lengths:
+    model, dimension = "lengths", 2
+
+    def embed(self, texts):
+        return [[float(len(t)), 1.0] if t.strip() else None for t in texts]
+
+
+def test_semantic_index(spark, tmp_path):
+    from quire.operators import semantic
+
+    table = knn.VectorTable(spark, f"file://{tmp_path}/v", 2, key="page string", auxiliary=["document_id string", "page_number int"])
+    pages = spark.createDataFrame([*PAGES, ("e", 1, "  ")], "document_id string, page_number int, content string")
+    identity = semantic.index_pending(pages.where("page_number < 3"), table, Lengths())
+    assert identity == ("lengths", 2) and table.read().count() == 2
+    semantic.index_pending(pages, table, Lengths(), identity)
+    assert {r.page for r in table.read().collect()} == {"d/1", "d/2", "d/3"}
+    assert [r.page for r in table.search([43.0, 1.0], 1).collect()] == ["d/2"]
+    semantic.index_pending(pages.limit(0), table, Lengths(), ("other", 2))
+    assert table.read().count() == 0
+
+
+def test_tools(spark):
+    from quire.operators.tools import Toolbox
+
+    documents = spark.createDataFrame([("d", "T", "recognized")], "document_id string, title string, status string")
+    box = Toolbox(_pages(spark), documents)
+    assert box.execute("search_library", '{"query": "intuitions"}') == "[d p. 2] T: …«intuitions» sans concepts sont aveugles"
+    assert box.execute("read_page", '{"document_id": "d", "page": 2}').startswith("Les intuitions")
+    assert "no page" in box.execute("read_page", '{"document_id": "d", "page": 9}')
+    assert box.execute("open_document", '{"document_id": "d"}') == "opened « T »" and "no document" in box.execute("open_document", '{"document_id": "x"}')
+    assert json.loads(box.execute("library_stats", ""))["recognized"] == 1
+    assert "unknown tool" in box.execute("nope", "") and "JSON" in box.execute("read_page", "{") and "argument" in box.execute("read_page", "{}") and "object" in box.execute("read_page", "[]")
