@@ -59,7 +59,8 @@ def rates(df: DataFrame, weights: DataFrame, epochs: float = 1.0, source: str =
     last = F.ceil(mean + 12 * F.sqrt(mean) + 40).cast("int")
     first = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("cdf"))
     step = lambda s, k: F.struct((s["p"] * mean / k).alias("p"), F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + s["p"] * mean / k)).alias("cdf"))
-    return out.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), last), first, step, lambda s: s["cdf"]))
+    out = out.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), last), first, step, lambda s: s["cdf"]))
+    return out.select("source", "rate", "parts", "cdf")
 
 
 def poisson_mix(df: DataFrame, weights: DataFrame, epochs: float = 1.0, seed: str = SEED, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -69,13 +70,14 @@ def poisson_mix(df: DataFrame, weights: DataFrame, epochs: float = 1.0, seed: st
     dealt to partitions at random and sorted in each: the partitions in turn
     are a random order of all rows.
     """
-    table = stored(rates(df, weights, epochs, source, text)).withColumnRenamed("source", "_source")
-    rows = df.drop("rate", "n_copies", "copy", "shuffle_key")
-    rows = rows.join(table, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
+    own = ("_mix_source", "_mix_rate", "_mix_parts", "_mix_cdf")
+    table = stored(rates(df, weights, epochs, source, text).toDF(*own))
+    rows = df.drop("rate", "n_copies", "copy", "shuffle_key", *own)
+    rows = rows.join(table, F.col(source).eqNullSafe(F.col("_mix_source")))
     unit = lambda i: hashed(F.lit(seed), F.col(key), i) / F.lit(float(1 << 4 * DIGITS))
-    one = lambda i: F.size(F.filter("cdf", lambda c: c <= unit(i)))
-    count = F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda n, i: n + one(i))
-    rows = rows.withColumn("n_copies", count).where("n_copies > 0").drop("cdf", "parts")
+    one = lambda i: F.size(F.filter("_mix_cdf", lambda c: c <= unit(i)))
+    count = F.aggregate(F.sequence(F.lit(0), F.col("_mix_parts") - 1), F.lit(0), lambda n, i: n + one(i))
+    rows = rows.withColumns({"rate": F.col("_mix_rate"), "n_copies": count}).where("n_copies > 0").drop(*own)
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     rows = rows.withColumn("shuffle_key", hashed(F.lit(seed), F.col(key), F.col("copy"), F.lit("order")))
     return rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key", key, "copy")

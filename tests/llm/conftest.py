@@ -5,7 +5,7 @@ import random
 import pytest
 
 WORDS = ["the", "Of", "and", "über", "ciónes", "être", "x1", "don't", "end.", "a,b", "la", "der"]
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, kept boolean, n int, rate string, digest int, media int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, kept boolean, parts int, rate string, cdf int, media int"
 
 
 def prose(n: int, seed: int) -> str:
