@@ -49,6 +49,77 @@ def test_url_rules(spark, small):
     assert all(r.verdict == dict(RULES)[r.rule] for r in got if r.rule) and {r.verdict for r in got} == {"allow", "block"}
 
 
+def brute_templates(rows):
+    """(host, plain) to (template, purity) from (host, plain, good, bad), a node at a time."""
+    U = urlfilter
+    rate = lambda bad, n: (bad + U.PRIOR / 2) / (n + U.PRIOR)
+    places = {}
+    for host, plain, good, bad in rows:
+        own = places.setdefault((host, plain), [0, 0, 0])
+        for i, x in enumerate((1, good, bad)):
+            own[i] += x
+    done = {k: ("", k[1].split("/")) for k in places}
+    while any(rest for _, rest in done.values()):
+        children = {}
+        for k, (name, rest) in done.items():
+            if rest:
+                c = children.setdefault((k[0], name), {}).setdefault(rest[0], {"n": Counter(), "good": 0, "bad": 0})
+                n, good, bad = places[k]
+                c["n"][rest[1] if len(rest) > 1 else ""] += n
+                c["good"] += good
+                c["bad"] += bad
+        names = {}
+        for parent, segs in children.items():
+            total = sum(sum(c["n"].values()) for c in segs.values())
+            kin = {}
+            for seg, c in segs.items():
+                kin.setdefault(max(c["n"].items(), key=lambda x: (x[1], x[0]))[0], []).append(seg)
+            for own in kin.values():
+                pool = sum((segs[s]["n"] for s in own), Counter())
+                all_n, bad, labelled = sum(pool.values()), sum(segs[s]["bad"] for s in own), sum(segs[s]["good"] + segs[s]["bad"] for s in own)
+
+                def differs(s, bad, labelled):
+                    n = segs[s]["good"] + segs[s]["bad"]
+                    p = rate(bad, labelled)
+                    return (segs[s]["bad"] / n - p if n else 0.0), U.Z * (p * (1 - p) * ((1 / n if n else 1) + 1 / (labelled + U.PRIOR))) ** 0.5
+
+                sides, wild = {}, set()
+                for s in own:
+                    n = sum(segs[s]["n"].values())
+                    if len(segs) > U.MAX_CHILDREN and n < U.MIN_SHARE * total:
+                        wild.add(s)
+                    elif 0.5 * sum(abs(segs[s]["n"][x] / n - pool[x] / all_n) for x in pool) <= U.MAX_DISTANCE + 1e-12:
+                        d, spread = differs(s, bad, labelled)
+                        sides.setdefault("none" if not segs[s]["good"] + segs[s]["bad"] else "same" if abs(d) <= spread else "low" if d < 0 else "high", []).append(s)
+                names.update({(parent, s): U.WILD if s in wild else s for s in own})
+                for side, some in sides.items():
+                    b, n = sum(segs[s]["bad"] for s in some), sum(segs[s]["good"] + segs[s]["bad"] for s in some)
+                    for s in some:
+                        d, spread = differs(s, b, n)
+                        if len(some) > 1 and abs(d) <= spread:
+                            names[parent, s] = f"{{{side}}}"
+        done = {k: (f"{name}/{names[(k[0], name), rest[0]]}", rest[1:]) if rest else (name, rest) for k, (name, rest) in done.items()}
+    labels = {}
+    for k, (name, _) in done.items():
+        own = labels.setdefault((k[0], name), [0, 0])
+        own[0] += places[k][1]
+        own[1] += places[k][2]
+    return {k: (name[1:], 1 - rate(labels[k[0], name][1], sum(labels[k[0], name]))) for k, (name, _) in done.items()}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_op1_brute(spark, small, sf):
+    folder = small.replace("sf0.001", sf)
+    got = queries.op1_url_filter(spark, folder).collect()
+    plain = {r.path: r.plain for r in spark.createDataFrame([(r.path,) for r in got], "path string").select("path", urlfilter.plain_path(F.col("path")).alias("plain")).collect()}
+    says = dict(RULES) | {None: None}
+    tree = brute_templates([(r.host, plain[r.path], int(says[r.rule] == "allow"), int(says[r.rule] == "block")) for r in got])
+    for r in got:
+        template, purity = tree[r.host, plain[r.path]]
+        assert (r.template, r.purity) == (template, pytest.approx(purity, abs=1e-5))
+        assert r.verdict == (says[r.rule] or ("block" if purity < urlfilter.MIN_PURITY else "allow"))
+
+
 def test_many_rules_join(spark, monkeypatch):
     df = spark.createDataFrame([(1, "http://a.b.com/x/y"), (2, "http://net/es/q"), (3, "http://q.org/")], "page_id int, url string")
     want = by_key(urlfilter.judge(df, RULES).collect(), "page_id", "rule", "verdict")
