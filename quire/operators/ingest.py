@@ -80,3 +80,78 @@ def pending(pages: DataFrame, indexed: DataFrame, keys: Sequence[str]) -> DataFr
 def pending_extraction(document: DataFrame) -> DataFrame:
     """Documents to extract, by file name."""
     return document.where(~F.col("is_extracted") & F.col("format").isin(*EXTRACTABLE)).orderBy("file_name", "document_id")
+
+
+#: What goes when the row goes that it names: table, key, named table.
+DEPENDENTS = (("document_page", "document_id", "document"), ("annotation", "document_id", "document"), ("edition_creator", "edition_id", "edition"), ("work_creator", "work_id", "work"), ("collection_item", "work_id", "work"))
+
+
+def cascade(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables without rows that name a document, edition or work that is gone; a document whose edition is gone stays without one."""
+    out = dict(tables)
+    for name, key, of in DEPENDENTS:
+        if name in out and of in out:
+            out[name] = out[name].join(out[of].select(key), key, "left_semi")
+    if "document" in out and "edition" in out:
+        there = out["edition"].select(F.col("edition_id").alias("_e"))
+        docs = out["document"].join(there, F.col("edition_id") == F.col("_e"), "left")
+        out["document"] = docs.withColumn("edition_id", F.col("_e")).select(*tables["document"].columns)
+    return out
+
+
+def collect_orphans(tables: dict[str, DataFrame], creators: bool = False) -> dict[str, DataFrame]:
+    """The tables without editions that no document names and works that no edition names, and on demand creators that nothing names."""
+    out = dict(tables)
+    out["edition"] = out["edition"].join(out["document"].select("edition_id").where("edition_id is not null"), "edition_id", "left_semi")
+    out["work"] = out["work"].join(out["edition"].select("work_id"), "work_id", "left_semi")
+    out = cascade(out)
+    if creators:
+        named = out["work_creator"].select("creator_id")
+        if "edition_creator" in out:
+            named = named.union(out["edition_creator"].select("creator_id"))
+        out["creator"] = out["creator"].join(named, "creator_id", "left_semi")
+    return out
+
+
+def apply_plan(tables: dict[str, DataFrame], planned: DataFrame, library: str = "") -> dict[str, DataFrame]:
+    """The catalog after an ingest: vanished files out, new ones in, orphans collected, folders as collections.
+
+    tables: those of the schema that new_records fills, with any columns beyond
+    theirs. Ids derive from content, so applying a plan twice changes nothing. The
+    result refers to its inputs several times: pass stored tables and store it.
+    """
+    out = dict(tables)
+    gone = planned.where("change = 'removed'").select(F.col("path").alias("file_path"))
+    out["document"] = out["document"].join(gone, "file_path", "left_anti")
+    for name, rows in new_records(planned, library).items():
+        keys = [c for c in rows.columns if c.endswith("_id")][: 2 if name == "work_creator" else 1]
+        fresh = rows.join(out[name].select(*keys), keys, "left_anti")
+        out[name] = out[name].unionByName(fresh, allowMissingColumns=True)
+    return collect_orphans(out)
+
+
+def collections(documents: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """(collection, collection_item) of the folders between root and each document: (work_id, file_path)."""
+    below = F.substring("file_path", len(root.rstrip("/")) + 2, 1 << 30)
+    folder = F.regexp_replace(below, "/?[^/]*$", "")
+    rows = documents.where(catalog.under("file_path", root)).select("work_id", folder.alias("path")).where("path != ''")
+    ident = lambda p: F.sha2(F.concat(F.lit(f"collection:{root}:"), p), 256)
+    tree = catalog.subtree_paths(rows).select(ident(F.col("path")).alias("collection_id"), "name", F.when(F.col("parent").isNotNull(), ident(F.col("parent"))).alias("parent_id"), F.concat_ws("/", F.lit(root.rstrip("/")), "path").alias("source_folder"))
+    return tree, rows.select(ident(F.col("path")).alias("collection_id"), "work_id").distinct()
+
+
+def replace_pages(document: DataFrame, document_page: DataFrame, pages: DataFrame, recognized: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(document, document_page) after an extraction: the documents' pages replaced, marked as extracted.
+
+    recognized: the pages come from character recognition, which is no longer
+    needed then; blank pages are left out and numbers kept.
+    """
+    if recognized:
+        pages = pages.where(F.trim("content") != "")
+    done = pages.select("document_id").distinct()
+    kept = document_page.join(done, "document_id", "left_anti").unionByName(pages.select(*document_page.columns))
+    marked = document.join(done.withColumn("_m", F.lit(True)), "document_id", "left")
+    new = {"is_extracted": F.coalesce("_m", "is_extracted")}
+    if recognized:
+        new["needs_ocr"] = F.when(F.col("_m"), False).otherwise(F.col("needs_ocr"))
+    return marked.withColumns(new).select(*document.columns), kept

@@ -313,3 +313,54 @@ def test_tools(spark):
     assert box.execute("open_document", '{"document_id": "d"}') == "opened « T »" and "no document" in box.execute("open_document", '{"document_id": "x"}')
     assert json.loads(box.execute("library_stats", ""))["recognized"] == 1
     assert "unknown tool" in box.execute("nope", "") and "JSON" in box.execute("read_page", "{") and "argument" in box.execute("read_page", "{}") and "object" in box.execute("read_page", "[]")
+
+
+def test_catalog_after_ingest(spark):
+    schema = "path string, file_name string, content_hash string"
+    files_ = [("/l/Kant_1781_Critique.pdf", "Kant_1781_Critique.pdf", "h1"), ("/l/scan sans nom.pdf", "scan sans nom.pdf", "h2"), ("/l/philo/allemande/copie de kant.pdf", "copie de kant.pdf", "h1")]
+    scanned = spark.createDataFrame(files_, schema)
+    written = lambda df: spark.createDataFrame(df.collect(), df.schema)  # noqa: E731  as the caller stores each step
+    counts = lambda tables: {n: df.count() for n, df in tables.items()}
+    planned = written(ingest.plan(scanned.limit(0), scanned))
+    tables = {n: spark.createDataFrame([], df.schema) for n, df in ingest.new_records(planned, "l").items()}
+    tables = {n: written(df) for n, df in ingest.apply_plan(tables, planned, "l").items()}
+    assert counts(tables) == {"work": 3, "edition": 3, "document": 3, "creator": 1, "work_creator": 1}
+    assert counts(ingest.apply_plan(tables, planned, "l")) == counts(tables)
+    tables["document_page"] = written(tables["document"].select("document_id", F.lit(1).alias("page_number"), F.lit("x").alias("content")))
+    known = tables["document"].select(F.col("file_path").alias("path"))
+    fewer = written(ingest.plan(known, scanned.where("content_hash = 'h2'")))
+    after = {n: written(df) for n, df in ingest.apply_plan(tables, fewer, "l").items()}
+    assert counts(after) == {"work": 1, "edition": 1, "document": 1, "creator": 1, "work_creator": 0, "document_page": 1}
+    assert ingest.collect_orphans(after, creators=True)["creator"].count() == 0
+    works = tables["document"].join(tables["edition"], "edition_id").select("work_id", "file_path")
+    tree, items = ingest.collections(works, "/l")
+    rows = {r.name: r for r in tree.collect()}
+    assert rows.keys() == {"philo", "allemande"} and rows["allemande"].parent_id == rows["philo"].collection_id and rows["philo"].parent_id is None
+    assert [r.collection_id for r in items.collect()] == [rows["allemande"].collection_id]
+
+
+def test_cascade_unlinks_documents(spark):
+    tables = {"document": spark.createDataFrame([("d", "e1"), ("f", "e2")], "document_id string, edition_id string"), "edition": spark.createDataFrame([("e2",)], "edition_id string"), "annotation": spark.createDataFrame([("a", "d"), ("b", "zz")], "annotation_id string, document_id string")}
+    out = ingest.cascade(tables)
+    assert {(r.document_id, r.edition_id) for r in out["document"].collect()} == {("d", None), ("f", "e2")}
+    assert [r.annotation_id for r in out["annotation"].collect()] == ["a"]
+
+
+def test_replace_pages(spark):
+    document = spark.createDataFrame([("d", False, True), ("e", True, False)], "document_id string, is_extracted boolean, needs_ocr boolean")
+    pages = spark.createDataFrame([("d", 1, "old"), ("e", 1, "keep")], "document_id string, page_number int, content string")
+    new = spark.createDataFrame([("d", 1, "  "), ("d", 2, "read")], "document_id string, page_number int, content string")
+    docs, out = ingest.replace_pages(document, pages, new, recognized=True)
+    assert {tuple(r) for r in docs.collect()} == {("d", True, False), ("e", True, False)}
+    assert {tuple(r) for r in out.collect()} == {("d", 2, "read"), ("e", 1, "keep")}
+    twice = ingest.replace_pages(docs, out, new, recognized=True)[1]
+    assert twice.count() == 2
+
+
+def test_best_guess(spark):
+    embedded = "struct<title:string,author:string,year:string,publisher:string,language:string,isbn13:string,doi:string,confidence:string>"
+    rows = [("Kant_1781_Critique.pdf", ("T", "A", None, None, None, None, None, "structured")), ("scan001.pdf", ("Moses", "Assmann", None, None, None, None, None, "structured")), ("scan001.pdf", ("", None, None, None, None, "9782707302144", None, "structured")), ("scan001.pdf", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, name string, e {embedded}")
+    got = [r.g for r in df.select("i", files.best_guess(F.col("name"), F.col("e")).alias("g")).orderBy("i").collect()]
+    assert [(g.title, g.author, g.confidence) for g in got] == [("Critique", "Kant", "structured"), ("Moses", "Assmann", "structured"), ("scan001", None, "fallback"), ("scan001", None, "fallback")]
+    assert got[2].isbn13 == "9782707302144"
