@@ -13,8 +13,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch sent to Python; texts may be long, so batches stay small.
-BATCH_ROWS = 256
+#: Rows and bytes in an Arrow batch sent to Python; texts may be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +52,11 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of BATCH_ROWS rows at most, in workers that give memory back after each task."""
+    """mapInArrow with batches of BATCH_ROWS rows and about BATCH_BYTES bytes at most, in workers that give memory back after each task."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin(f"{fn.__module__}.{fn.__qualname__}")

@@ -48,7 +48,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import arrow_map, batch_of, stored
 
 LENGTH, K = 200, 32
-BLOCK, CAP = 4 << 20, 4_096
+BLOCK, CAP = 2 << 20, 4_096
 PLACES = (1 << 31) - 1
 
 
