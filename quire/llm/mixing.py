@@ -48,12 +48,12 @@ def root_weights(df: DataFrame, source: str = "source", text: str = "text") -> D
 def rates(df: DataFrame, weights: DataFrame, epochs: float = 1.0, source: str = "source", text: str = "text") -> DataFrame:
     """(source, rate, parts, cdf): the mean repetitions of each source and the distribution of one part."""
     size = F.coalesce(F.length(text), F.lit(0)).cast("double")
-    sizes = df.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("size")).where("size > 0")
+    sizes = stored(df.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("size")).where("size > 0"))
     weights = weights.select(F.col("source").alias("_w"), F.col("weight").cast("double").alias("weight")).where("weight > 0")
     both = sizes.join(weights, F.col("source").eqNullSafe(F.col("_w"))).drop("_w")
-    total = both.agg(F.sum("size").alias("total"), F.sum("weight").alias("all_weights"))
-    rate = F.lit(epochs) * (F.col("weight") / F.col("all_weights")) * F.col("total") / F.col("size")
-    out = both.crossJoin(total).select("source", rate.alias("rate"))  # with one row
+    total, all_weights = both.agg(F.coalesce(F.sum("size"), F.lit(1.0)), F.coalesce(F.sum("weight"), F.lit(1.0))).first()
+    rate = F.lit(epochs) * (F.col("weight") / F.lit(all_weights)) * F.lit(total) / F.col("size")
+    out = both.select("source", rate.alias("rate"))
     out = out.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
     mean = F.col("rate") / F.col("parts")
     last = F.ceil(mean + 12 * F.sqrt(mean) + 40).cast("int")
