@@ -227,8 +227,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     some = F.xxhash64("digest")
     shared = banded.groupBy("bucket").agg(F.min(some).alias("least"), F.max(some).alias("most")).where("least != most").select("bucket")
     members = stored(banded.join(shared, "bucket").distinct())
-    texts = sets.select("digest", "packed").join(members.select("digest").distinct(), "digest", "left_semi")
-    texts = stored(texts.groupBy("digest").agg(F.any_value("packed").alias("packed")), "snappy")
+    one = sets.where("digest is not null").groupBy("digest").agg(F.any_value("packed").alias("packed"))  # copies combine before they move
+    texts = stored(one.join(members.select("digest").distinct(), "digest", "left_semi"), "snappy")
     stars = members.groupBy("bucket").agg(F.min("digest").alias("a"))
     pairs = members.join(stars, "bucket").where("digest != a").select("a", F.col("digest").alias("b")).distinct()
     known = stored(components(compared(pairs, texts, size, threshold)))
@@ -248,9 +248,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     final = components(more).select(F.col("digest").alias("component"), F.col("component").alias("final"))
 
     named = sets.select("key", "n_shingles", "digest").join(known, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    named = named.join(final, "component", "left").select("key", "n_shingles", F.coalesce("final", "component").alias("component"))
+    # Both sides are written, so that the joins stand on plain scans and Spark may split a hot component.
+    named = stored(named.join(stored(final), "component", "left").select("key", "n_shingles", F.coalesce("final", "component").alias("component")))
     linked = named.where("component is not null")
-    least = linked.groupBy("component").agg(F.min("key").alias("component_id"))
+    least = stored(linked.groupBy("component").agg(F.min("key").alias("component_id")))
     alone = named.where("component is null").select("key", "n_shingles", F.col("key").alias("component_id"))
     out = linked.join(least, "component").select("key", "n_shingles", "component_id").unionByName(alone)
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
