@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, batch_of, resident, shared_folder
+from .common import arrow_map, batch_of, resident, shared_folder, stored
 
 CACHE = "tokenizer string, content binary, n_tokens bigint"
 
@@ -86,7 +86,7 @@ def count_tokens(df: DataFrame, tokenizer: str, cache: str | None = None, key: s
 
     new = arrow_map(misses, encode, "content binary, n_tokens bigint")
     new.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = stored(read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))
     slim = rows.select("_key", "content", F.octet_length("_text").cast("long").alias("n_bytes"))
-    # Copies of one text may be a third of all rows; of an inner join with one row a digest, Spark splits the hot part.
+    # Copies of one text may be a third of all rows; of an inner join of two scans, Spark splits the hot part.
     return slim.join(counts, "content").select(F.col("_key").alias(key), "n_bytes", "n_tokens")
