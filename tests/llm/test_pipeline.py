@@ -43,6 +43,13 @@ def test_decontaminate(spark, small, docs):
     assert bad and rows(P.decontaminate_stage(spark, docs, small)) == [r for r in rows(docs) if r[0] not in bad]
 
 
+def test_decontaminate_long(spark, small, docs):
+    passage = " ".join(spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id").first().text.split()[:20])
+    filler = " ".join(f"filler{i}" for i in range(5_000))
+    own = spark.createDataFrame([(1, f"{filler} {passage} {filler}", "en", "s", 0), (2, filler, "en", "s", 0)], docs.schema)
+    assert [r[0] for r in rows(P.decontaminate_stage(spark, own, small))] == [2]
+
+
 def test_mix(spark, small, docs):
     want = mixing.poisson_mix(docs, mixing.root_weights(docs)).select("doc_id").collect()
     assert Counter(r[0] for r in rows(P.mix_stage(spark, docs, small))) == Counter(r.doc_id for r in want)
