@@ -6,9 +6,10 @@ length of which any n-gram is known decides, by the mean of their log
 frequencies. A document's score is the mean over its words.
 
 The model comes from a bounded sample: MODEL_DOCS labelled documents, chosen by
-a hash of their text (all where there are fewer), of which the MAX_WORDS most
-frequent (word, language) counts and MAX_GRAMS n-grams stay. The bound is what
-keeps the broadcast model small at any input size.
+a hash of their text (all where there are fewer). Each language gets an equal
+share of them, and what one doesn't need goes to the others, so a rare language
+stays whole beside a common one. All counts of the sample stay, with the n-grams
+of all its words; the sample alone bounds the broadcast model.
 
 Defined cases: a null text, or one without letters, is `und` with score 0, and
 so is every text where nothing is labelled; empty tables give empty results;
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import arrow_map, batch_of, resident
 
 MODEL_DOCS = 20_000
-MAX_WORDS, MAX_GRAMS, MAX_N = 80_000, 60_000, 5
+MAX_N = 5
 #: Weight of a count that wasn't seen.
 SMOOTHING = 0.5
 #: Words up to which the evidence of a document adds up in its score.
@@ -56,8 +57,8 @@ def _grams(word: str, n: int) -> list[str]:
     return [s[i : i + n] for i in range(len(s) - n + 1)]
 
 
-def _scores(counts: dict[str, list[float]], k: int) -> np.ndarray:
-    c = np.array(list(counts.values()), np.float64).reshape(len(counts), k) + SMOOTHING
+def _scores(c: np.ndarray) -> np.ndarray:
+    c = c + SMOOTHING
     return np.log(c / c.sum(axis=0)).astype(np.float32)
 
 
@@ -65,18 +66,28 @@ def build(counts: list[tuple[str, str, int]]) -> Model:
     """The model from (language, word, count)."""
     languages = sorted({x[0] for x in counts})
     at, k = {x: i for i, x in enumerate(languages)}, len(languages)
-    words: dict[str, list[float]] = {}
+    words: dict[str, int] = {}
+    grams: dict[str, int] = {}
+    by_word: list[tuple[int, int, int]] = []
+    by_gram: list[Counter] = [Counter() for _ in languages]
     for language, word, n in counts:
-        words.setdefault(word, [0.0] * k)[at[language]] += n
-    grams: dict[str, list[float]] = {}
-    for word, c in words.items():
-        for n in range(1, MAX_N + 1):
-            for g in _grams(word, n):
-                own = grams.setdefault(g, [0.0] * k)
-                for i in range(k):
-                    own[i] += c[i]
-    kept = dict(sorted(grams.items(), key=lambda x: (len(x[0]) > 1, -sum(x[1]), x[0]))[:MAX_GRAMS])
-    return Model(languages, {w: i for i, w in enumerate(words)}, {g: i for i, g in enumerate(kept)}, _scores(words, k), _scores(kept, k))
+        i = at[language]
+        by_word.append((words.setdefault(word, len(words)), i, n))
+        own = by_gram[i]
+        for size in range(1, MAX_N + 1):
+            for g in _grams(word, size):
+                own[g] += n
+    seen = np.zeros((len(words), k))
+    if by_word:
+        w, i, n = np.array(by_word).T
+        np.add.at(seen, (w, i), n)
+    for own in by_gram:
+        for g in own:
+            grams.setdefault(g, len(grams))
+    parts = np.zeros((len(grams), k))
+    for i, own in enumerate(by_gram):
+        parts[[grams[g] for g in own], i] = list(own.values())
+    return Model(languages, words, grams, _scores(seen), _scores(parts))
 
 
 class Scorer:
@@ -124,10 +135,15 @@ class Scorer:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", model_docs: int = MODEL_DOCS) -> Model:
     """A model from the rows with a text and a language; see the module for its bounds."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    n = rows.select("lang").count()
-    if n > model_docs:
-        steps = 1 << 30
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(steps)) < math.ceil(steps * model_docs / n))
+    have = dict(rows.groupBy("lang").count().collect())
+    if sum(have.values()) > model_docs:
+        steps, taken, left = 1 << 30, [], model_docs
+        for i, (language, n) in enumerate(sorted(have.items(), key=lambda x: (x[1], x[0]))):
+            share = min(n, max(1, left // (len(have) - i)))
+            left -= share
+            taken.append((language, math.ceil(steps * share / n)))
+        limits = rows.sparkSession.createDataFrame(taken, "lang string, below bigint")  # one row a language
+        rows = rows.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("text"), F.lit(steps)) < F.col("below")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, Counter] = {}
@@ -146,7 +162,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", model_doc
         yield out()
 
     counted = arrow_map(rows, count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return build([tuple(r) for r in counted.orderBy(F.desc("n"), "word", "lang").limit(MAX_WORDS).collect()])
+    found = counted.toArrow()
+    return build(list(zip(*(c.to_pylist() for c in found.columns), strict=True)))
 
 
 def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

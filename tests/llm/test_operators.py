@@ -501,6 +501,21 @@ def test_language_bound(spark, small, monkeypatch):
     assert set(model.languages) <= {"en", "fr", "de", "es"} and len(model.words) < len(langid.train(docs).words)
 
 
+def test_language_keeps_rare(spark):
+    letters = lambda i: "".join(chr(97 + int(c)) for c in f"{i:06}")
+    common = [(" ".join(2 * [letters(i) for i in range(j, j + 4_100)]), "aa") for j in range(0, 82_000, 4_100)]
+    model = langid.train(spark.createDataFrame([*common, ("seldom heard", "zz")], "text string, lang string"))
+    assert model.languages == ["aa", "zz"] and len(model.words) == 82_002
+    assert langid.Scorer(model)("heard")[0] == "zz"
+
+
+def test_language_sample_by_language(spark):
+    rows = [(f"common {i}", "aa") for i in range(3_000)] + [(f"seldom {i}", "zz") for i in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), model_docs=100)
+    at = model.words["seldom"]
+    assert model.languages == ["aa", "zz"] and model.word_scores[at, 1] > model.word_scores[at, 0]
+
+
 # 9 near-duplicates
 
 
