@@ -50,6 +50,16 @@ def test_decontaminate_long(spark, small, docs):
     assert [r[0] for r in rows(P.decontaminate_stage(spark, own, small))] == [2]
 
 
+def test_rows_with_equal_ids(spark, small, docs):
+    item = spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id").first().text
+    one, two, three = (" ".join(f"{w}{i}" for i in range(100)) for w in ("one", "two", "three"))
+    table = [(None, one), (None, one + " end"), (None, two), (None, item), (5, three), (5, three), (5, item), (5, "clean"), (4, one), (None, None)]
+    own = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in table], docs.schema).repartition(3)
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    assert left(P.near_dedup_stage(spark, own, small)) == sorted([(4, one), (None, two), (5, item), (5, three), (5, "clean"), (None, None)], key=repr)
+    assert left(P.decontaminate_stage(spark, own, small)) == sorted([x for x in table if x[1] != item], key=repr)
+
+
 def test_mix(spark, small, docs):
     want = mixing.poisson_mix(docs, mixing.root_weights(docs)).select("doc_id").collect()
     assert Counter(r[0] for r in rows(P.mix_stage(spark, docs, small))) == Counter(r.doc_id for r in want)
