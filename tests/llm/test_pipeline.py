@@ -30,6 +30,11 @@ def test_language(spark, small, docs):
     assert rows(out) == [r for r in rows(docs) if re.search(r"[^\W\d_]", r[1])]
 
 
+def test_language_without_labels(spark, small, docs):
+    own = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "others", None, "s", 6)], docs.schema)
+    assert [r[0] for r in P.language_stage(spark, own, small).collect()] == [1, 2]
+
+
 def test_near_dedup(spark, small, docs):
     out = P.near_dedup_stage(spark, docs, small)
     all_rows = rows(docs)
