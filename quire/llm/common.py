@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import re
 import shutil
@@ -13,9 +14,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows and bytes in an Arrow batch sent to Python; texts may be long, so batches stay small.
+#: Rows and bytes in an Arrow batch that Python works on at once; texts may be long, so batches stay small.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
+#: Folders that this driver has made, with the session that can delete them.
+_folders: dict[str, SparkSession] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,11 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is missing (local sessions, tests) a temporary folder
-    takes its place; it goes when the driver ends.
+    Only where the setting is missing in a local session (tests) a temporary
+    folder takes its place; on a cluster its absence is an error, since no
+    machine's own folder is seen by the others. Folders go when the driver ends,
+    or before that by scratch().
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="quire-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
@@ -36,31 +45,59 @@ def shared_folder(spark: SparkSession) -> str:
     # Complete with scheme and host, so that other readers than Spark find the same place.
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}")
     full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return re.sub("^file:/+", "file:///", full)
+    full = re.sub("^file:/+", "file:///", full)
+    if not _folders:
+        atexit.register(_drop, _folders)
+    _folders[full] = spark
+    return full
+
+
+def _drop(folders: dict[str, SparkSession]) -> None:
+    """Deletes the folders; one that can't be deleted any more is left."""
+    while folders:
+        full, spark = folders.popitem()
+        with contextlib.suppress(Exception):
+            path = spark._jvm.org.apache.hadoop.fs.Path(full)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end what was stored inside it; results that are still needed must be written elsewhere before."""
+    before = set(_folders)
+    try:
+        yield
+    finally:
+        _drop({f: _folders.pop(f) for f in set(_folders) - before})
 
 
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read again.
+def stored(df: DataFrame, codec: str = "zstd", path: str | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder, or to path, and read again.
 
     Cuts the lineage: what follows survives the loss of any executor without
     computing df again.
     """
     spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.option("compression", codec).parquet(path)
+    path = path or shared_folder(spark)
+    limits = {"maxRecordsPerBatch": str(BATCH_ROWS), "maxBytesPerBatch": f"{BATCH_BYTES}b"}
+    names = {k: f"spark.sql.execution.arrow.{k}" for k in limits}
+    own = {k: spark.conf.get(n) for k, n in names.items()}
+    try:  # what is written here goes to Python in small batches; the session's own limits come back
+        for k, n in names.items():
+            spark.conf.set(n, limits[k])
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        for k, n in names.items():
+            spark.conf.set(n, own[k])
     return spark.read.schema(df.schema).parquet(path)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of BATCH_ROWS rows and about BATCH_BYTES bytes at most, in workers that give memory back after each task."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    """mapInArrow in slices of BATCH_ROWS rows, in workers that give memory back after each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin(f"{fn.__module__}.{fn.__qualname__}")
-        yield from fn(batches)
+        yield from fn(b.slice(at, BATCH_ROWS) for b in batches for at in range(0, max(b.num_rows, 1), BATCH_ROWS))
         tidy()
 
     return df.mapInArrow(run, schema)
