@@ -5,16 +5,27 @@ back to its character n-grams, from MAX_N characters down to one: the longest
 length of which any n-gram is known decides, by the mean of their log
 frequencies. A document's score is the mean over its words.
 
+Beside the language there is `known`, how familiar a text is: a known word
+counts 1, an unseen one the share of its TRIED-character n-grams that the model
+has seen in any language; the mean over the words. Texts of languages that
+weren't learned and random letters have a low one. calibrate() measures it on
+labelled documents that the model didn't learn from, and unfamiliar() says
+which texts lie below what these have.
+
 The model comes from a bounded sample: MODEL_DOCS labelled documents, chosen by
 a hash of their text (all where there are fewer). Each language gets an equal
 share of them, and what one doesn't need goes to the others, so a rare language
 stays whole beside a common one. All counts of the sample stay, with the n-grams
 of all its words; the sample alone bounds the broadcast model.
 
-Defined cases: a null text, or one without letters, is `und` with score 0, and
-so is every text where nothing is labelled; empty tables give empty results;
-a null label isn't learned from; a tie goes to the first language in order of
-name; repeated rows get equal results; other columns aren't read.
+Texts are cut into tokens at ASCII characters other than letters; a token's
+words, scores and familiarity are remembered, so a frequent one costs a look-up.
+
+Defined cases: a null text, or one without letters, is `und` with score 0 and
+known 0, and so is every text where nothing is labelled; empty tables give empty
+results; a null label isn't learned from; a tie goes to the first language in
+order of name; repeated rows get equal results; very long texts are used whole;
+other columns aren't read, and one that has the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -38,10 +49,29 @@ MAX_N = 5
 SMOOTHING = 0.5
 #: Words up to which the evidence of a document adds up in its score.
 EVIDENCE = 12
-#: Unseen words whose scores a worker remembers before it starts anew.
-REMEMBERED = 100_000
+#: Length of the n-grams that tell whether an unseen word is familiar.
+TRIED = 3
+#: Labelled documents on which familiarity is calibrated, and the words that a text has at least to be judged by it.
+CALIBRATION_DOCS, LEAST_WORDS = 5_000, 5
+#: Texts are unfamiliar below this share of what half of the calibration texts have at least; a few wrong labels don't move it.
+SHARE = 0.5
+#: Tokens whose scores a worker remembers before it starts anew.
+REMEMBERED = 150_000
+#: Tokens of a text that are added up at once, in their order, so that equal texts have equal sums.
+AT_ONCE = 1 << 18
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Lower-cases A-Z and turns every other ASCII character but letters into a space.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def tokens(text: bytes | None) -> list[bytes]:
+    return text.translate(FOLD).split() if text else []
+
+
+def words_of(token: bytes) -> list[str]:
+    """The words of a token: itself, unless it holds other than letters."""
+    return WORD.findall(token.decode("utf-8", "replace").lower())
 
 
 class Model(NamedTuple):
@@ -90,12 +120,12 @@ def build(counts: list[tuple[str, str, int]]) -> Model:
     return Model(languages, words, grams, _scores(seen), _scores(parts))
 
 
-class Scorer:
-    """Scores texts with a model; remembers unseen words."""
+class Scorer(dict):
+    """Scores texts with a model. Maps each token to its row of summed scores, number of words and familiarity."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.unseen: dict[str, np.ndarray] = {}
+        self.rows = np.zeros((1_024, len(model.languages) + 2))
         self.floor = model.gram_scores.min(axis=0) if len(model.gram_scores) else np.zeros(len(model.languages), np.float32)
 
     def backoff(self, word: str) -> np.ndarray:
@@ -106,30 +136,42 @@ class Scorer:
                 return m.gram_scores[known].mean(axis=0)
         return self.floor
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        m = self.model
-        words = WORD.findall(text.lower()) if text else []
-        if not words or not m.languages:
-            return "und", 0.0
-        known, total, get = [], np.zeros(len(m.languages)), m.words.get
-        for w, n in Counter(words).items():
-            i = get(w)
+    def __missing__(self, token: bytes) -> int:
+        m, at = self.model, len(self)
+        if at == len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        row = self.rows[at]
+        row[:] = 0
+        for w in words_of(token):
+            i = m.words.get(w)
             if i is not None:
-                known.append((i, n))
-                continue
-            own = self.unseen.get(w)
-            if own is None:
-                if len(self.unseen) >= REMEMBERED:
-                    self.unseen.clear()
-                own = self.unseen[w] = self.backoff(w)
-            total += own * n
-        if known:
-            i, n = np.array(known).T
-            total += n.astype(np.float64) @ m.word_scores[i]
-        mean = total / len(words)
-        weight = np.exp((mean - mean.max()) * min(len(words), EVIDENCE))
+                row[:-2] += m.word_scores[i]
+                row[-1] += 1
+            else:
+                row[:-2] += self.backoff(w)
+                tried = _grams(w, min(TRIED, len(w) + 2))
+                row[-1] += sum(g in m.grams for g in tried) / len(tried)
+            row[-2] += 1
+        self[token] = at
+        return at
+
+    def __call__(self, text: bytes | None) -> tuple[str, float, float]:
+        """The language, its score and how familiar the text is."""
+        m = self.model
+        if not m.languages:
+            return "und", 0.0, 0.0
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = tokens(text)
+        at = np.fromiter(map(self.__getitem__, found), np.intp, len(found))
+        total = sum((self.rows[at[i : i + AT_ONCE]].sum(axis=0) for i in range(0, len(at), AT_ONCE)), np.zeros(self.rows.shape[1]))
+        n = total[-2]
+        if not n:
+            return "und", 0.0, 0.0
+        mean = total[:-2] / n
+        weight = np.exp((mean - mean.max()) * min(n, EVIDENCE))
         best = int(mean.argmax())
-        return m.languages[best], round(float(weight[best] / weight.sum()), 6)
+        return m.languages[best], round(float(weight[best] / weight.sum()), 6), round(float(total[-1] / n), 6)
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", model_docs: int = MODEL_DOCS) -> Model:
@@ -155,8 +197,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", model_doc
             return batch_of({"lang": pa.array(cols[0], pa.string()), "word": pa.array(cols[1], pa.string()), "n": pa.array(cols[2], pa.int64())})
 
         for b in batches:
-            for language, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own.setdefault(language, Counter()).update(WORD.findall(t.lower()))
+            for language, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                counts = own.setdefault(language, Counter())
+                for token, n in Counter(tokens(t)).items():
+                    for w in words_of(token):
+                        counts[w] += n
             if sum(map(len, own.values())) > 200_000:
                 yield out()
         yield out()
@@ -167,18 +212,41 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", model_doc
 
 
 def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row (key, columns in keep, lang_pred, score) for each row of df."""
+    """One row (key, columns in keep, lang_pred, score, known) for each row of df."""
     shared, identity = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = resident(("language", identity), lambda: Scorer(shared.value))
         for b in batches:
-            got = [scorer(t) for t in b.column("_text").to_pylist()]
-            yield batch_of(dict(zip(b.schema.names[:-1], b.columns[:-1], strict=True)) | {"lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64())})
+            got = [scorer(t) for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
+            found = {n: pa.array([g[i] for g in got], t) for i, (n, t) in enumerate((("lang_pred", pa.string()), ("score", pa.float64()), ("known", pa.float64())))}
+            yield batch_of(dict(zip(b.schema.names[:-1], b.columns[:-1], strict=True)) | found)
 
     rows = df.select(key, *keep, F.col(text).cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return arrow_map(rows, predict, f"{schema}, lang_pred string, score double")
+    return arrow_map(rows, predict, f"{schema}, lang_pred string, score double, known double")
+
+
+def calibrate(labelled: DataFrame, model: Model, text: str = "text", lang: str = "lang", docs: int = CALIBRATION_DOCS) -> float:
+    """The familiarity below which a text is unfamiliar, from labelled rows that the model didn't learn from.
+
+    Measured on about docs of them (all where there are fewer), chosen by a hash
+    of their text, with LEAST_WORDS words or more; 0, which no text lies below,
+    where there are none.
+    """
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"))
+    rows = rows.where(F.size(F.split("text", r"\s+")) >= LEAST_WORDS)
+    n, steps = rows.count(), 1 << 30
+    if n > docs:
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(steps)) < math.ceil(steps * docs / n))
+    found = identify(rows.withColumn("id", F.lit(0)), model, key="id").where("lang_pred != 'und'")
+    usual = found.agg(F.median("known")).first()[0]  # of a bounded sample
+    return 0.0 if usual is None else SHARE * usual
+
+
+def unfamiliar(least: float, text: str = "text") -> Column:
+    """Whether a text of LEAST_WORDS words or more is less familiar than it takes; for the rows of identify with their text."""
+    return (F.col("known") < least) & (F.size(F.split(text, r"\s+")) >= LEAST_WORDS)
 
 
 def held_out(key: str = "doc_id") -> Column:
