@@ -7,8 +7,11 @@ then verified against it.
 
 Kinds: assign, access, hex (the base), and those that carry a checksum or a
 checkable structure: github and npm (CRC-32 of the random part in base 62, last
-six characters), jwt (header and payload decode to JSON, the header names an
-algorithm) and pgp (armoured key block whose CRC-24 line matches).
+six characters), jwt (header and payload decode to JSON, the header of up to
+JWT_HEADER characters names an algorithm) and pgp (armoured key block with up to
+PGP_HEADERS header lines whose CRC-24 line matches). Those two bounds belong to
+the kinds; with them, and as starts in one run of characters share its end, the
+scan takes time in proportion to the text, whatever it holds.
 
 Defined cases: a null or empty text has no spans; spans count code points, the
 end is exclusive; every row is scanned on its own, so repeated rows and null ids
@@ -20,7 +23,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 import zlib
@@ -50,8 +52,9 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 TAGGED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
-PGP = re.compile(r"-----BEGIN PGP PRIVATE KEY BLOCK-----\r?\n(?:[A-Za-z]+: [^\n]*\n)*\r?\n((?:[A-Za-z0-9+/=]+\r?\n)+?)=([A-Za-z0-9+/]{4})\r?\n-----END PGP PRIVATE KEY BLOCK-----")
+RUN = re.compile(r"[A-Za-z0-9_-]+")
+JWT_HEADER, PGP_HEADERS = 4_096, 32
+PGP = re.compile(r"-----BEGIN PGP PRIVATE KEY BLOCK-----\r?\n(?:[A-Za-z]+: [^\n]*\n){0,%d}\r?\n((?:[A-Za-z0-9+/=]+\r?\n)+?)=([A-Za-z0-9+/]{4})\r?\n-----END PGP PRIVATE KEY BLOCK-----" % PGP_HEADERS)
 
 
 class Span(NamedTuple):
@@ -83,7 +86,7 @@ def crc24(data: bytes) -> int:
 def _json_part(part: str) -> dict | None:
     try:
         value = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except (binascii.Error, ValueError):
+    except (binascii.Error, ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
 
@@ -93,9 +96,29 @@ def _tagged(text: str, at: int) -> int | None:
     return m.end() if m and base62_crc(m[1]) == m[2] else None
 
 
-def _jwt(text: str, at: int) -> int | None:
-    m = JWT.match(text, at)
-    return m.end() if m and "alg" in (_json_part(m[1]) or {}) and _json_part(m[2]) is not None else None
+class Tokens:
+    """The web tokens of a text: what follows a run of characters is looked at once, however many starts it has."""
+
+    def __init__(self, text: str):
+        self.text, self.run_end, self.end = text, 0, None
+
+    def __call__(self, at: int) -> int | None:
+        """The end of the token that starts at a place; places ascend."""
+        if at >= self.run_end:
+            self.run_end = RUN.match(self.text, at).end()
+            self.end = self._rest(self.run_end)
+        if self.end is None or not 3 < self.run_end - at <= JWT_HEADER:
+            return None
+        return self.end if "alg" in (_json_part(self.text[at : self.run_end]) or {}) else None
+
+    def _rest(self, at: int) -> int | None:
+        """The end of payload and signature after a header that ends at a place."""
+        text = self.text
+        payload = RUN.match(text, at + 1) if text[at : at + 1] == "." else None
+        if payload is None or text[payload.end() : payload.end() + 1] != ".":
+            return None
+        signature = RUN.match(text, payload.end() + 1)
+        return signature.end() if signature and _json_part(payload[0]) is not None else None
 
 
 def _pgp(text: str, at: int) -> int | None:
@@ -125,7 +148,7 @@ def find(text: str | None, words: ahocorasick.Automaton) -> list[Span]:
     """All spans of a text, by start and then by kind."""
     if not text:
         return []
-    found, ends = [], dict.fromkeys(KINDS, 0)
+    found, ends, jwt = [], dict.fromkeys(KINDS, 0), Tokens(text)
     hits = sorted((end + 1 - n, kind) for end, (kind, n) in words.iter(_lowered(text)))
     for at, kind in hits:
         if at < ends[kind]:
@@ -140,7 +163,9 @@ def find(text: str | None, words: ahocorasick.Automaton) -> list[Span]:
                 ends[kind] = m.end()
                 if m.end() - at >= 16:
                     found.append(Span(kind, at, m.end()))
-        elif end := (_tagged if kind in ("github", "npm") else _jwt if kind == "jwt" else _pgp)(text, at):
+        elif kind == "jwt" and text[at : at + 3] != JWT_PREFIX:
+            continue  # the automaton folds case, the kind doesn't
+        elif end := jwt(at) if kind == "jwt" else (_pgp if kind == "pgp" else _tagged)(text, at):
             ends[kind] = end
             found.append(Span(kind, at, end))
     # A run of hex digits has no literal to look for: the class itself is the prefilter.
@@ -172,13 +197,3 @@ def digest_spans(found: DataFrame) -> DataFrame:
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
-
-
-def brute_force(text: str | None) -> tuple[list[tuple[int, str, int]], str]:
-    """The base spans by plain regular expressions over the whole text; for tests."""
-    text = text or ""
-    out = [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
-    out += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
-    out += [(m.start(), "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
-    out.sort(key=lambda x: (x[0], KINDS.index(x[1])))
-    return out, hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in out).encode()).hexdigest()
