@@ -6,7 +6,9 @@ program tables and marked as a random-access point with a clock reference, so
 decoding can begin at any of them. Reading parses the program association and
 program map tables (with their CRC), checks the continuity counter of each
 packet identifier, reassembles the elementary packets and returns the payload
-with the time stamps and random-access points.
+with the time stamps and random-access points. Features are computed from the
+samples that were read back: energy and crossings about the middle, and their
+spread over LEVELS equal ranges.
 
 Defined cases: a null text counts as empty and an empty text is one unit of
 fill bytes; a null media value gives a null payload and empty lists; bytes that
@@ -38,6 +40,10 @@ CLOCK = 90_000
 RATE, FRAME = 8_000, 576
 #: Bytes of payload in an elementary packet at most: 16 frames.
 ACCESS_UNIT = 16 * FRAME
+#: Ranges of the histogram of samples; the middle of their 256 values.
+LEVELS, MIDDLE = 8, 128
+#: Samples that are looked at at once.
+AT_ONCE = 1 << 20
 
 
 @functools.cache
@@ -227,6 +233,23 @@ def demux(media: bytes | None) -> dict[str, Any]:
     return out
 
 
+def measured(payload: bytes | None) -> dict[str, Any] | None:
+    """energy: the sum of squared distances of the samples from MIDDLE; crossings: neighbours on different sides of it; levels: samples in each range."""
+    if payload is None:
+        return None
+    energy = crossings = 0
+    levels = np.zeros(LEVELS, np.int64)
+    whole = np.frombuffer(payload, np.uint8)
+    for at in range(0, len(whole), AT_ONCE):
+        x = whole[at : at + AT_ONCE + 1]  # with the first sample of what follows
+        crossings += int(np.count_nonzero((x[1:] >= MIDDLE) != (x[:-1] >= MIDDLE)))
+        x = x[:AT_ONCE]
+        levels += np.bincount(x >> 5, minlength=LEVELS)
+        d = x.astype(np.int64) - MIDDLE
+        energy += int(d @ d)
+    return {"energy": energy, "crossings": crossings, "levels": levels.tolist()}
+
+
 def store_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (key, n_bytes, media) for each row: the text's UTF-8 bytes, filled up with 255 to whole frames, as a transport stream."""
 
@@ -240,8 +263,9 @@ def store_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return arrow_map(rows, store, f"key {rows.schema['key'].dataType.simpleString()}, n_bytes bigint, media binary").withColumnRenamed("key", key)
 
 
-READ = "programs array<struct<program:int,table_pid:int,pid:int,stream_type:int>>, packets bigint, skipped bigint, lost bigint, repeated bigint, units array<struct<pid:int,offset:bigint,size:bigint,pts:bigint,dts:bigint,random_access:boolean>>, payload binary"
+READ = "programs array<struct<program:int,table_pid:int,pid:int,stream_type:int>>, packets bigint, skipped bigint, lost bigint, repeated bigint, units array<struct<pid:int,offset:bigint,size:bigint,pts:bigint,dts:bigint,random_access:boolean>>, samples struct<energy:bigint,crossings:bigint,levels:array<bigint>>, payload binary"
 _PROGRAM = pa.list_(pa.struct([("program", pa.int32()), ("table_pid", pa.int32()), ("pid", pa.int32()), ("stream_type", pa.int32())]))
+_SAMPLES = pa.struct([("energy", pa.int64()), ("crossings", pa.int64()), ("levels", pa.list_(pa.int64()))])
 _UNIT = pa.list_(pa.struct([("pid", pa.int32()), ("offset", pa.int64()), ("size", pa.int64()), ("pts", pa.int64()), ("dts", pa.int64()), ("random_access", pa.bool_())]))
 
 
@@ -256,7 +280,7 @@ def read_media(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("do
                 dict(zip(b.schema.names, b.columns, strict=True))
                 | {"programs": named("programs", ("program", "table_pid", "pid", "stream_type"))}
                 | {k: pa.array([g[k] for g in got], pa.int64()) for k in ("packets", "skipped", "lost", "repeated")}
-                | {"units": named("units", ("pid", "offset", "size", "pts", "dts", "random_access")), "payload": pa.array([g["payload"] for g in got], pa.binary())}
+                | {"units": named("units", ("pid", "offset", "size", "pts", "dts", "random_access")), "samples": pa.array([measured(g["payload"]) for g in got], _SAMPLES), "payload": pa.array([g["payload"] for g in got], pa.binary())}
             )
 
     rows = df.select(*keep, F.col(media).alias("media"))
@@ -265,7 +289,9 @@ def read_media(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("do
 
 
 def feature() -> Column:
-    """A line on what was read: packets, units, errors, last time stamp, random-access points, spread of the samples."""
+    """A line on what was read: packets, units, errors, last time stamp, random-access points, stream type, and of the samples their mean energy, crossings and levels."""
     last = F.element_at("units", -1)
     points = F.size(F.filter("units", lambda u: u["random_access"]))
-    return F.concat_ws(";", F.concat(F.lit("packets="), "packets"), F.concat(F.lit("units="), F.size("units")), F.concat(F.lit("lost="), F.col("lost") + F.col("skipped")), F.concat(F.lit("pts="), last["pts"]), F.concat(F.lit("points="), points), F.concat(F.lit("type="), F.element_at("programs", 1)["stream_type"]))
+    mean = F.floor(F.try_divide(F.col("samples.energy"), F.octet_length("payload"))).cast("string")
+    said = {"packets": F.col("packets"), "units": F.size("units"), "lost": F.col("lost") + F.col("skipped"), "pts": last["pts"], "points": points, "type": F.element_at("programs", 1)["stream_type"], "energy": mean, "crossings": F.col("samples.crossings"), "levels": F.array_join(F.transform("samples.levels", lambda n: n.cast("string")), ",")}
+    return F.concat_ws(";", *[F.concat(F.lit(f"{k}="), v) for k, v in said.items()])
