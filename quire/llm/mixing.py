@@ -5,7 +5,8 @@ its present share. A document's number of copies inverts the Poisson
 distribution of that mean at a number in [0, 1) hashed from seed and key, so it
 depends on nothing else and comes out the same at every run and partitioning.
 The document is exploded by its count and all copies are shuffled globally by a
-second hash.
+second hash, with the number of the row beside it, so that rows with null or
+equal keys don't meet in one partition.
 
 The table of rates has a row for each source. It is written and read again, so
 Spark knows its size when it plans the join: small ones are broadcast, others
@@ -72,15 +73,16 @@ def poisson_mix(df: DataFrame, weights: DataFrame, epochs: float = 1.0, seed: st
     """
     own = ("_mix_source", "_mix_rate", "_mix_parts", "_mix_cdf")
     table = stored(rates(df, weights, epochs, source, text).toDF(*own))
-    rows = df.drop("rate", "n_copies", "copy", "shuffle_key", *own)
+    rows = df.drop("rate", "n_copies", "copy", "shuffle_key", "_mix_row", *own).withColumn("_mix_row", F.monotonically_increasing_id())
     rows = rows.join(table, F.col(source).eqNullSafe(F.col("_mix_source")))
     unit = lambda i: hashed(F.lit(seed), F.col(key), i) / F.lit(float(1 << 4 * DIGITS))
-    one = lambda i: F.size(F.filter("_mix_cdf", lambda c: c <= unit(i)))
+    # Through an array of one, so that the hash is computed once for each part.
+    one = lambda i: F.get(F.transform(F.array(unit(i)), lambda u: F.size(F.filter("_mix_cdf", lambda c: c <= u))), F.lit(0))
     count = F.aggregate(F.sequence(F.lit(0), F.col("_mix_parts") - 1), F.lit(0), lambda n, i: n + one(i))
     rows = rows.withColumns({"rate": F.col("_mix_rate"), "n_copies": count}).where("n_copies > 0").drop(*own)
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     rows = rows.withColumn("shuffle_key", hashed(F.lit(seed), F.col(key), F.col("copy"), F.lit("order")))
-    return rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key", key, "copy")
+    return rows.repartition("shuffle_key", "_mix_row").drop("_mix_row").sortWithinPartitions("shuffle_key", key, "copy")
 
 
 #: DuckDB SQL for poisson_mix with root_weights, without the texts.
