@@ -13,13 +13,15 @@ frequent; it ends as soon as nothing is left. What is left are the exact
 places of the phrase. With a slop above 0 each term may stand that many words
 from its place (proximity).
 
-Test items are taken in blocks of BLOCK_WORDS words, one broadcast each, so any
-number of items can be searched; segments bound what a task holds, however
-frequent a term is.
+Test items are taken in blocks of BLOCK_WORDS words, one broadcast each; a pass
+over the index looks for TOGETHER blocks, one after another in each segment, so
+any number of items can be searched with bounded memory. Segments bound what a
+task holds, however frequent a term is.
 
 Defined cases: a null or empty text has no words and a row without hits; an
 item without words matches nothing; an item shorter than a window is one window
-of its own length; items with equal texts all count; documents with equal keys
+of its own length; items with equal texts all count; items with equal identifiers
+count once, with the windows of all their texts; documents with equal keys
 keep a row each; a null item identifier is the word null; a document longer
 than a segment is a segment of its own; an empty index or item table gives
 empty or hitless rows; other columns aren't read.
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import batched, count, groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -42,7 +44,7 @@ from .common import arrow_map, batch_of, stored
 WINDOW = 13
 SEGMENT = 8 << 20
 GAP, MAX_SLOP = 64, 16
-BLOCK_WORDS = 200_000
+BLOCK_WORDS, TOGETHER = 200_000, 4
 ROWS = 20_000
 
 #: Lower-cases A-Z and turns every ASCII character but letters and digits into a space.
@@ -114,22 +116,29 @@ class Block(NamedTuple):
 
 
 def item_blocks(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> Iterator[Block]:
-    """The items in blocks of about BLOCK_WORDS words."""
+    """The items in blocks of about BLOCK_WORDS words, from one sorted pass; a partition of them is held at a time."""
     rows = items.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     letters = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-letters // (6 * BLOCK_WORDS)))
-    for i in range(n):
+    ordered = rows.select(F.pmod(F.xxhash64("key", "text"), F.lit(n)).alias("block"), "key", "text").orderBy("block", "key", "text")
+    found_any = False
+    for _, own_rows in groupby(ordered.toLocalIterator(), lambda r: r.block):
         terms: defaultdict[bytes, int] = defaultdict(count().__next__)
         found: dict[int, dict[tuple[int, ...], list[int]]] = {}
         names: list[str] = []
-        for name, t in rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(n)) == i).orderBy("key", "text").collect():
-            if ids := [terms[w] for w in words_of(t.encode())]:
-                size = min(window, len(ids))
-                own = found.setdefault(size, {})
-                for w in {tuple(ids[j : j + size]) for j in range(len(ids) - size + 1)}:
-                    own.setdefault(w, []).append(len(names))
-                names.append(name)
+        for name, same in groupby(own_rows, lambda r: r.key):
+            own_windows = set()
+            for _, _, t in same:
+                if ids := [terms[w] for w in words_of(t.encode())]:
+                    size = min(window, len(ids))
+                    own_windows |= {tuple(ids[j : j + size]) for j in range(len(ids) - size + 1)}
+            for w in own_windows:
+                found.setdefault(len(w), {}).setdefault(w, []).append(len(names))
+            names += [name] * bool(own_windows)
+        found_any = True
         yield Block(names, list(terms), [(np.array(list(w), np.int32), list(w.values())) for w in found.values()])
+    if not found_any:
+        yield Block([], [], [])
 
 
 class Segment:
@@ -162,7 +171,7 @@ class Segment:
         return low, high
 
 
-def _search(rows: pa.Table, block: Block, slop: int) -> dict[str, list]:
+def _search(rows: pa.Table, blocks: Iterator[Block], slop: int) -> dict[str, list]:
     """Hits and items of each document of a segment."""
     lists, docs = {}, []
     for term, postings, key, first, n in zip(*(rows.column(c).to_pylist() for c in ("term", "postings", "key", "first", "n_words")), strict=True):
@@ -174,25 +183,25 @@ def _search(rows: pa.Table, block: Block, slop: int) -> dict[str, list]:
     firsts, lengths = np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs], np.int64)
     total = int(firsts[-1] + lengths[-1]) if docs else 0
     cover = np.zeros(total + 1, np.int32)
-    found: dict[int, set[int]] = {}
+    found: dict[int, set[str]] = {}
     segment = Segment(lists)
-    here = np.array([t in lists for t in block.terms], bool)
-    for windows, owners in block.windows:
-        for i in np.flatnonzero(here[windows].all(axis=1)).tolist():
-            low, high = segment.phrase([block.terms[t] for t in windows[i].tolist()], slop)
-            if len(low):
-                np.add.at(cover, low, 1)
-                np.add.at(cover, high + 1, -1)
-                for d in set((np.searchsorted(firsts, low, "right") - 1).tolist()):
-                    found.setdefault(d, set()).update(owners[i])
+    for block in blocks:
+        here = np.array([t in lists for t in block.terms], bool)
+        for windows, owners in block.windows:
+            for i in np.flatnonzero(here[windows].all(axis=1)).tolist():
+                low, high = segment.phrase([block.terms[t] for t in windows[i].tolist()], slop)
+                if len(low):
+                    np.add.at(cover, low, 1)
+                    np.add.at(cover, high + 1, -1)
+                    for d in set((np.searchsorted(firsts, low, "right") - 1).tolist()):
+                        found.setdefault(d, set()).update(block.names[x] for x in owners[i])
     hit = np.cumsum(cover) > 0
     edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
     runs: dict[int, list[dict[str, int]]] = {}
     for a, b in edges.reshape(-1, 2).tolist():
         d = int(np.searchsorted(firsts, a, "right")) - 1
         runs.setdefault(d, []).append({"start": a - int(firsts[d]), "end": b - int(firsts[d])})
-    names = block.names
-    return {"key": [d[2] for d in docs], "ordinal": list(range(len(docs))), "n_words": lengths.tolist(), "hits": [runs.get(i, []) for i in range(len(docs))], "items": [sorted(names[x] for x in found.get(i, ())) for i in range(len(docs))]}
+    return {"key": [d[2] for d in docs], "ordinal": list(range(len(docs))), "n_words": lengths.tolist(), "hits": [runs.get(i, []) for i in range(len(docs))], "items": [sorted(found.get(i, ())) for i in range(len(docs))]}
 
 
 _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -200,7 +209,7 @@ _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _searcher(shared, slop: int):
     def search(rows: pa.Table) -> pa.Table:
-        got = _search(rows, shared.value, slop)
+        got = _search(rows, (s.value for s in shared), slop)
         segment = pa.array(rows.column("segment").slice(0, 1).to_pylist() * len(got["key"]), pa.string())
         return pa.table({"segment": segment, "ordinal": pa.array(got["ordinal"], pa.int32()), "key": pa.array(got["key"], rows.schema.field("key").type), "n_words": pa.array(got["n_words"], pa.int64()), "hits": pa.array(got["hits"], _RUNS), "items": pa.array(got["items"], pa.list_(pa.string()))})
 
@@ -218,16 +227,17 @@ def find_items(index: DataFrame, items: DataFrame, item_key: str = "item_id", it
     spark, key_type = index.sparkSession, index.schema["key"].dataType.simpleString()
     schema = f"segment string, ordinal int, key {key_type}, n_words bigint, hits array<struct<start:bigint,end:bigint>>, items array<string>"
     parts = []
-    for block in item_blocks(items, item_key, item_text, window):
-        search = _searcher(spark.sparkContext.broadcast(block), slop)
-        asked = spark.createDataFrame([(bytearray(t),) for t in [b"", *block.terms]], "term binary")  # one block: bounded
+    for blocks in batched(item_blocks(items, item_key, item_text, window), TOGETHER):
+        search = _searcher([spark.sparkContext.broadcast(b) for b in blocks], slop)
+        terms = sorted(set().union(*(b.terms for b in blocks)))
+        asked = spark.createDataFrame([(bytearray(t),) for t in [b"", *terms]], "term binary")  # of TOGETHER blocks: bounded
         parts.append(index.join(F.broadcast(asked), "term", "left_semi").groupBy("segment").applyInArrow(search, schema))
     if len(parts) == 1:
         return parts[0].drop("segment", "ordinal")
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    merged = every.groupBy("segment", "ordinal").agg(F.any_value("key").alias("key"), F.any_value("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+    merged = every.groupBy("segment", "ordinal").agg(F.any_value("key").alias("key"), F.any_value("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     last = lambda acc: F.element_at(acc, -1)
     joined = F.aggregate(
         "hits",
@@ -247,13 +257,13 @@ def contamination(found: DataFrame, key: str = "doc_id") -> DataFrame:
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
 ORACLE = f"""
 WITH doc AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
-item AS (SELECT item_id, w, least({WINDOW}, len(w)) AS size FROM (SELECT item_id, coalesce({_WORDS}, []) AS w FROM benchmark) WHERE len(w) > 0),
+item AS (SELECT item_id, w, least({WINDOW}, len(w)) AS size FROM (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, coalesce({_WORDS}, []) AS w FROM benchmark) WHERE len(w) > 0),
 win AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS s FROM (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM item)),
 docwin AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS s
            FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, (SELECT DISTINCT size FROM item))),
 hit AS (SELECT d.doc_id, d.size, d.i, x.item_id FROM docwin d JOIN win x ON d.size = x.size AND d.s = x.s),
 covered AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
