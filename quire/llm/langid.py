@@ -55,8 +55,8 @@ TRIED = 3
 CALIBRATION_DOCS, LEAST_WORDS = 5_000, 5
 #: Texts are unfamiliar below this share of what half of the calibration texts have at least; a few wrong labels don't move it.
 SHARE = 0.5
-#: Tokens whose scores a worker remembers before it starts anew.
-REMEMBERED = 150_000
+#: Tokens besides the model's words whose scores a worker remembers before it starts anew.
+REMEMBERED = 250_000
 #: Tokens of a text that are added up at once, in their order, so that equal texts have equal sums.
 AT_ONCE = 1 << 18
 
@@ -82,88 +82,112 @@ class Model(NamedTuple):
     gram_scores: np.ndarray
 
 
-def _grams(word: str, n: int) -> list[str]:
-    s = f"^{word}$"
-    return [s[i : i + n] for i in range(len(s) - n + 1)]
-
-
 def _scores(c: np.ndarray) -> np.ndarray:
     c = c + SMOOTHING
     return np.log(c / c.sum(axis=0)).astype(np.float32)
 
 
+def _gram_counts(words: list[str], n: np.ndarray, language: np.ndarray, k: int) -> tuple[dict[str, int], np.ndarray]:
+    """All n-grams of the words and their counts by language; a length at a time, each gram numbered by the one before it and a letter."""
+    sizes = np.array([len(w) + 2 for w in words])
+    text = "".join(f"^{w}$" for w in words)
+    alphabet, letter = np.unique(np.frombuffer(text.encode("utf-32-le"), "<u4"), return_inverse=True)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))
+    grams: dict[str, int] = {}
+    parts, at, own = [], np.arange(len(text)), np.zeros(len(text), np.int64)
+    for size in range(1, MAX_N + 1):
+        fits = left[at] >= size
+        at, own = at[fits], own[fits]
+        _, first, own = np.unique(own * len(alphabet) + letter[at + size - 1], return_index=True, return_inverse=True)
+        word = owner[at]
+        parts.append(np.bincount(own * k + language[word], weights=n[word], minlength=len(first) * k).reshape(-1, k))
+        grams |= {text[i : i + size]: j for j, i in enumerate(at[first].tolist(), len(grams))}
+    return grams, np.concatenate(parts)
+
+
 def build(counts: list[tuple[str, str, int]]) -> Model:
     """The model from (language, word, count)."""
     languages = sorted({x[0] for x in counts})
-    at, k = {x: i for i, x in enumerate(languages)}, len(languages)
-    words: dict[str, int] = {}
-    grams: dict[str, int] = {}
-    by_word: list[tuple[int, int, int]] = []
-    by_gram: list[Counter] = [Counter() for _ in languages]
-    for language, word, n in counts:
-        i = at[language]
-        by_word.append((words.setdefault(word, len(words)), i, n))
-        own = by_gram[i]
-        for size in range(1, MAX_N + 1):
-            for g in _grams(word, size):
-                own[g] += n
+    k, words = len(languages), {}
+    for _, word, _ in counts:
+        words.setdefault(word, len(words))
+    if not words:
+        return Model(languages, words, {}, _scores(np.zeros((0, k))), _scores(np.zeros((0, k))))
+    number = {x: i for i, x in enumerate(languages)}
+    language, n = np.array([number[x[0]] for x in counts]), np.array([x[2] for x in counts], np.float64)
     seen = np.zeros((len(words), k))
-    if by_word:
-        w, i, n = np.array(by_word).T
-        np.add.at(seen, (w, i), n)
-    for own in by_gram:
-        for g in own:
-            grams.setdefault(g, len(grams))
-    parts = np.zeros((len(grams), k))
-    for i, own in enumerate(by_gram):
-        parts[[grams[g] for g in own], i] = list(own.values())
+    np.add.at(seen, ([words[x[1]] for x in counts], language), n)
+    grams, parts = _gram_counts([x[1] for x in counts], n, language, k)
     return Model(languages, words, grams, _scores(seen), _scores(parts))
 
 
-class Scorer(dict):
-    """Scores texts with a model. Maps each token to its row of summed scores, number of words and familiarity."""
+class Scorer:
+    """Scores texts with a model.
+
+    Each token has a row of summed scores, number of words and familiarity: the
+    model's words for good, others until there are too many.
+    """
 
     def __init__(self, model: Model):
         self.model = model
-        self.rows = np.zeros((1_024, len(model.languages) + 2))
+        self.known = {w.encode(): i for w, i in model.words.items()}
+        self.rows = np.ones((2 * len(self.known) + 1_024, len(model.languages) + 2))
+        self.rows[: len(self.known), :-2] = model.word_scores
+        self.at = dict(self.known)
         self.floor = model.gram_scores.min(axis=0) if len(model.gram_scores) else np.zeros(len(model.languages), np.float32)
-
-    def backoff(self, word: str) -> np.ndarray:
-        m = self.model
-        for n in range(min(MAX_N, len(word) + 2), 0, -1):
-            known = [i for g in _grams(word, n) if (i := m.grams.get(g)) is not None]
-            if known:
-                return m.gram_scores[known].mean(axis=0)
-        return self.floor
-
-    def __missing__(self, token: bytes) -> int:
-        m, at = self.model, len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-        row = self.rows[at]
-        row[:] = 0
-        for w in words_of(token):
-            i = m.words.get(w)
-            if i is not None:
-                row[:-2] += m.word_scores[i]
-                row[-1] += 1
-            else:
-                row[:-2] += self.backoff(w)
-                tried = _grams(w, min(TRIED, len(w) + 2))
-                row[-1] += sum(g in m.grams for g in tried) / len(tried)
-            row[-2] += 1
-        self[token] = at
-        return at
-
-    def __call__(self, text: bytes | None) -> tuple[str, float, float]:
-        """The language, its score and how familiar the text is."""
-        m = self.model
-        if not m.languages:
-            return "und", 0.0, 0.0
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = tokens(text)
-        at = np.fromiter(map(self.__getitem__, found), np.intp, len(found))
+        self.scores = np.concatenate((model.gram_scores, self.floor[None]))
+
+    def _tried(self, word: str) -> tuple[list[int], float]:
+        """The n-grams that decide for an unseen word, and the share of its n-grams that the model has."""
+        s, get = f"^{word}$", self.model.grams.get
+        n = min(TRIED, len(s))
+        tried = [s[i : i + n] for i in range(len(s) - n + 1)]
+        share = sum(map(self.model.grams.__contains__, tried)) / len(tried)
+        for n in range(min(MAX_N, len(s)), 0, -1):
+            if found := [g for i in range(len(s) - n + 1) if (g := get(s[i : i + n])) is not None]:
+                return found, share
+        return [len(self.scores) - 1], share
+
+    def learn(self, new: list[bytes]) -> None:
+        """Adds rows for tokens."""
+        first, need = len(self.at), len(self.at) + len(new)
+        if need > len(self.rows):
+            self.rows = np.concatenate((self.rows, np.ones((need, self.rows.shape[1]))))
+        grams: list[int] = []
+        ends, owner, shares = [], [], []
+        self.rows[first:need] = 0
+        for i, token in enumerate(new, first):
+            self.at[token] = i
+            for w in (token.decode(),) if token.isascii() else words_of(token):
+                self.rows[i, -2] += 1
+                if (known := self.model.words.get(w)) is not None:
+                    self.rows[i, :-2] += self.model.word_scores[known]
+                    self.rows[i, -1] += 1
+                    continue
+                found, share = self._tried(w)
+                grams += found
+                ends.append(len(grams))
+                owner.append(i)
+                shares.append(share)
+        if owner:
+            starts = np.array([0, *ends[:-1]])
+            mean = np.add.reduceat(self.scores[grams].astype(np.float64), starts) / (np.array(ends) - starts)[:, None]
+            np.add.at(self.rows[:, :-2], owner, mean)
+            np.add.at(self.rows[:, -1], owner, shares)
+
+    def __call__(self, texts: list[bytes | None]) -> list[tuple[str, float, float]]:
+        """The language of each text, its score and how familiar the text is."""
+        found = [tokens(t) for t in texts]
+        if not self.model.languages:
+            return [("und", 0.0, 0.0)] * len(texts)
+        every = set().union(*found)
+        if len(self.at) - len(self.known) > REMEMBERED:
+            self.at = dict(self.known)
+        self.learn(sorted(every.difference(self.at)))
+        return [self._judge(np.fromiter(map(self.at.__getitem__, f), np.intp, len(f))) for f in found]
+
+    def _judge(self, at: np.ndarray) -> tuple[str, float, float]:
         total = sum((self.rows[at[i : i + AT_ONCE]].sum(axis=0) for i in range(0, len(at), AT_ONCE)), np.zeros(self.rows.shape[1]))
         n = total[-2]
         if not n:
@@ -171,7 +195,7 @@ class Scorer(dict):
         mean = total[:-2] / n
         weight = np.exp((mean - mean.max()) * min(n, EVIDENCE))
         best = int(mean.argmax())
-        return m.languages[best], round(float(weight[best] / weight.sum()), 6), round(float(total[-1] / n), 6)
+        return self.model.languages[best], round(float(weight[best] / weight.sum()), 6), round(float(total[-1] / n), 6)
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", model_docs: int = MODEL_DOCS) -> Model:
@@ -218,7 +242,7 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = resident(("language", identity), lambda: Scorer(shared.value))
         for b in batches:
-            got = [scorer(t) for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
+            got = scorer(b.column(b.num_columns - 1).cast(pa.binary()).to_pylist())
             found = {n: pa.array([g[i] for g in got], t) for i, (n, t) in enumerate((("lang_pred", pa.string()), ("score", pa.float64()), ("known", pa.float64())))}
             yield batch_of(dict(zip(b.schema.names[:-1], b.columns[:-1], strict=True)) | found)
 
