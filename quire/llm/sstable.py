@@ -16,8 +16,9 @@ A lookup asks the filter, searches the index and then one block by bisection.
 
 Writing sorts the documents by ranges of the identifier; each task encodes its
 range and writes its shards to the shared folder under a temporary name and
-renames them, so a task that runs again leaves the same files. Reading
-opens the files and takes a block at a time. The place where a shard's ids begin
+renames them to one made of the run, the range and a number. Attempts of a task
+give the same bytes, so the first that is there stays and no reader ever loses a
+file that it has opened. Reading opens the files and takes a block at a time. The place where a shard's ids begin
 among all ids comes from the shards' totals, a row each.
 
 Defined cases: a null text is empty and has the end id alone; a null identifier
@@ -32,11 +33,13 @@ import gc
 import json
 import os
 import struct
+import uuid
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import islice
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 import public_tokenizers
@@ -66,6 +69,22 @@ ROWS = 1_000
 TOGETHER, TOGETHER_CHARS = 512, 4 << 20
 
 
+def cuts_at_spaces(file: dict[str, Any]) -> bool:
+    """Whether a tokenizer file is a plain byte-level pair encoding: no normalizer, the usual expression, no options of the model, and no added token that is made of letters or holds white space."""
+    model, cut = file.get("model") or {}, file.get("pre_tokenizer") or {}
+    options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    added = file.get("added_tokens") or ()
+    return (
+        file.get("normalizer") is None
+        and cut.get("type") == "ByteLevel"
+        and not cut.get("add_prefix_space")
+        and cut.get("use_regex", True)
+        and model.get("type", "BPE") == "BPE"
+        and not any(model.get(o) for o in options)
+        and all(not t["content"].isalpha() and not any(c.isspace() for c in t["content"]) and not any(t.get(o) for o in ("lstrip", "rstrip", "single_word")) for t in added)
+    )
+
+
 class Encoder:
     """The ids that the tokenizers library gives, as packed little-endian integers.
 
@@ -75,6 +94,9 @@ class Encoder:
     and the piece's ids are remembered. Pieces of Latin letters alone are one
     pre-token, so a second instance of the same vocabulary encodes them without
     looking for more. A text with any other white space is encoded whole.
+
+    All of this holds for byte-level pair encodings that cut texts just so;
+    cuts_at_spaces() looks at the file for it. With any other file whole texts are encoded.
     """
 
     def __init__(self, name: str):
@@ -85,14 +107,18 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        file = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.in_pieces = cuts_at_spaces(file)
+        if not self.in_pieces:
+            return
+        model = file["model"]
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.letters = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
         # Words are encoded many in a line, each ended by a newline, which no merge joins to a letter.
         line = "\u010a"  # as the byte-level alphabet writes it; then space, tab and return
         joined = any(line in t and t.strip(line + "\u0120\u0109\u010d") for t in model["vocab"])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated" if joined else "merged_with_previous"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.newline, *stops = self._encode(["\n", ",", "."])
         self.stops = dict(zip(",.", stops, strict=True))
         self.pieces: dict[str, bytes | None] = {"\n": self.newline}
@@ -142,6 +168,8 @@ class Encoder:
             pieces[piece] = None if ids is None else ids + self.stops[piece[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.in_pieces:
+            return self._encode(texts)
         gc.disable()  # nothing here forms cycles, and there are millions of pieces to look through
         try:
             return self._ids(texts)
@@ -362,7 +390,7 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[st
 def write_shards(df: DataFrame, tokenizer: str, end_id: int | None = 0, key: str = "doc_id", text: str = "text", folder: str | None = None) -> tuple[str, DataFrame]:
     """Writes the shards; returns their folder and the table (shard, docs, ids), in order of the names."""
     spark = df.sparkSession
-    folder = folder or shared_folder(spark)
+    folder, run = folder or shared_folder(spark), uuid.uuid4().hex[:12]
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,13 +401,14 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int | None = 0, key: str
         where.create_dir(base, recursive=True)
 
         def close() -> None:
-            name = f"shard-{task.partitionId():06d}-{len(done):04d}.sst"
+            name = f"shard-{run}-{task.partitionId():06d}-{len(done):04d}.sst"
             temporary = f"{base}/_{name}.{task.taskAttemptId()}"
             with where.open_output_stream(temporary, compression=None) as f:
                 f.write(writer.finish())
-            if where.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:
-                where.delete_file(f"{base}/{name}")  # of an earlier attempt; some stores don't replace
-            where.move(temporary, f"{base}/{name}")
+            if where.get_file_info(f"{base}/{name}").type == fs.FileType.NotFound:
+                where.move(temporary, f"{base}/{name}")
+            else:  # of another attempt at the same range, with the same bytes
+                where.delete_file(temporary)
             done.append((name, len(writer.keys), writer.ids))
 
         for keys, texts in _together(batches):
