@@ -13,13 +13,16 @@ from here on, so exact copies never meet in a bucket.
 Links. In each bucket every class is compared with the bucket's first, which is
 linear in the bucket's size; the full sets decide. Components of these links
 settle most buckets. In a bucket that still holds several components the
-classes outside the largest one are compared with all others; buckets of more
-than CAP classes are compared in pairs of blocks. So no pair that shares a
-bucket stays undecided, and no group is ever expanded into all its pairs or
-collected into one task.
+classes outside the largest one are compared with all others: a block of those
+outside with a block of all in each task, blocks having about CAP classes and
+CAP_SHINGLES shingles. So no pair that shares a bucket stays undecided, and no
+group is ever expanded into all its pairs or collected into one task.
 
 Components grow by alternating large-star and small-star steps, each written to
-the shared folder.
+the shared folder. What a bucket or a class has in common is written before it
+is joined, so each join stands on two scans and adaptive execution can split a
+hot bucket or a hub. Both sides of these joins grow with the corpus, so they are
+sort-merge joins at every size, not broadcast ones while a table happens to be small.
 
 Defined cases: a null or empty text, or one without words, has no shingles and
 is its own component; fewer words than a shingle form one shingle; rows with
@@ -44,7 +47,10 @@ from .common import arrow_map, batch_of, resident, stored
 
 SHINGLE, THRESHOLD = 5, 80
 ROWS, MISS = 4, 1e-5
-CAP = 2_048
+#: Classes and shingles in a block of a bucket.
+CAP, CAP_SHINGLES = 512, 1 << 19
+#: Shared shingles that are counted at once.
+AT_ONCE = 1 << 21
 #: Words whose hash a worker remembers before it starts anew.
 REMEMBERED = 250_000
 
@@ -153,7 +159,8 @@ def signed(df: DataFrame, key: str, text: str, size: int, threshold: int) -> Dat
 
 def compared(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
-    both = pairs.join(texts.select(F.col("digest").alias("b"), F.col("packed").alias("packed_b")), "b").join(texts.select(F.col("digest").alias("a"), F.col("packed").alias("packed_a")), "a")
+    at = lambda side: texts.select(F.col("digest").alias(side), F.col("packed").alias(f"packed_{side}")).hint("merge")
+    both = pairs.join(at("b"), "b").join(at("a"), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, unpack = resident("words", WordHashes), zstandard.ZstdDecompressor().decompress
@@ -180,17 +187,17 @@ def components(links: DataFrame) -> DataFrame:
         state = check
         # Large star: each class's larger neighbours move to the least class around it.
         around = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        links = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = stored(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        links = stored(around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         # Small star: each class and its smaller neighbours move to the least of these.
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
-        moved = links.join(least, "u")
-        links = stored(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(moved.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        least = stored(links.groupBy("u").agg(F.min("v").alias("m")))
+        moved = links.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("l"))
+        links = stored(moved.select(F.col("l.v").alias("u"), F.col("l.m").alias("v")).where("u != v").distinct())
     return links.select(F.col("u").alias("digest"), F.col("v").alias("component"))
 
 
 def _undecided(size: int, threshold: int):
-    """Links between components in a block pair of a bucket."""
+    """Links between components in a block pair of a bucket: of the classes that ask, with all there."""
 
     def link(rows: pa.Table) -> pa.Table:
         digest, root = rows.column("digest").to_pylist(), rows.column("component").to_pylist()
@@ -203,13 +210,14 @@ def _undecided(size: int, threshold: int):
         owners, ends = owner[order], np.cumsum(np.bincount(term))
         starts, first = np.concatenate(([0], ends[:-1])), np.cumsum(sizes) - sizes
         roots = np.unique(np.array(root, object), return_inverse=True)[1]
-        largest = np.bincount(roots).argmax()
         found: list[tuple[bytes, bytes]] = []
-        for i in np.flatnonzero(roots != largest).tolist():
+        for i in np.flatnonzero(rows.column("asks").to_numpy(zero_copy_only=False)).tolist():
             own = term[first[i] : first[i] + sizes[i]]
-            lengths = ends[own] - starts[own]
-            places = np.repeat(starts[own] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            shared = np.bincount(owners[places], minlength=len(sets))
+            lengths, shared = ends[own] - starts[own], np.zeros(len(sets), np.int64)
+            for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(np.cumsum(lengths) // AT_ONCE)) + 1):
+                n = lengths[part]
+                places = np.repeat(starts[own[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                shared += np.bincount(owners[places], minlength=len(sets))
             near = np.flatnonzero((100 * shared >= threshold * (sizes[i] + sizes - shared)) & (roots != roots[i]))
             for j in near.tolist():
                 if roots[j] != roots[i]:
@@ -223,37 +231,42 @@ def _undecided(size: int, threshold: int):
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of df; threshold in hundredths."""
     sets = signed(df, key, text, size, threshold)
-    banded = sets.where("digest is not null").select("digest", F.explode("bands").alias("bucket"))
+    classes = stored(sets.where("digest is not null").groupBy("digest").agg(F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands")))  # copies combine before they move
+    banded = classes.select("digest", "n_shingles", F.explode("bands").alias("bucket"))
     some = F.xxhash64("digest")
-    shared = banded.groupBy("bucket").agg(F.min(some).alias("least"), F.max(some).alias("most")).where("least != most").select("bucket")
-    members = stored(banded.join(shared, "bucket").distinct())
-    one = sets.where("digest is not null").groupBy("digest").agg(F.any_value("packed").alias("packed"))  # copies combine before they move
-    texts = stored(one.join(members.select("digest").distinct(), "digest", "left_semi"), "snappy")
-    stars = members.groupBy("bucket").agg(F.min("digest").alias("a"))
-    pairs = members.join(stars, "bucket").where("digest != a").select("a", F.col("digest").alias("b")).distinct()
+    shared = stored(banded.groupBy("bucket").agg(F.count("*").alias("classes"), F.min(some).alias("first")).where("classes > 1"))
+    members = stored(banded.join(shared.hint("merge"), "bucket").select("bucket", "digest", "n_shingles", (some == F.col("first")).alias("star")))
+    one = sets.where("digest is not null").groupBy("digest").agg(F.any_value("packed").alias("packed"))
+    texts = stored(one.join(stored(members.select("digest").distinct()).hint("merge"), "digest", "left_semi"), "snappy")
+    stars = members.where("star").select("bucket", F.col("digest").alias("a"))
+    pairs = members.join(stars.hint("merge"), "bucket").where("digest != a").select("a", F.col("digest").alias("b")).distinct()
     known = stored(components(compared(pairs, texts, size, threshold)))
 
     # Buckets with classes of several components, one of those with equal classes.
-    placed = members.join(known, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    left = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("all"))
-    left = left.where("least != most AND n > 2").groupBy("n", "all").agg(F.min("bucket").alias("bucket"))
-    placed = stored(placed.join(left.select("bucket", "n"), "bucket"))
-    blocks = F.ceil(F.col("n") / CAP).cast("int")
-    own = F.pmod(F.xxhash64("digest"), blocks.cast("long")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.least(own, i).alias("i"), F.greatest(own, i).alias("j")))
-    dealt = placed.withColumn("at", F.explode(others)).select("bucket", "at.i", "at.j", "digest", "component").join(texts, "digest")
-    more = dealt.groupBy("bucket", "i", "j").applyInArrow(_undecided(size, threshold), "a binary, b binary")
+    placed = stored(members.join(known.hint("merge"), "digest", "left").select("bucket", "digest", "n_shingles", F.coalesce("component", "digest").alias("component")))
+    where = F.xxhash64("component")
+    each = placed.groupBy("bucket", where.alias("where")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.sum(some.cast("decimal(38,0)")).alias("all"))
+    left = each.groupBy("bucket").agg(F.max_by("where", "n").alias("largest"), F.max("n").alias("most"), F.max_by("shingles", "n").alias("most_shingles"), F.count("*").alias("components"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.sum("all").alias("all"))
+    blocks = lambda n, shingles: F.greatest(F.lit(1), F.ceil(F.greatest(n / CAP, shingles / CAP_SHINGLES))).cast("int")
+    left = left.where("components > 1 AND n > 2").groupBy("n", "shingles", "all").agg(*[F.min_by(c, "bucket").alias(c) for c in ("largest", "most", "most_shingles")], F.min("bucket").alias("bucket"))
+    left = stored(left.select("bucket", "largest", blocks(F.col("n"), F.col("shingles")).alias("of_all"), blocks(F.col("n") - F.col("most"), F.col("shingles") - F.col("most_shingles")).alias("outside")))
+    asks, i, j = where != F.col("largest"), F.pmod(some, F.col("of_all").cast("long")).cast("int"), F.pmod(some, F.col("outside").cast("long")).cast("int")
+    deal = lambda i, j, asks: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), asks.alias("asks"))
+    own = F.transform(F.sequence(F.lit(0), F.col("outside") - 1), lambda x: deal(i, x, asks & (j == x)))
+    asked = F.transform(F.filter(F.sequence(F.lit(0), F.col("of_all") - 1), lambda x: x != i), lambda x: deal(x, j, F.lit(True)))
+    dealt = stored(placed.join(left.hint("merge"), "bucket").withColumn("at", F.explode(F.when(asks, F.concat(own, asked)).otherwise(own))).select("bucket", "at.i", "at.j", "at.asks", "digest", "component"))
+    more = dealt.join(texts.hint("merge"), "digest").groupBy("bucket", "i", "j").applyInArrow(_undecided(size, threshold), "a binary, b binary")
     at = lambda side: known.select(F.col("digest").alias(side), F.col("component").alias(f"{side}_at"))
     more = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_at", "a").alias("a"), F.coalesce("b_at", "b").alias("b"))
     final = components(more).select(F.col("digest").alias("component"), F.col("component").alias("final"))
 
-    named = sets.select("key", "n_shingles", "digest").join(known, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    named = sets.select("key", "n_shingles", "digest").join(known.hint("merge"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     # Both sides are written, so that the joins stand on plain scans and Spark may split a hot component.
     named = stored(named.join(stored(final), "component", "left").select("key", "n_shingles", F.coalesce("final", "component").alias("component")))
     linked = named.where("component is not null")
     least = stored(linked.groupBy("component").agg(F.min("key").alias("component_id")))
     alone = named.where("component is null").select("key", "n_shingles", F.col("key").alias("component_id"))
-    out = linked.join(least, "component").select("key", "n_shingles", "component_id").unionByName(alone)
+    out = linked.join(least.hint("merge"), "component").select("key", "n_shingles", "component_id").unionByName(alone)
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
