@@ -59,6 +59,8 @@ SHARE = 0.5
 REMEMBERED = 250_000
 #: Tokens of a text that are added up at once, in their order, so that equal texts have equal sums.
 AT_ONCE = 1 << 18
+#: Words whose n-grams are counted at once.
+BUILT_AT_ONCE = 1 << 15
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lower-cases A-Z and turns every other ASCII character but letters into a space.
@@ -87,14 +89,14 @@ def _scores(c: np.ndarray) -> np.ndarray:
     return np.log(c / c.sum(axis=0)).astype(np.float32)
 
 
-def _gram_counts(words: list[str], n: np.ndarray, language: np.ndarray, k: int) -> tuple[dict[str, int], np.ndarray]:
+def _gram_counts(words: list[str], n: np.ndarray, language: np.ndarray, k: int) -> tuple[list[str], np.ndarray]:
     """All n-grams of the words and their counts by language; a length at a time, each gram numbered by the one before it and a letter."""
     sizes = np.array([len(w) + 2 for w in words])
     text = "".join(f"^{w}$" for w in words)
     alphabet, letter = np.unique(np.frombuffer(text.encode("utf-32-le"), "<u4"), return_inverse=True)
     owner = np.repeat(np.arange(len(words)), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))
-    grams: dict[str, int] = {}
+    grams: list[str] = []
     parts, at, own = [], np.arange(len(text)), np.zeros(len(text), np.int64)
     for size in range(1, MAX_N + 1):
         fits = left[at] >= size
@@ -102,7 +104,7 @@ def _gram_counts(words: list[str], n: np.ndarray, language: np.ndarray, k: int)
         _, first, own = np.unique(own * len(alphabet) + letter[at + size - 1], return_index=True, return_inverse=True)
         word = owner[at]
         parts.append(np.bincount(own * k + language[word], weights=n[word], minlength=len(first) * k).reshape(-1, k))
-        grams |= {text[i : i + size]: j for j, i in enumerate(at[first].tolist(), len(grams))}
+        grams += [text[i : i + size] for i in at[first].tolist()]
     return grams, np.concatenate(parts)
 
 
@@ -118,8 +120,15 @@ def build(counts: list[tuple[str, str, int]]) -> Model:
     language, n = np.array([number[x[0]] for x in counts]), np.array([x[2] for x in counts], np.float64)
     seen = np.zeros((len(words), k))
     np.add.at(seen, ([words[x[1]] for x in counts], language), n)
-    grams, parts = _gram_counts([x[1] for x in counts], n, language, k)
-    return Model(languages, words, grams, _scores(seen), _scores(parts))
+    grams: dict[str, int] = {}
+    total = np.zeros((0, k))
+    for at in range(0, len(counts), BUILT_AT_ONCE):
+        part = slice(at, at + BUILT_AT_ONCE)
+        names, found = _gram_counts([x[1] for x in counts[part]], n[part], language[part], k)
+        row = np.fromiter((grams.setdefault(g, len(grams)) for g in names), np.intp, len(names))
+        total = np.concatenate((total, np.zeros((len(grams) - len(total), k))))
+        total[row] += found
+    return Model(languages, words, grams, _scores(seen), _scores(total))
 
 
 class Scorer:
