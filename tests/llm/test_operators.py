@@ -50,61 +50,92 @@ def test_url_rules(spark, small):
 
 
 def brute_templates(rows):
-    """(host, plain) to (template, purity) from (host, plain, good, bad), a node at a time."""
+    """(host, plain) to (template, purity) from (host, plain, good, bad), a place at a time."""
     U = urlfilter
-    rate = lambda bad, n: (bad + U.PRIOR / 2) / (n + U.PRIOR)
-    places = {}
+    smooth = lambda good, bad, p: (good + U.PRIOR * p) / (good + bad + U.PRIOR)
+    paths, hosts, out = {}, {}, {}
     for host, plain, good, bad in rows:
-        own = places.setdefault((host, plain), [0, 0, 0])
+        own = paths.setdefault(host, {}).setdefault(plain, [0, 0, 0])
         for i, x in enumerate((1, good, bad)):
             own[i] += x
-    done = {k: ("", k[1].split("/")) for k in places}
-    while any(rest for _, rest in done.values()):
-        children = {}
-        for k, (name, rest) in done.items():
-            if rest:
-                c = children.setdefault((k[0], name), {}).setdefault(rest[0], {"n": Counter(), "good": 0, "bad": 0})
-                n, good, bad = places[k]
-                c["n"][rest[1] if len(rest) > 1 else ""] += n
-                c["good"] += good
-                c["bad"] += bad
-        names = {}
-        for parent, segs in children.items():
-            total = sum(sum(c["n"].values()) for c in segs.values())
-            kin = {}
-            for seg, c in segs.items():
-                kin.setdefault(max(c["n"].items(), key=lambda x: (x[1], x[0]))[0], []).append(seg)
-            for own in kin.values():
-                pool = sum((segs[s]["n"] for s in own), Counter())
-                all_n, bad, labelled = sum(pool.values()), sum(segs[s]["bad"] for s in own), sum(segs[s]["good"] + segs[s]["bad"] for s in own)
-
-                def differs(s, bad, labelled):
-                    n = segs[s]["good"] + segs[s]["bad"]
-                    p = rate(bad, labelled)
-                    return (segs[s]["bad"] / n - p if n else 0.0), U.Z * (p * (1 - p) * ((1 / n if n else 1) + 1 / (labelled + U.PRIOR))) ** 0.5
-
-                sides, wild = {}, set()
-                for s in own:
-                    n = sum(segs[s]["n"].values())
-                    if len(segs) > U.MAX_CHILDREN and n < U.MIN_SHARE * total:
-                        wild.add(s)
-                    elif 0.5 * sum(abs(segs[s]["n"][x] / n - pool[x] / all_n) for x in pool) <= U.MAX_DISTANCE + 1e-12:
-                        d, spread = differs(s, bad, labelled)
-                        sides.setdefault("none" if not segs[s]["good"] + segs[s]["bad"] else "same" if abs(d) <= spread else "low" if d < 0 else "high", []).append(s)
-                names.update({(parent, s): U.WILD if s in wild else s for s in own})
-                for side, some in sides.items():
-                    b, n = sum(segs[s]["bad"] for s in some), sum(segs[s]["good"] + segs[s]["bad"] for s in some)
-                    for s in some:
-                        d, spread = differs(s, b, n)
-                        if len(some) > 1 and abs(d) <= spread:
-                            names[parent, s] = f"{{{side}}}"
-        done = {k: (f"{name}/{names[(k[0], name), rest[0]]}", rest[1:]) if rest else (name, rest) for k, (name, rest) in done.items()}
-    labels = {}
-    for k, (name, _) in done.items():
-        own = labels.setdefault((k[0], name), [0, 0])
-        own[0] += places[k][1]
-        own[1] += places[k][2]
-    return {k: (name[1:], 1 - rate(labels[k[0], name][1], sum(labels[k[0], name]))) for k, (name, _) in done.items()}
+        parts = host.split(".")
+        for k in [*(k for k in range(2, U.DOMAINS + 1) if k < len(parts)), None]:
+            d = hosts.setdefault((k is None, host if k is None else ".".join(parts[-k:])), [0, 0])
+            d[0] += good
+            d[1] += bad
+
+    def place(host, done, some, purity, level):
+        """some: rest of the path to those plain paths that have it here."""
+        if not some:
+            return
+        if level == U.BRANCHINGS:
+            out.update({(host, x): (done + "/**", purity) for own in some.values() for x in own})
+            return
+        rests = list(some)
+        c = 0
+        while all(len(r) > c for r in rests) and len({r[c] for r in rests}) == 1:
+            c += 1
+        done += "".join(f"/{x}" for x in rests[0][:c])
+        if len(rests) == 1:
+            out.update({(host, x): (done, purity) for x in some[rests[0]]})
+            return
+        branches = {}
+        for r, own in some.items():
+            key = f"/{r[c]}" if len(r) > c else ""
+            after = "-" if not key else f"/{r[c + 1]}" if len(r) > c + 1 else ""
+            b = branches.setdefault(key, {"next": Counter(), "good": 0, "bad": 0, "below": {}})
+            for x in own:
+                n, good, bad = paths[host][x]
+                b["next"][after] += n
+                b["good"] += good
+                b["bad"] += bad
+            b["below"].setdefault(r[c + 1 :], []).extend(own)
+        total, names, kin = sum(sum(b["next"].values()) for b in branches.values()), {}, {}
+        for key, b in branches.items():
+            kin.setdefault(max(b["next"].items(), key=lambda x: (x[1], x[0]))[0], []).append(key)
+        for mode, own in kin.items():
+            pool = sum((branches[k]["next"] for k in own), Counter())
+
+            def differs(k, some):
+                bad, labelled = sum(branches[x]["bad"] for x in some), sum(branches[x]["good"] + branches[x]["bad"] for x in some)
+                n, p = branches[k]["good"] + branches[k]["bad"], (bad + U.EVEN / 2) / (labelled + U.EVEN)
+                return (branches[k]["bad"] / n - p if n else 0.0), U.Z * (p * (1 - p) * ((1 / n if n else 1) + 1 / (labelled + U.EVEN))) ** 0.5
+
+            sides = {}
+            for k in own:
+                b, names[k] = branches[k], k
+                n = sum(b["next"].values())
+                if k and len(branches) > U.MAX_CHILDREN and n < U.MIN_SHARE * total:
+                    names[k] = "/*"
+                elif k and 0.5 * sum(abs(b["next"][x] / n - pool[x] / sum(pool.values())) for x in pool) <= U.MAX_DISTANCE + 1e-12:
+                    d, spread = differs(k, own)
+                    sides.setdefault("same" if abs(d) <= spread else "low" if d < 0 else "high", []).append(k)
+            for side, members in sides.items():
+                for k in members:
+                    d, spread = differs(k, members)
+                    if len(members) > 1 and abs(d) <= spread:
+                        names[k] = f"/{{{side}~{mode[1:]}}}"
+        merged = {}
+        for k, b in branches.items():
+            m = merged.setdefault(names[k], [0, 0, {}])
+            m[0] += b["good"]
+            m[1] += b["bad"]
+            for r, own in b["below"].items():
+                m[2].setdefault(r, []).extend(own)
+        for name, (good, bad, below) in merged.items():
+            pure = smooth(good, bad, purity)
+            if name:
+                place(host, done + name, below, pure, level + 1)
+            else:
+                out.update({(host, x): (done, pure) for own in below.values() for x in own})
+
+    for host, own in paths.items():
+        p, last, parts = 0.5, None, host.split(".")
+        for k in [*(k for k in range(2, U.DOMAINS + 1) if k < len(parts)), None]:
+            good, bad = hosts[k is None, host if k is None else ".".join(parts[-k:])]
+            p, last = (p if (good, bad) == last else smooth(good, bad, p)), (good, bad)
+        place(host, "", {tuple(x.split("/")): [x] for x in own}, p, 0)
+    return {k: (t[1:], p) for k, (t, p) in out.items()}
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
@@ -132,11 +163,56 @@ def test_templates(spark):
     bad = [(f"/win/{i}", 0, 1) for i in range(30)] + [(f"/user/name{i}x", 0, 1) for i in range(60)]
     rows = spark.createDataFrame([("h", urlfilter_path, g, b) for urlfilter_path, g, b in good + bad], "host string, path string, good long, bad long")
     t = {r.plain: r for r in urlfilter.learn_templates(rows.withColumn("plain", urlfilter.plain_path(F.col("path")))).collect()}
-    assert t["/en/{num}"].template == t["/fr/{num}"].template == "/{low}/{num}" and t["/en/{num}"].purity > 0.9
+    assert t["/en/{num}"].template == t["/fr/{num}"].template == "/{low~{num}}/{num}" and t["/en/{num}"].purity > 0.9
     assert t["/win/{num}"].template == "/win/{num}" and t["/win/{num}"].purity < 0.1  # nothing else goes on like it
     assert t["/user/name3x"].template == "/user/*" and t["/user/name3x"].purity < 0.1
 
 
+def test_purity_is_inherited(spark):
+    """Branches without labels: like bad kin rejected, like good kin allowed; a host without labels takes after its domain, and one half is all that is left without any."""
+    leaf = lambda host, top, good, bad, n=12: [(host, f"/{top}/{kind}/{i}", good, bad) for i in range(n) for kind in ("a", "b")]
+    rows = leaf("bad.net", "es", 0, 1) + leaf("bad.net", "de", 0, 0) + leaf("good.net", "es", 1, 0) + leaf("good.net", "de", 0, 0)
+    rows += leaf("x.shop.org", "es", 0, 1) + leaf("y.shop.org", "de", 0, 0) + leaf("new.net", "de", 0, 0)
+    df = spark.createDataFrame(rows, "host string, plain string, good long, bad long")
+    got = {(r.host, r.plain): (r.template, r.purity) for r in urlfilter.learn_templates(df).collect()}
+    assert got["bad.net", "/de/a/1"][1] < urlfilter.MIN_PURITY < 0.9 < got["good.net", "/de/a/1"][1]
+    assert got["bad.net", "/de/a/1"][0] == got["bad.net", "/es/a/1"][0]
+    assert got["y.shop.org", "/de/a/1"][1] < urlfilter.MIN_PURITY and got["new.net", "/de/a/1"][1] == 0.5
+    want = brute_templates(rows)
+    assert {k: (t, pytest.approx(p)) for k, (t, p) in got.items()} == want
+
+
+def test_templates_brute(spark):
+    r = random.Random(9)
+    segs = ["a", "b", "c", "", "{num}", "*", "x.html"]
+    rows = []
+    for _ in range(900):
+        host = r.choice(["h", "a.b.c", "b.c", "d.b.c", "1.2.3.4.5.6.7.8", ""])
+        path = "".join("/" + r.choice(segs[: r.randint(2, 7)]) for _ in range(r.randint(0, 6))) + (f"/w{r.randint(0, 80)}" if r.random() < 0.4 else "")
+        label = r.choice([(0, 0), (0, 0), (1, 0), (0, 1)] if "a" in path else [(0, 0), (0, 1)])
+        rows.append((host, path, *label))
+    got = urlfilter.learn_templates(spark.createDataFrame(rows, "host string, plain string, good long, bad long")).collect()
+    assert {(x.host, x.plain): (x.template, pytest.approx(x.purity)) for x in got} == brute_templates(rows) and len(got) == len({x[:2] for x in rows})
+
+
+def test_long_paths_cost_no_jobs(spark):
+    rows = [("h", f"/en/{k}", 1, 0) for k in "abc"]
+    trap = "/trap" * 2_000
+    jobs = lambda rows, name: (spark.sparkContext.setJobGroup(name, name), urlfilter.learn_templates(spark.createDataFrame(rows, "host string, plain string, good long, bad long")).collect(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)))[1:]
+    _, few = jobs(rows, "short")
+    found, more = jobs([*rows, ("h", trap, 0, 0), ("h", trap + "/x", 0, 0), ("i", "/z" + trap, 0, 0)], "long")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.template for r in found} >= {trap, trap + "/x", "/z" + trap} and more <= 2 * few
+
+
+def test_deep_branchings(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "BRANCHINGS", 3)
+    rows = [("h", "/a" * k, 0, 0) for k in range(1, 9)]
+    got = {r.plain: r.template for r in urlfilter.learn_templates(spark.createDataFrame(rows, "host string, plain string, good long, bad long")).collect()}
+    assert got["/a"] == "/a" and got["/a/a/a/a/a"] == got["/a" * 8] == "/a/a/a/a/**"
+    assert {k[1]: v[0] for k, v in brute_templates(rows).items()} == got
+
+
 def test_wildcards(spark):
     rows = spark.createDataFrame([("h", f"/tag/w{i}/feed", 0, 0) for i in range(400)], "host string, plain string, good long, bad long")
     assert {r.template for r in urlfilter.learn_templates(rows).collect()} == {"/tag/*/feed"}
@@ -189,13 +265,76 @@ def test_op2(spark, hard, hard_rows, nothing):
     assert transport.read_media(transport.store_text(nothing)).collect() == []
 
 
+def plain_parser(media):
+    """The stream's payload and packet identifiers, read a packet at a time by the words of the format."""
+    counters, pids, data, payload = {}, Counter(), bytearray(), bytearray()
+
+    def close():
+        if data:
+            assert data[:3] == b"\0\0\1" and data[3] == 0xBD and int.from_bytes(data[4:6]) == len(data) - 6
+            payload.extend(data[9 + data[8] :])
+            data.clear()
+
+    for at in range(0, len(media), 188):
+        p = media[at : at + 188]
+        assert p[0] == 0x47 and not p[1] & 0x80
+        pid, control, body = (p[1] & 31) << 8 | p[2], p[3] >> 4 & 3, p[4:]
+        assert counters.setdefault(pid, p[3] & 15) == p[3] & 15 and control & 1
+        counters[pid] = (p[3] + 1) & 15
+        pids[pid] += 1
+        if control & 2:
+            body = body[1 + body[0] :]
+        if pid == 0x101:
+            if p[1] & 0x40:
+                close()
+            data.extend(body)
+    close()
+    return bytes(payload), pids
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.binary(min_size=1, max_size=30_000))
+def test_streams_by_a_plain_parser(payload):
+    got, pids = plain_parser(transport.mux(payload))
+    units = -(-len(payload) // transport.ACCESS_UNIT)
+    assert got == payload and pids[0] == pids[0x100] == units
+
+
+def test_first_packets():
+    """Golden bytes: a program table as others write it, ours but for its checksum, and the head of the first elementary packet."""
+    assert transport.section_crc(bytes.fromhex("00b00d0001c100000001f000")) == 0x2AB104B2
+    media = transport.mux(b"\xaa" * 10)
+    assert len(media) == 3 * 188
+    assert media[:17].hex() == "474000100000b00d0001c100000001e100" and set(media[21:188]) == {255} and transport.section_crc(media[5:21]) == 0
+    assert media[188:210].hex() == "474100100002b0120001c10000e101f00006e101f000" and transport.section_crc(media[193:214]) == 0
+    assert media[376:388].hex() == "47410130" + "9f50" + "000000007e00" and media[-24:].hex() == "000001bd0012" + "848005" + "2100010001" + "aa" * 10
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=300), st.integers(1, 50))
+def test_measured(payload, at_once):
+    before, transport.AT_ONCE = transport.AT_ONCE, at_once
+    try:
+        got = transport.measured(payload)
+    finally:
+        transport.AT_ONCE = before
+    assert got == {"energy": sum((x - 128) ** 2 for x in payload), "crossings": sum((a < 128) != (b < 128) for a, b in zip(payload, payload[1:], strict=False)), "levels": [sum(32 * i <= x < 32 * i + 32 for x in payload) for i in range(8)]}
+    assert transport.measured(None) is None
+
+
 def test_op2_query(spark, small):
     texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    features = {}
     for r in queries.op2_transport(spark, small).collect():
         raw = texts[r.doc_id]
         payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         media = transport.mux(payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-32:]), len(media), sha(media))
+        crossings = sum((a < 128) != (b < 128) for a, b in zip(payload, payload[1:], strict=False))
+        said = dict(x.split("=") for x in r.feature.split(";"))
+        assert said["energy"] == str(sum((x - 128) ** 2 for x in payload) // len(payload)) and said["crossings"] == str(crossings) and said["packets"] == str(len(media) // 188)
+        features.setdefault(sha(payload), set()).add(r.feature)
+    assert all(len(f) == 1 for f in features.values()) and len({min(f) for f in features.values()}) == len(features)
 
 
 # 3 mixing
@@ -235,6 +374,18 @@ def test_mix_follows_weights(spark):
     assert many.agg(F.max("rate")).first()[0] > mixing.PART and abs(many.count() - 1_200) < 200
 
 
+def test_mix_spreads_equal_keys(spark):
+    """A null key in all rows fills all partitions."""
+    df = spark.range(4_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("ten chars.").alias("text"), F.lit("a").alias("source"), F.lit(7).alias("_mix_row"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = mixing.poisson_mix(df, mixing.root_weights(df), 5.0)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "_mix_row" not in out.columns and len(sizes) == 4 and max(sizes) < 1.3 * min(sizes)
+
+
 # 4 decontamination
 
 
@@ -249,7 +400,7 @@ def brute_contamination(docs, items):
         w = words(text)
         n = min(13, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+            windows.setdefault(tuple(w[i : i + n]), set()).add("null" if item is None else str(item))
     out = []
     for key, text in docs:
         w, hit, found = words(text), set(), set()
@@ -268,7 +419,7 @@ COLUMNS4 = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminat
 def _items(hard_rows):
     texts = [r[1] for r in hard_rows if r[1]]
     cut = lambda t, a, n: " ".join(t.split()[a : a + n])
-    return [(1, cut(texts[1], 10, 40)), (2, cut(texts[1], 12, 14)), (3, "one"), (4, "two WORDS"), (5, None), (6, " !! "), (7, cut(texts[5], 100, 13)), (8, cut(texts[5], 100, 12) + " nowhere"), (9, "ab" * 400), (2_000, "not in any document at all")]
+    return [(1, cut(texts[1], 10, 40)), (1, cut(texts[1], 10, 40)), (1, cut(texts[5], 300, 20)), (None, cut(texts[5], 310, 20)), (None, "one"), (2, cut(texts[1], 12, 14)), (3, "one"), (4, "two WORDS"), (5, None), (6, " !! "), (7, cut(texts[5], 100, 13)), (8, cut(texts[5], 100, 12) + " nowhere"), (9, "ab" * 400), (2_000, "not in any document at all")]
 
 
 def test_contamination_brute(spark, hard, hard_rows, monkeypatch):
@@ -279,7 +430,21 @@ def test_contamination_brute(spark, hard, hard_rows, monkeypatch):
     assert by_key(decontaminate.contamination(decontaminate.find_items(index, table)).collect(), *COLUMNS4) == want
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
     assert len(list(decontaminate.item_blocks(table))) > 3
-    assert by_key(decontaminate.contamination(decontaminate.find_items(index, table)).collect(), *COLUMNS4) == want
+    for together in (100, 2):
+        monkeypatch.setattr(decontaminate, "TOGETHER", together)
+        assert by_key(decontaminate.contamination(decontaminate.find_items(index, table)).collect(), *COLUMNS4) == want
+
+
+def test_contamination_oracle(spark, hard, hard_rows, tmp_path):
+    """Repeated and null items, and the query's own SQL."""
+    docs, items = f"{tmp_path}/documents.parquet", f"{tmp_path}/benchmark.parquet"
+    hard.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").write.parquet(docs)
+    spark.createDataFrame(_items(hard_rows), "item_id bigint, text string").write.parquet(items)
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries.op4_decontaminate(spark, str(tmp_path)).collect()
+    assert by_key(got, *COLUMNS4) == sorted(con.execute(f"SELECT {', '.join(COLUMNS4)} FROM ({queries.ORACLES['op4_decontaminate']})").fetchall(), key=repr)
 
 
 def test_contamination_segments(spark, hard, hard_rows, monkeypatch):
@@ -413,6 +578,25 @@ def test_maximal_repeats(texts):
 # 6 secrets
 
 
+def brute_spans(text):
+    """Spans by plain expressions over the whole text, each kind on its own; the base and its digest."""
+    text = text or ""
+    out = [(m.start(), "assign", m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII) if len(m[2]) >= 8]
+    out += [(m.start(), "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    out.sort(key=lambda x: (x[0], secrets.KINDS.index(x[1])))
+    return out, sha(",".join(f"{k}:{a}:{b}" for a, k, b in out))
+
+
+def brute_jwt(text):
+    out, at = [], 0
+    while m := re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+").search(text, at):
+        good = len(m[1]) <= secrets.JWT_HEADER and "alg" in (secrets._json_part(m[1]) or {}) and secrets._json_part(m[2]) is not None
+        out += [(m.start(), m.end())] * good
+        at = m.end() if good else m.start() + 1
+    return out
+
+
 def test_secrets(spark, hard, hard_rows, nothing):
     fill = "0123456789abcdefghijklmnopqrstuv"[:30]
     tagged = "ghp_" + fill + secrets.base62_crc(fill)
@@ -430,7 +614,7 @@ def test_secrets(spark, hard, hard_rows, nothing):
     got = secrets.digest_spans(secrets.scan_secrets(hard)).collect()
     want = []
     for r in hard_rows:
-        base, digest = secrets.brute_force(r[1])
+        base, digest = brute_spans(r[1])
         n = Counter(k for _, k, _ in base)
         want.append((r[0], n["assign"], n["access"], n["hex"], digest))
     assert by_key(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(want, key=repr)
@@ -442,7 +626,28 @@ def test_secrets(spark, hard, hard_rows, nothing):
 def test_secrets_brute(parts):
     text = "".join(parts)
     got = [(s.start, s.kind, s.end) for s in secrets.find(text, secrets.automaton()) if s.kind in ("assign", "access", "hex")]
-    assert got == secrets.brute_force(text)[0]
+    assert got == brute_spans(text)[0]
+
+
+_B64 = [base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"none"}', b'{"a":1}', b'{"alg":{"b":2}}', b"x")]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*_B64, "eyJ", "EYJ", ".", ".", ".", " ", "é", "-", "ab"])))
+def test_jwt_brute(parts):
+    text = "".join(parts)
+    assert [(s.start, s.end) for s in secrets.find(text, secrets.automaton()) if s.kind == "jwt"] == brute_jwt(text)
+
+
+def test_secrets_take_linear_time():
+    import time
+
+    nested = base64.urlsafe_b64encode(b'{"a":' * 200_000).decode().rstrip("=")
+    head = "Comment: -----BEGIN PGP PRIVATE KEY BLOCK-----\n"
+    for text in ("eyJ" * 350_000, "eyJ" * 350_000 + "." + _B64[1] + ".x", nested + "." + _B64[1] + ".x", _B64[0] + "." + nested + ".x", "-----BEGIN PGP PRIVATE KEY BLOCK-----\n" + head * 20_000, "token" * 200_000, "ghp_" * 250_000, "AKIA" * 250_000):
+        began = time.perf_counter()
+        secrets.find(text, secrets.automaton())
+        assert time.perf_counter() - began < 5  # a second at most where nothing else runs
 
 
 # 7 token counts
@@ -484,15 +689,108 @@ def test_language_hard(spark, hard, hard_rows, nothing):
     texts = {r[0]: r[1] for r in hard_rows}
     assert {r.doc_id for r in got if r.lang_pred == "und" and r.doc_id is not None} == {k for k, t in texts.items() if k is not None and not re.search(r"[^\W\d_]", t or "")}
     empty = langid.train(nothing)
-    assert {(r.lang_pred, r.score) for r in langid.identify(hard, empty).collect()} == {("und", 0.0)}
+    assert {(r.lang_pred, r.score, r.known) for r in langid.identify(hard, empty).collect()} == {("und", 0.0, 0.0)}
     assert langid.identify(nothing, model).collect() == []
 
 
 def test_language_backoff():
     model = langid.build([("a", "house", 9), ("a", "the", 50), ("b", "haus", 9), ("b", "das", 50)])
     s = langid.Scorer(model)
-    assert s("the house")[0] == "a" and s("DAS")[0] == "b" and s("houses")[0] == "a" and s("haustür")[0] == "b"
-    assert s("!! 12") == ("und", 0.0) and s(None) == ("und", 0.0)
+    lang = lambda t: s([t.encode()])[0][0]
+    assert lang("the house") == "a" and lang("DAS") == "b" and lang("houses") == "a" and lang("haustür") == "b"
+    assert s([b"!! 12", None]) == [("und", 0.0, 0.0)] * 2
+
+
+def brute_language(counts, text):
+    """Language, score and familiarity by the words of the module, a word at a time."""
+    languages = sorted({x[0] for x in counts})
+    lower = lambda t: re.findall(r"[^\W\d_]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c if c.isalpha() or ord(c) > 127 else " " for c in t))
+    words = [w for token in lower(text or "") for w in re.findall(r"[^\W\d_]+", token.lower())]
+    if not words or not languages:
+        return "und", 0.0, 0.0
+    by_word, by_gram = {x: Counter() for x in languages}, {x: Counter() for x in languages}
+    grams = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    for x, w, n in counts:
+        by_word[x][w] += n
+        for size in range(1, langid.MAX_N + 1):
+            for g in grams(w, size):
+                by_gram[x][g] += n
+    vocabulary, pieces = {w for c in by_word.values() for w in c}, {g for c in by_gram.values() for g in c}
+    log = lambda c, x, all_: np.log((c[x] + langid.SMOOTHING) / (sum(c.values()) + langid.SMOOTHING * len(all_)))
+    mean, known = [], 0.0
+    for x in languages:
+        total = 0.0
+        for w in words:
+            if w in vocabulary:
+                total += log(by_word[x], w, vocabulary)
+                continue
+            for n in range(min(langid.MAX_N, len(w) + 2), 0, -1):
+                if seen := [g for g in grams(w, n) if g in pieces]:
+                    total += sum(log(by_gram[x], g, pieces) for g in seen) / len(seen)
+                    break
+            else:
+                total += min(log(by_gram[x], g, pieces) for g in pieces)
+        mean.append(total / len(words))
+    for w in words:
+        tried = grams(w, min(langid.TRIED, len(w) + 2))
+        known += 1 if w in vocabulary else sum(g in pieces for g in tried) / len(tried)
+    weight = [np.exp((m - max(mean)) * min(len(words), langid.EVIDENCE)) for m in mean]
+    return languages[mean.index(max(mean))], max(weight) / sum(weight), known / len(words)
+
+
+def test_language_brute(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    learn = docs.where(~langid.held_out()).collect()
+    counts = Counter((r.lang, w) for r in learn for t in langid.tokens((r.text or "").encode()) for w in langid.words_of(t))
+    counts = [(*k, n) for k, n in counts.items()]
+    got = {r.doc_id: (r.lang_pred, r.score, r.known) for r in queries.op8_language(spark, small).collect()}
+    some = [r for r in docs.where(langid.held_out()).collect() if len(r.text or "") < 700][:8]
+    assert len(some) == 8
+    for r in some:
+        lang, score, known = brute_language(counts, r.text)
+        assert got[r.doc_id] == (lang, pytest.approx(score, abs=2e-4), pytest.approx(known, abs=1e-5))
+    model = langid.train(docs.where(~langid.held_out()))
+    for text in ("zzyzx qqq Ünverstehen", "the–and, l'être 12ab", "Ж"):
+        lang, score, known = brute_language(counts, text)
+        assert langid.Scorer(model)([text.encode()]) == [(lang, pytest.approx(score, abs=2e-4), pytest.approx(known, abs=1e-5))]
+
+
+def test_language_built_in_parts(monkeypatch):
+    counts = [(x, w, n) for n, x in enumerate("ab", 1) for w in set(prose(60, n).lower().split())]
+    want = langid.build(counts)
+    monkeypatch.setattr(langid, "BUILT_AT_ONCE", 7)
+    got = langid.build(counts)
+    assert got.grams.keys() == want.grams.keys() and all(np.allclose(got.gram_scores[i], want.gram_scores[want.grams[g]]) for g, i in got.grams.items())
+
+
+def test_language_forgets(monkeypatch):
+    model = langid.build([("a", "house", 9), ("b", "haus", 9)])
+    texts = [prose(40, i).encode() for i in range(20)]
+    want = [langid.Scorer(model)([t])[0] for t in texts]
+    monkeypatch.setattr(langid, "REMEMBERED", 30)
+    monkeypatch.setattr(langid, "AT_ONCE", 7)
+    s = langid.Scorer(model)
+    assert [x for i in range(0, 20, 3) for x in s(texts[i : i + 3])] == want
+
+
+def test_language_clashing_names(spark, hard):
+    model = langid.train(hard)
+    want = by_key(langid.identify(hard, model).collect(), "doc_id", "lang_pred", "score", "known")
+    for name in ("lang_pred", "score", "known", "held_out", "_text"):
+        hard = hard.withColumn(name, F.lit("x"))
+    assert by_key(langid.identify(hard, model).collect(), "doc_id", "lang_pred", "score", "known") == want
+
+
+def test_unfamiliar(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.train(docs.where(~langid.held_out()))
+    least = langid.calibrate(docs.where(langid.held_out()), model)
+    r = random.Random(5)
+    noise = " ".join("".join(r.choice("bcdfghjklmnpqrstvwxzaeiou") for _ in range(7)) for _ in range(30))
+    rows = spark.createDataFrame([(1, noise), (2, "это просто текст на другом языке"), (3, "zxq"), (4, docs.first().text)], "doc_id int, text string")
+    found = langid.identify(rows, model, keep=("text",)).where(langid.unfamiliar(least))
+    assert sorted(x.doc_id for x in found.collect()) == [1, 2]  # three letters are too few to judge
+    assert langid.calibrate(docs.limit(0), model) == 0.0
 
 
 def test_language_bound(spark, small, monkeypatch):
@@ -506,7 +804,7 @@ def test_language_keeps_rare(spark):
     common = [(" ".join(2 * [letters(i) for i in range(j, j + 4_100)]), "aa") for j in range(0, 82_000, 4_100)]
     model = langid.train(spark.createDataFrame([*common, ("seldom heard", "zz")], "text string, lang string"))
     assert model.languages == ["aa", "zz"] and len(model.words) == 82_002
-    assert langid.Scorer(model)("heard")[0] == "zz"
+    assert langid.Scorer(model)([b"heard"])[0][0] == "zz"
 
 
 def test_language_sample_by_language(spark):
@@ -543,9 +841,11 @@ def brute_components(rows, size, threshold):
     return sorted(((k, len(sets[i]), least.get(find(i))) for i, (k, _) in enumerate(rows)), key=repr)
 
 
-@pytest.mark.parametrize(("size", "threshold", "cap"), [(3, 85, 2_048), (5, 80, 2_048), (3, 85, 3)])
-def test_near_duplicates_brute(spark, hard_rows, monkeypatch, size, threshold, cap):
+@pytest.mark.parametrize(("size", "threshold", "cap", "shingles"), [(3, 85, 2_048, 1 << 19), (5, 80, 2_048, 1 << 19), (3, 85, 3, 1 << 19), (3, 85, 2_048, 900)])
+def test_near_duplicates_brute(spark, hard_rows, monkeypatch, size, threshold, cap, shingles):
     monkeypatch.setattr(neardup, "CAP", cap)
+    monkeypatch.setattr(neardup, "CAP_SHINGLES", shingles)
+    monkeypatch.setattr(neardup, "AT_ONCE", 500)
     r = random.Random(3)
     base = prose(200, 77).split()
     copies = []
@@ -650,6 +950,45 @@ def test_encoder_is_the_library(texts):
     assert [np.frombuffer(x, e.kind).tolist() for x in e(texts)] == [_ids(t) for t in texts]
 
 
+def test_encoder_of_other_files(monkeypatch, tmp_path):
+    """A file that cuts otherwise is encoded whole."""
+    import json
+    from pathlib import Path
+
+    file = json.loads(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8"))
+    assert sstable.cuts_at_spaces(file)
+    with_prefix = file | {"pre_tokenizer": file["pre_tokenizer"] | {"add_prefix_space": True}}
+    word = file["added_tokens"][0] | {"content": "the end", "special": False} if file.get("added_tokens") else {"id": 5, "content": "the end", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}
+    for i, other in enumerate((with_prefix, file | {"normalizer": {"type": "Lowercase"}}, file | {"added_tokens": [*file.get("added_tokens", []), word | {"id": file["model"]["vocab"]["the"]}]})):
+        assert not sstable.cuts_at_spaces(other)
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(other), encoding="utf-8")
+        monkeypatch.setattr(public_tokenizers, "path", lambda _, path=path: str(path))
+        from tokenizers import Tokenizer
+
+        e, library = sstable.Encoder("other"), Tokenizer.from_file(str(path))
+        texts = ["The end. and the end", "A  B\nÉ", ""]
+        assert [np.frombuffer(x, e.kind).tolist() for x in e(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_shards_twice_in_one_folder(spark, hard, hard_rows):
+    """A second run leaves the first one's shards as they are; each reads its own."""
+    folder, one = sstable.write_shards(hard.limit(5), "byte_bpe_50k.json")
+    _, two = sstable.write_shards(hard, "byte_bpe_50k.json", folder=folder)
+    assert sstable.read_shards(spark, folder, one).count() == 5 and sstable.read_shards(spark, folder, two).count() == len(hard_rows)
+
+
+def test_clashing_names(spark, hard):
+    """Columns named as results are change nothing."""
+    want7, want10 = by_key(tokencount.count_tokens(hard, "piece_bpe_32k.model").collect(), "doc_id", "n_bytes", "n_tokens"), None
+    more = hard
+    for name in ("content", "n_tokens", "n_bytes", "_key", "_text", "key", "start", "ids", "shard", "ids_crc32"):
+        more = more.withColumn(name, F.lit("x"))
+    assert by_key(tokencount.count_tokens(more, "piece_bpe_32k.model").collect(), "doc_id", "n_bytes", "n_tokens") == want7
+    want10, got10 = (by_key(sstable.read_shards(spark, *sstable.write_shards(d, "byte_bpe_50k.json")).collect(), "key", "start", "n_tokens", "ids_crc32") for d in (hard, more))
+    assert want10 == got10
+
+
 def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(sstable, "REMEMBERED", 60)
     e = sstable.Encoder("byte_bpe_50k.json")

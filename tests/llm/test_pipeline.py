@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from quire.llm import langid, mixing
@@ -25,9 +27,14 @@ def rows(df):
 
 
 def test_language(spark, small, docs):
-    odd = spark.createDataFrame([(10_001, "12 !!", "en", "s", 5), (10_002, None, "en", "s", 0)], docs.schema)
-    out = P.language_stage(spark, docs.unionByName(odd), small)
-    assert rows(out) == [r for r in rows(docs) if re.search(r"[^\W\d_]", r[1])]
+    r = random.Random(2)
+    noise = " ".join("".join(r.choice("bcdfghjklmnpqrstvwxzaeiou") for _ in range(7)) for _ in range(30))
+    french = docs.where("lang = 'fr'").orderBy("doc_id").first().text
+    bad = [(10_001, "12 !!", "en", "s", 5), (10_002, None, "en", "s", 0), (10_003, "это просто текст на другом языке", "en", "s", 0), (10_004, noise, None, "s", 0)]
+    good = [(10_005, "zxq", "en", "s", 3), (10_006, french, None, "s", 0), (10_007, docs.first().text + " " + noise[:60], "en", "s", 0)]
+    out = rows(P.language_stage(spark, docs.unionByName(spark.createDataFrame(bad + good, docs.schema)), small))
+    want = [x for x in rows(docs) if re.search(r"[^\W\d_]", x[1])] + [(*x[:2], "fr" if x[0] == 10_006 else x[2], *x[3:]) for x in good]
+    assert out == sorted(want)
 
 
 def test_language_without_labels(spark, small, docs):
@@ -88,6 +95,16 @@ def test_stages_keep_hard_rows(spark, small, docs):
     assert hard.count() > 0
 
 
+def test_stages_with_clashing_names(spark, small, docs):
+    """Columns named as results are change nothing."""
+    more = docs
+    for name in ("lang_pred", "score", "known", "kept", "component_id", "n_hit", "_row", "key", "rate", "copy", "shuffle_key", "start", "ids", "n_tokens", "shard"):
+        more = more.withColumn(name, F.lit("x"))
+    for _, stage in P.STAGES:
+        a, b = (sorted(stage(spark, d, small).collect(), key=repr) for d in (docs.limit(60), more.limit(60)))
+        assert [r.asDict() for r in a] == [r.asDict() for r in b]
+
+
 def test_empty(spark, small, docs):
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), small).count() == 0
