@@ -163,6 +163,19 @@ def from_json(text: Column | str, kind: str = "float") -> Column:
     return F.from_json(_col(text), f"array<{kind}>")
 
 
+def int8(text: Column | str) -> Column:
+    """An int8 vector from JSON text; anything but whole numbers from -128 to 127 is an error."""
+    v = F.from_json(_col(text), "array<double>")
+    wrong = v.isNull() | F.exists(v, lambda x: x.isNull() | ~x.between(-128, 127) | (x != F.floor(x)))
+    return F.when(_col(text).isNull(), F.lit(None)).when(wrong, F.raise_error(F.lit("not a vector of int8")).cast("array<tinyint>")).otherwise(F.transform(v, lambda x: x.cast("tinyint")))
+
+
+def bit(raw: Column | str) -> Column:
+    """A bit vector from bytes, at least one."""
+    v = _col(raw)
+    return F.when(F.octet_length(v) == 0, F.raise_error(F.lit("a vector has one byte at least")).cast("binary")).otherwise(v)
+
+
 def quantize_int8(v: Column | str) -> Column:
     """Elements of a unit-range vector as int8: truncated steps of 2/255 from -1, clamped; NaN is 127."""
 

@@ -30,19 +30,24 @@ def contains_folded(column: Column, query: str) -> Column:
     return F.contains(F.translate(column, upper, lower), F.lit(query.translate(str.maketrans(upper, lower))))
 
 
-def search_works(work: DataFrame, work_creator: DataFrame, creator: DataFrame, query: str, limit: int = 100) -> DataFrame:
-    """Works whose title, subtitle or any author contains the query, by title; all works for a blank one.
+def matching_works(work: DataFrame, work_creator: DataFrame, creator: DataFrame, query: str) -> DataFrame:
+    """Works whose title, subtitle or any author contains the query, in no order; all works for a blank one.
 
     The matching authors come first: the join is then a semi-join on their works.
     """
     query = query.strip()
-    if query:
-        by_author = work_creator.join(creator.where(contains_folded(F.col("name"), query)), "creator_id").select("work_id").distinct()
-        own = contains_folded(F.col("title"), query)
-        if "subtitle" in work.columns:
-            own = own | F.coalesce(contains_folded(F.col("subtitle"), query), F.lit(False))
-        work = work.join(by_author.withColumn("_by", F.lit(True)), "work_id", "left").where(own | F.col("_by")).drop("_by")
-    return work.orderBy("title", "work_id").limit(limit)
+    if not query:
+        return work
+    by_author = work_creator.join(creator.where(contains_folded(F.col("name"), query)), "creator_id").select("work_id").distinct()
+    own = contains_folded(F.col("title"), query)
+    if "subtitle" in work.columns:
+        own = own | F.coalesce(contains_folded(F.col("subtitle"), query), F.lit(False))
+    return work.join(by_author.withColumn("_by", F.lit(True)), "work_id", "left").where(own | F.col("_by")).drop("_by")
+
+
+def search_works(work: DataFrame, work_creator: DataFrame, creator: DataFrame, query: str, limit: int = 100) -> DataFrame:
+    """The first of matching_works by title."""
+    return matching_works(work, work_creator, creator, query).orderBy("title", "work_id").limit(limit)
 
 
 def overview(document: DataFrame, edition: DataFrame, work: DataFrame, authors: DataFrame) -> DataFrame:
@@ -93,8 +98,10 @@ def rebase(path: Column | str, old: str, new: str) -> Column:
     return F.when(under(c, old), F.concat(F.lit(new), F.substring(c, len(old) + 1, 1 << 30))).otherwise(c)
 
 
-def reading_order(annotations: DataFrame, page: str = "page", created: str = "date_created", *ties: str) -> DataFrame:
-    return annotations.orderBy(F.asc_nulls_last(page), created, *ties)
+def reading_order(annotations: DataFrame, page: str = "page", created: str = "date_created", *ties: str, document: str = "document_id") -> DataFrame:
+    """annotations with their place in the reading of their document: by page, those without one last, then as they were made."""
+    order = Window.partitionBy(document).orderBy(F.asc_nulls_last(page), created, *ties)
+    return annotations.withColumn("place", F.row_number().over(order))
 
 
 # Changes of curation state.

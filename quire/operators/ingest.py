@@ -77,9 +77,14 @@ def pending(pages: DataFrame, indexed: DataFrame, keys: Sequence[str]) -> DataFr
     return pages.join(indexed.select(*keys), list(keys), "left_anti")
 
 
+def pending_documents(document: DataFrame) -> DataFrame:
+    """Documents to extract, in no order."""
+    return document.where(~F.col("is_extracted") & F.col("format").isin(*EXTRACTABLE))
+
+
 def pending_extraction(document: DataFrame) -> DataFrame:
     """Documents to extract, by file name."""
-    return document.where(~F.col("is_extracted") & F.col("format").isin(*EXTRACTABLE)).orderBy("file_name", "document_id")
+    return pending_documents(document).orderBy("file_name", "document_id")
 
 
 #: What goes when the row goes that it names: table, key, named table.

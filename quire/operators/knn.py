@@ -7,14 +7,17 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.functions import vector as V
 
 MAX_K, MAX_DIMENSION = 4_096, 8_192
 #: Distances are compared and returned with so many decimals, ties by key.
 DECIMALS = 6
-#: Queries sent to the tasks at once.
-QUERY_BLOCK = 1_024
+#: Queries multiplied at once, and kept rows of all queries that one pass over the base holds in a task.
+QUERY_BLOCK, PASS_ROWS = 1_024, 1 << 20
+#: Base rows multiplied at once.
+BASE_ROWS = 1_024
 
 
 def _check_k(k: int) -> None:
@@ -39,8 +42,9 @@ def knn(
     where: a predicate on other columns, pushed into the scan; ids: keys to which
     the search is restricted, a list or a table with the key column;
     distance_range: pairs of >, >=, <, <= and a bound. All of them apply before
-    the top k. Ties go to the least key. The rest of the columns is fetched for
-    the winners only as far as the caller asks for them.
+    the top k. Ties go to the least key. A row without a vector, or with a null
+    in it, has no distance and is never a neighbour. The rest of the columns is
+    fetched for the winners only as far as the caller asks for them.
     """
     _check_k(k)
     if len(query) > MAX_DIMENSION:
@@ -51,33 +55,41 @@ def knn(
         df = df.join(ids.select(key), key, "left_semi")
     elif ids is not None:
         df = df.where(F.col(key).isin(list(ids)))
-    df = df.withColumn("distance", F.round(V.distance_to(metric, vector, query), decimals) + 0.0)
+    df = df.where(F.col(vector).isNotNull()).withColumn("distance", F.round(V.distance_to(metric, vector, query), decimals) + 0.0)
     for op, bound in distance_range:
         d = F.col("distance")
         if op not in (">", ">=", "<", "<="):
             raise ValueError(f"{op} is no range operator")
         df = df.where({">": d > bound, ">=": d >= bound, "<": d < bound, "<=": d <= bound}[op])
-    return df.orderBy("distance", key).limit(k)
+    return df.orderBy(F.asc_nulls_last("distance"), key).limit(k).where("distance is not null")
 
 
 def knn_batch(queries: DataFrame, base: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", decimals: int = DECIMALS) -> DataFrame:
     """(query_key, key, distance, rank): the k nearest base rows (l2) of each query.
 
-    The queries go to the tasks in blocks of QUERY_BLOCK; each task multiplies
-    its batches with the block and keeps k rows a query, so what is shuffled is k
-    rows for each query and task, whatever the size of base.
+    A pass over base takes as many queries as keep PASS_ROWS rows, in blocks of
+    QUERY_BLOCK, each a broadcast. A task multiplies its rows with each block and
+    keeps the best k rows a query from its first row to its last, so what is
+    shuffled is k rows for each query and task, whatever the size of base.
+    Products only choose candidates; distances are those of differences, so a
+    vector's distance from itself is 0. Rows without a vector, or with a null in
+    it, are neither queries nor neighbours.
     """
     _check_k(k)
     spark = base.sparkSession
+    whole = lambda df, c: df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(c, vector)
+    queries, base = whole(queries, query_key), whole(base, key)
     kinds = {f.name: f.dataType.simpleString() for f in (*queries.select(query_key).schema, *base.select(key).schema)}
     schema = f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, distance double"
     parts = []
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    for i in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == i).select(query_key, vector).collect()
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
-        parts.append(base.select(key, vector).mapInArrow(_nearest(shared, k, decimals, (query_key, key)), schema))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    together = max(1, PASS_ROWS // (QUERY_BLOCK * max(k, 1)))
+    for first in range(0, blocks, together):
+        shared = []
+        for i in range(first, min(first + together, blocks)):
+            rows = queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == i).collect()  # about QUERY_BLOCK
+            shared.append(spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64))))
+        parts.append(base.mapInArrow(_nearest(shared, k, decimals, (query_key, key), to_arrow_type(queries.schema[query_key].dataType)), schema))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -85,18 +97,59 @@ def knn_batch(queries: DataFrame, base: DataFrame, k: int, query_key: str = "que
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _nearest(shared, k: int, decimals: int, names: tuple[str, str]):
+class Best:
+    """The k least (distance, key) of each query of a block so far."""
+
+    def __init__(self, names: list, q: np.ndarray, k: int, decimals: int):
+        self.names, self.q, self.k, self.decimals, self.size = names, q, k, decimals, (q * q).sum(1) if len(q) else q
+        self.query, self.distance, self.keys = np.empty(0, np.intp), np.empty(0), np.empty(0, object)
+        self.bound = np.full(len(names), np.inf)
+
+    def add(self, keys: np.ndarray, x: np.ndarray) -> None:
+        if not len(self.names) or not self.k:
+            return
+        size = (x * x).sum(1)
+        guess = self.size[:, None] + size - 2 * self.q @ x.T
+        # What rounding of the products may hide, and of the distances.
+        wrong = 8 * (x.shape[1] + 2) * np.finfo(float).eps * (self.size[:, None] + size)
+        if x.shape[0] > self.k:
+            least = np.sqrt(np.maximum(np.partition(guess + wrong, self.k - 1, axis=1)[:, self.k - 1], 0)) + 10.0**-self.decimals
+            bound = np.minimum(self.bound, least)
+        else:
+            bound = self.bound
+        i, j = np.nonzero(guess - wrong <= (bound * bound)[:, None])
+        d = np.concatenate([np.sqrt(((self.q[i[a : a + 65_536]] - x[j[a : a + 65_536]]) ** 2).sum(1)) for a in range(0, len(i), 65_536)] or [np.empty(0)])
+        self.query, self.distance, self.keys = np.concatenate((self.query, i)), np.concatenate((self.distance, np.round(d, self.decimals))), np.concatenate((self.keys, keys[j]))
+        if len(self.query) > 4 * self.k * len(self.names):
+            self.cut()
+
+    def cut(self) -> None:
+        order = np.lexsort((np.unique(self.keys, return_inverse=True)[1], self.distance, self.query)) if len(self.keys) else np.empty(0, np.intp)
+        self.query, self.distance, self.keys = self.query[order], self.distance[order], self.keys[order]
+        n = np.bincount(self.query, minlength=len(self.names))
+        rank = np.arange(len(self.query)) - np.repeat(np.cumsum(n) - n, n)
+        last = rank == self.k - 1
+        self.bound[self.query[last]] = self.distance[last] + 10.0**-self.decimals
+        self.query, self.distance, self.keys = self.query[rank < self.k], self.distance[rank < self.k], self.keys[rank < self.k]
+
+
+def _nearest(shared, k: int, decimals: int, names: tuple[str, str], query_kind: pa.DataType):
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, q = shared.value
+        best, kind, dimension = [Best(*s.value, k, decimals) for s in shared], None, None
         for b in batches:
-            if not b.num_rows or not len(keys) or not k:
-                continue
-            x = np.array(b.column(1).to_pylist(), np.float64)
-            d = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T
-            d = np.round(np.sqrt(np.maximum(d, 0)), decimals)
-            own = np.argsort(np.array(b.column(0).to_pylist()), kind="stable")
-            order = own[np.argsort(d[:, own], axis=1, kind="stable")[:, :k]]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x in keys for _ in range(order.shape[1])], b.schema.field(0).type), b.column(0).take(pa.array(order.ravel())), pa.array(np.take_along_axis(d, order, 1).ravel())], names=[*names, "distance"])
+            kind = b.schema.field(0).type
+            for at in range(0, b.num_rows, BASE_ROWS):
+                part = b.slice(at, BASE_ROWS)
+                keys = np.empty(part.num_rows, object)
+                keys[:] = part.column(0).to_pylist()
+                flat, dimension = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64), len(part.column(1)[0])
+                x = flat.reshape(part.num_rows, dimension)
+                for own in best:
+                    own.add(keys, x)
+        for own in best:
+            own.cut()
+            if len(own.query):
+                yield pa.RecordBatch.from_arrays([pa.array([own.names[i] for i in own.query.tolist()], query_kind), pa.array(own.keys.tolist(), kind), pa.array(own.distance)], names=[*names, "distance"])
 
     return nearest
 
@@ -118,7 +171,10 @@ class VectorTable:
 
     Tables are Parquet folders, partitioned by the partition columns, so that a
     predicate on these reads their folders only. Changes write a new version
-    beside the old one; readers see one or the other.
+    beside the old one; readers see one or the other, and the version before
+    stays for those that have begun. A writer claims its version by a file that
+    only one can create, so of two writers at once the later fails and changes
+    nothing. A claim that a dead driver has left is to be deleted by hand.
     """
 
     TYPES = {"float": "array<float>", "int8": "array<tinyint>", "bit": "binary"}
@@ -138,7 +194,7 @@ class VectorTable:
         store = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not store.exists(base):
             return []
-        return sorted(int(s.getPath().getName()[1:]) for s in store.listStatus(base) if store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+        return sorted(int(s.getPath().getName()[1:]) for s in store.listStatus(base) if s.getPath().getName().startswith("v") and store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
 
     def read(self) -> DataFrame:
         versions = self._versions()
@@ -147,8 +203,19 @@ class VectorTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{versions[-1]}")
 
     def _write(self, df: DataFrame) -> None:
-        at = (self._versions() or [0])[-1] + 1
-        df.write.partitionBy(*self.partition).parquet(f"{self.path}/v{at}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        known = self._versions()
+        at = (known or [0])[-1] + 1
+        claim = path(f"{self.path}/_claim-v{at}")
+        store = claim.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not store.createNewFile(claim):
+            raise RuntimeError(f"another writer changes {self.path}")
+        try:
+            df.write.mode("overwrite").partitionBy(*self.partition).parquet(f"{self.path}/v{at}")
+        finally:
+            store.delete(claim, False)
+        for old in known[:-1]:
+            store.delete(path(f"{self.path}/v{old}"), True)
 
     def checked(self, rows: DataFrame) -> DataFrame:
         """The rows in the declared types; wrong dimensions and absent metadata are errors."""
@@ -199,5 +266,5 @@ class VectorTable:
         if self.kind == "bit":
             _check_k(k)
             df = self.read() if options.get("where") is None else self.read().where(options["where"])
-            return df.withColumn("distance", V.hamming("embedding", F.lit(bytes(query)))).orderBy("distance", self.key).limit(k)
+            return df.withColumn("distance", V.hamming("embedding", F.lit(bytes(query)))).orderBy(F.asc_nulls_last("distance"), self.key).limit(k).where("distance is not null")
         return knn(self.read(), query, k, self.metric, key=self.key, **options)

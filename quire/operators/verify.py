@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.text import fold, normalized
 
+from .fulltext import of_works
+
 LEAST_QUOTE = 8
+# The form of a citation's marker and the names of the verdicts.
 MARKER = r'\[\[cite:([0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12})\|p=(\d+)(?:\|"([^"\n]{0,300})")?\]\]'
 VERDICTS = ("valid", "invalidSource", "pageOutOfRange", "quoteNotFound", "foundElsewhere", "noTextAvailable")
 
@@ -20,6 +23,11 @@ def extract_citations(messages: DataFrame, text: str = "text") -> DataFrame:
     return rows.where("page is not null")
 
 
+def cited_titles(document: DataFrame, edition: DataFrame, work: DataFrame) -> DataFrame:
+    """(document_id, title) of the documents that can be cited: those with an edition and a work."""
+    return of_works(document, edition, work).select("document_id", "title")
+
+
 def verify_citations(citations: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
     """citations with (verdict, title, at_page).
 
@@ -75,23 +83,40 @@ def rendered(messages: DataFrame, checked: DataFrame, message: str = "message_id
     return messages.join(marks, message, "left").withColumn(text, out).drop("marks")
 
 
+#: Words of a quote that make a key, and characters where it has too few words.
+KEY_WORDS, KEY_CHARS = 3, 3
+
+
 def locate_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """(quote_id, document_id, page_number) of every page that contains a quote, whatever the document.
 
-    quotes: (quote_id, quote); pages: (document_id, page_number, content). The
-    first words of a quote as one key select the pages to test, so the join is on
-    equal keys and no page meets every quote.
+    quotes: (quote_id, quote); pages: (document_id, page_number, content). A
+    quote's second to fourth words are a key that its pages have too (the first
+    may be cut on the page). A quote with fewer words has its rarest run of
+    KEY_CHARS characters as a key. Keys and page numbers are joined, on equal keys; texts
+    are fetched for the pages that come out of it.
     """
-    n = 3
-    grams = lambda c, least: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(least))), lambda i: F.xxhash64(F.array_join(F.slice(c, i, n), " ")))
-    q = quotes.withColumn("needle", normalized("quote")).where("needle != ''").withColumn("w", F.split("needle", " "))
-    p = pages.withColumn("folded", normalized("content")).withColumn("w", F.split("folded", " "))
-    whole = q.where(F.size("w") >= n + 2).select("quote_id", "needle", F.xxhash64(F.array_join(F.slice("w", 2, n), " ")).alias("gram"))  # the first word may be cut on the page
-    keyed = p.where(F.size("w") >= n).select("document_id", "page_number", "folded", F.explode(F.array_distinct(grams("w", 1))).alias("gram")).join(whole, "gram")
-    found = keyed.where(F.contains("folded", F.col("needle"))).select("quote_id", "document_id", "page_number")
-    short = q.where(F.size("w") < n + 2).select("quote_id", "needle")  # a stated set of short quotes against all pages
-    few = p.select("document_id", "page_number", "folded").join(short, F.contains("folded", F.col("needle"))).select("quote_id", "document_id", "page_number")
-    return found.unionByName(few).distinct()
+    at, grams = ("document_id", "page_number"), "transform(sequence(1, greatest(size(w) - {0} + 1, 1)), i -> xxhash64(array_join(slice(w, i, {0}), ' ')))".format(KEY_WORDS)
+    q = quotes.select("quote_id", normalized("quote").alias("needle")).where("needle != ''").withColumn("w", F.split("needle", " "))
+    p = pages.select(*at, normalized("content").alias("folded"))
+    whole = q.where(F.size("w") >= KEY_WORDS + 2).select("quote_id", F.xxhash64(F.array_join(F.slice("w", 2, KEY_WORDS), " ")).alias("gram"))
+    keyed = p.withColumn("w", F.split("folded", " ")).select(*at, F.explode(F.array_distinct(F.expr(grams))).alias("gram"))
+    found = keyed.join(whole, "gram").select("quote_id", *at)
+
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - KEY_CHARS + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(KEY_CHARS))))
+    short = q.where(F.size("w") < KEY_WORDS + 2).select("quote_id", "needle")
+    asked = short.where(F.length("needle") >= KEY_CHARS).select("quote_id", F.explode(runs("needle")).alias("run"))
+    tiny = short.where(F.length("needle") < KEY_CHARS).select("quote_id", F.col("needle").alias("run"))
+    # Only runs that a quote asks for are counted and joined; those of one or two characters are looked for as such.
+    of_size = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(n))))
+    parts = lambda c: F.concat(runs(c), *[of_size(c, n) for n in range(1, KEY_CHARS)])
+    wanted = asked.select("run").union(tiny.select("run")).distinct()
+    held = p.where("folded != ''").select(*at, F.explode(F.array_distinct(parts(F.col("folded")))).alias("run")).join(wanted, "run", "left_semi")
+    often = held.groupBy("run").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, "run", "left").groupBy("quote_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run"))["run"].alias("run"))
+    found = found.unionByName(held.join(rarest.unionByName(tiny), "run").select("quote_id", *at)).distinct()
+    there = found.join(p, list(at)).join(q.select("quote_id", "needle"), "quote_id")
+    return there.where(F.contains("folded", F.col("needle"))).select("quote_id", *at)
 
 
 def resolve_annotations(annotations: DataFrame, pages: DataFrame) -> DataFrame:

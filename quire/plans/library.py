@@ -6,15 +6,16 @@ creators, line items editions, documents the files and page texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import catalog, ingest, verify
+from quire.operators import catalog, fulltext, hybrid, ingest, verify
 from quire.operators.scanning import spread
 from quire.streaming import folds
 
-from .registry import literal, query, table
-from .texts import BARE, LATIN, NORMAL
+from .registry import literal, query, scratch, table
+from .texts import BARE, LATIN, NORMAL, TERMS, bm25_sql, snippet_sql
+from .vectors import L2, embeddings, query_vector
 
 WC = "(SELECT l_partkey AS work_id, l_suppkey AS creator_id, min(l_linenumber) AS position FROM lineitem GROUP BY l_partkey, l_suppkey)"
 AUTHORS = f"(SELECT work_id, array_to_string(list(s_name ORDER BY position, s_name), '; ') AS authors, list(s_name ORDER BY position, s_name)[1] AS first FROM {WC} JOIN supplier ON s_suppkey = creator_id GROUP BY work_id)"
@@ -61,9 +62,8 @@ _DOC = f"(SELECT d.doc_id AS document_id, CASE WHEN d.doc_id % 3 <> 0 THEN d.doc
 @query(f"""SELECT p_partkey AS work_id, p_name AS title FROM part WHERE contains(lower(p_name), 'ar') OR p_partkey IN (SELECT work_id FROM {WC} JOIN supplier ON s_suppkey = creator_id WHERE contains(lower(s_name), '#000000007'))
 ORDER BY title, work_id LIMIT 100""")
 def catalog_search(spark, d):
-    by_title = catalog.search_works(_works(spark, d), _work_creators(spark, d), _creators(spark, d), " AR ", 1 << 30)
-    by_name = catalog.search_works(_works(spark, d), _work_creators(spark, d), _creators(spark, d), "#000000007", 1 << 30)
-    return by_title.union(by_name).distinct().orderBy("title", "work_id").limit(100)
+    found = [catalog.matching_works(_works(spark, d), _work_creators(spark, d), _creators(spark, d), q) for q in (" AR ", "#000000007")]
+    return found[0].union(found[1]).distinct().orderBy("title", "work_id").limit(100)
 
 
 @query("SELECT p_partkey AS work_id, p_name AS title FROM part ORDER BY title, work_id LIMIT 100")
@@ -76,9 +76,12 @@ def authors_by_work(spark, d):
     return _authors(spark, d).select("work_id", F.array_join("authors", "; ").alias("authors"))
 
 
+def _editions_of(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("edition_id")).agg(F.min("l_partkey").alias("work_id"), F.year(F.min("l_shipdate")).cast("string").alias("year"))
+
+
 def _overview(spark, d):
-    edition = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("edition_id")).agg(F.min("l_partkey").alias("work_id"), F.year(F.min("l_shipdate")).cast("string").alias("year"))
-    return catalog.overview(_documents(spark, d).select("document_id", "edition_id", "status"), edition, _works(spark, d), _authors(spark, d))
+    return catalog.overview(_documents(spark, d).select("document_id", "edition_id", "status"), _editions_of(spark, d), _works(spark, d), _authors(spark, d))
 
 
 @query(f"""WITH e AS (SELECT l_orderkey AS edition_id, min(l_partkey) AS work_id, CAST(year(min(l_shipdate)) AS VARCHAR) AS year FROM lineitem GROUP BY l_orderkey)
@@ -123,6 +126,37 @@ def _pages(spark, d):
     return docs.select(F.col("doc_id").alias("document_id"), F.posexplode(T.paginate("text")).alias("n", "content")).select("document_id", (F.col("n") + 1).alias("page_number"), "content")
 
 
+_PAGE_KEYS, _SOURCE = "document_id, page_number", f"(SELECT doc_id AS document_id, page_number, content FROM {_PAGES})"
+_OF_WORKS = f"(SELECT document_id, work_id, title FROM {_DOC} JOIN (SELECT l_orderkey AS edition_id, min(l_partkey) AS work_id FROM lineitem GROUP BY l_orderkey) USING (edition_id) JOIN (SELECT p_partkey AS work_id, p_name AS title FROM part) USING (work_id))"
+_LEXICAL = f"SELECT document_id, page_number, score, work_id, title FROM ({bm25_sql('in thin', None, _SOURCE, _PAGE_KEYS, 'content')}) JOIN {_OF_WORKS} USING (document_id) ORDER BY score DESC, document_id, page_number LIMIT 40"
+_SHOWN = snippet_sql("in thin", f"(SELECT * FROM {_SOURCE} WHERE (document_id, page_number) IN (SELECT (document_id, page_number) FROM lex))", _PAGE_KEYS, "content")
+
+
+def _catalog(spark, d):
+    return _documents(spark, d), _editions_of(spark, d), _works(spark, d), _work_creators(spark, d), _creators(spark, d)
+
+
+@query(f"""WITH lex AS ({_LEXICAL}), shown AS ({_SHOWN})
+SELECT document_id, page_number, score, snippet, title, coalesce(authors, '') AS authors FROM lex JOIN shown USING (document_id, page_number) LEFT JOIN {AUTHORS} USING (work_id)""")
+def passage_search(spark, d):
+    """Pages by their words, with work, authors and the passage itself."""
+    return fulltext.search_passages(_pages(spark, d), *_catalog(spark, d), "in thin").withColumn("authors", F.array_join("authors", "; "))
+
+
+@query(f"""WITH lex AS ({_LEXICAL}), shown AS ({_SHOWN}),
+q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+near AS (SELECT vec_id AS document_id, 1 AS page_number, round({L2}, 4) AS distance FROM embeddings, q ORDER BY distance, vec_id LIMIT 40),
+ranks AS (SELECT document_id, page_number, row_number() OVER (ORDER BY score DESC, document_id, page_number) AS r FROM lex UNION ALL SELECT document_id, page_number, row_number() OVER (ORDER BY distance, document_id) FROM near),
+fused AS (SELECT document_id, page_number, round(sum(1.0::DOUBLE / (60 + r)), 8) AS score FROM ranks GROUP BY document_id, page_number ORDER BY score DESC, document_id, page_number LIMIT 20)
+SELECT f.document_id, f.page_number, f.score, w.title, coalesce(authors, '') AS authors, coalesce(snippet, substr(content, 1, 220), '') AS excerpt
+FROM fused f JOIN {_OF_WORKS} w USING (document_id) LEFT JOIN shown USING (document_id, page_number) LEFT JOIN {_SOURCE} p ON p.document_id = f.document_id AND p.page_number = f.page_number LEFT JOIN {AUTHORS} USING (work_id)""")
+def hybrid_pages(spark, d):
+    """Pages by words and by vectors, fused and shown with their works."""
+    vectors = embeddings(spark, d).select(F.col("vec_id").alias("document_id"), F.lit(1).alias("page_number"), "embedding")
+    hits = hybrid.search_pages(_pages(spark, d), vectors, *_catalog(spark, d), "in thin", query_vector(spark, d))
+    return hits.withColumn("authors", F.array_join("authors", "; "))
+
+
 @query(f"SELECT doc_id AS document_id, page_number FROM {_PAGES} WHERE NOT (page_number = 1 AND doc_id IN (SELECT vec_id FROM embeddings))")
 def pending_pages(spark, d):
     indexed = table(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit(1).alias("page_number"))
@@ -204,11 +238,11 @@ def path_rebase(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), catalog.rebase(path, "/old/src1", "/new/place/").alias("path"))
 
 
-@query("SELECT event_id, CAST(row_number() OVER (ORDER BY page ASC NULLS LAST, ts, event_id) AS INTEGER) AS place FROM (SELECT event_id, ts, CASE WHEN event_type <> 'view' THEN user_id END AS page FROM events WHERE event_id < 500)")
+@query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY page ASC NULLS LAST, ts, event_id) AS INTEGER) AS place FROM (SELECT event_id, user_id, ts, CASE WHEN event_type <> 'view' THEN event_id % 50 END AS page FROM events)")
 def annotation_order(spark, d):
-    rows = table(spark, d, "events").where("event_id < 500").withColumn("page", F.when(F.col("event_type") != "view", F.col("user_id")))
-    # The order itself is catalog.reading_order; a result set has none, so the places are returned.
-    return rows.select("event_id", F.row_number().over(Window.orderBy(F.asc_nulls_last("page"), "ts", "event_id")).alias("place"))
+    """Events as annotations of their user's document."""
+    rows = table(spark, d, "events").withColumn("page", F.when(F.col("event_type") != "view", F.col("event_id") % 50))
+    return catalog.reading_order(rows, "page", "ts", "event_id", document="user_id").select("event_id", "place")
 
 
 # Curation.
@@ -267,8 +301,8 @@ def quote_locate(spark, d):
 
 
 def _citations(spark, d):
-    """Citations of each fifth document: a quote from some page, on a page that may be wrong or out of range."""
-    docs = table(spark, d, "documents").where("doc_id % 5 = 0")
+    """A citation of each document: a quote from some page, on a page that may be wrong or out of range."""
+    docs = table(spark, d, "documents")
     return docs.select(
         F.col("doc_id").alias("citation_id"),
         F.when(F.col("doc_id") % 35 == 0, F.col("doc_id") + 1_000_000).otherwise(F.col("doc_id")).alias("document_id"),
@@ -277,40 +311,40 @@ def _citations(spark, d):
     )
 
 
-_CIT = "(SELECT doc_id AS citation_id, CASE WHEN doc_id % 35 = 0 THEN doc_id + 1000000 ELSE doc_id END AS document_id, CAST(CASE WHEN doc_id % 25 = 0 THEN 99 WHEN doc_id % 20 = 0 THEN 2 ELSE 1 END AS INTEGER) AS page, CASE WHEN doc_id % 15 = 0 THEN 'no such words in it' WHEN doc_id % 10 = 0 THEN ' a ' ELSE substr(text, 1, 60) END AS quote FROM documents WHERE doc_id % 5 = 0)"
+_CIT = "(SELECT doc_id AS citation_id, CASE WHEN doc_id % 35 = 0 THEN doc_id + 1000000 ELSE doc_id END AS document_id, CAST(CASE WHEN doc_id % 25 = 0 THEN 99 WHEN doc_id % 20 = 0 THEN 2 ELSE 1 END AS INTEGER) AS page, CASE WHEN doc_id % 15 = 0 THEN 'no such words in it' WHEN doc_id % 10 = 0 THEN ' a ' ELSE substr(text, 1, 60) END AS quote FROM documents)"
 
 
-@query(f"""WITH c AS (SELECT *, {NORMAL.format('quote')} AS needle FROM {_CIT}),
+@query(f"""WITH c AS (SELECT *, {NORMAL.format('quote')} AS needle FROM {_CIT}), t AS (SELECT document_id FROM {_OF_WORKS}),
 p AS (SELECT doc_id, page_number, {NORMAL.format('content')} AS folded FROM {_PAGES}),
 x AS (SELECT c.citation_id, any_value(c.document_id) AS document_id, any_value(c.page) AS page, any_value(c.needle) AS needle, max(p.page_number) AS last_page, bool_or(p.page_number = c.page AND contains(folded, needle)) AS on_page,
 min(CASE WHEN p.page_number <> c.page AND contains(folded, needle) THEN p.page_number END) AS elsewhere FROM c LEFT JOIN p ON p.doc_id = c.document_id GROUP BY c.citation_id),
-v AS (SELECT *, CASE WHEN last_page IS NULL THEN 'invalidSource' WHEN page > last_page THEN 'pageOutOfRange' WHEN length(needle) < 8 OR on_page THEN 'valid' WHEN elsewhere IS NOT NULL THEN 'foundElsewhere' ELSE 'quoteNotFound' END AS verdict FROM x)
+v AS (SELECT *, CASE WHEN document_id NOT IN (SELECT document_id FROM t) THEN 'invalidSource' WHEN last_page IS NULL THEN 'noTextAvailable' WHEN page > last_page THEN 'pageOutOfRange' WHEN length(needle) < 8 OR on_page THEN 'valid' WHEN elsewhere IS NOT NULL THEN 'foundElsewhere' ELSE 'quoteNotFound' END AS verdict FROM x)
 SELECT citation_id, verdict, CAST(CASE verdict WHEN 'foundElsewhere' THEN elsewhere WHEN 'pageOutOfRange' THEN last_page END AS INTEGER) AS at_page FROM v""")
 def citation_verify(spark, d):
-    titles = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("title"))
+    titles = verify.cited_titles(*_catalog(spark, d)[:3])
     return verify.verify_citations(_citations(spark, d), titles, _pages(spark, d)).select("citation_id", "verdict", "at_page")
 
 
 _FOLD = rf"trim(regexp_replace(translate(lower({{0}}), '{LATIN}', '{BARE}'), '\s+', ' ', 'g'))"
 
 
-@query(f"""WITH a AS (SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 1 ELSE 7 END AS INTEGER) AS page, substr(text, 4100, 30) AS quote, substr(text, 4090, 10) AS prefix, substr(text, 4130, 10) AS suffix FROM documents WHERE length(text) > 2000),
+@query(f"""WITH a AS (SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 1 ELSE 7 END AS INTEGER) AS page, substr(text, 4100, 30) AS quote, substr(text, 4090, 10) AS prefix, substr(text, 4130, 10) AS suffix FROM documents),
 f AS (SELECT *, {_FOLD.format('quote')} AS needle, {_FOLD.format('prefix || quote || suffix')} AS context FROM a),
 p AS (SELECT doc_id, page_number, {_FOLD.format('content')} AS folded FROM {_PAGES}),
 h AS (SELECT f.doc_id, bool_or(page_number = page) AS still, min(CASE WHEN contains(folded, context) THEN page_number END) AS in_context, min(page_number) AS first FROM f JOIN p ON f.doc_id = p.doc_id WHERE needle <> '' AND contains(folded, needle) GROUP BY f.doc_id)
 SELECT f.doc_id AS annotation_id, CASE WHEN first IS NULL THEN 'lost' WHEN coalesce(still, false) OR page IS NULL THEN 'found' ELSE 'moved' END AS kind,
 CAST(CASE WHEN first IS NULL THEN NULL WHEN coalesce(still, false) THEN page ELSE coalesce(in_context, first) END AS INTEGER) AS to_page FROM f LEFT JOIN h USING (doc_id)""")
 def annotation_resolve(spark, d):
-    docs = table(spark, d, "documents").where(F.length("text") > 2000)
+    docs = table(spark, d, "documents")
     page = F.when(F.col("doc_id") % 3 == 1, 1).when(F.col("doc_id") % 3 == 2, 7)
     notes = docs.select(F.col("doc_id").alias("annotation_id"), F.col("doc_id").alias("document_id"), page.alias("page"), F.substring("text", 4100, 30).alias("quote"), F.substring("text", 4090, 10).alias("prefix"), F.substring("text", 4130, 10).alias("suffix"))
     return verify.resolve_annotations(notes, _pages(spark, d)).select("annotation_id", "kind", "to_page")
 
 
-@query(f"""WITH f AS (SELECT doc_id, {_FOLD.format('text')} AS page, {_FOLD.format('substr(text, 100, 20)')} AS q FROM documents WHERE length(text) > 200), a AS (SELECT *, instr(page, q) AS place FROM f)
+@query(f"""WITH f AS (SELECT doc_id, {_FOLD.format('text')} AS page, {_FOLD.format('substr(text, 100, 20)')} AS q FROM documents), a AS (SELECT *, instr(page, q) AS place FROM f)
 SELECT doc_id, CASE WHEN place > 0 AND q <> '' THEN nullif(substr(page, greatest(place - 48, 1), place - greatest(place - 48, 1)), '') END AS prefix, CASE WHEN place > 0 AND q <> '' THEN nullif(substr(page, place + length(q), 48), '') END AS suffix FROM a""")
 def quote_context(spark, d):
-    docs = table(spark, d, "documents").where(F.length("text") > 200)
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", T.quote_context(F.substring("text", 100, 20), "text").alias("c")).select("doc_id", "c.prefix", "c.suffix")
 
 
@@ -334,9 +368,12 @@ def citation_render(spark, d):
     return verify.rendered(answers, checked)
 
 
-@query("SELECT event_id AS message_id, '- [wrong_page] « T »: page 9, not ' || user_id || chr(10) || '- [wrong_page] « T »: page 9, not 3' AS feedback FROM events WHERE event_id % 2 = 0")
+@query("""SELECT event_id AS message_id, CASE event_id % 8 WHEN 0 THEN '- [wrong_page] « T »: page 9, not ' || user_id || chr(10) || '- [wrong_page] « T »: page 9, not 3' WHEN 2 THEN '- [page_out_of_range] « T » has 9 pages, not ' || user_id || chr(10) || '- [page_out_of_range] « T » has 9 pages, not 3'
+WHEN 4 THEN '- [quote_not_found] « ' || event_type || ' » isn''t in « T »' || chr(10) || '- [quote_not_found] «  » isn''t in « T »' ELSE '- [unknown_source] no document 00000000-0000-4000-8000-' || lpad(CAST(event_id AS VARCHAR), 12, '0') || chr(10) || '- [unknown_source] no document 00000000-0000-4000-8000-' || lpad(CAST(event_id AS VARCHAR), 12, '0') END AS feedback FROM events WHERE event_id % 2 = 0""")
 def citation_feedback(spark, d):
-    checked = verify.extract_citations(_answers(spark, d)).withColumns({"verdict": F.lit("foundElsewhere"), "title": F.lit("T"), "at_page": F.lit(9)})
+    """All four lines of feedback, in turn."""
+    verdicts = F.array(*map(F.lit, ("foundElsewhere", "pageOutOfRange", "quoteNotFound", "invalidSource")))
+    checked = verify.extract_citations(_answers(spark, d)).withColumns({"verdict": F.get(verdicts, (F.col("message_id") % 8 / 2).cast("int")), "title": F.lit("T"), "at_page": F.lit(9)})
     return verify.feedback(checked)
 
 
@@ -358,26 +395,55 @@ def stream_fold(spark, d):
     return folded.select("stream_id", "text", F.get("calls", F.lit(0))["name"].alias("name"), F.get("calls", F.lit(0))["arguments"].alias("arguments"))
 
 
-@query("SELECT conv_id AS stream_id, coalesce(string_agg(text, '' ORDER BY turn), '') AS text, bool_or(turn = 1) AS is_done FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS stream_id, coalesce(string_agg(text, '' ORDER BY turn), '') AS text, bool_or(turn = 1) AS is_done, string_agg('t' || turn || ':search:' || '{\"turn\": ' || turn || '}', ';' ORDER BY turn) AS calls FROM conversations GROUP BY conv_id")
 def stream_fold_blocks(spark, d):
+    """Each turn as a text delta and a call in three events, and the end of the message."""
     turns = table(spark, d, "conversations")
-    delta = F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.lit(0).alias("index"), F.struct(F.lit("text_delta").alias("type"), F.col("text").alias("text")).alias("delta")))
+    event = lambda type_, index, **parts: F.to_json(F.struct(F.lit(type_).alias("type"), index.alias("index"), *[F.struct(*[v.alias(k) for k, v in p.items()]).alias(n) for n, p in parts.items()]))
+    at, zero = (F.col("turn") + 1).cast("int"), F.lit(0)
+    delta = event("content_block_delta", zero, delta={"type": F.lit("text_delta"), "text": F.col("text")})
+    opened = event("content_block_start", at, content_block={"type": F.lit("tool_use"), "id": F.concat(F.lit("t"), F.col("turn").cast("string")), "name": F.lit("search")})
+    piece = lambda text: event("content_block_delta", at, delta={"type": F.lit("input_json_delta"), "partial_json": text})
+    events = F.array(*[F.struct((4 * F.col("turn") + i).cast("long").alias("seq"), p.alias("payload")) for i, p in enumerate((delta, opened, piece(F.lit('{"turn": ')), piece(F.concat(F.col("turn").cast("string"), F.lit("}")))))])
+    rows = turns.select(F.col("conv_id").alias("stream_id"), F.inline(events))
     stop = turns.where("turn = 1").select(F.col("conv_id").alias("stream_id"), F.lit(1 << 40).alias("seq"), F.lit('{"type":"message_stop"}').alias("payload"))
-    rows = turns.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), delta.alias("payload")).unionByName(stop)
-    return folds.fold_blocks(rows).select("stream_id", "text", "is_done")
+    calls = F.array_join(F.transform("calls", lambda c: F.concat_ws(":", c["id"], c["name"], c["arguments"])), ";")
+    return folds.fold_blocks(rows.unionByName(stop)).select("stream_id", "text", "is_done", calls.alias("calls"))
+
+
+def _with_calls(spark, d):
+    """Conversations in which each assistant's turn makes a call and each later one of a user is preceded by its answer."""
+    turns = table(spark, d, "conversations").withColumn("turn", 2 * F.col("turn"))
+    call = F.array(F.struct(F.concat(F.lit("c"), F.col("turn").cast("string")).alias("id"), F.lit("search").alias("name"), F.concat(F.lit('{"turn":'), F.col("turn").cast("string"), F.lit("}")).alias("arguments")))
+    said = turns.withColumns({"tool_calls": F.when(F.col("role") == "assistant", call), "tool_call_id": F.lit(None).cast("string")})
+    answers = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("tool").alias("role"), F.concat(F.lit("found by "), F.col("turn").cast("string")).alias("text"), F.lit(None).cast(folds.CALLS).alias("tool_calls"), F.concat(F.lit("c"), F.col("turn").cast("string")).alias("tool_call_id"))
+    return said.select("conv_id", "turn", "role", "text", "tool_calls", "tool_call_id").unionByName(answers)
+
+
+_SAID = "(SELECT conv_id, 2 * turn AS turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT conv_id, 2 * turn + 1, 'tool', 'found by ' || 2 * turn FROM conversations WHERE role = 'assistant')"
+_SPEC = {"name": "search", "description": "Finds passages.", "parameters": {"type": "object"}}
 
 
-@query("SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+@query(f"SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles, sha256(string_agg(text, chr(10) ORDER BY turn)) AS texts, string_agg(CASE role WHEN 'assistant' THEN 'c' || turn || '/search/{{\"turn\":' || turn || '}}' WHEN 'tool' THEN 'c' || turn - 1 ELSE '' END, ',' ORDER BY turn) AS calls, 'search' AS tools FROM {_SAID} GROUP BY conv_id")
 def chat_payload(spark, d):
-    body = folds.chat_payload(table(spark, d, "conversations"), "m")
-    back = F.from_json(F.get_json_object("payload", "$.messages"), "array<struct<role:string,content:string>>")
-    return body.select("conv_id", F.size(back).cast("long").alias("n"), F.array_join(F.transform(back, lambda m: m["role"]), ",").alias("roles"))
+    """Request bodies, read back: roles, texts, calls and the calls that results answer."""
+    body = folds.chat_payload(_with_calls(spark, d), "m", tools=[_SPEC])
+    back = F.from_json(F.get_json_object("payload", "$.messages"), "array<struct<role:string,content:string,tool_call_id:string,tool_calls:array<struct<id:string,function:struct<name:string,arguments:string>>>>>")
+    call = lambda m: F.concat_ws("/", m["tool_calls"][0]["id"], m["tool_calls"][0]["function"]["name"], m["tool_calls"][0]["function"]["arguments"])
+    said = lambda m: F.when(m["tool_calls"].isNotNull(), call(m)).otherwise(F.coalesce(m["tool_call_id"], F.lit("")))
+    joined = lambda fn, by: F.array_join(F.transform("back", fn), by)
+    return body.withColumn("back", back).select("conv_id", F.size("back").cast("long").alias("n"), joined(lambda m: m["role"], ",").alias("roles"), F.sha2(joined(lambda m: m["content"], "\n"), 256).alias("texts"), joined(said, ",").alias("calls"), F.get_json_object("payload", "$.tools[0].function.name").alias("tools"))
 
 
-@query("SELECT conv_id, CAST(count(*) FILTER (WHERE role <> 'system') AS INTEGER) AS n FROM conversations GROUP BY conv_id")
+@query(f"""SELECT conv_id, CAST(count(*) FILTER (WHERE role <> 'system') AS INTEGER) AS n, arg_min(text, turn) FILTER (WHERE role = 'system') AS system, string_agg(CASE role WHEN 'tool' THEN 'user:tool_result:c' || turn - 1 || ':' || text WHEN 'assistant' THEN 'assistant:' || CASE WHEN text <> '' THEN 'text:' || text || ';' ELSE '' END || 'tool_use:c' || turn || ':search:' || turn ELSE role || ':' || text END, chr(10) ORDER BY turn) FILTER (WHERE role <> 'system') AS said FROM {_SAID} GROUP BY conv_id""")
 def block_payload(spark, d):
-    body = folds.block_payload(table(spark, d, "conversations"), "m")
-    return body.select("conv_id", F.size(F.from_json(F.get_json_object("payload", "$.messages"), "array<struct<role:string>>")).alias("n"))
+    """Request bodies of the other dialect, read back block by block."""
+    body = folds.block_payload(_with_calls(spark, d), "m", tools=[_SPEC])
+    blocks = lambda c: F.from_json(c, "array<struct<type:string,text:string,id:string,name:string,input:struct<turn:string>,tool_use_id:string,content:string>>")
+    block = lambda b: F.when(b["type"] == "text", F.concat(F.lit("text:"), b["text"])).when(b["type"] == "tool_use", F.concat_ws(":", b["type"], b["id"], b["name"], b["input"]["turn"])).otherwise(F.concat_ws(":", b["type"], b["tool_use_id"], b["content"]))
+    message = lambda m: F.concat(m["role"], F.lit(":"), F.when(F.startswith(m["content"], F.lit('[{"')), F.array_join(F.transform(blocks(m["content"]), block), ";")).otherwise(m["content"]))
+    back = F.from_json(F.get_json_object("payload", "$.messages"), "array<struct<role:string,content:string>>")
+    return body.withColumn("back", back).select("conv_id", F.size("back").alias("n"), F.get_json_object("payload", "$.system").alias("system"), F.array_join(F.transform("back", message), "\n").alias("said"))
 
 
 SUMMARIES = [('{"query":"kant"}', "kant"), ('{"highlight":"x","page":3}', "x"), ('{"page":4}', "page 4"), ("{}", "")]
@@ -397,13 +463,7 @@ def event_windows(spark, d):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, d):
     """The first row of each key, through a stream over the table's files."""
-    from tempfile import mkdtemp
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{mkdtemp(prefix='quire-')}"
-    import uuid
-
-    run = f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
-    kept = table(spark, d, "events")
+    run, kept = scratch(spark), table(spark, d, "events")
     stream = spark.readStream.schema(kept.schema).parquet(f"{d}/events.parquet*")
     folds.run_to_end(stream.select("user_id", "event_type"), folds.idempotent_append(f"{run}/out", ["user_id", "event_type"]), f"{run}/state")
-    return spark.read.parquet(f"{run}/out")
+    return folds.read_appended(spark, f"{run}/out")

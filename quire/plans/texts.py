@@ -78,52 +78,60 @@ def paginate(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.paginate("text")).alias("n", "content")).select("doc_id", (F.col("n") + 1).alias("page_number"), "content")
 
 
-def _bm25_sql(query_text: str, limit: int = 40) -> str:
+def bm25_sql(query_text: str, limit: int | None = 40, source: str = "documents", keys: str = "doc_id", text: str = "text") -> str:
     terms = T.match_terms(query_text)
     hit = lambda i: f"starts_with(w, '{terms[i]}')" if i == len(terms) - 1 else f"w = '{terms[i]}'"
     tf = ", ".join(f"len(list_filter(words, lambda w: {hit(i)}))::DOUBLE AS tf{i}" for i in range(len(terms)))
     df = ", ".join(f"sum(CASE WHEN tf{i} > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS df{i}" for i in range(len(terms)))
     score = " + ".join(f"greatest(1e-6, ln((n - df{i} + 0.5) / (df{i} + 0.5))) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(terms)))
-    return f"""WITH words AS (SELECT doc_id, {DOC_TOKENS} AS words FROM documents),
-c AS (SELECT doc_id, len(words)::DOUBLE AS dl, {tf} FROM words),
+    return f"""WITH words AS (SELECT {keys}, {TOKENS.format(text)} AS words FROM {source}),
+c AS (SELECT {keys}, len(words)::DOUBLE AS dl, {tf} FROM words),
 s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, {df} FROM c)
-SELECT doc_id, round({score}, 6) AS score FROM c, s WHERE {' AND '.join(f'tf{i} > 0' for i in range(len(terms)))} ORDER BY score DESC, doc_id LIMIT {limit}"""
+SELECT {keys}, round({score}, 6) AS score FROM c, s WHERE {' AND '.join(f'tf{i} > 0' for i in range(len(terms)))}""" + (f" ORDER BY score DESC, {keys} LIMIT {limit}" if limit is not None else "")
 
 
-@query(_bm25_sql("worthless the"))
+def snippet_sql(query_text: str, source: str = "documents", keys: str = "doc_id", text: str = "text") -> str:
+    """(keys, snippet): the best window of twelve words."""
+    terms, word = T.match_terms(query_text), r"'[\p{L}\p{M}\p{N}]+'"
+    fits = [f"starts_with(w, '{t}')" if i == len(terms) - 1 else f"w = '{t}'" for i, t in enumerate(terms)]
+    different = " + ".join(f"CAST(len(list_filter(own, lambda i: {f.replace('(w,', '(words[i],').replace('w =', 'words[i] =')})) > 0 AS INTEGER)" for f in fits)
+    return f"""WITH words AS (SELECT {keys}, {TOKENS.format(text)} AS words, regexp_extract_all({text}, {word}) AS raw, regexp_split_to_array({text}, {word}) AS gaps FROM {source}),
+found AS (SELECT *, list_filter(range(1, len(words) + 1), lambda i: list_contains(list_transform([words[i]], lambda w: {' OR '.join(fits)}), true)) AS hits FROM words),
+start AS (SELECT *, unnest(hits) AS place FROM found),
+win AS (SELECT *, list_filter(hits, lambda i: i >= place AND i < place + 12) AS own FROM start),
+best AS (SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {different} DESC, len(own) DESC, place) = 1)
+SELECT {keys}, CASE WHEN place = 1 THEN gaps[1] ELSE '…' END || array_to_string(list_transform(range(place, least(place + 11, len(raw)) + 1), lambda i: CASE WHEN i > place THEN gaps[i] ELSE '' END || CASE WHEN list_contains(hits, i) THEN '«' || raw[i] || '»' ELSE raw[i] END), '')
+|| CASE WHEN place + 11 < len(raw) THEN '…' ELSE gaps[len(raw) + 1] END AS snippet FROM best"""
+
+
+@query(bm25_sql("worthless the"))
 def fts_bm25(spark, d):
     return fulltext.bm25(table(spark, d, "documents"), "worthless the")
 
 
-@query(_bm25_sql(TERMS))
+@query(bm25_sql(TERMS))
 def fts_prefix(spark, d):
     return fulltext.bm25(table(spark, d, "documents"), f'"{TERMS}*" : (^)')
 
 
-@query(_bm25_sql(TERMS))
+@query(bm25_sql(TERMS))
 def fts_indexed(spark, d):
     docs = table(spark, d, "documents")
     return fulltext.bm25_indexed(fulltext.postings(docs), fulltext.lengths(docs), TERMS)
 
 
-@query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({DOC_TOKENS}) AS term FROM documents) GROUP BY doc_id, term) GROUP BY term HAVING count(*) >= 20")
+@query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({DOC_TOKENS}) AS term FROM documents) GROUP BY doc_id, term) GROUP BY term")
 def fts_statistics(spark, d):
     index = fulltext.postings(table(spark, d, "documents"))
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 20")
-
-
-_HIT = "(starts_with(w, 'thin') OR w = 'worthless')"
+    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-@query(f"""WITH words AS (SELECT doc_id, {DOC_TOKENS} AS words FROM documents),
-h AS (SELECT doc_id, words, list_position(list_transform(words, lambda w: {_HIT}), true) - 1 AS place FROM words)
-SELECT doc_id, CASE WHEN place > 0 THEN '…' ELSE '' END || array_to_string(list_transform(words[place + 1:place + 12], lambda w: CASE WHEN {_HIT} THEN '«' || w || '»' ELSE w END), ' ') || CASE WHEN place + 12 < len(words) THEN '…' ELSE '' END AS snippet
-FROM h WHERE place >= 0""")
+@query(snippet_sql(TERMS))
 def snippet(spark, d):
     return fulltext.snippet(table(spark, d, "documents"), TERMS)
 
 
-@query(rf"""WITH lex AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({_bm25_sql(TERMS)})),
+@query(rf"""WITH lex AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({bm25_sql(TERMS)})),
 q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
 near AS (SELECT vec_id AS doc_id, round({L2}, 4) AS distance FROM embeddings, q ORDER BY distance, vec_id LIMIT 40),
 sem AS (SELECT doc_id, row_number() OVER (ORDER BY distance, doc_id) AS r FROM near),

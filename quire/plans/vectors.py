@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quire.functions import vector as V
 from quire.operators import knn as K
 
-from .registry import query, table
+from .registry import query, scratch, table
 
 IDS = tuple(range(0, 400, 7))
-PAIRS = "SELECT a.vec_id, unnest(range(0, 64)) AS pos, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 10 = 0"
+PAIRS = "SELECT a.vec_id, unnest(range(0, 64)) AS pos, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
 
 
 def embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +74,19 @@ def knn_metadata_filter(spark, d):
 
 @query(_knn_sql(L2, where="label > 5 AND label <> 7"))
 def knn_partition(spark, d):
-    return _near(spark, d, where=(F.col("label") > 5) & (F.col("label") != 7))
+    """A stored table with partitions, of which those that the predicate excludes aren't read."""
+    t = K.VectorTable(spark, scratch(spark), 64, key="vec_id bigint", partition=["label int"])
+    t.upsert(embeddings(spark, d).select("vec_id", "embedding", F.col("label").cast("int").alias("label")))
+    return t.search(query_vector(spark, d), 10, decimals=4, where=(F.col("label") > 5) & (F.col("label") != 7)).select("vec_id", "distance")
+
+
+@query(_knn_sql(L2, where="vec_id IN (SELECT doc_id FROM documents WHERE lang > 'de' AND lang <> 'fr' AND source >= 'src1')"))
+def knn_text_metadata(spark, d):
+    """Text metadata, compared in plain byte order."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source")
+    own = embeddings(spark, d).join(docs, "vec_id")
+    near = K.knn(own, query_vector(spark, d), 10, decimals=4, where=(F.col("lang") > "de") & (F.col("lang") != "fr") & (F.col("source") >= "src1"))
+    return near.select("vec_id", "distance")
 
 
 @query(_knn_sql(L2, where=f"vec_id IN ({', '.join(map(str, IDS))})"))
@@ -115,9 +127,9 @@ def vector_point(spark, d):
 
 
 def _pairs(spark, d) -> DataFrame:
-    """Every tenth vector with the next: (vec_id, x, y)."""
+    """Every vector with the next: (vec_id, x, y)."""
     e = embeddings(spark, d)
-    left = e.where("vec_id % 10 = 0").select("vec_id", F.col("embedding").alias("x"))
+    left = e.select("vec_id", F.col("embedding").alias("x"))
     return left.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
 
 
@@ -135,10 +147,11 @@ def vec_sub(spark, d):
     return _spread(_pairs(spark, d), V.sub("x", "y")).withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
-@query("""SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(embedding[pos + 1]::DOUBLE / n, 5) + 0.0 AS value
-FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS pos, sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))) AS n FROM embeddings WHERE vec_id % 10 = 0)""")
+@query("""SELECT vec_id, CAST(pos AS INTEGER) AS pos, round((embedding[pos + 1]::DOUBLE / n)::FLOAT::DOUBLE, 5) + 0.0 AS value
+FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS pos, sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))) AS n FROM embeddings)""")
 def vec_normalize(spark, d):
-    return _spread(embeddings(spark, d).where("vec_id % 10 = 0"), V.normalize("embedding")).withColumn("value", F.round(F.col("value").cast("double"), 5) + 0.0)
+    """The elements are single-precision numbers, as those of the vectors are."""
+    return _spread(embeddings(spark, d), V.normalize("embedding")).withColumn("value", F.round(F.col("value").cast("double"), 5) + 0.0)
 
 
 @query("SELECT vec_id, CAST(pos AS INTEGER) AS pos, CAST(embedding[pos + 9] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest(range(0, 16)) AS pos FROM embeddings)")
@@ -195,13 +208,30 @@ def mean_pool(spark, d):
     return pooled.select("label", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.round(F.col("value").cast("double"), 4) + 0.0)
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings")
+@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label, round(CAST(embedding[1] AS DOUBLE), 5) AS first FROM embeddings WHERE vec_id % 7 <> 0")
 def vector_upsert(spark, d):
-    """Rows whose key is known replace it; the last of a key wins."""
-    e = embeddings(spark, d).select("vec_id", "label")
-    changed = e.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100)
-    old = e.where("vec_id % 3 != 0 OR vec_id < 100")
-    return old.join(changed.select("vec_id"), "vec_id", "left_anti").unionByName(changed)
+    """A stored table: rows go in, known keys are replaced, the last of a key wins, some keys go again."""
+    t = K.VectorTable(spark, scratch(spark), 64, key="vec_id bigint", metadata=["label int"])
+    e = embeddings(spark, d).select("vec_id", F.col("label").cast("int").alias("label"), "embedding")
+    t.upsert(e)
+    changed = e.where("vec_id % 3 = 0").withColumn("n", F.explode(F.array(F.lit(50), F.lit(100))))
+    t.upsert(changed.withColumn("label", F.col("label") + F.col("n")), order=F.col("n"))
+    t.delete(e.where("vec_id % 7 = 0").select("vec_id"))
+    return t.read().select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+
+
+@query("""SELECT vec_id, list_sum(list_transform(embedding, lambda v: CAST(greatest(-128, least(127, trunc(v::DOUBLE * 10))) AS BIGINT))) AS total FROM embeddings""")
+def vec_construct_int8(spark, d):
+    """int8 vectors from JSON text; numbers out of range are errors."""
+    text = F.to_json(F.transform("embedding", lambda v: F.greatest(F.lit(-128), F.least(F.lit(127), (v.cast("double") * 10).cast("int")))))
+    return embeddings(spark, d).select("vec_id", F.aggregate(V.int8(text), F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding[1:16], lambda v: CASE WHEN v > 0 THEN '1' ELSE '0' END), ',') || ']' AS bits FROM embeddings")
+def vec_construct_bit(spark, d):
+    """Bit vectors from bytes, shown as JSON, lowest bit first."""
+    raw = V.quantize_binary(F.slice("embedding", 1, 16))
+    return embeddings(spark, d).select("vec_id", V.bits_to_json(V.bit(raw)).alias("bits"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))), 5) AS size FROM embeddings")

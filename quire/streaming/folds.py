@@ -8,9 +8,9 @@ of seq; on unbounded streams the same aggregate runs on each trigger's state.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CHOICES = "choices array<struct<delta:struct<content:string,tool_calls:array<struct<index:int,id:string,function:struct<name:string,arguments:string>>>>>>"
 BLOCKS = "type string, index int, content_block struct<type:string,id:string,name:string>, delta struct<type:string,text:string,partial_json:string>"
@@ -56,27 +56,68 @@ def fold_blocks(fragments: DataFrame, stream: str = "stream_id", seq: str = "seq
     return text.join(_calls(calls, stream), stream, "left").withColumn("calls", F.coalesce("calls", F.expr(NO_CALLS)))
 
 
-def chat_payload(messages: DataFrame, model: str, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """(conversation, payload): request bodies with all messages in order."""
-    own = F.struct(F.col(turn).alias("t"), F.struct("role", F.col("text").alias("content")).alias("m"))
-    ordered = messages.groupBy(conversation).agg(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["m"]).alias("messages"))
-    return ordered.select(conversation, F.to_json(F.struct(F.lit(model).alias("model"), F.lit(True).alias("stream"), "messages")).alias("payload"))
+CALLS = "array<struct<id:string,name:string,arguments:string>>"
 
 
-def block_payload(messages: DataFrame, model: str, conversation: str = "conv_id", turn: str = "turn", max_tokens: int = 4096) -> DataFrame:
-    """(conversation, payload) of the other dialect: the first system message apart, tool results as user messages."""
-    content = F.when(F.col("role") == "tool", F.to_json(F.array(F.struct(F.lit("tool_result").alias("type"), F.col("text").alias("content"))))).when(F.col("role") == "assistant", F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))).otherwise(F.to_json(F.struct(F.col("text").alias("v"))))
-    plain = ~F.col("role").isin("tool", "assistant")
-    raw = F.when(plain, F.expr("substring(_c, 6, length(_c) - 6)")).otherwise(F.col("_c"))
-    said = F.when(F.col("role") == "tool", "user").otherwise(F.col("role"))
-    line = F.concat(F.lit('{"role":"'), said, F.lit('","content":'), raw, F.lit("}"))
-    rows = messages.withColumn("_c", content)
-    system = F.min_by(F.when(F.col("role") == "system", F.col("text")), F.when(F.col("role") == "system", F.col(turn)))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") != "system", F.struct(F.col(turn).alias("t"), line.alias("l"))))), lambda x: x["l"]), ",")
-    body = rows.groupBy(conversation).agg(system.alias("system"), ordered.alias("lines"))
-    head = F.concat(F.lit(f'{{"model":"{model}","max_tokens":{max_tokens},"stream":true,"messages":['), "lines", F.lit("]"))
-    tail = F.when(F.col("system").isNotNull(), F.concat(F.lit(',"system":'), F.expr("substring(to_json(struct(system as v)), 6, length(to_json(struct(system as v))) - 6)"))).otherwise("")
-    return body.select(conversation, F.concat(head, tail, F.lit("}")).alias("payload"))
+def _messages(messages: DataFrame) -> DataFrame:
+    """Messages with the columns tool_calls and tool_call_id, empty where they lack them."""
+    absent = {"tool_calls": F.lit(None).cast(CALLS), "tool_call_id": F.lit(None).cast("string")}
+    return messages.withColumns({c: v for c, v in absent.items() if c not in messages.columns})
+
+
+def _json(text: Column, otherwise: str) -> Column:
+    """JSON text as a value; something else where it isn't JSON."""
+    return F.coalesce(F.try_parse_json(text), F.parse_json(F.lit(otherwise)))
+
+
+def _as_value(c: Column) -> Column:
+    """An array or struct as a value of any shape, its nulls left out."""
+    return F.parse_json(F.to_json(c))
+
+
+def _tools(tools: Sequence[dict], shape: Callable[[dict], dict]) -> Column:
+    """The tools (name, description, parameters) as a dialect writes them; null where there are none."""
+    return F.parse_json(F.lit(json.dumps([shape(t) for t in tools]))) if tools else F.lit(None).cast("variant")
+
+
+def _ordered(message: Column, turn: str) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.to_json(message).alias("m")))), lambda x: F.parse_json(x["m"]))
+
+
+def chat_payload(messages: DataFrame, model: str, conversation: str = "conv_id", turn: str = "turn", tools: Sequence[dict] = ()) -> DataFrame:
+    """(conversation, payload): request bodies with all messages in order, the calls that an assistant made and the call that a result answers.
+
+    messages: (conversation, turn, role, text[, tool_calls, tool_call_id]), tool_calls as CALLS.
+    """
+    rows = _messages(messages)
+    call = lambda c: F.struct(c["id"].alias("id"), F.lit("function").alias("type"), F.struct(c["name"].alias("name"), c["arguments"].alias("arguments")).alias("function"))
+    calls = F.when(F.size("tool_calls") > 0, F.transform("tool_calls", call))
+    message = F.struct("role", F.coalesce("text", F.lit("")).alias("content"), calls.alias("tool_calls"), "tool_call_id")
+    listed = _tools(tools, lambda t: {"type": "function", "function": {"name": t["name"], "description": t["description"], "parameters": t["parameters"]}})
+    body = rows.groupBy(conversation).agg(_ordered(message, turn).alias("messages"))
+    return body.select(conversation, F.to_json(F.struct(F.lit(model).alias("model"), F.lit(True).alias("stream"), "messages", listed.alias("tools"))).alias("payload"))
+
+
+def block_payload(messages: DataFrame, model: str, conversation: str = "conv_id", turn: str = "turn", max_tokens: int = 4096, tools: Sequence[dict] = ()) -> DataFrame:
+    """(conversation, payload) of the other dialect: the first system message apart, an assistant's text and calls as blocks, tool results as user messages.
+
+    Arguments that aren't JSON become an empty object.
+    """
+    rows, text = _messages(messages), F.coalesce("text", F.lit(""))
+    none = F.lit(None).cast("string")
+    block = lambda type_, text=none, id_=none, name=none, input_=None, answers=none, content=none: F.struct(F.lit(type_).alias("type"), text.alias("text"), id_.alias("id"), name.alias("name"), (F.lit(None).cast("variant") if input_ is None else input_).alias("input"), answers.alias("tool_use_id"), content.alias("content"))
+    said = F.filter(F.array(block("text", text)), lambda _: text != "")
+    called = F.transform(F.coalesce("tool_calls", F.expr(f"cast(array() as {CALLS})")), lambda c: block("tool_use", id_=c["id"], name=c["name"], input_=_json(c["arguments"], "{}")))
+    result = F.array(block("tool_result", answers=F.coalesce("tool_call_id", F.lit("")), content=text))
+    content = F.when(F.col("role") == "tool", _as_value(result)).when(F.col("role") == "assistant", _as_value(F.concat(said, called))).otherwise(text.cast("variant"))
+    message = F.struct(F.when(F.col("role") == "tool", "user").otherwise(F.col("role")).alias("role"), content.alias("content"))
+    is_system = F.col("role") == "system"
+    system = F.min_by(F.when(is_system, F.col("text")), F.when(is_system, F.col(turn)))
+    rows = rows.select(conversation, turn, "role", "text", message.alias("message"))
+    spoken = F.transform(F.array_sort(F.collect_list(F.when(~is_system, F.struct(F.col(turn).alias("t"), F.to_json("message").alias("m"))))), lambda x: F.parse_json(x["m"]))
+    listed = _tools(tools, lambda t: {"name": t["name"], "description": t["description"], "input_schema": t["parameters"]})
+    body = rows.groupBy(conversation).agg(system.alias("system"), spoken.alias("messages"))
+    return body.select(conversation, F.to_json(F.struct(F.lit(model).alias("model"), F.lit(max_tokens).alias("max_tokens"), F.lit(True).alias("stream"), "messages", "system", listed.alias("tools"))).alias("payload"))
 
 
 def call_summary(arguments: Column) -> Column:
@@ -105,50 +146,79 @@ def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+#: Parts of a sink's table, by a hash of the keys.
+PARTS = 64
+
+
 def idempotent_append(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A sink that appends the rows whose keys the table lacks; repeating a batch changes nothing."""
+    """A sink that appends the rows whose keys the table lacks; repeating a batch changes nothing.
+
+    The table is partitioned by a hash of the keys, `_part`; a batch reads the
+    keys of the parts that it falls into. read_appended() gives the rows.
+    """
 
     def sink(batch: DataFrame, _: int) -> None:
         from pyspark.errors import AnalysisException
 
-        rows = batch.dropDuplicates(keys)
+        spark = batch.sparkSession
+        rows = batch.dropDuplicates(keys).withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int"))
         try:
-            rows = rows.join(batch.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
+            known = spark.read.parquet(path).select(*keys, "_part")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        rows.write.mode("append").parquet(path)
+        else:
+            parts = [r[0] for r in rows.select("_part").distinct().collect()]  # PARTS at most
+            rows = rows.join(known.where(F.col("_part").isin(parts)).drop("_part"), keys, "left_anti")
+        rows.repartition("_part").write.mode("append").partitionBy("_part").parquet(path)
 
     return sink
 
 
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_part")
+
+
 STATE = "text string, calls string, is_done boolean"
+#: How long a stream's state is kept after its last fragment.
+PATIENCE_MS = 3_600_000
 
 
-def fold_stream(fragments: DataFrame, stream: str = "stream_id", seq: str = "seq") -> DataFrame:
+def fold_stream(fragments: DataFrame, stream: str = "stream_id", seq: str = "seq", patience_ms: int | None = PATIENCE_MS) -> DataFrame:
     """(stream, text, calls, is_done) after each trigger, for unbounded streams of fragments in either dialect.
 
-    The state of a stream is what has been folded so far, so fragments of one
-    trigger are taken in order of seq and later triggers add to it. calls is JSON
-    by index.
+    The state of a stream is its fragments by seq, so one that comes late takes
+    its place and one that comes twice counts once. It goes with its stream's
+    last fragment, or when none has come for patience_ms. Waiting means that
+    triggers go on without data; a query that is to end with its input takes
+    None, and keeps its state. calls is JSON by index.
     """
     kind = fragments.schema[stream].dataType.simpleString()
     rows = fragments.select(stream, seq, "payload").groupBy(stream)
-    return rows.applyInPandasWithState(_folder(stream, seq), f"{stream} {kind}, {STATE}", STATE, "update", "NoTimeout")
+    return rows.applyInPandasWithState(_folder(stream, seq, patience_ms), f"{stream} {kind}, {STATE}", "payloads string", "update", "NoTimeout" if patience_ms is None else "ProcessingTimeTimeout")
 
 
-def _folder(stream: str, seq: str):
+def _folder(stream: str, seq: str, patience_ms: int | None):
     import pandas as pd
 
     def fold(key, frames, state):
-        text, calls, done = ("", "{}", False) if not state.exists else state.get
-        found = json.loads(calls)
-        events = pd.concat(list(frames)).sort_values(seq)["payload"]
-        for payload in events:
-            added, done = fold_event(payload, found, done)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        payloads = json.loads(state.get[0]) if state.exists else {}
+        for frame in frames:
+            payloads |= {str(n): p for n, p in zip(frame[seq].tolist(), frame["payload"].tolist(), strict=True)}
+        text, calls, done = "", {}, False
+        for n in sorted(payloads, key=int):
+            added, done = fold_event(payloads[n], calls, done)
             text += added
-        state.update((text, json.dumps(found), done))
-        yield pd.DataFrame({stream: [key[0]], "text": [text], "calls": [json.dumps(found)], "is_done": [done]})
+        if done and state.exists:
+            state.remove()
+        elif not done:
+            state.update((json.dumps(payloads),))
+            if patience_ms is not None:
+                state.setTimeoutDuration(patience_ms)
+        yield pd.DataFrame({stream: [key[0]], "text": [text], "calls": [json.dumps(calls)], "is_done": [done]})
 
     return fold
 

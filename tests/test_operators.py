@@ -27,7 +27,37 @@ def test_knn_golden(spark):
 def test_knn_plan_is_a_top_k(spark, small):
     df = knn.knn(spark.read.parquet(f"{small}/embeddings.parquet"), [0.0] * 64, 5, where=F.col("label") == 3)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan and "PushedFilters: [IsNotNull(label), EqualTo(label,3)]" in plan
+    assert "TakeOrderedAndProject" in plan and "PushedFilters: [IsNotNull(label), EqualTo(label,3)" in plan
+
+
+def test_knn_without_vectors(spark):
+    """Rows without a vector, or with a null in it, are no neighbours."""
+    df = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [1.0, 5.0]), (4, [2.0, 0.0])], "vec_id int, embedding array<double>")
+    assert [r.vec_id for r in knn.knn(df, [1.0, 0.0], 4).collect()] == [4, 3]
+    found = knn.knn_batch(df.withColumnRenamed("vec_id", "query_id"), df, 3).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.distance) for r in found) == [(3, 1, 3, 0.0), (3, 2, 4, round(26**0.5, 6)), (4, 1, 4, 0.0), (4, 2, 3, round(26**0.5, 6))]
+    assert knn.knn_batch(df.where("vec_id < 3").withColumnRenamed("vec_id", "query_id"), df, 3).collect() == []
+
+
+@pytest.mark.parametrize("at", [0.0, 100.0, 1e6])
+def test_knn_batch_brute(spark, monkeypatch, at):
+    """Large values don't blur distances: each vector is at 0 from itself, ties go to the least key, whatever the batches."""
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(at, 1, (300, 16)), 3)
+    x[200:] = x[:100]
+    base = spark.createDataFrame([(f"k{i:03}", v.tolist()) for i, v in enumerate(x)], "vec_id string, embedding array<double>").repartition(3)
+    monkeypatch.setattr(knn, "BASE_ROWS", 17)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 40)
+    got = sorted((q.query_id, q["rank"], q.vec_id, q.distance) for q in knn.knn_batch(base.withColumnRenamed("vec_id", "query_id"), base, 5).collect())
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 6)
+    want = [(f"k{i:03}", n, f"k{j:03}", d[i, j]) for i in range(300) for n, j in enumerate(sorted(range(300), key=lambda j: (d[i, j], j))[:5], 1)]
+    assert got == want and all(g[3] == 0 for g in got if g[1] == 1)
+
+
+def test_knn_batch_is_one_pass(spark):
+    base = spark.createDataFrame([(i, [float(i)]) for i in range(50)], "vec_id bigint, embedding array<double>")
+    plan = knn.knn_batch(base.withColumnRenamed("vec_id", "query_id"), base, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
 
 
 def test_knn_batch_blocks(spark, monkeypatch):
@@ -66,11 +96,71 @@ def test_fulltext(spark):
     found = lambda q: [r.doc_id for r in fulltext.bm25(pages, q).collect()]
     assert found("verite") == [2] and found('"liberté*" : (^)') == [1] and found("xylo") == [2]
     assert found("liberté xylo") == [] and found("...") == []
-    assert fulltext.snippet(pages, "libert").first().snippet == "…«liberte» chez sartre"
+    assert fulltext.snippet(pages, "libert").first().snippet == "…«liberté» chez Sartre."
     index = fulltext.postings(pages)
     assert [r.doc_id for r in fulltext.bm25_indexed(index, fulltext.lengths(pages), "la xylo").collect()] == [2]
 
 
+@pytest.mark.parametrize("query", ["?!", "", "  ", "-- ..."])
+def test_searches_without_words(spark, query):
+    from quire.operators.tools import Toolbox
+
+    pages = spark.createDataFrame(FRENCH, "doc_id int, text string")
+    assert fulltext.bm25(pages, query).collect() == fulltext.snippet(pages, query).collect() == fulltext.bm25_indexed(fulltext.postings(pages), fulltext.lengths(pages), query).collect() == []
+    box = Toolbox(_pages(spark), spark.createDataFrame([("d", "T", "recognized")], "document_id string, title string, status string"))
+    assert box.execute("search_library", json.dumps({"query": query})) == "nothing found"
+
+
+def test_scripts(spark):
+    """Both sides of a search are folded alike, however a text was typed."""
+    import unicodedata
+
+    text = "Hello, World: l'Été! 한국 어 が नमस्ते Ёж"
+    pages = spark.createDataFrame([(1, text), (2, "か"), (3, None), (4, "")], "doc_id int, text string")
+    index = fulltext.postings(pages)
+    for query in ("ete", "ÉTÉ", "한국", "が", "नमस्ते", "ёж", "еж", "world hel"):
+        for typed in (query, unicodedata.normalize("NFD", query)):
+            assert [r.doc_id for r in fulltext.bm25(pages, typed).collect()] == [1], typed
+            assert [r.doc_id for r in fulltext.bm25_indexed(index, fulltext.lengths(pages), typed).collect()] == [1]
+    shown = lambda q: [r.snippet for r in fulltext.snippet(pages, q, words=3).collect()]
+    assert shown("한국") == ["…«한국» 어 が…"] and shown("hel") == ["«Hello», World: l…"] and shown("еж") == ["…«Ёж»"] and shown("ete") == ["…«Été»! 한국 어…"]
+
+
+def test_snippet_takes_the_best_window(spark):
+    pages = spark.createDataFrame([(1, "red " + "x " * 20 + "red blue. " + "y " * 20 + "red red Red"), (2, "\u0301 a red b")], "doc_id int, text string")
+    shown = {r.doc_id: r.snippet for r in fulltext.snippet(pages, "blue red", words=4).collect()}
+    assert shown == {1: "…«red» «blue». y y…", 2: "…«red» b"}
+
+
+CATALOG = {
+    "document": ([("d", "e1"), ("e", "e2"), ("f", None), ("g", "gone")], "document_id string, edition_id string"),
+    "edition": ([("e1", "w1"), ("e2", "w2")], "edition_id string, work_id string"),
+    "work": ([("w1", "Critique"), ("w2", "Sans auteur")], "work_id string, title string"),
+    "work_creator": ([("w1", "c1", 2), ("w1", "c2", 0)], "work_id string, creator_id string, position int"),
+    "creator": ([("c1", "Kant"), ("c2", "Barni")], "creator_id string, name string"),
+}
+
+
+def test_search_passages(spark):
+    """Hits carry passage, title and authors; documents without a work aren't hits, even of the limit."""
+    tables = [spark.createDataFrame(*CATALOG[n]) for n in ("document", "edition", "work", "work_creator", "creator")]
+    pages = spark.createDataFrame([*PAGES, ("e", 1, "La raison."), ("f", 1, "raison raison"), ("g", 1, "raison")], "document_id string, page_number int, content string")
+    hits = fulltext.search_passages(pages, *tables, "RAISON").collect()
+    assert {(r.document_id, r.page_number): (r.snippet, r.title, r.authors) for r in hits} == {
+        ("d", 1): ("Kant écrit que la «raison» pure examine ses limites."[:0] + "…«raison» pure examine ses limites.", "Critique", ["Barni", "Kant"]),
+        ("d", 3): ("…«raison» pure se dépasse elle-même.", "Critique", ["Barni", "Kant"]),
+        ("e", 1): ("…«raison».", "Sans auteur", []),
+    }
+    assert [r.score for r in hits] == sorted((r.score for r in hits), reverse=True) and len(fulltext.search_passages(pages, *tables, "raison", 1).collect()) == 1
+    assert fulltext.search_passages(pages, *tables, "?!").collect() == []
+    vectors = spark.createDataFrame([("d", 2, [1.0, 0.0]), ("f", 1, [1.0, 0.1]), ("e", 7, [0.9, 0.5]), ("d", 1, None)], "document_id string, page_number int, embedding array<float>")
+    both = hybrid.search_pages(pages, vectors, *tables, "raison", [1.0, 0.0]).collect()
+    assert {(r.document_id, r.page_number): r.excerpt for r in both} == {("d", 1): "…«raison» pure examine ses limites.", ("d", 3): "…«raison» pure se dépasse elle-même.", ("e", 1): "…«raison».", ("d", 2): PAGES[1][2], ("e", 7): ""}
+    assert both[0].score == round(1 / 61, 8) and {r.title for r in both} == {"Critique", "Sans auteur"}
+    assert hybrid.search_pages(pages, vectors, *tables, " ", [1.0, 0.0]).collect() == []
+    assert len(hybrid.search_pages(pages, vectors, *tables, "raison", None).collect()) == 3
+
+
 def test_fuse_breaks_ties_by_key(spark):
     a, b = (spark.createDataFrame([(k, 1)], "doc_id int, rank int") for k in (2, 1))
     assert [r.doc_id for r in hybrid.fuse([a, b], ["doc_id"]).collect()] == [1, 2]
@@ -249,10 +339,107 @@ def test_streams(spark, small, tmp_path):
     sink = folds.idempotent_append(f"file://{tmp_path}/out", ["event_id"])
     folds.run_to_end(stream().select("event_id", "user_id"), sink, f"file://{tmp_path}/state")
     sink(spark.read.parquet(f"{small}/events.parquet").select("event_id", "user_id"), 1)
-    out = spark.read.parquet(f"file://{tmp_path}/out")
+    out = folds.read_appended(spark, f"file://{tmp_path}/out")
+    assert out.columns == ["event_id", "user_id"]
     assert out.count() == out.select("event_id").distinct().count() == spark.read.parquet(f"{small}/events.parquet").count()
 
 
+SPEC = {"name": "search_library", "description": "Finds passages.", "parameters": {"type": "object", "properties": {"query": {"type": "string"}}, "required": ["query"]}}
+
+
+def test_payloads_with_tools(spark):
+    calls = [("c1", "search_library", '{"query": "kant"}'), ("c2", "library_stats", "not json")]
+    rows = [(1, 0, "system", "S", None, None), (1, 1, "user", "Q", None, None), (1, 2, "assistant", "", calls, None), (1, 3, "tool", "3 passages", None, "c1"), (1, 4, "system", "again", None, None), (2, 0, "user", None, None, None)]
+    df = spark.createDataFrame(rows, f"conv_id int, turn int, role string, text string, tool_calls {folds.CALLS}, tool_call_id string")
+    chat = {r.conv_id: json.loads(r.payload) for r in folds.chat_payload(df, "m", tools=[SPEC]).collect()}
+    assert chat[1] == {"model": "m", "stream": True, "tools": [{"type": "function", "function": SPEC}], "messages": [{"role": "system", "content": "S"}, {"role": "user", "content": "Q"}, {"role": "assistant", "content": "", "tool_calls": [{"id": i, "type": "function", "function": {"name": n, "arguments": a}} for i, n, a in calls]}, {"role": "tool", "content": "3 passages", "tool_call_id": "c1"}, {"role": "system", "content": "again"}]}
+    assert chat[2]["messages"] == [{"role": "user", "content": ""}] and "tools" not in json.loads(folds.chat_payload(df, "m").first().payload)
+    blocks = {r.conv_id: json.loads(r.payload) for r in folds.block_payload(df, "m", tools=[SPEC]).collect()}
+    assert blocks[1] == {"model": "m", "max_tokens": 4096, "stream": True, "system": "S", "tools": [{"name": SPEC["name"], "description": SPEC["description"], "input_schema": SPEC["parameters"]}], "messages": [{"role": "user", "content": "Q"}, {"role": "assistant", "content": [{"type": "tool_use", "id": "c1", "name": "search_library", "input": {"query": "kant"}}, {"type": "tool_use", "id": "c2", "name": "library_stats", "input": {}}]}, {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "c1", "content": "3 passages"}]}]}
+    assert "system" not in blocks[2] and blocks[2]["messages"] == [{"role": "user", "content": ""}]
+
+
+class Lines:
+    """A stand-in for a parser: pages after form feeds, an annotation a line that begins with a type."""
+
+    def pages(self, content):
+        if content.startswith(b"broken"):
+            raise RuntimeError("no pdf")
+        return content.decode().split("\f")
+
+    def info(self, content):
+        return {"title": "The fine title", "author": "Hannah Arendt"}
+
+    def annotations(self, content):
+        return [{"page": 1, "type": "Highlight", "quote": " second  words ", "note": " "}, {"page": 9, "type": "Text", "quote": "x", "note": "n"}, {"page": 1, "type": "Link", "quote": "x", "note": None}, {"page": 1, "type": "Underline", "quote": " ", "note": None}]
+
+
+def test_pdf_reader(spark):
+    long = "first second words and more " * 4
+    rows = [("/l/a.pdf", "a.pdf", "pdf", f"{long}\f \f{long}"), ("/l/s.pdf", "s.pdf", "pdf", "few\f"), ("/l/b.pdf", "b.pdf", "pdf", "broken"), ("/l/t.txt", "t.txt", "txt", "text"), ("/l/x.mobi", "x.mobi", "mobi", "x")]
+    own = spark.createDataFrame([(p, n, f, bytearray(c.encode())) for p, n, f, c in rows], "path string, file_name string, format string, content binary")
+    assert {(r.path, r.page_number) for r in files.extract(own, Lines()).collect()} == {("/l/a.pdf", 1), ("/l/a.pdf", 3), ("/l/t.txt", 1)}
+    guesses = {r.path: r.guess for r in files.repropose(own, Lines()).collect()}
+    assert (guesses["/l/a.pdf"].title, guesses["/l/a.pdf"].author) == ("The fine title", "Hannah Arendt") and guesses["/l/b.pdf"].confidence == "fallback" and len(guesses) == 5
+    notes = files.read_pdf_annotations(own.where("path = '/l/a.pdf'"), Lines()).collect()
+    assert [(r.page, r.quote, r.note, r.prefix) for r in notes] == [(1, "second words", None, "first "), (9, "x", "n", None)]
+    document = spark.createDataFrame([(p[3], f, p, n, p == "/l/t.txt") for p, n, f, _ in rows] + [("z", "pdf", "/l/gone.pdf", "gone.pdf", False), ("u", "txt", "/l/t.txt", "t.txt", False)], "document_id string, format string, file_path string, file_name string, is_extracted boolean")
+    outcome, pages = files.extract_pending(document, own.select("path", "content"), Lines())
+    assert {(r.document_id, r.is_extracted, r.needs_ocr, r.failed) for r in outcome.collect()} == {("a", True, False, False), ("s", True, True, False), ("b", False, False, True), ("z", False, False, True), ("u", True, False, False)}
+    assert {(r.document_id, r.page_number) for r in pages.collect()} == {("a", 1), ("a", 3), ("u", 1)}
+    without = {r.document_id: r.failed for r in files.extract_pending(document, own.select("path", "content"))[0].collect()}
+    assert without == {"a": True, "s": True, "b": True, "z": True, "u": False}
+    assert [r.document_id for r in ingest.pending_extraction(document).collect()] == ["a", "b", "z", "s", "u"]
+
+
+def test_hashes_in_blocks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(files, "HASHED", 7)
+    (tmp_path / "a.txt").write_bytes(b"x" * 100)
+    (tmp_path / "é b.txt").write_bytes(b"y")
+    got = {r.file_name: r.content_hash for r in files.scan(spark, f"file://{tmp_path}").collect()}
+    assert got == {"a.txt": hashlib.sha256(b"x" * 100).hexdigest(), "é b.txt": hashlib.sha256(b"y").hexdigest()}
+    assert files.content_hash(f"file://{tmp_path}/none") is None
+
+
+def test_two_writers(spark, tmp_path):
+    path = f"file://{tmp_path}/v"
+    t = knn.VectorTable(spark, path, 1, key="id string")
+    rows = lambda i: spark.createDataFrame([(i, [1.0])], "id string, embedding array<float>")
+    for i in "abc":
+        t.upsert(rows(i))
+    assert t.read().count() == 3 and len(t._versions()) == 2
+    (tmp_path / "v" / "_claim-v4").write_text("")
+    with pytest.raises(RuntimeError, match="another writer"):
+        t.upsert(rows("d"))
+    assert t.read().count() == 3
+
+
+def test_partitions_are_pruned(spark, tmp_path):
+    t = knn.VectorTable(spark, f"file://{tmp_path}/v", 1, key="id string", partition=["lang string"])
+    t.upsert(spark.createDataFrame([("a", [1.0], "fr"), ("b", [2.0], "en")], "id string, embedding array<float>, lang string"))
+    plan = t.search([1.0], 2, where=F.col("lang") != "fr")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(lang" in plan
+
+
+def test_reading_order(spark):
+    notes = spark.createDataFrame([("d", "a", None, 1), ("d", "b", 2, 5), ("d", "c", 2, 3), ("e", "x", None, 0)], "document_id string, annotation_id string, page int, date_created int")
+    assert {(r.annotation_id, r.place) for r in catalog.reading_order(notes).collect()} == {("c", 1), ("b", 2), ("a", 3), ("x", 1)}
+
+
+@pytest.mark.parametrize("quote", ["Kant", "a", "raison pure", "ison pu", "la raison pure", "que la raison pure examine ses", "ant écrit que la raison pu", "intuitions sans concepts", "nowhere at all", "zz", "é", "?"])
+def test_locate_quotes(spark, quote):
+    """As a substring of the folded page, without all pages meeting all quotes."""
+    quotes = spark.createDataFrame([("q", quote), ("r", quote)], "quote_id string, quote string")
+    found = verify.locate_quotes(quotes, _pages(spark))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    fold = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower().replace("é", "e").replace("ê", "e")).split())
+    want = {(q, d, n) for d, n, t in PAGES for q in "qr" if fold(quote) and fold(quote) in fold(t)}
+    assert {tuple(r) for r in found.collect()} == want
+
+
 def test_curation(spark):
     docs = spark.createDataFrame([("a", "e1", "x.y.pdf", "duplicateCandidate", "low"), ("b", "e2", "z.pdf", "needsReview", "low")], "document_id string, edition_id string, file_name string, status string, confidence string")
     merged = {r.document_id: r for r in catalog.merge(docs, docs.where("document_id = 'a'"), "e2").collect()}
@@ -269,7 +456,7 @@ def test_stateful_fold(spark, tmp_path):
     rows = lambda name, events, at: spark.createDataFrame([(name, at + i, e) for i, e in enumerate(events)], schema)
     name = f"f{uuid.uuid4().hex}"
     rows("a", CHOICES[:3], 0).unionByName(rows("b", BLOCKS[:4], 0)).write.parquet(str(source))
-    q = folds.fold_stream(spark.readStream.schema(schema).parquet(str(source))).writeStream.format("memory").queryName(name).outputMode("update").start()
+    q = folds.fold_stream(spark.readStream.schema(schema).parquet(str(source)), patience_ms=None).writeStream.format("memory").queryName(name).outputMode("update").start()
     q.processAllAvailable()
     rows("a", CHOICES[3:], 3).unionByName(rows("b", BLOCKS[4:], 4)).write.mode("append").parquet(str(source))
     q.processAllAvailable()
@@ -281,6 +468,35 @@ def test_stateful_fold(spark, tmp_path):
     assert last["b"][2] and json.loads(last["b"][1])["1"]["arguments"] == '{"query":"kant"}'
 
 
+def test_stateful_fold_late(spark, tmp_path):
+    """A fragment that comes late takes its place, one that comes twice counts once."""
+    schema, out = "stream_id string, seq int, payload string", []
+    text = lambda t: json.dumps({"choices": [{"delta": {"content": t}}]})
+    for rows in ([(2, "c"), (0, "a")], [(1, "b"), (2, "c"), (10, "d")]):
+        spark.createDataFrame([("s", n, text(t)) for n, t in rows], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        folded = folds.fold_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), patience_ms=None)
+        folded.writeStream.outputMode("update").foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert [r.text for r in out if r.text] == ["ac", "abcd"]
+
+
+def test_stateful_fold_forgets(spark, tmp_path):
+    """State goes when no fragment comes for the time given."""
+    import time
+
+    schema = "stream_id string, seq int, payload string"
+    spark.createDataFrame([("s", 0, CHOICES[0])], schema).write.parquet(f"{tmp_path}/in")
+    q = folds.fold_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), patience_ms=200).writeStream.format("memory").queryName(f"g{uuid.uuid4().hex}").outputMode("update").start()
+    kept = lambda: [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    try:
+        for _ in range(90):
+            if 1 in kept() and kept()[-1] == 0:
+                break
+            time.sleep(0.5)
+        assert 1 in kept() and kept()[-1] == 0
+    finally:
+        q.stop()
+
+
 class Lengths:
     model, dimension = "lengths", 2
 
@@ -307,10 +523,15 @@ def test_tools(spark):
 
     documents = spark.createDataFrame([("d", "T", "recognized")], "document_id string, title string, status string")
     box = Toolbox(_pages(spark), documents)
-    assert box.execute("search_library", '{"query": "intuitions"}') == "[d p. 2] T: …«intuitions» sans concepts sont aveugles"
+    assert box.execute("search_library", '{"query": "intuitions"}') == "[d p. 2] T: …«intuitions» sans concepts sont aveugles."
+    named = Toolbox(_pages(spark), documents.withColumn("authors", F.array(F.lit("Kant"), F.lit("Barni"))))
+    assert named.execute("search_library", '{"query": "intuitions"}').startswith("[d p. 2] T (Kant, Barni): ")
     assert box.execute("read_page", '{"document_id": "d", "page": 2}').startswith("Les intuitions")
     assert "no page" in box.execute("read_page", '{"document_id": "d", "page": 9}')
-    assert box.execute("open_document", '{"document_id": "d"}') == "opened « T »" and "no document" in box.execute("open_document", '{"document_id": "x"}')
+    opened = box.call("open_document", '{"document_id": "d", "page": 2, "highlight": "sans concepts"}')
+    assert opened.text == "opened « T » at page 2" and opened.command == {"open_document": "d", "page": 2, "highlight": "sans concepts"}
+    assert "no document" in box.execute("open_document", '{"document_id": "x", "page": 1}') and "argument" in box.execute("open_document", '{"document_id": "d"}')
+    assert "argument" in box.execute("search_library", '{"query": 3}')
     assert json.loads(box.execute("library_stats", ""))["recognized"] == 1
     assert "unknown tool" in box.execute("nope", "") and "JSON" in box.execute("read_page", "{") and "argument" in box.execute("read_page", "{}") and "object" in box.execute("read_page", "[]")
 
