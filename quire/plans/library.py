@@ -100,6 +100,13 @@ def count_by_format(spark, d):
     return catalog.count_by(_documents(spark, d), "format")
 
 
+@query("SELECT lang AS format, count(*) AS n, count(*) FILTER (WHERE doc_id % 3 = 0) AS readable FROM documents GROUP BY lang")
+def readable_names(spark, d):
+    """Files by format, and how many of their names say what they are."""
+    named = F.when(F.col("document_id") % 3 == 0, F.concat(F.lit("Author_1999_Title-"), F.col("document_id").cast("string"), F.lit(".txt"))).otherwise(F.concat(F.lit("scan "), F.col("document_id").cast("string"), F.lit(".txt")))
+    return _documents(spark, d).withColumn("file_name", named).groupBy("format").agg(F.count("*").alias("n"), F.count_if(T.is_readable("file_name")).alias("readable"))
+
+
 @query("SELECT l_partkey AS work_id, array_to_string(list(DISTINCT l_returnflag ORDER BY l_returnflag), ',') AS collections FROM lineitem GROUP BY l_partkey")
 def membership(spark, d):
     items = table(spark, d, "lineitem").select(F.col("l_partkey").alias("work_id"), F.col("l_returnflag").alias("collection_id"))

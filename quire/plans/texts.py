@@ -146,6 +146,7 @@ def hybrid_rrf(spark, d):
 
 # Names and citations.
 
+# File names of each convention and what they say.
 NAMES = [
     ("Kant_1781_Critique-de-la-raison-pure.pdf", "Critique de la raison pure", "Kant", "1781", "structured"),
     ("Sellars_ND_Kant-s-Transcendental-Idealism.txt", "Kant s Transcendental Idealism", "Sellars", None, "structured"),

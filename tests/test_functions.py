@@ -13,6 +13,7 @@ def one(spark, value, **columns):
     return df.select(value.alias("v")).first()[0]
 
 
+# File names of each convention and what they say.
 FILE_NAMES = [
     ("Kant_1781_Critique-de-la-raison-pure.pdf", "Critique de la raison pure", "Kant", "1781", None, "structured"),
     ("L' établi -- Robert Linhardt -- Double, Nouvelle édition, Paris, 2011 -- Les Éditions de Minuit -- isbn13 9782707302144 -- 6518c6632001dbe02d1d8574532366bd -- Anna's Archive.epub", "L' établi", "Robert Linhardt", "2011", "9782707302144", "structured"),
@@ -28,6 +29,21 @@ FILE_NAMES = [
     ("scan_final_VERSION2.pdf", "scan final VERSION2", None, None, None, "fallback"),
     ("a_b_c.txt", "a b c", None, None, None, "fallback"),
 ]
+#: Cases of our own: nesting at any depth, unbalanced parentheses, several persons, several marks.
+FILE_NAMES += [
+    ("Deep (A (b (c (d (e) f) g) h) i) (Z-Library).pdf", "Deep", "A f g h i", None, None, "structured"),
+    ("Open (never closed (Z-Library).pdf", "Open (never closed (Z Library)", None, None, None, "fallback"),
+    ("Close) early (Ada Lovelace) (1843) (zlib.org)(2).epub", "Close) early", "Ada Lovelace", "1843", None, "structured"),
+    ("Two (First Person) (Second Person) (Z-Library).pdf", "Two (First Person)", "Second Person", None, None, "structured"),
+    ("(Z-Library).pdf", "(Z Library)", None, None, None, "fallback"),
+    ("Seven (one two three four five six seven) (z-lib.org).pdf", "Seven", None, None, None, "fallback"),
+    ("A -- B.pdf", "A    B", None, None, None, "fallback"),
+    (" -- B -- C.pdf", "B    C", None, None, None, "fallback"),
+    ("Ann_1999b_Some-title_2.pdf", "Some title", "Ann", "1999b", None, "structured"),
+    ("Ann_n.d._Title.pdf", "Title", "Ann", None, None, "structured"),
+    ("1234567-A_b-pdf.pdf", "A b", None, None, None, "fallback"),
+    ("_.pdf", "_", None, None, None, "fallback"),
+]
 
 
 def test_file_names(spark):
