@@ -39,7 +39,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import arrow_map, batch_of, resident
 
@@ -77,8 +78,10 @@ def words_of(token: bytes) -> list[str]:
 
 
 class Model(NamedTuple):
+    """Words in UTF-8, as texts are cut, and n-grams, with their log frequencies by language."""
+
     languages: list[str]
-    words: dict[str, int]
+    words: dict[bytes, int]
     grams: dict[str, int]
     word_scores: np.ndarray
     gram_scores: np.ndarray
@@ -113,13 +116,13 @@ def build(counts: list[tuple[str, str, int]]) -> Model:
     languages = sorted({x[0] for x in counts})
     k, words = len(languages), {}
     for _, word, _ in counts:
-        words.setdefault(word, len(words))
+        words.setdefault(word.encode(), len(words))
     if not words:
         return Model(languages, words, {}, _scores(np.zeros((0, k))), _scores(np.zeros((0, k))))
     number = {x: i for i, x in enumerate(languages)}
     language, n = np.array([number[x[0]] for x in counts]), np.array([x[2] for x in counts], np.float64)
     seen = np.zeros((len(words), k))
-    np.add.at(seen, ([words[x[1]] for x in counts], language), n)
+    np.add.at(seen, ([words[x[1].encode()] for x in counts], language), n)
     grams: dict[str, int] = {}
     total = np.zeros((0, k))
     for at in range(0, len(counts), BUILT_AT_ONCE):
@@ -140,10 +143,9 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.known = {w.encode(): i for w, i in model.words.items()}
-        self.rows = np.ones((2 * len(self.known) + 1_024, len(model.languages) + 2))
-        self.rows[: len(self.known), :-2] = model.word_scores
-        self.at = dict(self.known)
+        self.at, self.more = dict(model.words), []
+        self.rows = np.ones((len(model.words) + 1_024, len(model.languages) + 2), np.float32)
+        self.rows[: len(model.words), :-2] = model.word_scores
         self.floor = model.gram_scores.min(axis=0) if len(model.gram_scores) else np.zeros(len(model.languages), np.float32)
         self.scores = np.concatenate((model.gram_scores, self.floor[None]))
 
@@ -161,8 +163,9 @@ class Scorer:
     def learn(self, new: list[bytes]) -> None:
         """Adds rows for tokens."""
         first, need = len(self.at), len(self.at) + len(new)
+        self.more += new
         if need > len(self.rows):
-            self.rows = np.concatenate((self.rows, np.ones((need, self.rows.shape[1]))))
+            self.rows = np.concatenate((self.rows, np.ones((max(need - len(self.rows), need // 4), self.rows.shape[1]), np.float32)))
         grams: list[int] = []
         ends, owner, shares = [], [], []
         self.rows[first:need] = 0
@@ -170,7 +173,7 @@ class Scorer:
             self.at[token] = i
             for w in (token.decode(),) if token.isascii() else words_of(token):
                 self.rows[i, -2] += 1
-                if (known := self.model.words.get(w)) is not None:
+                if (known := self.model.words.get(w.encode())) is not None:
                     self.rows[i, :-2] += self.model.word_scores[known]
                     self.rows[i, -1] += 1
                     continue
@@ -191,13 +194,15 @@ class Scorer:
         if not self.model.languages:
             return [("und", 0.0, 0.0)] * len(texts)
         every = set().union(*found)
-        if len(self.at) - len(self.known) > REMEMBERED:
-            self.at = dict(self.known)
+        if len(self.more) > REMEMBERED:
+            for token in self.more:
+                del self.at[token]
+            self.more = []
         self.learn(sorted(every.difference(self.at)))
         return [self._judge(np.fromiter(map(self.at.__getitem__, f), np.intp, len(f))) for f in found]
 
     def _judge(self, at: np.ndarray) -> tuple[str, float, float]:
-        total = sum((self.rows[at[i : i + AT_ONCE]].sum(axis=0) for i in range(0, len(at), AT_ONCE)), np.zeros(self.rows.shape[1]))
+        total = sum((self.rows[at[i : i + AT_ONCE]].sum(axis=0, dtype=np.float64) for i in range(0, len(at), AT_ONCE)), np.zeros(self.rows.shape[1]))
         n = total[-2]
         if not n:
             return "und", 0.0, 0.0
@@ -244,9 +249,20 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", model_doc
     return build(list(zip(*(c.to_pylist() for c in found.columns), strict=True)))
 
 
-def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row (key, columns in keep, lang_pred, score, known) for each row of df."""
-    shared, identity = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+class Sent(NamedTuple):
+    """A model that the workers have, and what they know it by."""
+
+    shared: Broadcast
+    identity: str
+
+
+def send(spark: SparkSession, model: Model) -> Sent:
+    return Sent(spark.sparkContext.broadcast(model), uuid.uuid4().hex)
+
+
+def identify(df: DataFrame, model: Model | Sent, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row (key, columns in keep, lang_pred, score, known) for each row of df; a model that serves several calls is best broadcast by send()."""
+    shared, identity = model if isinstance(model, Sent) else send(df.sparkSession, model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = resident(("language", identity), lambda: Scorer(shared.value))
@@ -260,7 +276,7 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return arrow_map(rows, predict, f"{schema}, lang_pred string, score double, known double")
 
 
-def calibrate(labelled: DataFrame, model: Model, text: str = "text", lang: str = "lang", docs: int = CALIBRATION_DOCS) -> float:
+def calibrate(labelled: DataFrame, model: Model | Sent, text: str = "text", lang: str = "lang", docs: int = CALIBRATION_DOCS) -> float:
     """The familiarity below which a text is unfamiliar, from labelled rows that the model didn't learn from.
 
     Measured on about docs of them (all where there are fewer), chosen by a hash
