@@ -810,7 +810,7 @@ def test_language_keeps_rare(spark):
 def test_language_sample_by_language(spark):
     rows = [(f"common {i}", "aa") for i in range(3_000)] + [(f"seldom {i}", "zz") for i in range(3)]
     model = langid.train(spark.createDataFrame(rows, "text string, lang string"), model_docs=100)
-    at = model.words["seldom"]
+    at = model.words[b"seldom"]
     assert model.languages == ["aa", "zz"] and model.word_scores[at, 1] > model.word_scores[at, 0]
 
 
