@@ -21,7 +21,9 @@ anchors are needed, about one in 85 positions.
    contexts are hashed and counted by aggregation, which gives the same answer.
 5. What was found returns to the blocks, which mark and cut.
 
-Contexts are compared by 128 bits of hashes before their bytes are.
+Contexts and hot anchors' strings are known by 128 bits of hashes (the anchor's
+and their own), so copies never move; contexts that share only their anchor are
+compared by their bytes. quire.llm.repeatgroups lists the maximal repeats.
 
 Defined cases: a null or empty text, or one under LENGTH bytes, keeps all its
 bytes; overlapping occurrences count; matches don't cross documents; rows with
@@ -174,33 +176,6 @@ def covered(group: list[tuple[int, bytes]], length: int = LENGTH) -> list[list[t
     return [_merged(f) for f in found]
 
 
-def maximal_groups(group: list[tuple[int, bytes]], length: int = LENGTH) -> list[tuple[int, int, list[int]]]:
-    """(left, right, members): the maximal repeats of at least length bytes across contexts, with all contexts that hold them.
-
-    In an interval of the right extensions the left extensions have a tree of
-    intervals of their own; one that no deeper right extension holds is maximal
-    on both sides.
-    """
-    right, left = [c[at:] for at, c in group], [c[:at][::-1] for at, c in group]
-    order = sorted(range(len(group)), key=right.__getitem__)
-    place = {x: i for i, x in enumerate(order)}
-    rank = {x: i for i, x in enumerate(sorted(range(len(group)), key=left.__getitem__))}
-    lcp = [common(right[a], right[b]) for a, b in zip(order, order[1:], strict=False)]
-    out = []
-    for depth, a, b in intervals(lcp):
-        own = sorted(order[a : b + 1], key=rank.__getitem__)
-        near = [common(left[x], left[y]) for x, y in zip(own, own[1:], strict=False)]
-        trees = list(intervals(near))
-        if min(near) == 0:
-            trees.append((0, 0, len(own) - 1))  # nothing in common on the left
-        for n, i, j in trees:
-            members = own[i : j + 1]
-            at = sorted(place[x] for x in members)
-            if n + depth >= length and min(lcp[at[0] : at[-1]]) == depth:
-                out.append((n, depth, sorted(members)))
-    return out
-
-
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
@@ -283,21 +258,17 @@ def _asked_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield batch_of(dict(zip(("anchor", "context", "place", "bytes"), (pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)), strict=True)))
 
 
-def _anchor_groups(batches: Iterator[pa.RecordBatch], again: bool = False) -> Iterator[tuple[int, list[int], list[tuple[int, bytes]]]]:
-    """Anchor, context hashes and contexts of rows that come sorted by anchor; those with one left out.
-
-    again: a context that repeats comes twice.
-    """
+def _anchor_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[tuple[int, bytes]]]]:
+    """Anchor, context hashes and contexts of rows that come sorted by anchor; those with one left out."""
     anchor, names, group = None, [], []
     for b in batches:
-        for h, c, p, raw, whole in zip(*(b.column(x).to_pylist() for x in ("anchor", "context", "place", "bytes", "whole")), strict=True):
+        for h, c, p, raw in zip(*(b.column(x).to_pylist() for x in ("anchor", "context", "place", "bytes")), strict=True):
             if h != anchor:
                 if len(group) > 1:
                     yield anchor, names, group
                 anchor, names, group = h, [], []
-            n = 1 + (whole and again)
-            names += [c] * n
-            group += [(p, raw)] * n
+            names.append(c)
+            group.append((p, raw))
     if len(group) > 1:
         yield anchor, names, group
 
@@ -313,13 +284,6 @@ def _ranges_by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     return _rows_out(rows, ("anchor", "context", "start", "end"), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))
 
 
-def _groups_by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members (anchor, context, group, start, end) of the maximal repeats of contexts that come sorted by anchor."""
-    ident = lambda *x: int(np.uint64(xxhash.xxh3_64_intdigest(repr(x))).astype(np.int64))
-    rows = ((h, names[x], ident(h, n, depth, sorted({names[y] for y in members})), -n, depth) for h, names, group in _anchor_groups(batches, again=True) for n, depth, members in maximal_groups(group) for x in {names[y]: y for y in members}.values())
-    return _rows_out(rows, ("anchor", "context", "group", "start", "end"), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))
-
-
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every string of each context, hashed: (anchor, context, whole, start, string)."""
     digest = xxhash.xxh3_64_intdigest
@@ -330,23 +294,6 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of({"anchor": pa.array([h] * n, pa.int64()), "context": pa.array([c] * n, pa.int64()), "whole": pa.array([whole] * n, pa.bool_()), "start": pa.array(range(-p, n - p), pa.int32()), "string": _signed(hashes)})
 
 
-def _occurrences(kind: pa.DataType):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for b in batches:
-            for i, data, numbers, sizes in _opened(b):
-                marks: dict[tuple[int, int], list[dict]] = {}
-                for m in b.column("marks")[i].as_py():
-                    marks.setdefault((m["anchor"], m["context"]), []).append(m)
-                found, keys, ends = anchors(numbers, sizes), b.column("keys")[i].as_py(), np.cumsum(sizes)
-                for pair, p, first, last in zip(zip(found[0].view(np.int64).tolist(), contexts(data, found).view(np.int64).tolist(), strict=True), *(x.tolist() for x in found[1:]), strict=True):
-                    for m in marks.get(pair, ()):
-                        a, z = (first, last + LENGTH) if m["start"] is None else (p + m["start"], p + m["end"])
-                        d = int(np.searchsorted(ends, a, "right"))
-                        yield m["group"], z - a, keys[d], a - int(ends[d] - sizes[d])
-
-    return lambda batches: _rows_out(rows(batches), ("group", "length", "key", "start"), (pa.int64(), pa.int32(), kind, pa.int64()))
-
-
 def _cut(kind: pa.DataType):
     runs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -438,26 +385,6 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return out.withColumnRenamed("key", key)
 
 
-def repeat_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(group, length, key, start): the maximal repeats around each anchor, with all their occurrences, in bytes.
-
-    A repeat that is longer than an anchor's context appears in a group for each
-    of its anchors, cut at the contexts' ends. For anchors with more than CAP
-    contexts the groups are those of equal strings of LENGTH bytes.
-    """
-    e = evidence(df, key, text)
-    shape = "anchor bigint, context bigint, group bigint, start int, end int"
-    found = arrow_map(e.few, _groups_by_anchor, shape)
-    hot = _hot_strings(e).select("anchor", "context", F.xxhash64("anchor", "string").alias("group"), "start", (F.col("start") + LENGTH).alias("end"))
-    none = F.lit(None).cast("int")
-    whole = e.contexts.where("whole AND contexts = 1").select("anchor", "context", F.xxhash64("anchor", "context").alias("group"), none.alias("start"), none.alias("end"))
-    wanted = e.places.select("block", "anchor", "context").join(stored(found.unionByName(hot).unionByName(whole)), ["anchor", "context"])
-    wanted = wanted.groupBy("block").agg(F.collect_list(F.struct("anchor", "context", "group", "start", "end")).alias("marks"))
-    kind = e.blocks.schema["keys"].dataType.elementType
-    out = arrow_map(e.blocks.join(wanted, "block").select("keys", "sizes", "data", "marks"), _occurrences(to_arrow_type(kind)), f"group bigint, length int, key {kind.simpleString()}, start bigint")
-    return out.withColumnRenamed("key", key)
-
-
 def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """All maximal repeats of at least so many bytes: (length, sorted (text, start) of all occurrences).
 
