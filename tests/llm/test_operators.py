@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, langid, mixing, neardup, queries, repeats, secrets, sstable, tokencount, transport, urlfilter
+from quire.llm import decontaminate, langid, mixing, neardup, queries, repeatgroups, repeats, secrets, sstable, tokencount, transport, urlfilter
 
 from .conftest import by_key, prose
 
@@ -515,43 +515,35 @@ def places(texts, s):
     return sorted((t, i) for t, x in enumerate(texts) for i in range(len(x) - len(s) + 1) if x[i : i + len(s)] == s)
 
 
-@pytest.mark.parametrize("cap", [4_096, 1])
-def test_repeat_groups(spark, monkeypatch, cap):
-    monkeypatch.setattr(repeats, "CAP", cap)
-    r = random.Random(11)
-    parts = [prose(45, 300 + i) for i in range(4)]
-    texts = [prose(20, 400 + i) + " ".join(r.sample(parts, 2)) + prose(20, 500 + i) for i in range(12)]
-    raw = [t.encode() for t in texts]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+def found_groups(df):
     groups = {}
-    for x in repeats.repeat_groups(df).collect():
-        groups.setdefault(x.group, []).append((x.length, x.doc_id, x.start))
-    assert groups
-    for own in groups.values():
-        (n,) = {x[0] for x in own}
-        (s,) = {raw[d][i : i + n] for _, d, i in own}
-        assert n >= 200 and len(own) > 1 and sorted(x[1:] for x in own) == places(raw, s)
-    gone = {(d, k) for own in groups.values() for n, d, i in own for k in range(i, i + n)}
-    cut = {(x.doc_id, k) for x in repeats.remove_repeats(df).collect() for s in x.spans for k in range(s.start, s.end)}
-    assert gone == cut
-
-
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.text("ab", max_size=5), st.text("ab", max_size=5)), min_size=2, max_size=7, unique=True))
-def test_maximal_groups(pairs):
-    group = [(len(a), (a + "@" + b).encode()) for a, b in pairs]
-    want = set()
-    for n in range(6):
-        for depth in range(1, 7):
-            own = {}
-            for x, (at, c) in enumerate(group):
-                if at >= n and len(c) - at >= depth:
-                    own.setdefault(c[at - n : at + depth], []).append(x)
-            for members in own.values():
-                side = lambda k, members=members: {group[x][1][k(group[x][0])] if 0 <= k(group[x][0]) < len(group[x][1]) else -1 - x for x in members}
-                if len(members) > 1 and len(side(lambda at, n=n: at - n - 1)) > 1 and len(side(lambda at, d=depth: at + d)) > 1:
-                    want.add((n, depth, tuple(members)))
-    assert {(n, d, tuple(m)) for n, d, m in repeats.maximal_groups(group, 1)} == want
+    for x in repeatgroups.repeat_groups(df).collect():
+        groups.setdefault((x.group, x.length), []).append((x.doc_id, x.start))
+    return sorted((n, sorted(own)) for (_, n), own in groups.items())
+
+
+@pytest.mark.parametrize(("cap", "reach", "most"), [(4_096, 512, 1 << 16), (3, 512, 1 << 16), (4_096, 256, 512)])
+def test_repeat_groups(spark, monkeypatch, cap, reach, most):
+    """All maximal repeats with all occurrences, however long, whatever the caps: as the full suffix array has them."""
+    for name, value in (("CAP", cap), ("REACH", reach), ("MOST_REACH", most)):
+        monkeypatch.setattr(repeatgroups, name, value)
+    monkeypatch.setattr(repeats, "BLOCK", 2_500)
+    r = random.Random(11)
+    parts = [prose(n, 300 + n) for n in (45, 46, 60, 180)]
+    texts = [prose(20, 400 + i) + " ".join(r.sample(parts, 2)) + prose(20, 500 + i) for i in range(8)]
+    texts += [parts[3], parts[3], parts[3][:900], "pre" + parts[3][:900], "z" * 215, "z" * 206, "zy" * 105 + parts[0], texts[0], texts[0] + "!", "", "short"]
+    want = repeats.maximal_repeats([t.encode() for t in texts], 200)
+    assert max(n for n, _ in want) > 1_000 and len(want) > 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    assert found_groups(df) == want
+
+
+def test_repeat_groups_hard(spark, hard, hard_rows, nothing):
+    """Groups cover just what is removed."""
+    own = repeatgroups.repeat_groups(hard).collect()
+    gone = Counter((x.doc_id, k) for x in own for k in range(x.start, x.start + x.length)).keys()
+    cut = {(x.doc_id, k) for x in repeats.remove_repeats(hard).collect() for s in x.spans for k in range(s.start, s.end)}
+    assert gone == cut and repeatgroups.repeat_groups(nothing).collect() == []
 
 
 def test_repeats_empty(spark, nothing):
