@@ -32,8 +32,10 @@ def bm25(pages: DataFrame, query: str, limit: int | None = CANDIDATES, keys: Seq
     """(keys, score): pages with all terms of the query, the last of which is a prefix; best first.
 
     One pass over the pages: term frequencies of the few query terms are counted
-    inside each page, without exploding words, and the corpus statistics are one
-    row. Scores are rounded, ties go to the least key. No terms, no rows.
+    inside each page, without exploding words; what is left of a page, its key
+    and a few numbers, is shuffled once and read twice, for the statistics, which
+    are one row, and for the scores. Scores are rounded, ties go to the least
+    key. No terms, no rows.
     """
     terms = T.match_terms(query)
     words = spread(pages.select(*keys, content)).select(*keys, T.tokens(content).alias("words"))
@@ -41,16 +43,17 @@ def bm25(pages: DataFrame, query: str, limit: int | None = CANDIDATES, keys: Seq
         return words.select(*keys, F.lit(0.0).alias("score")).where(F.lit(False))
     fits = lambda i, w: F.startswith(w, F.lit(terms[i])) if i == len(terms) - 1 else w == terms[i]
     count = lambda i: F.size(F.filter("words", lambda w: fits(i, w))).cast("double").alias(f"tf{i}")
-    tf = [count(i) for i in range(len(terms))]
-    counted = words.select(*keys, F.size("words").cast("double").alias("dl"), *tf)
-    stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))])
-    every = counted.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
+    counted = words.select(*keys, F.size("words").cast("double").alias("dl"), *[count(i) for i in range(len(terms))]).repartition(*keys)
+    # The greatest key isn't needed, but with it both readers ask for the same columns, and so share the shuffle.
+    stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), F.max(F.struct(*keys)).alias("_key"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))])
+    every = counted.crossJoin(F.broadcast(stats.where("n > 0 AND _key is not null")))  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
         f, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n") - df + 0.5) / (df + 0.5)))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    out = every.select(*keys, F.round(score, decimals).alias("score"))
+    hit = F.expr(" AND ".join(f"tf{i} > 0" for i in range(len(terms))))
+    out = every.select(*keys, F.when(hit, F.round(score, decimals)).alias("score")).where("score is not null")
     return out if limit is None else out.orderBy(F.desc("score"), *keys).limit(limit)
 
 

@@ -103,20 +103,26 @@ def locate_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     keyed = p.withColumn("w", F.split("folded", " ")).select(*at, F.explode(F.array_distinct(F.expr(grams))).alias("gram"))
     found = keyed.join(whole, "gram").select("quote_id", *at)
 
-    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - KEY_CHARS + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(KEY_CHARS))))
     short = q.where(F.size("w") < KEY_WORDS + 2).select("quote_id", "needle")
-    asked = short.where(F.length("needle") >= KEY_CHARS).select("quote_id", F.explode(runs("needle")).alias("run"))
+    if not short.isEmpty():  # a look at the quotes alone
+        found = found.unionByName(_short_located(short, p))
+    there = found.distinct().join(pages.select(*at, "content"), list(at)).join(q.select("quote_id", "needle"), "quote_id")
+    return there.where(F.contains(normalized("content"), F.col("needle"))).select("quote_id", *at)
+
+
+def _short_located(short: DataFrame, pages: DataFrame) -> DataFrame:
+    """(quote_id, document_id, page_number) of the pages that have a rare run of characters of a quote: short (quote_id, needle), pages with folded."""
+    at = ("document_id", "page_number")
+    of_size = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
+    asked = short.where(F.length("needle") >= KEY_CHARS).select("quote_id", F.explode(of_size(F.col("needle"), KEY_CHARS)).alias("run"))
     tiny = short.where(F.length("needle") < KEY_CHARS).select("quote_id", F.col("needle").alias("run"))
     # Only runs that a quote asks for are counted and joined; those of one or two characters are looked for as such.
-    of_size = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(n))))
-    parts = lambda c: F.concat(runs(c), *[of_size(c, n) for n in range(1, KEY_CHARS)])
+    parts = F.array_distinct(F.concat(*[of_size(F.col("folded"), n) for n in range(1, KEY_CHARS + 1)]))
     wanted = asked.select("run").union(tiny.select("run")).distinct()
-    held = p.where("folded != ''").select(*at, F.explode(F.array_distinct(parts(F.col("folded")))).alias("run")).join(wanted, "run", "left_semi")
+    held = pages.where("folded != ''").select(*at, F.explode(parts).alias("run")).join(wanted, "run", "left_semi")
     often = held.groupBy("run").agg(F.count("*").alias("n"))
     rarest = asked.join(often, "run", "left").groupBy("quote_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run"))["run"].alias("run"))
-    found = found.unionByName(held.join(rarest.unionByName(tiny), "run").select("quote_id", *at)).distinct()
-    there = found.join(p, list(at)).join(q.select("quote_id", "needle"), "quote_id")
-    return there.where(F.contains("folded", F.col("needle"))).select("quote_id", *at)
+    return held.join(rarest.unionByName(tiny), "run").select("quote_id", *at)
 
 
 def resolve_annotations(annotations: DataFrame, pages: DataFrame) -> DataFrame:
