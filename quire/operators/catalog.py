@@ -161,7 +161,10 @@ def detach(document: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, D
 
 
 def upsert_annotations(annotations: DataFrame, rows: DataFrame) -> DataFrame:
-    """Annotations with rows put in place of those of the same id."""
+    """Annotations with rows put in place of those of the same id; what is put in is modified now, and created now where it isn't known when."""
+    now = F.current_timestamp()
+    stamps = {"date_created": F.coalesce("date_created", now) if "date_created" in rows.columns else None, "date_modified": now}
+    rows = rows.withColumns({c: v for c, v in stamps.items() if c in annotations.columns and v is not None})
     return annotations.join(rows.select("annotation_id"), "annotation_id", "left_anti").unionByName(rows)
 
 

@@ -39,6 +39,7 @@ def crossref(payload: Column) -> Column:
 
 
 def open_library(payload: Column, isbn: Column) -> Column:
+    isbn = normalized_isbn(isbn)
     books = F.from_json(payload, "map<string,struct<title:string,authors:array<struct<name:string>>,publish_date:string,publishers:array<struct<name:string>>,identifiers:struct<isbn_13:array<string>>>>")
     b = F.coalesce(F.try_element_at(books, F.concat(F.lit("ISBN:"), isbn)), F.get(F.map_values(books), F.lit(0)))
     listed = F.get(F.filter(F.transform(b["identifiers"]["isbn_13"], _digits), lambda x: F.length(x) == 13), F.lit(0))

@@ -585,3 +585,46 @@ def test_best_guess(spark):
     got = [r.g for r in df.select("i", files.best_guess(F.col("name"), F.col("e")).alias("g")).orderBy("i").collect()]
     assert [(g.title, g.author, g.confidence) for g in got] == [("Critique", "Kant", "structured"), ("Moses", "Assmann", "structured"), ("scan001", None, "fallback"), ("scan001", None, "fallback")]
     assert got[2].isbn13 == "9782707302144"
+
+
+def test_upsert_annotations(spark):
+    from datetime import datetime
+
+    old = datetime(2020, 1, 1)
+    schema = "annotation_id string, quote string, date_created timestamp, date_modified timestamp"
+    notes = spark.createDataFrame([("a", "x", old, old), ("b", "y", old, old)], schema)
+    out = {r.annotation_id: r for r in catalog.upsert_annotations(notes, spark.createDataFrame([("b", "z", old, None), ("c", "n", None, None)], schema)).collect()}
+    assert out["a"].date_modified == old and out["b"].quote == "z" and out["b"].date_created == old and out["b"].date_modified > old and out["c"].date_created > old
+
+
+def test_authors_keep_gaps(spark):
+    """Positions count blank names too, which have no row."""
+    wc = spark.createDataFrame([("w", "c1", 4), ("w", "c2", 0), ("v", "c1", 2)], "work_id string, creator_id string, position int")
+    creator = spark.createDataFrame([("c1", "Last"), ("c2", "First")], "creator_id string, name string")
+    assert {r.work_id: r.authors for r in catalog.authors_by_work(wc, creator).collect()} == {"w": ["First", "Last"], "v": ["Last"]}
+
+
+def test_isbn_of_answers(spark):
+    from quire.sources import payloads
+
+    df = spark.createDataFrame([("978-2-7073-0214-4",), ("2-7073-0214-x",), ("x1x",), ("",)], "raw string")
+    assert [r[0] for r in df.select(payloads.normalized_isbn(F.col("raw"))).collect()] == ["9782707302144", "270730214X", "1X", ""]
+
+
+def test_stored_postings_are_pruned(spark, tmp_path):
+    """A search in a stored index reads the rows of its terms only."""
+    pages = spark.createDataFrame(FRENCH, "doc_id int, text string")
+    fulltext.postings(pages).sort("term").write.parquet(f"file://{tmp_path}/index")
+    index = spark.read.parquet(f"file://{tmp_path}/index")
+    found = fulltext.bm25_indexed(index, fulltext.lengths(pages), "la xylo")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,la)" in plan and "StringStartsWith(term,xylo)" in plan and [r.doc_id for r in found.collect()] == [2]
+
+
+def test_csl_json_whole(spark):
+    from quire.functions import citation
+
+    record = spark.createDataFrame([("T", ["Ann Lee", "Collectif"], "1781", "P", None, "10.1/x")], "title string, authors array<string>, year string, publisher string, isbn13 string, doi string")
+    item = json.loads(record.select(citation.csl_item()).first()[0])
+    assert item["type"] == "book" and item["title"] == "T" and item["issued"] == {"date-parts": [[1781]]} and item["publisher"] == "P" and item["DOI"] == "10.1/x" and "ISBN" not in item
+    assert item["author"][0] == {"family": "Lee", "given": "Ann"}
