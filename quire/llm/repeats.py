@@ -350,8 +350,8 @@ def evidence(df: DataFrame, key: str, text: str) -> Evidence:
     rows = arrow_map(blocks, _anchor_rows, "anchor bigint, context bigint, block bigint, n int")
     often = rows.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
     some = stored(rows.join(stored(often), "anchor"))  # of two scans, so that Spark may split a hot anchor
-    each = some.groupBy("anchor", "context").agg((F.sum("n") > 1).alias("whole"), F.min("block").alias("home"))
-    sides = each.groupBy("anchor").agg(F.count("*").alias("contexts"))
+    each = stored(some.groupBy("anchor", "context").agg((F.sum("n") > 1).alias("whole"), F.min("block").alias("home")))
+    sides = stored(each.groupBy("anchor").agg(F.count("*").alias("contexts")))
     each = stored(each.join(sides, "anchor").where("whole OR contexts > 1"))
     asked = each.where("contexts > 1").groupBy(F.col("home").alias("block")).agg(F.collect_list(F.struct("anchor", "context")).alias("asked"))
     sent = arrow_map(blocks.join(asked, "block").select("block", "sizes", "data", "asked"), _asked_contexts, "anchor bigint, context bigint, place int, bytes binary")
