@@ -16,7 +16,7 @@ A lookup asks the filter, searches the index and then one block by bisection.
 
 Writing sorts the documents by ranges of the identifier; each task encodes its
 range and writes its shards to the shared folder under a temporary name and
-renames them to one made of the run, the range and a number. Attempts of a task
+renames them to one made of the range and a number, and in a folder that was given of the run. Attempts of a task
 give the same bytes, so the first that is there stays and no reader ever loses a
 file that it has opened. Reading opens the files and takes a block at a time. The place where a shard's ids begin
 among all ids comes from the shards' totals, a row each.
@@ -390,7 +390,8 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[st
 def write_shards(df: DataFrame, tokenizer: str, end_id: int | None = 0, key: str = "doc_id", text: str = "text", folder: str | None = None) -> tuple[str, DataFrame]:
     """Writes the shards; returns their folder and the table (shard, docs, ids), in order of the names."""
     spark = df.sparkSession
-    folder, run = folder or shared_folder(spark), uuid.uuid4().hex[:12]
+    run = f"{uuid.uuid4().hex[:12]}-" if folder else ""  # a folder of the caller's may hold shards of other runs
+    folder = folder or shared_folder(spark)
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,7 +402,7 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int | None = 0, key: str
         where.create_dir(base, recursive=True)
 
         def close() -> None:
-            name = f"shard-{run}-{task.partitionId():06d}-{len(done):04d}.sst"
+            name = f"shard-{run}{task.partitionId():06d}-{len(done):04d}.sst"
             temporary = f"{base}/_{name}.{task.taskAttemptId()}"
             with where.open_output_stream(temporary, compression=None) as f:
                 f.write(writer.finish())
