@@ -25,13 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession, lasting: bool = False) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
     Only where the setting is missing in a local session (tests) a temporary
     folder takes its place; on a cluster its absence is an error, since no
     machine's own folder is seen by the others. Folders go when the driver ends,
-    or before that by scratch().
+    or before that by scratch(); a lasting one stays.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -46,9 +46,10 @@ def shared_folder(spark: SparkSession) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}")
     full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     full = re.sub("^file:/+", "file:///", full)
-    if not _folders:
-        atexit.register(_drop, _folders)
-    _folders[full] = spark
+    if not lasting:
+        if not _folders:
+            atexit.register(_drop, _folders)
+        _folders[full] = spark
     return full
 
 

@@ -388,10 +388,10 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[st
 
 
 def write_shards(df: DataFrame, tokenizer: str, end_id: int | None = 0, key: str = "doc_id", text: str = "text", folder: str | None = None) -> tuple[str, DataFrame]:
-    """Writes the shards; returns their folder and the table (shard, docs, ids), in order of the names."""
+    """Writes the shards; returns their folder, which stays, and the table (shard, docs, ids), in order of the names."""
     spark = df.sparkSession
     run = f"{uuid.uuid4().hex[:12]}-" if folder else ""  # a folder of the caller's may hold shards of other runs
-    folder = folder or shared_folder(spark)
+    folder = folder or shared_folder(spark, lasting=True)
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
