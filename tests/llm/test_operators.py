@@ -963,6 +963,22 @@ def test_encoder_of_other_files(monkeypatch, tmp_path):
         assert [np.frombuffer(x, e.kind).tolist() for x in e(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_scratch(spark, nothing, tmp_path):
+    """What is stored inside goes, but not lasting folders nor what is written elsewhere; the session's limits come back."""
+    from pathlib import Path
+
+    from quire.llm import common
+
+    limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    path, here = common.shared_folder(spark), lambda p: Path(p.removeprefix("file://")).exists()
+    with common.scratch():
+        inside, lasting = common.shared_folder(spark), common.shared_folder(spark, lasting=True)
+        for p in (path, inside, lasting):
+            common.stored(spark.range(3).toDF("id"), path=p)
+    assert here(path) and here(lasting) and not here(inside) and spark.read.parquet(path).count() == 3
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == limit
+
+
 def test_shards_twice_in_one_folder(spark, hard, hard_rows):
     """A second run leaves the first one's shards as they are; each reads its own."""
     folder, one = sstable.write_shards(hard.limit(5), "byte_bpe_50k.json")
