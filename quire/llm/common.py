@@ -72,6 +72,11 @@ def scratch() -> Iterator[None]:
         _drop({f: _folders.pop(f) for f in set(_folders) - before})
 
 
+def dropped(path: str) -> None:
+    """Deletes a folder of shared_folder(), once nothing reads it any more."""
+    _drop({path: _folders.pop(path)})
+
+
 def stored(df: DataFrame, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder, or to path, and read again.
 

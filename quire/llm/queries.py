@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, mixing, neardup, repeats, secrets, sstable, tokencount, transport, urlfilter
+from . import decontaminate, elkan, langid, merkle, mixing, neardup, repeats, secrets, sstable, tokencount, transport, urlfilter
 from .common import table
 
 
@@ -74,6 +75,20 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(spark, folder, shards).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_transport, op3_poisson_mix, op4_decontaminate, op5_repeats, op6_secrets, op7_token_counts, op8_language, op9_superminhash, op10_sstable)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents, and its proofs against rows of which a third is tampered with: A-Z of their texts lower-cased."""
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.translate("text", string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.col("text"))
+    seen = merkle.leaf_digest(*[F.col(c) for c in merkle.FIELDS[:-1]], changed)
+    rows = merkle.proofs(merkle.build(table(spark, sf_dir, "documents"), keep={"seen": seen}))
+    rows = rows.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), merkle.fold(F.col("seen")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
-ORACLES: dict[str, str] = {"op3_poisson_mix": mixing.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_repeats": repeats.ORACLE, "op9_superminhash": neardup.oracle(3, 85)}
+
+def op13_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = elkan.with_totals(*elkan.cluster(table(spark, sf_dir, "embeddings")))
+    return rows.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_transport, op3_poisson_mix, op4_decontaminate, op5_repeats, op6_secrets, op7_token_counts, op8_language, op9_superminhash, op10_sstable, op11_merkle, op13_elkan)}
+
+ORACLES: dict[str, str] = {"op3_poisson_mix": mixing.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_repeats": repeats.ORACLE, "op9_superminhash": neardup.oracle(3, 85), "op11_merkle": merkle.ORACLE, "op13_elkan": elkan.oracle()}
