@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, elkan, langid, merkle, mixing, neardup, repeats, secrets, sstable, tokencount, transport, urlfilter
+from . import decontaminate, elkan, langid, merkle, mixing, neardup, repeats, secrets, sstable, tokencount, toxicity, transport, urlfilter
 from .common import table
 
 
@@ -84,11 +84,17 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", toxicity.held_out())
+    labels = toxicity.labelled(table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.score(documents, toxicity.train(documents.where(~F.col("held_out")), labels), keep=("doc_id", "held_out"))
+
+
 def op13_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = elkan.with_totals(*elkan.cluster(table(spark, sf_dir, "embeddings")))
     return rows.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_transport, op3_poisson_mix, op4_decontaminate, op5_repeats, op6_secrets, op7_token_counts, op8_language, op9_superminhash, op10_sstable, op11_merkle, op13_elkan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_transport, op3_poisson_mix, op4_decontaminate, op5_repeats, op6_secrets, op7_token_counts, op8_language, op9_superminhash, op10_sstable, op11_merkle, op12_toxicity, op13_elkan)}
 
 ORACLES: dict[str, str] = {"op3_poisson_mix": mixing.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_repeats": repeats.ORACLE, "op9_superminhash": neardup.oracle(3, 85), "op11_merkle": merkle.ORACLE, "op13_elkan": elkan.oracle()}
