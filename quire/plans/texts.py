@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from quire.functions import citation as C, text as T
 from quire.operators import fulltext, hybrid
 from quire.operators.scanning import spread
+from quire.operators.textindex import TextIndex
 from quire.sources import payloads
 
-from .registry import literal, query, table
+from .registry import literal, query, scratch, table
 from .vectors import L2, query_vector
 
 TERMS = "worthless thin"
@@ -120,6 +121,23 @@ def fts_indexed(spark, d):
     return fulltext.bm25_indexed(fulltext.postings(docs), fulltext.lengths(docs), TERMS)
 
 
+#: documents after the changes of fts_kept.
+_EDITED = "(SELECT doc_id, CASE lang WHEN 'de' THEN 'the ' || text WHEN 'fr' THEN text || ' worthless the' ELSE text END AS text FROM documents WHERE source <> 'src3' OR lang = 'fr')"
+
+
+@query(bm25_sql("worthless the", source=_EDITED))
+def fts_kept(spark, d):
+    """A search in an index that was written, changed twice and merged once before: replaced texts, removed documents, dropped places."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    index = TextIndex(spark, scratch(spark))
+    index.add(docs)
+    index.add(docs.where("lang = 'de'").withColumn("text", F.concat(F.lit("the "), "text")))
+    index.merge()
+    index.remove(docs.where("source = 'src3'"))
+    index.add(docs.where("lang = 'fr'").withColumn("text", F.concat("text", F.lit(" worthless the"))))
+    return index.search("worthless the")
+
+
 @query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({DOC_TOKENS}) AS term FROM documents) GROUP BY doc_id, term) GROUP BY term")
 def fts_statistics(spark, d):
     index = fulltext.postings(table(spark, d, "documents"))
