@@ -105,21 +105,23 @@ class Best:
         self.query, self.distance, self.keys = np.empty(0, np.intp), np.empty(0), np.empty(0, object)
         self.bound = np.full(len(names), np.inf)
 
-    def add(self, keys: np.ndarray, x: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, x: np.ndarray, of: np.ndarray | None = None) -> None:
+        """Rows x for all queries, or for those at the places of."""
         if not len(self.names) or not self.k:
             return
-        size = (x * x).sum(1)
-        guess = self.size[:, None] + size - 2 * self.q @ x.T
+        own = slice(None) if of is None else of
+        q, size = self.q[own], (x * x).sum(1)
+        guess = self.size[own][:, None] + size - 2 * q @ x.T
         # What rounding of the products may hide, and of the distances.
-        wrong = 8 * (x.shape[1] + 2) * np.finfo(float).eps * (self.size[:, None] + size)
+        wrong = 8 * (x.shape[1] + 2) * np.finfo(float).eps * (self.size[own][:, None] + size)
         if x.shape[0] > self.k:
             least = np.sqrt(np.maximum(np.partition(guess + wrong, self.k - 1, axis=1)[:, self.k - 1], 0)) + 10.0**-self.decimals
-            bound = np.minimum(self.bound, least)
+            bound = np.minimum(self.bound[own], least)
         else:
-            bound = self.bound
+            bound = self.bound[own]
         i, j = np.nonzero(guess - wrong <= (bound * bound)[:, None])
-        d = np.concatenate([np.sqrt(((self.q[i[a : a + 65_536]] - x[j[a : a + 65_536]]) ** 2).sum(1)) for a in range(0, len(i), 65_536)] or [np.empty(0)])
-        self.query, self.distance, self.keys = np.concatenate((self.query, i)), np.concatenate((self.distance, np.round(d, self.decimals))), np.concatenate((self.keys, keys[j]))
+        d = np.concatenate([np.sqrt(((q[i[a : a + 65_536]] - x[j[a : a + 65_536]]) ** 2).sum(1)) for a in range(0, len(i), 65_536)] or [np.empty(0)])
+        self.query, self.distance, self.keys = np.concatenate((self.query, i if of is None else of[i])), np.concatenate((self.distance, np.round(d, self.decimals))), np.concatenate((self.keys, keys[j]))
         if len(self.query) > 4 * self.k * len(self.names):
             self.cut()
 
@@ -172,9 +174,11 @@ class VectorTable:
     Tables are Parquet folders, partitioned by the partition columns, so that a
     predicate on these reads their folders only. Changes write a new version
     beside the old one; readers see one or the other, and the version before
-    stays for those that have begun. A writer claims its version by a file that
-    only one can create, so of two writers at once the later fails and changes
-    nothing. A claim that a dead driver has left is to be deleted by hand.
+    stays for those that have begun. A change is made from the version that it
+    has read and becomes the one after it: a writer claims that number by a file
+    that only one can create, and fails, changing nothing, where it is claimed
+    or there already. A claim that a dead driver has left is to be deleted by
+    hand.
     """
 
     TYPES = {"float": "array<float>", "int8": "array<tinyint>", "bit": "binary"}
@@ -196,21 +200,28 @@ class VectorTable:
             return []
         return sorted(int(s.getPath().getName()[1:]) for s in store.listStatus(base) if s.getPath().getName().startswith("v") and store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
 
-    def read(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
+    def newest(self) -> int:
+        """The version that a change begins from; 0 before the first."""
+        return (self._versions() or [0])[-1]
+
+    def read(self, version: int | None = None) -> DataFrame:
+        version = self.newest() if version is None else version
+        if not version:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{versions[-1]}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version}")
 
-    def _write(self, df: DataFrame) -> None:
+    def _write(self, df: DataFrame, base: int) -> None:
+        """df as the version after base."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path
-        known = self._versions()
-        at = (known or [0])[-1] + 1
+        at = base + 1
         claim = path(f"{self.path}/_claim-v{at}")
         store = claim.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not store.createNewFile(claim):
             raise RuntimeError(f"another writer changes {self.path}")
         try:
+            known = self._versions()  # after the claim: no other writer can add this version any more
+            if known and known[-1] >= at:
+                raise RuntimeError(f"another writer has changed {self.path}")
             df.write.mode("overwrite").partitionBy(*self.partition).parquet(f"{self.path}/v{at}")
         finally:
             store.delete(claim, False)
@@ -219,7 +230,7 @@ class VectorTable:
 
     def checked(self, rows: DataFrame) -> DataFrame:
         """The rows in the declared types; wrong dimensions and absent metadata are errors."""
-        names = [f.split()[0] for f in self.schema.replace("array<", "").split(", ")]
+        names = [self.key, *self.metadata, *self.auxiliary, "embedding", *self.partition]
         size = F.octet_length("embedding") * 8 if self.kind == "bit" else F.size("embedding")
         wrong = F.col("embedding").isNull() | (size != self.dimension)
         for c in self.metadata:
@@ -230,8 +241,9 @@ class VectorTable:
     def upsert(self, rows: DataFrame, order: Column | None = None) -> None:
         """Inserts rows; those with a known key replace it. The last of a key in order wins."""
         last = Window.partitionBy(self.key).orderBy((F.monotonically_increasing_id() if order is None else order).desc())
+        base = self.newest()
         rows = self.checked(rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n"))
-        self._write(self.read().join(rows, self.key, "left_anti").unionByName(rows))
+        self._write(self.read(base).join(rows, self.key, "left_anti").unionByName(rows), base)
 
     def update(self, rows: DataFrame) -> None:
         """Changes vector, metadata and auxiliary values of known keys; a null leaves a value as it is."""
@@ -239,11 +251,14 @@ class VectorTable:
         if set(values) & set(self.partition):
             raise ValueError("partition columns can't change")
         new = rows.select(F.col(self.key), *[F.col(c).alias(f"_{c}") for c in values])
-        both = self.read().join(new, self.key, "left")
-        self._write(self.checked(both.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in values else F.col(c) for c in self.read().columns])))
+        base = self.newest()
+        old = self.read(base)
+        both = old.join(new, self.key, "left")
+        self._write(self.checked(both.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in values else F.col(c) for c in old.columns])), base)
 
     def delete(self, keys: DataFrame) -> None:
-        self._write(self.read().join(keys.select(self.key), self.key, "left_anti"))
+        base = self.newest()
+        self._write(self.read(base).join(keys.select(self.key), self.key, "left_anti"), base)
 
     def point(self, key) -> DataFrame:
         return self.read().where(F.col(self.key) == key)
@@ -256,7 +271,7 @@ class VectorTable:
         """Empties the table where the embedding model or its dimension changed, so models never mix; returns the new identity."""
         now = (model, self.dimension)
         if known is not None and known != now:
-            self._write(self.spark.createDataFrame([], self.schema))
+            self._write(self.spark.createDataFrame([], self.schema), self.newest())
         return now
 
     def search(self, query: Sequence[float] | bytes, k: int, **options) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire.functions.text import fold, normalized
 
 from .fulltext import of_works
+from .quoteindex import QuoteIndex
 
 LEAST_QUOTE = 8
 # The form of a citation's marker and the names of the verdicts.
@@ -28,18 +29,24 @@ def cited_titles(document: DataFrame, edition: DataFrame, work: DataFrame) -> Da
     return of_works(document, edition, work).select("document_id", "title")
 
 
-def verify_citations(citations: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
+def verify_citations(citations: DataFrame, documents: DataFrame, pages: DataFrame, index: QuoteIndex | None = None) -> DataFrame:
     """citations with (verdict, title, at_page).
 
     citations: (citation_id, document_id, page, quote); documents: (document_id,
     title), those with an edition; pages: (document_id, page_number, content).
     Each page text is folded once and tested against the quotes on its document.
+    With an index of the pages (of normalized texts) no text is read but those
+    of the pages that have a quote's rarest fingerprint.
     """
     title = documents.select("document_id", "title")
     last = pages.groupBy("document_id").agg(F.max("page_number").alias("last_page"))
     wanted = citations.withColumn("needle", normalized(F.coalesce("quote", F.lit(""))))
     texts = pages.join(wanted.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "page_number", normalized("content").alias("folded"))
-    hits = wanted.where(F.length("needle") >= LEAST_QUOTE).select("citation_id", "document_id", "page", "needle").join(texts, "document_id").where(F.contains("folded", F.col("needle")))
+    asked = wanted.where(F.length("needle") >= LEAST_QUOTE).select("citation_id", "document_id", "page", "needle")
+    if index is None:
+        hits = asked.join(texts, "document_id").where(F.contains("folded", F.col("needle")))
+    else:
+        hits = asked.join(index.found(asked.select("needle").distinct()).select("needle", "document_id", "page_number"), ["needle", "document_id"])
     hits = hits.groupBy("citation_id").agg(F.max(F.col("page_number") == F.col("page")).alias("on_page"), F.min(F.when(F.col("page_number") != F.col("page"), F.col("page_number"))).alias("elsewhere"))
     rows = wanted.join(title, "document_id", "left").join(last, "document_id", "left").join(hits, "citation_id", "left")
     verdict = (
@@ -125,17 +132,22 @@ def _short_located(short: DataFrame, pages: DataFrame) -> DataFrame:
     return held.join(rarest.unionByName(tiny), "run").select("quote_id", *at)
 
 
-def resolve_annotations(annotations: DataFrame, pages: DataFrame) -> DataFrame:
+def resolve_annotations(annotations: DataFrame, pages: DataFrame, index: QuoteIndex | None = None) -> DataFrame:
     """annotations with (kind, to_page): found, moved or lost.
 
     annotations: (annotation_id, document_id, page, quote, prefix, suffix). The
     remembered page comes first; among several others the first that has the
-    quote in its context, else the first.
+    quote in its context, else the first. An index of the pages must be one of
+    texts that fold() gives.
     """
     none = F.lit("")
     wanted = annotations.withColumns({"needle": fold(F.coalesce("quote", none)), "context": fold(F.concat(F.coalesce("prefix", none), F.coalesce("quote", none), F.coalesce("suffix", none)))})
     texts = pages.join(wanted.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "page_number", fold("content").alias("folded"))
-    hits = wanted.where("needle != ''").select("annotation_id", "document_id", "page", "needle", "context").join(texts, "document_id").where(F.contains("folded", F.col("needle")))
+    asked = wanted.where("needle != ''").select("annotation_id", "document_id", "page", "needle", "context")
+    if index is None:
+        hits = asked.join(texts, "document_id").where(F.contains("folded", F.col("needle")))
+    else:
+        hits = asked.join(index.found(asked.select("needle").distinct()), ["needle", "document_id"])
     number = F.col("page_number")
     hits = hits.groupBy("annotation_id").agg(F.max(F.coalesce(number == F.col("page"), F.lit(False))).alias("still"), F.min(F.when(F.contains("folded", F.col("context")), number)).alias("in_context"), F.min(number).alias("first"))
     rows = annotations.join(hits, "annotation_id", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import catalog, fulltext, hybrid, ingest, verify
+from quire.operators.quoteindex import QuoteIndex
 from quire.operators.scanning import spread
 from quire.streaming import folds
 
@@ -307,6 +308,26 @@ def quote_locate(spark, d):
     return verify.locate_quotes(quotes, _pages(spark, d))
 
 
+_ASKED = "(SELECT 'whole ' || item_id AS quote_id, text FROM benchmark UNION ALL SELECT 'end ' || item_id, right(text, 12) FROM benchmark)"
+#: Pages after the changes of quote_kept.
+_REWRITTEN = f"(SELECT p.doc_id, p.page_number, CASE WHEN d.lang = 'es' THEN 'replaced ' || p.content ELSE p.content END AS content FROM {_PAGES} p JOIN documents d ON d.doc_id = p.doc_id WHERE d.source <> 'src3' OR d.lang = 'es')"
+
+
+@query(f"SELECT quote_id, doc_id AS document_id, page_number FROM (SELECT quote_id, {NORMAL.format('text')} AS needle FROM {_ASKED}) b, (SELECT doc_id, page_number, {NORMAL.format('content')} AS folded FROM {_REWRITTEN}) p WHERE needle <> '' AND contains(folded, needle)")
+def quote_kept(spark, d):
+    """Whole items and their last characters, in an index that was written, changed and merged before: replaced pages, removed documents."""
+    items = table(spark, d, "benchmark")
+    quotes = items.select(F.concat(F.lit("whole "), "item_id").alias("quote_id"), F.col("text").alias("quote")).union(items.select(F.concat(F.lit("end "), "item_id"), F.substring("text", -12, 12)))
+    pages = _pages(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "lang", "source"), "document_id")
+    index = QuoteIndex(spark, scratch(spark))
+    index.add(pages)
+    index.remove(pages.where("source = 'src3'"))
+    index.merge()
+    changed = pages.where("lang = 'es'").withColumn("content", F.concat(F.lit("replaced "), "content"))
+    index.replace(changed, ["document_id"], changed)
+    return index.locate(quotes)
+
+
 def _citations(spark, d):
     """A citation of each document: a quote from some page, on a page that may be wrong or out of range."""
     docs = table(spark, d, "documents")

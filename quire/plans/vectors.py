@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions import vector as V
 from quire.operators import knn as K
+from quire.operators.pruned import CodeTable, PivotTable
 
 from .registry import query, scratch, table
 
@@ -105,15 +106,39 @@ def knn_distance_range(spark, d):
     return _near(spark, d, distance_range=[(">", 0.5), ("<=", 10.0)])
 
 
-@query("""
+_BATCH = """
 WITH d AS (SELECT q.vec_id AS query_id, b.vec_id, round(sqrt(list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), 4) AS distance
            FROM embeddings q, embeddings b WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
-SELECT query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+SELECT query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
+
+
+def _queries(base: DataFrame) -> DataFrame:
+    return base.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(_BATCH)
 def knn_batch(spark, d):
     base = embeddings(spark, d)
-    queries = base.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return K.knn_batch(queries, base, 10, decimals=4)
+    return K.knn_batch(_queries(base), base, 10, decimals=4)
+
+
+@query(_BATCH)
+def knn_pivots(spark, d):
+    """The same from a stored table in parts around pivots, of which only those are read that may hold a neighbour."""
+    base = embeddings(spark, d)
+    near = PivotTable(spark, scratch(spark))
+    near.build(base)
+    return near.search(_queries(base), 10, decimals=4)
+
+
+@query(_BATCH)
+def knn_codes(spark, d):
+    """The same from stored int8 codes, with distances computed only where these leave it open."""
+    base = embeddings(spark, d)
+    coded = CodeTable(spark, scratch(spark))
+    coded.build(base)
+    return coded.search(_queries(base), 10, decimals=4)
 
 
 @query("SELECT vec_id, label FROM embeddings")
