@@ -53,8 +53,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 TAGGED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 RUN = re.compile(r"[A-Za-z0-9_-]+")
-JWT_HEADER, PGP_HEADERS = 4_096, 32
-PGP = re.compile(r"-----BEGIN PGP PRIVATE KEY BLOCK-----\r?\n(?:[A-Za-z]+: [^\n]*\n){0,%d}\r?\n((?:[A-Za-z0-9+/=]+\r?\n)+?)=([A-Za-z0-9+/]{4})\r?\n-----END PGP PRIVATE KEY BLOCK-----" % PGP_HEADERS)
+PGP_LINE = re.compile(r"-----BEGIN PGP PRIVATE KEY BLOCK-----\r?\n")
+PGP_HEADERS = re.compile(r"(?:[A-Za-z]+: [^\n]*\n)*+")
+PGP_BODY = re.compile(r"\r?\n((?:[A-Za-z0-9+/=]+\r?\n)+?)=([A-Za-z0-9+/]{4})\r?\n-----END PGP PRIVATE KEY BLOCK-----")
+BLANK = re.compile(r"[\x20\t\r\n]*")
+DECODER = json.JSONDecoder()
 
 
 class Span(NamedTuple):
@@ -97,19 +100,42 @@ def _tagged(text: str, at: int) -> int | None:
 
 
 class Tokens:
-    """The web tokens of a text: what follows a run of characters is looked at once, however many starts it has."""
+    """The web tokens of a text: what a run of characters decodes to, and what follows it, is looked at once, however many starts it has."""
 
     def __init__(self, text: str):
         self.text, self.run_end, self.end = text, 0, None
+        self.decoded: dict[int, tuple[int, bytes, str, bool]] = {}
 
     def __call__(self, at: int) -> int | None:
         """The end of the token that starts at a place; places ascend."""
         if at >= self.run_end:
             self.run_end = RUN.match(self.text, at).end()
             self.end = self._rest(self.run_end)
-        if self.end is None or not 3 < self.run_end - at <= JWT_HEADER:
+            self.decoded = {}
+        if self.end is None or self.run_end - at <= 3:
             return None
-        return self.end if "alg" in (_json_part(self.text[at : self.run_end]) or {}) else None
+        return self.end if "alg" in (self._header(at) or {}) else None
+
+    def _header(self, at: int) -> dict | None:
+        """What the run decodes to from a place, if that is an object."""
+        left = (self.run_end - at) % 4
+        if left == 1:
+            return None
+        if left not in self.decoded:
+            raw = base64.urlsafe_b64decode(self.text[at : self.run_end] + "=" * (-left % 4))
+            self.decoded[left] = at, raw, raw.decode("latin-1"), raw.rstrip(b" \t\r\n").endswith(b"}")  # a character a byte, so that places stay
+        first, raw, text, closed = self.decoded[left]
+        if not closed:
+            return None
+        i = (at - first) // 4 * 3
+        try:
+            value, end = DECODER.raw_decode(text, i)
+            if BLANK.match(text, end).end() < len(text):
+                return None
+            raw[i:].decode()
+        except (ValueError, RecursionError):
+            return None
+        return value if isinstance(value, dict) else None
 
     def _rest(self, at: int) -> int | None:
         """The end of payload and signature after a header that ends at a place."""
@@ -121,12 +147,28 @@ class Tokens:
         return signature.end() if signature and _json_part(payload[0]) is not None else None
 
 
-def _pgp(text: str, at: int) -> int | None:
-    m = PGP.match(text, at)
-    try:
-        return m.end() if m and crc24(base64.b64decode(m[1])) == int.from_bytes(base64.b64decode(m[2])) else None
-    except binascii.Error:
-        return None
+class KeyBlocks:
+    """The armoured key blocks of a text: a run of header lines, and the body after it, is looked at once, however many starts are in it."""
+
+    def __init__(self, text: str):
+        self.text, self.lines_end, self.end = text, -1, None
+
+    def __call__(self, at: int) -> int | None:
+        """The end of the block that starts at a place; places ascend."""
+        m = PGP_LINE.match(self.text, at)
+        if m is None:
+            return None
+        if m.end() > self.lines_end:
+            self.lines_end = PGP_HEADERS.match(self.text, m.end()).end()
+            self.end = self._body(self.lines_end)
+        return self.end
+
+    def _body(self, at: int) -> int | None:
+        m = PGP_BODY.match(self.text, at)
+        try:
+            return m.end() if m and crc24(base64.b64decode(m[1])) == int.from_bytes(base64.b64decode(m[2])) else None
+        except binascii.Error:
+            return None
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -148,7 +190,7 @@ def find(text: str | None, words: ahocorasick.Automaton) -> list[Span]:
     """All spans of a text, by start and then by kind."""
     if not text:
         return []
-    found, ends, jwt = [], dict.fromkeys(KINDS, 0), Tokens(text)
+    found, ends, jwt, pgp = [], dict.fromkeys(KINDS, 0), Tokens(text), KeyBlocks(text)
     hits = sorted((end + 1 - n, kind) for end, (kind, n) in words.iter(_lowered(text)))
     for at, kind in hits:
         if at < ends[kind]:
@@ -165,7 +207,7 @@ def find(text: str | None, words: ahocorasick.Automaton) -> list[Span]:
                     found.append(Span(kind, at, m.end()))
         elif kind == "jwt" and text[at : at + 3] != JWT_PREFIX:
             continue  # the automaton folds case, the kind doesn't
-        elif end := jwt(at) if kind == "jwt" else (_pgp if kind == "pgp" else _tagged)(text, at):
+        elif end := jwt(at) if kind == "jwt" else pgp(at) if kind == "pgp" else _tagged(text, at):
             ends[kind] = end
             found.append(Span(kind, at, end))
     # A run of hex digits has no literal to look for: the class itself is the prefilter.
