@@ -20,12 +20,12 @@ nothing. At a branching:
   its set; branches without labels say nothing against the first of these and
   join it, so what looks like labelled kin shares its labels.
 
-A template names BRANCHINGS branchings at most; all that lies below the last is
-one template, ending in `/**`.
+This goes on as long as anything branches; a round costs the places that still
+do, whatever their depth.
 
 Purity. A place's purity is the share of allowed labels below it, smoothed by
 PRIOR labels as pure as its parent; that of a host by its parent domains of two
-labels or more (the last DOMAINS labels at most), and theirs by one half. So a
+labels or more, one after another, and theirs by one half. So a
 template without labels is as pure as what is around it, and one half where
 there are no labels in the whole domain. Templates below MIN_PURITY are rejected.
 
@@ -36,7 +36,8 @@ execution can split a hot host or place.
 Defined cases: a null url, or one without `://`, has empty host and path and is
 judged by the template of these; empty segments count as segments; repeated
 rows are judged alike; an empty table gives an empty result; other columns
-aren't read. Rules of equal length that fit one url are equal.
+aren't read. Of rules of equal length that fit one url that with
+the longer host decides, then the first in order of the text.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ from .common import stored
 MAX_CHILDREN, MIN_SHARE = 32, 1 / 32
 MAX_DISTANCE, Z = 0.25, 1.96
 PRIOR, MIN_PURITY = 4.0, 0.25
-BRANCHINGS, DOMAINS = 16, 6
+#: Rounds of the tree after which its finished templates are written together.
+ROUNDS = 16
 #: Labels, half of them bad, that are added to a rate before rates are compared.
 EVEN = 2.0
 WILD = "/*"
@@ -80,7 +82,7 @@ def plain_path(path: Column) -> Column:
 
 def apply_rules(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """urls with the columns rule and rule_verdict; rules: (rule, allow or block)."""
-    longest = sorted(rules, key=lambda r: (-len(r[0]), r[0]))
+    longest = sorted(rules, key=lambda r: (-len(r[0]), -len(r[0].partition("/")[0]), r[0]))
     if len(longest) <= INLINE_RULES:
         rule = verdict = F.lit(None).cast("string")
         for r, v in reversed(longest):
@@ -93,7 +95,7 @@ def apply_rules(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     places = urls.select("host", "path").distinct()
     ends = places.withColumn("rule_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
     found = ends.join(known, "rule_host").where(F.expr("startswith(path, concat('/', rule_path))"))
-    best = found.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.length("rule")).alias("r")).select("host", "path", "r.rule", "r.rule_verdict")
+    best = found.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("size"), (-F.length("rule_host")).alias("host"), "rule", "rule_verdict")).alias("r")).select("host", "path", "r.rule", "r.rule_verdict")
     return urls.join(best, ["host", "path"], "left")
 
 
@@ -116,11 +118,11 @@ def _smoothed(good: Column, bad: Column, around: Column) -> Column:
 def host_purity(rows: DataFrame) -> DataFrame:
     """(host, purity) from rows (host, good, bad)."""
     hosts = stored(rows.groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
-    above = F.filter(F.array(*map(F.lit, range(2, DOMAINS + 1))), lambda k: k < F.size(F.split("host", r"\.")))
-    chain = hosts.withColumn("k", F.explode(above)).withColumn("domain", F.expr("substring_index(host, '.', -k)"))
+    labels = F.size(F.split("host", r"\."))
+    chain = hosts.where(labels > 2).withColumn("k", F.explode(F.sequence(F.lit(2), labels - 1))).withColumn("domain", F.expr("substring_index(host, '.', -k)"))
     domains = stored(chain.groupBy("domain").agg(F.sum("good").alias("d_good"), F.sum("bad").alias("d_bad")))
-    found = chain.join(domains, "domain").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("k", F.col("d_good").alias("good"), F.col("d_bad").alias("bad")))).alias("above"))  # DOMAINS at most
-    own = F.array(F.struct(F.lit(DOMAINS + 1).alias("k"), "good", "bad"))
+    found = chain.join(domains, "domain").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("k", F.col("d_good").alias("good"), F.col("d_bad").alias("bad")))).alias("above"))  # as many as a host has labels
+    own = F.array(F.struct(F.lit(1 << 30).alias("k"), "good", "bad"))
     start = F.struct(F.lit(0.5).alias("p"), F.lit(-1).cast("long").alias("good"), F.lit(-1).cast("long").alias("bad"))
 
     def step(s: Column, x: Column) -> Column:
@@ -184,20 +186,23 @@ def learn_templates(urls: DataFrame) -> DataFrame:
     live = stored(rows.join(host_purity(rows), "host").select("host", "plain", F.lit("").alias("done"), F.split("plain", "/").alias("rest"), "n", "good", "bad", "purity"))
     out = lambda df, done: df.select("host", "plain", F.substring(done, 2, 1 << 30).alias("template"), "purity")
     finished = []
-    for _ in range(BRANCHINGS):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         here = _arrived(live)
         branching = here.where("NOT alone")
         moved = branching.drop("purity").join(_kinds(branching), [*PLACE, "key"])
         # The rest of a path that is left alone is passed already.
         finished += [out(here.where("alone"), F.col("done")), out(moved.where("key = ''"), F.col("done"))]
         live = stored(moved.where("key != ''").select("host", "plain", F.concat("done", "name").alias("done"), "rest", "n", "good", "bad", "purity"))
-    finished.append(out(live, F.concat("done", F.lit("/**"))))
-    every = finished[0]
-    for other in finished[1:]:
+        if len(finished) > 2 * ROUNDS:
+            finished = [stored(_union(finished))]
+    return stored(_union(finished or [out(live, F.col("done"))]))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    every = parts[0]
+    for other in parts[1:]:
         every = every.unionByName(other)
-    return stored(every)
+    return every
 
 
 def judge(df: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
