@@ -10,8 +10,11 @@ A search brings the lists of the terms asked for together by segment. There
 each window of a test item takes the shortest list among its terms and
 intersects it with the other lists, adjusted by their offsets, from rare to
 frequent; it ends as soon as nothing is left. What is left are the exact
-places of the phrase. With a slop above 0 each term may stand that many words
-from its place (proximity).
+places of the phrase. With a slop above 0 (proximity) an occurrence is any
+choice of ascending places of the terms, in their order, with slop other words
+at most between two that follow each other; all words from its first to its last
+are hit. That depends on neither segments nor the order in which lists are
+read: the rarest list only says where the others need to be looked at.
 
 Test items are taken in blocks of BLOCK_WORDS words, one broadcast each; a pass
 over the index looks for TOGETHER blocks, one after another in each segment, so
@@ -154,21 +157,48 @@ class Segment:
             got = self.lists[term] = np.cumsum(np.frombuffer(self.raw[term], "<i4"))
         return got
 
-    def phrase(self, terms: list[bytes], slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """First and last positions of the occurrences of terms in sequence, each within slop words of its place."""
+    def phrase(self, terms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """First and last positions of the occurrences of terms in sequence."""
         order = sorted(range(len(terms)), key=lambda o: len(self.raw[terms[o]]))
         base = self.positions(terms[order[0]]).astype(np.int64) - order[0]
-        low, high = base + order[0], base + order[0]
         for o in order[1:]:
             own, want = self.positions(terms[o]), base + o
-            i = np.searchsorted(own, want)
-            right, left = own[np.minimum(i, len(own) - 1)], own[np.maximum(i - 1, 0)]
-            near = np.where(np.abs(right - want) <= np.abs(left - want), right, left)
-            keep = np.abs(near - want) <= slop
-            base, low, high = base[keep], np.minimum(low, near)[keep], np.maximum(high, near)[keep]
+            base = base[own[np.minimum(np.searchsorted(own, want), len(own) - 1)] == want]
             if not len(base):
                 break
-        return low, high
+        return base, base + len(terms) - 1
+
+    def near(self, terms: list[bytes], slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals whose union is what all occurrences cover that leave slop words at most between terms."""
+        reach, n = slop + 1, len(terms)
+        rare = min(range(n), key=lambda o: len(self.raw[terms[o]]))
+        anchor = self.positions(terms[rare]).astype(np.int64)
+        lists = []
+        for o, t in enumerate(terms):  # what lies too far from every anchor is in no occurrence
+            own = self.positions(t).astype(np.int64)
+            i = np.searchsorted(anchor, own - max(o - rare, 0) * reach)
+            lists.append(own[anchor[np.minimum(i, len(anchor) - 1)] <= own + max(rare - o, 0) * reach] if o != rare else anchor)
+        for o in range(1, n):  # those that the terms before lead to
+            lists[o] = self._reached(lists[o - 1], lists[o], reach)
+        low, high = [], []
+        for o in range(n - 2, -1, -1):  # and from which the terms after go on
+            after, own = lists[o + 1], lists[o]
+            last = np.searchsorted(after, own + reach, "right") - 1
+            going = np.zeros(len(own), bool) if not len(after) else (last >= 0) & (after[np.maximum(last, 0)] > own)
+            lists[o], last = own[going], last[going]
+            low.append(lists[o])
+            high.append(after[last])
+        if n == 1:
+            return anchor, anchor
+        return np.concatenate(low), np.concatenate(high)
+
+    @staticmethod
+    def _reached(before: np.ndarray, own: np.ndarray, reach: int) -> np.ndarray:
+        """Those of own that have one of before at most reach words ahead of them."""
+        if not len(before) or not len(own):
+            return own[:0]
+        last = np.searchsorted(before, own) - 1
+        return own[(last >= 0) & (own - before[np.maximum(last, 0)] <= reach)]
 
 
 def _search(rows: pa.Table, blocks: Iterator[Block], slop: int) -> dict[str, list]:
@@ -189,7 +219,8 @@ def _search(rows: pa.Table, blocks: Iterator[Block], slop: int) -> dict[str, lis
         here = np.array([t in lists for t in block.terms], bool)
         for windows, owners in block.windows:
             for i in np.flatnonzero(here[windows].all(axis=1)).tolist():
-                low, high = segment.phrase([block.terms[t] for t in windows[i].tolist()], slop)
+                terms = [block.terms[t] for t in windows[i].tolist()]
+                low, high = segment.near(terms, slop) if slop else segment.phrase(terms)
                 if len(low):
                     np.add.at(cover, low, 1)
                     np.add.at(cover, high + 1, -1)

@@ -59,18 +59,15 @@ def brute_templates(rows):
         for i, x in enumerate((1, good, bad)):
             own[i] += x
         parts = host.split(".")
-        for k in [*(k for k in range(2, U.DOMAINS + 1) if k < len(parts)), None]:
+        for k in [*range(2, len(parts)), None]:
             d = hosts.setdefault((k is None, host if k is None else ".".join(parts[-k:])), [0, 0])
             d[0] += good
             d[1] += bad
 
-    def place(host, done, some, purity, level):
+    def place(host, done, some, purity):
         """some: rest of the path to those plain paths that have it here."""
         if not some:
             return
-        if level == U.BRANCHINGS:
-            out.update({(host, x): (done + "/**", purity) for own in some.values() for x in own})
-            return
         rests = list(some)
         c = 0
         while all(len(r) > c for r in rests) and len({r[c] for r in rests}) == 1:
@@ -125,16 +122,16 @@ def brute_templates(rows):
         for name, (good, bad, below) in merged.items():
             pure = smooth(good, bad, purity)
             if name:
-                place(host, done + name, below, pure, level + 1)
+                place(host, done + name, below, pure)
             else:
                 out.update({(host, x): (done, pure) for own in below.values() for x in own})
 
     for host, own in paths.items():
         p, last, parts = 0.5, None, host.split(".")
-        for k in [*(k for k in range(2, U.DOMAINS + 1) if k < len(parts)), None]:
+        for k in [*range(2, len(parts)), None]:
             good, bad = hosts[k is None, host if k is None else ".".join(parts[-k:])]
             p, last = (p if (good, bad) == last else smooth(good, bad, p)), (good, bad)
-        place(host, "", {tuple(x.split("/")): [x] for x in own}, p, 0)
+        place(host, "", {tuple(x.split("/")): [x] for x in own}, p)
     return {k: (t[1:], p) for k, (t, p) in out.items()}
 
 
@@ -158,6 +155,16 @@ def test_many_rules_join(spark, monkeypatch):
     assert by_key(urlfilter.judge(df, RULES).collect(), "page_id", "rule", "verdict") == want
 
 
+def test_rules_of_equal_length(spark, monkeypatch):
+    """That with the longer host decides, then the first in order, whether rules are written out or joined."""
+    rules = [("x.com/ab", "allow"), ("y.x.com/", "block"), ("x.com/a/", "block"), ("z.com/ab", "allow")]
+    df = spark.createDataFrame([(1, "http://y.x.com/abc"), (2, "http://x.com/abc"), (3, "http://q.y.x.com/a/b"), (4, "http://z.com/ab/")], "page_id int, url string")
+    want = [(1, "y.x.com/", "block"), (2, "x.com/ab", "allow"), (3, "y.x.com/", "block"), (4, "z.com/ab", "allow")]
+    for most in (200, 0):
+        monkeypatch.setattr(urlfilter, "INLINE_RULES", most)
+        assert by_key(urlfilter.judge(df, rules).collect(), "page_id", "rule", "verdict") == want
+
+
 def test_templates(spark):
     good = [(f"/en/{i}", 1, 0) for i in range(30)] + [(f"/fr/{i}", 1, 0) for i in range(30)]
     bad = [(f"/win/{i}", 0, 1) for i in range(30)] + [(f"/user/name{i}x", 0, 1) for i in range(60)]
@@ -206,11 +213,12 @@ def test_long_paths_cost_no_jobs(spark):
 
 
 def test_deep_branchings(spark, monkeypatch):
-    monkeypatch.setattr(urlfilter, "BRANCHINGS", 3)
-    rows = [("h", "/a" * k, 0, 0) for k in range(1, 9)]
-    got = {r.plain: r.template for r in urlfilter.learn_templates(spark.createDataFrame(rows, "host string, plain string, good long, bad long")).collect()}
-    assert got["/a"] == "/a" and got["/a/a/a/a/a"] == got["/a" * 8] == "/a/a/a/a/**"
-    assert {k[1]: v[0] for k, v in brute_templates(rows).items()} == got
+    """Forty branchings below one another and a host of ten labels, as by brute force."""
+    monkeypatch.setattr(urlfilter, "ROUNDS", 4)
+    rows = [("h", "/a" * k, k % 2, 1 - k % 2) for k in range(1, 42)]
+    rows += [(f"{x}.9.8.7.6.5.4.3.2.1", "/p", int(x == "a"), int(x == "b")) for x in "abc"] + [("z.5.4.3.2.1", "/p", 0, 3), ("3.2.1", "/q", 2, 0)]
+    got = {(r.host, r.plain): (r.template, pytest.approx(r.purity)) for r in urlfilter.learn_templates(spark.createDataFrame(rows, "host string, plain string, good long, bad long")).collect()}
+    assert got == brute_templates(rows) and got["h", "/a" * 41][0] == "/a" * 41
 
 
 def test_wildcards(spark):
@@ -471,6 +479,38 @@ def test_proximity(spark):
     assert hits(1) == {1: [(0, 4)], 2: [(0, 3)], 3: []}
 
 
+def brute_near(words, item, slop):
+    """Words that occurrences of item cover: ascending places with slop others at most between two."""
+    hit = set()
+
+    def go(places):
+        if len(places) == len(item):
+            hit.update(range(places[0], places[-1] + 1))
+            return
+        for p in range(places[-1] + 1, min(len(words), places[-1] + slop + 2)) if places else range(len(words)):
+            if words[p] == item[len(places)]:
+                go([*places, p])
+
+    go([])
+    return sorted(hit)
+
+
+@pytest.mark.parametrize("segment", [1, 400, 1 << 20])
+def test_proximity_brute(spark, monkeypatch, segment):
+    """Whatever shares a segment, and so is rare or frequent in it: terms of one item, a term twice, longer items."""
+    monkeypatch.setattr(decontaminate, "SEGMENT", segment)
+    r = random.Random(8)
+    docs = [(i, " ".join(r.choice("abcd" if i % 3 else "aabc") for _ in range(r.randint(0, 25)))) for i in range(60)]
+    items = [(i, " ".join(r.choice("abcde") for _ in range(r.randint(1, 6)))) for i in range(12)] + [(50, "a a"), (51, "a b a"), (52, "d")]
+    index = decontaminate.build_index(spark.createDataFrame(docs, "doc_id int, text string").repartition(2))
+    table = spark.createDataFrame(items, "item_id int, text string")
+    for slop in (0, 1, 3):
+        got = {x.key: ({p for h in x.hits for p in range(h.start, h.end)}, x["items"]) for x in decontaminate.find_items(index, table, slop=slop).collect()}
+        for k, text in docs:
+            hits = {i: brute_near(text.split(), t.split(), slop) for i, t in items}
+            assert got[k] == (set().union(*hits.values()), sorted(str(i) for i, h in hits.items() if h)), (slop, k)
+
+
 # 5 repeats
 
 
@@ -583,7 +623,7 @@ def brute_spans(text):
 def brute_jwt(text):
     out, at = [], 0
     while m := re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+").search(text, at):
-        good = len(m[1]) <= secrets.JWT_HEADER and "alg" in (secrets._json_part(m[1]) or {}) and secrets._json_part(m[2]) is not None
+        good = "alg" in (secrets._json_part(m[1]) or {}) and secrets._json_part(m[2]) is not None
         out += [(m.start(), m.end())] * good
         at = m.end() if good else m.start() + 1
     return out
@@ -631,6 +671,16 @@ def test_jwt_brute(parts):
     assert [(s.start, s.end) for s in secrets.find(text, secrets.automaton()) if s.kind == "jwt"] == brute_jwt(text)
 
 
+def test_secrets_with_long_headers():
+    header = base64.urlsafe_b64encode(('{"alg":"none","x":"' + "é" * 60_000 + '"}').encode()).decode().rstrip("=")
+    token = f"{header}.{_B64[1]}.sig"
+    key = base64.b64encode(b"key material").decode()
+    block = "-----BEGIN PGP PRIVATE KEY BLOCK-----\n" + "Comment: line\n" * 100 + f"\n{key}\n={base64.b64encode(secrets.crc24(b'key material').to_bytes(3)).decode()}\n-----END PGP PRIVATE KEY BLOCK-----"
+    assert len(header) > 100_000
+    found = secrets.find(f"a {token} b {block} c", secrets.automaton())
+    assert [(s.kind, s.start, s.end) for s in found if s.kind in ("jwt", "pgp")] == [("jwt", 2, 2 + len(token)), ("pgp", 5 + len(token), 5 + len(token) + len(block))]
+
+
 def test_secrets_take_linear_time():
     import time
 
