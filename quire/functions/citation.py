@@ -6,6 +6,9 @@ family), year, publisher, isbn13 and doi; blank fields count as absent.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import blank_to_null, key_fold
@@ -89,6 +92,17 @@ def write_bibtex(records: DataFrame, path: str) -> None:
     records.select(F.concat(bibtex(), F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_csl(records: DataFrame, path: str) -> None:
-    """One item a line."""
-    records.select(csl_item().alias("value")).write.mode("overwrite").text(path)
+def write_csl(records: DataFrame, path: str, files: int = 1) -> None:
+    """An array of items in each of at most so many files, with a line for each item."""
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for b in batches:
+            lines = []
+            for item in b.column(0).to_pylist():
+                lines.append(before + item)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if before == "," else "[]"])], names=["value"])
+
+    records.select(csl_item().alias("value")).coalesce(files).mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)

@@ -85,6 +85,44 @@ def subtree_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     return steps.select("s.*").where("name is not null").distinct()
 
 
+def _doubled(rows: DataFrame, folder: str, most: int, rounds: list | None = None) -> DataFrame:
+    """rows (id, up[, path, depth]) after each pointer was followed as far as it goes, or for so many rounds: a table below folder for each."""
+    spark, k = rows.sparkSession, 0
+    while True:
+        rows.write.parquet(f"{folder}/{k}")
+        rows = spark.read.parquet(f"{folder}/{k}")
+        still = rows.where("up is not null").count()
+        if not still or k >= most:
+            return rows
+        k += 1
+        if rounds is not None:
+            rounds.append(still)
+        above = rows.select([F.col(c).alias(f"_{c}") for c in rows.columns])
+        both = rows.where("up is not null").join(above, F.col("up") == F.col("_id"))
+        more = [F.concat_ws("/", "_path", "path").alias("path"), (F.col("depth") + F.col("_depth")).alias("depth")] if "path" in rows.columns else []
+        rows = rows.where("up is null").unionByName(both.select("id", F.col("_up").alias("up"), *more))
+
+
+def walk(nodes: DataFrame, folder: str, rounds: list | None = None) -> DataFrame:
+    """(id, path, depth, is_cyclic) of nodes (id, parent, name): names from the top down, by pointer doubling.
+
+    Each round joins every node to the one that it points to and takes over its
+    path and its pointer, so a pointer spans twice as many levels as before, and
+    the rounds, each a table below the new folder, are the logarithm of the depth. A
+    parent that isn't there makes a root. What stands on a cycle or below one
+    still points somewhere after as many rounds as the number of nodes allows;
+    that is found out by pointers alone, before paths are made, and such nodes
+    have none. rounds, if given, gets the number of open pointers of each.
+    """
+    known = nodes.select(F.col("id").alias("_there"))
+    rows = nodes.join(known, F.col("parent") == F.col("_there"), "left").select("id", F.col("_there").alias("up"), F.col("name").alias("path"), F.lit(1).alias("depth"))
+    ends = _doubled(rows.select("id", "up"), f"{folder}/ends", nodes.count().bit_length() + 1)
+    cyclic = ends.where("up is not null").select("id")
+    paths = _doubled(rows.join(cyclic, "id", "left_anti"), f"{folder}/paths", 64, rounds)
+    none = cyclic.select("id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("depth"), F.lit(True).alias("is_cyclic"))
+    return paths.select("id", "path", "depth", F.lit(False).alias("is_cyclic")).unionByName(none)
+
+
 def under(path: Column | str, root: str) -> Column:
     """Whether a path is the root or below it; the root's own characters are no wildcards."""
     c = F.col(path) if isinstance(path, str) else path

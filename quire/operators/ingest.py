@@ -145,15 +145,18 @@ def collections(documents: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     return tree, rows.select(ident(F.col("path")).alias("collection_id"), "work_id").distinct()
 
 
-def replace_pages(document: DataFrame, document_page: DataFrame, pages: DataFrame, recognized: bool = False) -> tuple[DataFrame, DataFrame]:
+def replace_pages(document: DataFrame, document_page: DataFrame, pages: DataFrame, recognized: bool = False, treated: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(document, document_page) after an extraction: the documents' pages replaced, marked as extracted.
 
+    treated: the documents (document_id) that were read, be it without a page:
+    their old pages go too, and they are marked. Without it they are those of pages.
     recognized: the pages come from character recognition, which is no longer
     needed then; blank pages are left out and numbers kept.
     """
     if recognized:
         pages = pages.where(F.trim("content") != "")
-    done = pages.select("document_id").distinct()
+    done = pages.select("document_id")
+    done = (done if treated is None else done.unionByName(treated.select("document_id"))).distinct()
     kept = document_page.join(done, "document_id", "left_anti").unionByName(pages.select(*document_page.columns))
     marked = document.join(done.withColumn("_m", F.lit(True)), "document_id", "left")
     new = {"is_extracted": F.coalesce("_m", "is_extracted")}

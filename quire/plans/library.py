@@ -228,9 +228,21 @@ def collection_tree(spark, d):
     return catalog.subtree_paths(table(spark, d, "pages").select(path.alias("path")))
 
 
-@query("""WITH RECURSIVE node AS (SELECT 'r' || r_regionkey AS id, CAST(NULL AS VARCHAR) AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier),
+_WALK = """WITH RECURSIVE node AS (SELECT 'r' || r_regionkey AS id, CAST(NULL AS VARCHAR) AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier),
 walk AS (SELECT id, name AS path, 1 AS depth FROM node WHERE parent IS NULL UNION ALL SELECT node.id, walk.path || '/' || node.name, walk.depth + 1 FROM node JOIN walk ON node.parent = walk.id)
-SELECT id, path, CAST(depth AS INTEGER) AS depth FROM walk""")
+SELECT id, path, CAST(depth AS INTEGER) AS depth FROM walk"""
+
+
+@query(_WALK)
+def collection_chains(spark, d):
+    """The same by pointer doubling, for chains of any depth."""
+    of = lambda name, id_, parent, label: table(spark, d, name).select(id_.alias("id"), parent.alias("parent"), F.col(label).alias("name"))
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    nodes = of("region", key("r", "r_regionkey"), F.lit(None).cast("string"), "r_name").union(of("nation", key("n", "n_nationkey"), key("r", "n_regionkey"), "n_name")).union(of("supplier", key("s", "s_suppkey"), key("n", "s_nationkey"), "s_name"))
+    return catalog.walk(nodes, scratch(spark)).select("id", "path", "depth")
+
+
+@query(_WALK)
 def collection_walk(spark, d):
     """Paths of a tree held as parent links, by a recursive query."""
     for name in ("region", "nation", "supplier"):

@@ -1,27 +1,39 @@
-"""A library as an archive: a folder a table and a manifest."""
+"""A library as an archive: tables and a manifest, switched at once.
+
+An export writes its tables beside those of the last one and then the manifest
+as the folder's newest state, which names them: a job that fails before that
+leaves the archive as it was, and readers see one export or the other. Tables of
+exports before the last two go.
+"""
 
 from __future__ import annotations
 
-import json
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators.catalog import rebase
 
+from .commits import Folder
 from .schemas import MIGRATIONS, schema, tables_after
 
 FORMAT = 1
 
 
 def export(tables: dict[str, DataFrame], folder: str, source_folder: str) -> dict:
-    """Writes the tables and then the manifest, in place of what the folder held; an archive without manifest isn't one."""
+    """Writes the tables and then the manifest."""
     spark = next(iter(tables.values())).sparkSession
+    store = Folder(spark, folder)
+    number, last = store.state()
+    at = store.fresh("tables")
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    manifest = {"appliedMigrations": [n for n, _ in MIGRATIONS], "documentCount": tables["document"].count() if "document" in tables else 0, "exportDate": datetime.now(UTC).isoformat(timespec="seconds"), "formatVersion": FORMAT, "sourceFolderPath": source_folder, "tables": sorted(tables)}
-    line = json.dumps(manifest, sort_keys=True)
-    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+        df.write.parquet(store.at(f"{at}/{name}"))
+    count = spark.read.parquet(store.at(f"{at}/document")).count() if "document" in tables else 0
+    manifest = {"appliedMigrations": [n for n, _ in MIGRATIONS], "documentCount": count, "exportDate": datetime.now(UTC).isoformat(timespec="seconds"), "formatVersion": FORMAT, "sourceFolderPath": source_folder, "tables": sorted(tables), "at": at}
+    store.commit(number, manifest)
+    for name in store.names("tables"):
+        if name not in (at, last.get("at")):
+            store.delete(name)
     return manifest
 
 
@@ -30,7 +42,11 @@ def load(spark: SparkSession, folder: str, source_folder: str | None = None) ->
 
     A missing manifest, a later format and unknown migrations are errors.
     """
-    manifest = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
+    store = Folder(spark, folder)
+    manifest = store.state()[1]
+    if not manifest:
+        raise FileNotFoundError(f"{folder} holds no archive")
+    folder = store.at(manifest["at"])
     if manifest["formatVersion"] > FORMAT:
         raise ValueError(f"the archive has format {manifest['formatVersion']}, known is {FORMAT}")
     known = tables_after(manifest["appliedMigrations"])

@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import io
+import lzma
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from typing import Any, Protocol
 from urllib.parse import quote, unquote
@@ -167,12 +170,16 @@ def _all(root: ElementTree.Element, name: str) -> list[ElementTree.Element]:
     return [e for e in root.iter() if _local(e.tag) == name]
 
 
+#: What reading a damaged, truncated or encrypted archive, or one packed in an unknown way, raises.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, KeyError, EOFError, OSError, RuntimeError, NotImplementedError, ValueError, OverflowError, struct.error)
+
+
 def _package(z: zipfile.ZipFile) -> tuple[ElementTree.Element, str] | None:
     """The package document of an EPUB and its folder."""
     try:
         where = _all(ElementTree.fromstring(z.read("META-INF/container.xml")), "rootfile")[0].get("full-path", "")
         return ElementTree.fromstring(z.read(where)), where.rpartition("/")[0]
-    except (KeyError, IndexError, ElementTree.ParseError):
+    except (*UNREADABLE, IndexError, ElementTree.ParseError):
         return None
 
 
@@ -195,10 +202,10 @@ def xhtml_text(raw: bytes) -> str:
 
 
 def epub_items(content: bytes) -> list[str] | None:
-    """Texts of the reading order's items; None for what isn't an EPUB with text."""
+    """Texts of the reading order's items that can be read; None for what isn't an EPUB with text."""
     try:
         z = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
+    except UNREADABLE:
         return None
     found = _package(z)
     if found is None:
@@ -213,7 +220,7 @@ def epub_items(content: bytes) -> list[str] | None:
         path = unquote((f"{folder}/" if folder else "") + target.split("#")[0])
         try:
             text = xhtml_text(z.read(path))
-        except KeyError:
+        except UNREADABLE:
             continue
         if text:
             out.append(text)
@@ -224,7 +231,7 @@ def epub_metadata(content: bytes) -> dict[str, str | list[str] | None] | None:
     """Raw title, creator, date, publisher, language and identifiers."""
     try:
         found = _package(zipfile.ZipFile(io.BytesIO(content)))
-    except zipfile.BadZipFile:
+    except UNREADABLE:
         return None
     if found is None:
         return None
@@ -300,9 +307,11 @@ def extract_pending(document: DataFrame, files: DataFrame, pdf: PdfReader | None
     """(outcome, pages) of the documents that wait for extraction, whose files are (path, content).
 
     outcome: (document_id, is_extracted, needs_ocr, failed), a row for each of
-    them: one that a reader can't read, or whose file isn't there, has failed and
-    stays pending, and the others don't notice. pages: (document_id,
-    page_number, content), to put in place by ingest.replace_pages.
+    them: one that a PDF reader can't read, or whose file isn't there, has failed
+    and stays pending, and the others don't notice. A book or text without
+    readable pages is treated and has none. pages: (document_id, page_number,
+    content), to put in place by ingest.replace_pages, with those of outcome that
+    are extracted as treated.
     """
     waiting = ingest.pending_documents(document).select("document_id", "format", F.col("file_path").alias("path"))
     own = waiting.join(files, "path", "left")

@@ -9,8 +9,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pyspark.sql.datasource import GreaterThan, In, LessThanOrEqual
+
+from quire.functions import citation
 from quire.operators import catalog, fulltext, hybrid, ingest, knn, verify
 from quire.sources import archive, files, numpy_files, schemas
+from quire.sources.commits import Folder
 from quire.streaming import folds
 
 FRENCH = [(1, "Le concept de liberté chez Sartre."), (2, "La vérité des xylophones."), (3, "Rien ici.")]
@@ -251,6 +255,36 @@ def test_books(spark):
     assert (g.title, g.author, g.year, g.language, g.isbn13) == ("La Cité antique", "Fustel", "1864", "fr", "9782707302144") and guess["b.epub"] is None
 
 
+def test_damaged_books(spark):
+    """A damaged, an encrypted and a truncated book beside good ones: what can be read is, and nothing stops."""
+    good = _epub()
+    z = zipfile.ZipFile(io.BytesIO(good))
+    last = max((i for i in z.infolist() if i.filename.endswith("html")), key=lambda i: i.header_offset)
+    at = last.header_offset + 30 + len(last.filename.encode())
+    damaged = bytearray(good)
+    damaged[at : at + 8] = b"\xff" * 8
+    encrypted = bytearray(good)
+    start = -1
+    while (start := encrypted.find(b"PK\x01\x02", start + 1)) >= 0:
+        encrypted[start + 8] |= 1
+    packed = bytearray(good)
+    start = packed.find(b"PK\x01\x02", packed.find(last.filename.encode(), at) - 60)
+    packed[start + 10] = 99  # a way of packing that isn't known
+    books = [("ok.epub", good), ("damaged.epub", damaged), ("encrypted.epub", encrypted), ("packed.epub", packed), ("cut.epub", good[: len(good) // 2]), ("none.epub", b"")]
+    rows = spark.createDataFrame([(n, "epub", bytearray(c)) for n, c in books], "path string, format string, content binary")
+    n = {r["path"]: r["n"] for r in files.extract(rows).groupBy("path").agg(F.count("*").alias("n")).collect()}
+    assert n["ok.epub"] == 4 and 0 < n["damaged.epub"] < 4 and not {"encrypted.epub", "cut.epub", "none.epub"} & n.keys()
+    guess = {r.path: r.guess for r in files.epub_guess(rows).collect()}
+    assert guess["damaged.epub"] == guess["ok.epub"] is not None and guess["encrypted.epub"] is guess["cut.epub"] is None
+
+    document = spark.createDataFrame([(p, "epub", p, p, False, False) for p, _ in books] + [("gone", "epub", "gone", "gone", False, False)], "document_id string, format string, file_path string, file_name string, is_extracted boolean, needs_ocr boolean")
+    outcome, pages = files.extract_pending(document, rows.select("path", "content"))
+    old = spark.createDataFrame([(p, 1, "old") for p in ("ok.epub", "cut.epub", "gone")], "document_id string, page_number int, content string")
+    document, left = ingest.replace_pages(document, old, pages, treated=outcome.where("is_extracted"))
+    assert {(r.document_id) for r in left.where("content = 'old'").collect()} == {"gone"}
+    assert {r.document_id for r in document.where("NOT is_extracted").collect()} == {"gone"}
+
+
 def test_pdf_pages(spark):
     rows = spark.createDataFrame([("a", 1, " " + "x" * 60), ("a", 2, "  "), ("a", 3, "y" * 200), ("s", 1, "few")], "path string, page_number int, content string")
     kept, scans = files.pdf_pages(rows)
@@ -284,6 +318,59 @@ def test_npy(spark, tmp_path):
             numpy_files.parse((tmp_path / "b.npy").read_bytes())
 
 
+def test_npy_in_ranges(spark, tmp_path, monkeypatch):
+    """Parts of a file by rows; a predicate on rowid opens those that may hold a row."""
+    a = np.arange(300, dtype="<f4").reshape(100, 3)
+    (tmp_path / "d").mkdir()
+    np.save(tmp_path / "d" / "a.npy", a)
+    np.save(tmp_path / "d" / "b.npy", a[:0])
+    reader = numpy_files.NpyReader(f"file://{tmp_path}/d", 120)
+    assert [(p.start, p.stop) for p in reader.partitions()] == [(i, i + 10) for i in range(0, 100, 10)]
+    got = [x for p in reader.partitions() for b in reader.read(p) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert got == list(enumerate(a.tolist()))
+    some = numpy_files.FilteredNpyReader(f"file://{tmp_path}/d", 120)
+    asked = [GreaterThan(("rowid",), 34), LessThanOrEqual(("rowid",), 51), GreaterThan(("vector",), 1)]
+    assert list(some.pushFilters(asked)) == asked and [(p.start, p.stop) for p in some.partitions()] == [(35, 45), (45, 52)]
+    one = numpy_files.FilteredNpyReader(f"file://{tmp_path}/d", 120)
+    list(one.pushFilters([In(("rowid",), (3, 98))]))
+    assert [(p.start, p.stop) for p in one.partitions()] == [(3, 13), (13, 23), (23, 33), (33, 43), (43, 53), (53, 63), (63, 73), (73, 83), (83, 93), (93, 99)]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        numpy_files.register(spark)
+        read = spark.read.format("npy").option("bytes", "120").option("pushdown", "true").load(f"file://{tmp_path}/d")
+        assert read.rdd.getNumPartitions() == 10 and read.count() == 100
+        assert [list(r.vector) for r in read.where("rowid = 57").collect()] == [a[57].tolist()] and read.where("rowid = 57").rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    raw = (tmp_path / "d" / "a.npy").read_bytes()
+    (tmp_path / "d" / "a.npy").write_bytes(raw[:-4])
+    with pytest.raises(ValueError, match="size"):
+        numpy_files.NpyReader(f"file://{tmp_path}/d", 120).partitions()
+
+
+def test_csl_is_an_array(spark, tmp_path):
+    rows = spark.range(7).select(*[F.lit(None).cast("string").alias(c) for c in ("year", "publisher", "isbn13", "doi")], F.concat(F.lit("T"), "id").alias("title"), F.array(F.lit("Ada Byron")).alias("authors"))
+    citation.write_csl(rows, f"file://{tmp_path}/one")
+    text = "".join(p.read_text() for p in (tmp_path / "one").glob("part-*"))
+    assert [x["title"] for x in json.loads(text)] == [f"T{i}" for i in range(7)]
+    citation.write_csl(rows.repartition(3), f"file://{tmp_path}/many", files=3)
+    parts = [json.loads(p.read_text()) for p in (tmp_path / "many").glob("part-*")]
+    assert len(parts) == 3 and sorted(x["title"] for p in parts for x in p) == [f"T{i}" for i in range(7)]
+    citation.write_csl(rows.limit(0), f"file://{tmp_path}/none")
+    assert "".join(p.read_text() for p in (tmp_path / "none").glob("part-*")).strip() in ("", "[]")
+
+
+def test_chains_of_any_depth(spark, tmp_path):
+    """A chain of a thousand in about ten rounds; what stands on a cycle is reported, and a parent that isn't there makes a root."""
+    nodes = [(f"c{i}", f"c{i - 1}" if i else None, f"n{i}") for i in range(1_000)] + [("x", "y", "X"), ("y", "z", "Y"), ("z", "x", "Z"), ("below", "x", "B"), ("self", "self", "S"), ("lost", "nowhere", "L")]
+    rounds = []
+    df = catalog.walk(spark.createDataFrame(nodes, "id string, parent string, name string"), f"file://{tmp_path}/w", rounds=rounds)
+    got = {r.id: (r.path, r.depth, r.is_cyclic) for r in df.collect()}
+    assert len(rounds) <= 11 and len(got) == len(nodes)
+    assert got["c999"] == ("/".join(f"n{i}" for i in range(1_000)), 1_000, False) and got["lost"] == ("L", 1, False)
+    assert {k for k, v in got.items() if v[2]} == {"x", "y", "z", "below", "self"} and got["x"][:2] == (None, None)
+
+
 def test_archive(spark, tmp_path):
     doc = spark.createDataFrame([("d", "/ancien/racine/Philo/K.pdf")], "document_id string, file_path string")
     doc = doc.select("document_id", F.lit(None).cast("string").alias("edition_id"), "file_path", F.lit("K.pdf").alias("file_name"), F.lit(1).cast("long").alias("file_size"), F.lit(None).cast("string").alias("content_hash"), F.lit("pdf").alias("format"), F.current_timestamp().alias("date_added"), F.lit(False).alias("needs_ocr"), F.lit(False).alias("is_extracted"), F.lit("needsReview").alias("status"), F.lit("low").alias("confidence"))
@@ -291,11 +378,18 @@ def test_archive(spark, tmp_path):
     manifest = archive.export({"document": doc}, folder, "/ancien/racine")
     assert manifest["documentCount"] == 1
     assert archive.load(spark, folder, "/nouveau/chez-moi")["document"].first().file_path == "/nouveau/chez-moi/Philo/K.pdf"
+    again = archive.export({"document": doc}, folder, "/ancien/racine")
+    assert again["at"] != manifest["at"] and archive.load(spark, folder)["document"].count() == 1
+    broken = doc.withColumn("edition_id", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):  # a job that fails leaves what was there
+        archive.export({"document": broken}, folder, "/other")
+    assert archive.load(spark, folder)["document"].first().file_path == "/ancien/racine/Philo/K.pdf"
+    store = Folder(spark, folder)
     for change, match in (({"formatVersion": 9}, "format"), ({"appliedMigrations": ["z", "a"]}, "a, z")):
-        spark.createDataFrame([(json.dumps(manifest | change),)], "value string").write.mode("overwrite").text(f"{folder}/manifest")
+        store.commit(store.state()[0], again | change)
         with pytest.raises(ValueError, match=match):
             archive.load(spark, folder)
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+    with pytest.raises(FileNotFoundError, match="no archive"):
         archive.load(spark, f"file://{tmp_path}/none")
 
 
@@ -416,6 +510,21 @@ def test_two_writers(spark, tmp_path):
     assert t.read().count() == 3
 
 
+def test_no_update_is_lost(spark, tmp_path):
+    """A writer that began before another one's commit fails and changes nothing."""
+    t = knn.VectorTable(spark, f"file://{tmp_path}/v", 1, key="id string", metadata=["price decimal(10, 2)"])
+    rows = lambda i: spark.createDataFrame([(i, [1.0])], "id string, embedding array<float>").withColumn("price", F.lit("1.25").cast("decimal(10, 2)"))
+    t.upsert(rows("a"))
+    base = t.newest()
+    late = t.read(base).unionByName(t.checked(rows("late")))
+    t.upsert(rows("b"))
+    with pytest.raises(RuntimeError, match="another writer"):
+        t._write(late, base)
+    assert {r.id for r in t.read().collect()} == {"a", "b"} and not list((tmp_path / "v").glob("_claim*"))
+    t.upsert(rows("late"))
+    assert t.read().count() == 3
+
+
 def test_partitions_are_pruned(spark, tmp_path):
     t = knn.VectorTable(spark, f"file://{tmp_path}/v", 1, key="id string", partition=["lang string"])
     t.upsert(spark.createDataFrame([("a", [1.0], "fr"), ("b", [2.0], "en")], "id string, embedding array<float>, lang string"))
