@@ -138,11 +138,18 @@ def stems_of(found: Iterable[str]) -> frozenset[str]:
     return frozenset(m.split("*")[0] for m in found if "*" in m)
 
 
+def stem_marks(found: set[str], stems: frozenset[str] | None = None) -> set[str]:
+    """The stems of the words (of `stems` only, if given), each with the numbers of FORMS that its words reach: `walk*2`."""
+    if stems is None:
+        cut = [w[:n] for w in found for n in STEMS if len(w) > n]
+    else:
+        cut = [s for w in found for n in STEMS if len(w) > n and (s := w[:n]) in stems]
+    return {f"{s}*{k}" for s, n in Counter(cut).items() for k in FORMS if n >= k}
+
+
 def marks(found: set[str], stems: frozenset[str] | None = None) -> set[str]:
-    """The words and their stems (of `stems` only, if given), each stem with the numbers of FORMS that its words reach: `walk*2`."""
-    cut = (w[:n] for w in found for n in STEMS if len(w) > n)
-    forms = Counter(cut if stems is None else (s for s in cut if s in stems))
-    return found.union(f"{s}*{k}" for s, n in forms.items() for k in FORMS if n >= k)
+    """The words and their stems."""
+    return found | stem_marks(found, stems)
 
 
 def _near_address(text: str) -> bool:
@@ -161,8 +168,8 @@ def _near_address(text: str) -> bool:
     return False
 
 
-def votes(text: str, found: set[str], induced: Induced) -> list[int]:
-    """The votes of all voters but the label."""
+def votes(text: str, found: set[str], induced: Induced, stems: set[str] | None = None) -> list[int]:
+    """The votes of all voters but the label; stems: the text's stem_marks, of the induced lexicons' stems at least."""
     out = [TOXIC if not found.isdisjoint(own) else SILENT for own in SETS.values()]
     insulted = not found.isdisjoint(INSULTS)
     out.append(TOXIC if insulted and not found.isdisjoint(ADDRESS) and _near_address(text) else SILENT)
@@ -177,8 +184,8 @@ def votes(text: str, found: set[str], induced: Induced) -> list[int]:
     out.append(TOXIC if hidden else SILENT)
     out.append(TOXIC if "!!!" in text or next(islice(_SHOUTED.finditer(text), 4, None), None) else SILENT)
     out.append(CLEAN if not found.isdisjoint(COURTESY) else SILENT)
-    marked = marks(found, induced.stems)
-    return out + [TOXIC if not marked.isdisjoint(own) else SILENT for own in induced.parts]
+    stems = stem_marks(found, induced.stems) if stems is None else stems
+    return out + [SILENT if found.isdisjoint(own) and stems.isdisjoint(own) else TOXIC for own in induced.parts]
 
 
 # Labels and induced lexicons.
@@ -390,25 +397,40 @@ def fit_label_model(patterns: DataFrame, steps: int = STEPS) -> LabelModel:
 # The classifier.
 
 
-def features(text: str, found: set[str], induced: Induced, stems: frozenset[str] | None = None) -> list[str]:
-    """The marks, and the voters that voted, in names that no mark has."""
-    return [*marks(found, stems), *(f"{name}={v}" for name, v in zip(VOTERS, votes(text, found, induced), strict=False) if v)]
+def _voted(cast: list[int]) -> list[str]:
+    """The voters that voted, in names that no mark has."""
+    return [f"{name}={v}" for name, v in zip(VOTERS, cast, strict=False) if v]
+
+
+def features(text: str, found: set[str], induced: Induced) -> list[str]:
+    """The marks and the voters that voted."""
+    stems = stem_marks(found)
+    return [*found, *stems, *_voted(votes(text, found, induced, stems))]
 
 
 class Classifier(NamedTuple):
     bias: float
     weights: dict[str, float]
     induced: Induced
+    #: The words that have a weight, and the stems that a weight or an induced lexicon names.
+    known: frozenset[str]
     stems: frozenset[str]
 
     def score(self, text: str) -> float:
-        total = self.bias + math.fsum(self.weights.get(f, 0.0) for f in features(text, words(text), self.induced, self.stems))
+        found = words(text)
+        stems = stem_marks(found, self.stems)
+        own = [*(found & self.known), *stems, *_voted(votes(text, found, self.induced, stems))]
+        total = self.bias + math.fsum(self.weights.get(f, 0.0) for f in own)
         return round(1 / (1 + math.exp(-max(-500.0, min(500.0, total)))), 6)
 
 
+def classifier(bias: float, weights: dict[str, float], induced: Induced) -> Classifier:
+    return Classifier(bias, weights, induced, frozenset(weights), stems_of(weights) | induced.stems)
+
+
 def constant(share: float | None, induced: Induced) -> Classifier:
     share = min(max(share or 0.0, 1e-6), 1 - 1e-6)
-    return Classifier(math.log(share / (1 - share)), {}, induced, frozenset())
+    return classifier(math.log(share / (1 - share)), {}, induced)
 
 
 def posteriors(cast: DataFrame, model: LabelModel) -> DataFrame:
@@ -454,7 +476,7 @@ def fit_classifier(rows: DataFrame, induced: Induced) -> Classifier:
     soft = stored(x.select("x", F.lit(1.0).alias("y"), (F.col("p") * F.col("weight")).alias("w")).union(x.select("x", F.lit(0.0), (1 - F.col("p")) * F.col("weight"))).where("w > 1e-6"))
     fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=60, regParam=PENALTY, elasticNetParam=1.0, standardization=False).fit(soft)
     weights = {f: round(float(w), 6) for f, w in zip(vocabulary, fitted.coefficients.toArray(), strict=True) if round(float(w), 6)}
-    return Classifier(round(float(fitted.intercept), 6), weights, induced, stems_of(weights))
+    return classifier(round(float(fitted.intercept), 6), weights, induced)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Classifier:
@@ -467,12 +489,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit_classifier(fit_rows(docs, stored(posteriors(cast, model)), induced), induced)
 
 
-def score(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns of keep, score and predicted of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = np.array([classifier.score(t or "") for t in b.column("_text").to_pylist()], float)
+            scores = np.array([model.score(t or "") for t in b.column("_text").to_pylist()], float)
             yield batch_of({c: b.column(c) for c in keep} | {"score": pa.array(scores), "predicted": pa.array((scores >= 0.5).astype(np.int32))})
 
     own = docs.select(*keep, F.col(text).alias("_text"))
