@@ -21,9 +21,10 @@ anchors are needed, about one in 85 positions.
    contexts are hashed and counted by aggregation, which gives the same answer.
 5. What was found returns to the blocks, which mark and cut.
 
-Contexts and hot anchors' strings are known by 128 bits of hashes (the anchor's
-and their own), so copies never move; contexts that share only their anchor are
-compared by their bytes. quire.llm.repeatgroups lists the maximal repeats.
+Contexts and hot anchors' strings are known by two hashes of 64 bits, the
+anchor's and their own; among those of one anchor the first is the same, so
+there 64 bits tell them apart. Copies never move; contexts that share only
+their anchor are compared by their bytes. quire.llm.repeatgroups lists the maximal repeats.
 
 Defined cases: a null or empty text, or one under LENGTH bytes, keeps all its
 bytes; overlapping occurrences count; matches don't cross documents; rows with
