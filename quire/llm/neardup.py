@@ -21,8 +21,9 @@ group is ever expanded into all its pairs or collected into one task.
 Components grow by alternating large-star and small-star steps, each written to
 the shared folder. What a bucket or a class has in common is written before it
 is joined, so each join stands on two scans and adaptive execution can split a
-hot bucket or a hub. Both sides of these joins grow with the corpus, so they are
-sort-merge joins at every size, not broadcast ones while a table happens to be small.
+hot bucket or a hub. Joins with a table of texts, classes or buckets ask for a
+sort-merge join; those of the star steps and of the components' last names leave
+it to Spark, which broadcasts a side while its stored table is small.
 
 Defined cases: a null or empty text, or one without words, has no shingles and
 is its own component; fewer words than a shingle form one shingle; rows with
