@@ -79,6 +79,26 @@ def test_language_tables(spark, docs, monkeypatch, common):
     assert langtables.usual(table.sparkSession.createDataFrame(got.values())) == pytest.approx(0.5 * middle)
 
 
+@pytest.mark.parametrize("size", [1, 3, 5])
+@pytest.mark.parametrize("held", [1, 7, 1_000])
+def test_long_words_are_cut_in_pieces(monkeypatch, size, held):
+    monkeypatch.setattr(langtables, "HELD", held)
+    for word in ("", "a", "abcabcabcaéß" * 9):
+        pieces = list(langtables._cut(word, size))
+        s = f"^{word}$"
+        assert sum(pieces, Counter()) == Counter(s[i : i + size] for i in range(len(s) - size + 1))
+        assert all(p.total() <= held for p in pieces)
+
+
+def test_a_text_without_a_space(spark, docs):
+    """A word of more letters than are cut at once, learned and judged, in pieces whose sum is that of the whole."""
+    long = "abcdefghij" * 25_000
+    more = spark.createDataFrame([(30_000, long, "en", "s", 0), (30_001, long + "k", None, "s", 0), *((30_002 + i, long + "lmnopq"[i], "en", "s", 0) for i in range(6))], docs.schema)
+    got = {r.doc_id: r for r in langtables.judge(docs.where("doc_id < 20").select("doc_id", "text", "lang").unionByName(more.select("doc_id", "text", "lang")), "doc_id").where("doc_id >= 30000").collect()}
+    assert got[30_000].words == got[30_001].words == 1 and not got[30_000].enough
+    assert got[30_001].lang_pred == "en" and got[30_001].known > 0.99
+
+
 def test_language_labels_vouch_for_no_copy(spark, small, docs):
     """Random letters stay unfamiliar with a label, and with copies that have one."""
     r = random.Random(7)
