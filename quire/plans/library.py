@@ -14,7 +14,7 @@ from quire.operators.quoteindex import QuoteIndex
 from quire.operators.scanning import spread
 from quire.streaming import folds
 
-from .registry import literal, query, scratch, table
+from .registry import query, scratch, table
 from .texts import BARE, LATIN, NORMAL, TERMS, bm25_sql, snippet_sql
 from .vectors import L2, embeddings, query_vector
 
@@ -486,12 +486,13 @@ def block_payload(spark, d):
     return body.withColumn("back", back).select("conv_id", F.size("back").alias("n"), F.get_json_object("payload", "$.system").alias("system"), F.array_join(F.transform("back", message), "\n").alias("said"))
 
 
-SUMMARIES = [('{"query":"kant"}', "kant"), ('{"highlight":"x","page":3}', "x"), ('{"page":4}', "page 4"), ("{}", "")]
-
-
-@query(f"SELECT arguments, summary FROM {literal(SUMMARIES)} t(arguments, summary)")
+@query("SELECT conv_id, turn, CASE WHEN role = 'system' THEN '' WHEN turn % 3 = 0 THEN coalesce(text, '') WHEN turn % 3 = 1 THEN coalesce(text, 'page ' || turn) ELSE 'page ' || turn END AS summary FROM conversations")
 def call_summary(spark, d):
-    return spark.createDataFrame([(s[0],) for s in SUMMARIES], "arguments string").select("arguments", folds.call_summary(F.col("arguments")).alias("summary"))
+    """Calls made of turns: by a query, by a highlight with its page, by a page; a system's has no arguments."""
+    text, page = F.col("text"), F.col("turn")
+    shapes = F.array(F.to_json(F.struct(text.alias("query"))), F.to_json(F.struct(text.alias("highlight"), page.alias("page"))), F.to_json(F.struct(page.alias("page"))))
+    arguments = F.when(F.col("role") == "system", F.lit("{}")).otherwise(F.get(shapes, (page % 3).cast("int")))
+    return table(spark, d, "conversations").select("conv_id", "turn", folds.call_summary(arguments).alias("summary"))
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

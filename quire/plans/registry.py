@@ -29,12 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def literal(rows: list[tuple]) -> str:
-    """A SQL VALUES list."""
-    one = lambda v: "NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + str(v).replace("'", "''") + "'"
-    return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"
-
-
 def scratch(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all machines share; a temporary one where that isn't set in a local session."""
     base = spark.conf.get("spark.checkpoint.dir", None)

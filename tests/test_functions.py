@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import citation as C, text as T, vector as V
+from quire.sources import payloads
+from quire.streaming import folds
 
 
 def one(spark, value, **columns):
@@ -121,3 +123,42 @@ def test_int8_wraps(spark):
 def test_wrong_sizes(spark, value):
     with pytest.raises(Exception, match="length|slice|multiple"):
         one(spark, value(), a=[1.0, 2.0], b=[1.0])
+
+
+# What files and services give, and what is made of it.
+TITLES = [("Microsoft Word - thesis.doc", None), ("  A  fine\ttitle ", "A fine title"), ("abc", None), ("1234567", None), ("untitled", None), ("Logik", "Logik"), (None, None)]
+AUTHORS = [("admin", None), ("Jo", None), (" Hannah Arendt ", "Hannah Arendt"), ("12345", None), ("Owner", None)]
+CROSSREF = [
+    ('{"message":{"DOI":"10.1/x","ISBN":["978-0-521-58836-1"],"title":["Moses the Egyptian"],"author":[{"given":"Jan","family":"Assmann"},{"family":"Collectif"}],"issued":{"date-parts":[[1997,3]]},"publisher":"CUP","language":"en"}}', "Moses the Egyptian", "Jan Assmann ; Collectif", "1997", "9780521588361"),
+    ('{"message":{"publisher":"CUP"}}', None, None, None, None),
+    ("not json", None, None, None, None),
+]
+OPEN_LIBRARY = [
+    ('{"ISBN:9780674727779":{"title":"The Ancient City","authors":[{"name":"Numa Denis Fustel de Coulanges"}],"publish_date":"March 1997","publishers":[{"name":"HUP"}]}}', "The Ancient City", "Numa Denis Fustel de Coulanges", "1997", "9780674727779"),
+    ("{}", None, None, None, None),
+]
+GOOGLE = [
+    ('{"totalItems":1,"items":[{"volumeInfo":{"title":"La Cité antique","authors":["Numa Denis Fustel de Coulanges"],"publishedDate":"2009-01-07","industryIdentifiers":[{"type":"ISBN_13","identifier":"9782081218383"}]}}]}', "La Cité antique", "Numa Denis Fustel de Coulanges", "2009", "9782081218383"),
+    ('{"totalItems":0}', None, None, None, None),
+]
+SRU = [
+    ('<?xml version="1.0"?><srw:r xmlns:srw="http://x/"><srw:numberOfRecords>1</srw:numberOfRecords><srw:records><srw:record><oai_dc:dc><dc:title>La Cité antique</dc:title><dc:creator>Fustel de Coulanges, Numa Denis (1830-1889)</dc:creator><dc:date>2009</dc:date></oai_dc:dc></srw:record></srw:records></srw:r>', "La Cité antique", "Numa Denis Fustel de Coulanges", "2009", "9782081218383"),
+    ('<r xmlns:srw="http://x/"><srw:numberOfRecords>0</srw:numberOfRecords></r>', None, None, None, None),
+]
+SUMMARIES = [('{"query":"kant"}', "kant"), ('{"highlight":"x","page":3}', "x"), ('{"page":4}', "page 4"), ("{}", "")]
+
+
+@pytest.mark.parametrize(("fn", "cases"), [(T.sane_title, TITLES), (T.sane_author, AUTHORS), (folds.call_summary, SUMMARIES)], ids=["titles", "authors", "summaries"])
+def test_single_values(spark, fn, cases):
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, x string")
+    assert [r[0] for r in df.orderBy("i").select(fn(F.col("x"))).collect()] == [c[1] for c in cases]
+
+
+ANSWERS = [(payloads.crossref, CROSSREF), (lambda p: payloads.open_library(p, F.lit("9780674727779")), OPEN_LIBRARY), (lambda p: payloads.google_books(p, F.lit("2081218380")), GOOGLE), (lambda p: payloads.library_record(p, F.lit("9782081218383")), SRU)]
+
+
+@pytest.mark.parametrize(("decoder", "cases"), ANSWERS, ids=["crossref", "open_library", "google", "library_record"])
+def test_answers(spark, decoder, cases):
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, payload string")
+    got = df.orderBy("i").withColumn("g", decoder(F.col("payload"))).select("g.title", "g.author", "g.year", "g.isbn13").collect()
+    assert [tuple(r) for r in got] == [c[1:] for c in cases]
