@@ -1,4 +1,4 @@
-"""Vector functions as Column expressions: everything stays in the JVM.
+"""Vector functions as Column expressions: everything but the printing of floats stays in the JVM.
 
 Float vectors are arrays of float or double, int8 vectors arrays of tinyint,
 bit vectors binary values with the lowest bit of each byte first. Sums are
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 #: Up to so many dimensions a distance to a given vector is one flat expression, compiled as a whole.
 UNROLLED = 256
@@ -146,8 +148,17 @@ def type_name(kind: str) -> str:
     return {"array<float>": "float32", "array<double>": "float32", "array<tinyint>": "int8", "binary": "bit"}[kind]
 
 
-def to_json(v: Column | str) -> Column:
-    """The vector as JSON with six decimals; NaN becomes null."""
+@F.arrow_udf(StringType())
+def _printed(vectors: pa.Array) -> pa.Array:
+    """Java's formatter rounds the shortest decimal digits half up; this rounds the exact value, ties to even, as C does."""
+    number = lambda x: "null" if x is None or x != x else f"{x:.6f}"
+    return pa.array([None if v is None else f"[{','.join(map(number, v))}]" for v in vectors.to_pylist()], pa.string())
+
+
+def to_json(v: Column | str, half_up: bool = False) -> Column:
+    """The vector as JSON with six decimals, rounded as printf does or, if half_up, as SQL's round(); NaN becomes null."""
+    if not half_up:
+        return _printed(_col(v))
     one = lambda x: F.when(F.isnan(x.cast("double")), "null").otherwise(F.format_string("%.6f", x.cast("double")))
     return F.concat(F.lit("["), F.array_join(F.transform(_col(v), one), ","), F.lit("]"))
 

@@ -202,7 +202,7 @@ def vec_to_json(spark, d):
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: round(v::DOUBLE, 6))), 4) AS total FROM embeddings")
 def vec_from_json(spark, d):
-    back = V.from_json(V.to_json("embedding"), "double")
+    back = V.from_json(V.to_json("embedding", half_up=True), "double")
     return embeddings(spark, d).select("vec_id", F.round(F.aggregate(back, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 

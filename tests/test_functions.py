@@ -108,6 +108,9 @@ def test_vectors(spark):
     assert one(spark, V.l1("a", "b"), a=[0.0, 3.0], b=[4.0, 0.0]) == 7
     assert math.isnan(one(spark, V.cosine("a", "b"), a=[0.0, 0.0], b=[4.0, 0.0]))
     assert one(spark, V.to_json("v"), v=[1.5, float("nan")]) == "[1.500000,null]"
+    # Ties go to even, values beside a tie to their side, as in SQL's printf.
+    assert one(spark, V.to_json("v"), v=[0.0078125, 0.0234375, -0.0078125, 3.5e-6, -1e-9]) == "[0.007812,0.023438,-0.007812,0.000003,-0.000000]"
+    assert one(spark, V.to_json("v", half_up=True), v=[0.0078125]) == "[0.007813]"
     for metric in V.METRICS:
         flat, folded = one(spark, V.distance_to(metric, "v", v[::-1]), v=v), one(spark, V.distance(metric, "v", "w"), v=v, w=v[::-1])
         assert flat == pytest.approx(folded)
