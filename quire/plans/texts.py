@@ -205,9 +205,9 @@ def natural_name(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", T.natural_name(written).alias("name"))
 
 
-def _records(spark, d):
-    """Records of parts: one or two authors made from brand and type, some without year or publisher."""
-    p = table(spark, d, "part")
+def _records(spark, d, *more):
+    """Records of parts: one or two authors made from brand and type, some without year or publisher; more: further columns of part."""
+    p = spread(table(spark, d, "part"))
     first, second = F.concat(F.lit("Ann "), F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("Bo Lee")
     return p.select(
         "p_partkey",
@@ -217,6 +217,7 @@ def _records(spark, d):
         F.when(F.col("p_size") % 2 == 0, F.lit("Press {1}")).alias("publisher"),
         F.when(F.col("p_size") % 7 == 0, F.lit("9780521588361")).alias("isbn13"),
         F.lit(None).cast("string").alias("doi"),
+        *more,
     )
 
 
@@ -268,7 +269,7 @@ def sane_authors(spark, d):
 def _answers(spark, d):
     """Records of parts as services would describe them; each eleventh is one that a service doesn't know."""
     known = F.col("p_size") % 11 != 0
-    return _records(spark, d).join(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").withColumns({"known": known, "title": F.when(known, F.col("title")), "isbn": F.concat(F.lit("978"), F.lpad(F.col("p_partkey").cast("string"), 10, "0"))})
+    return _records(spark, d, "p_size").withColumns({"known": known, "title": F.when(known, F.col("title")), "isbn": F.concat(F.lit("978"), F.lpad(F.col("p_partkey").cast("string"), 10, "0"))})
 
 
 def _decoded(answers, payload, decoder):

@@ -6,7 +6,11 @@ no title. Nothing here asks a network.
 
 from __future__ import annotations
 
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from quire.functions import text as T
 
@@ -56,15 +60,58 @@ def google_books(payload: Column, isbn: Column) -> Column:
     return F.when(F.coalesce(root["totalItems"], F.lit(1)) != 0, _titled(v["title"], made))
 
 
+#: Elements of a Dublin Core record that are read.
+ELEMENTS = ("title", "creator", "date", "publisher", "language")
+_RECORD = StructType([StructField(n, ArrayType(StringType())) for n in (*ELEMENTS, "numberOfRecords")])
+
+
+def _texts(xml: str) -> dict[str, list[str]] | None:
+    """The text nodes of ELEMENTS in the first record and of numberOfRecords anywhere, prefixes aside; None for what isn't XML."""
+    out: dict[str, list[str]] = {n: [] for n in _RECORD.names}
+    path: list[str] = []
+    text: list[str] = []
+    record = 0  # its depth; -1 once it is over
+
+    def close() -> None:
+        if text and path and path[-1] in out and (path[-1] == "numberOfRecords" or 0 < record < len(path)):
+            out[path[-1]].append("".join(text))
+        text.clear()
+
+    def start(name: str, _: dict[str, str]) -> None:
+        nonlocal record
+        close()
+        path.append(name.rpartition(":")[2])
+        if path[-1] == "record" and not record:
+            record = len(path)
+
+    def end(_: str) -> None:
+        nonlocal record
+        close()
+        record = -1 if len(path) == record else record
+        path.pop()
+
+    parser = expat.ParserCreate()  # names as they stand: a prefix may be undeclared
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text.append
+    parser.CommentHandler = parser.ProcessingInstructionHandler = lambda *_: close()
+    try:
+        parser.Parse(xml.strip(), True)
+    except (expat.ExpatError, UnicodeError):
+        return None
+    return out
+
+
+@F.arrow_udf(_RECORD)
+def _record(payloads: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else _texts(x) for x in payloads.to_pylist()], pa.struct([(n, pa.list_(pa.string())) for n in _RECORD.names]))
+
+
 def library_record(payload: Column, isbn: Column) -> Column:
-    """The first Dublin Core record of an SRU answer in XML."""
-    # The names' prefixes go: the element names are enough, and undeclared ones would be errors.
-    bare = F.regexp_replace(F.regexp_replace(payload, r"<\?xml[^>]*\?>|\sxmlns(:\w+)?=\"[^\"]*\"", ""), r"<(/?)[\w]+:", "<$1")
-    bare = F.when(bare.rlike(r"^\s*<"), F.trim(bare))
-    at = lambda name: F.filter(F.transform(F.xpath(bare, F.lit(f"(//record)[1]//{name}/text()")), T.strip), lambda x: x != "")
+    """The first Dublin Core record of an SRU answer in XML, which is parsed once; null for what isn't XML."""
+    record = _record(payload)
+    at = lambda name: F.filter(F.transform(record[name], T.strip), lambda x: x != "")
     first = lambda name: F.get(at(name), F.lit(0))
     title = first("title")
     own = F.when(F.length(_digits(isbn)) == 13, isbn)
     made = T.guess(title, _joined(F.transform(at("creator"), T.natural_name)), T.year(first("date")), own, publisher=first("publisher"), language=first("language"))
-    none = F.get(F.xpath(bare, F.lit("//numberOfRecords/text()")), F.lit(0)) == "0"
+    none = F.get(record["numberOfRecords"], F.lit(0)) == "0"
     return F.when(~F.coalesce(none, F.lit(False)), _titled(title, made))

@@ -165,3 +165,13 @@ def test_answers(spark, decoder, cases):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, payload string")
     got = df.orderBy("i").withColumn("g", decoder(F.col("payload"))).select("g.title", "g.author", "g.year", "g.isbn13").collect()
     assert [tuple(r) for r in got] == [c[1:] for c in cases]
+
+
+def test_a_library_record_is_parsed_once(spark):
+    """Answers that aren't XML are none; prefixes may be undeclared, only the first record counts, markup parts texts."""
+    whole = '<a:r><numberOfRecords>2</numberOfRecords><a-b:record x:y="1"><dc:title> <!-- <title>no</title> --></dc:title><d><title>One<![CDATA[ & <two>]]></title></d><creator>Li, Bo</creator><date>[1999]</date></a-b:record><record><creator>No</creator></record><title>no</title></a:r>'
+    df = spark.createDataFrame([(0, whole), (1, "<record><title>cut"), (2, "no xml"), (3, None), (4, whole.replace(">2<", ">0<"))], "i int, payload string")
+    df = df.withColumn("g", payloads.library_record(F.col("payload"), F.lit(None).cast("string"))).select("i", "g.title", "g.author", "g.year")
+    assert [tuple(r)[1:] for r in df.orderBy("i").collect()] == [("One & <two>", "Bo Li", "1999"), *[(None, None, None)] * 4]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "xpath" not in plan and plan.count("_record(") == 1
