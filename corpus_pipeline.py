@@ -93,14 +93,15 @@ def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in sorted-string-table shards, in the order of the mix, read back from their files.
 
     A row's key is its place in the mix, so its copies stay as far apart as that
-    has dealt them. Beside the shards lies the table `places` (doc_id, place), by
-    which the entries of a document are found.
+    has dealt them. Beside the shards lies the table `places` (doc_id, lang, place),
+    by which the entries of a document or of a language are found; lang is what the
+    language stage has found, and the result has it too.
     """
     docs, place = places(docs)
     folder, shards = sstable.write_shards(docs.select(place.alias("place"), "text"), "byte_bpe_50k.json", key="place")
-    docs.select("doc_id", place.alias("place")).write.parquet(f"{folder}/places")
+    docs.select("doc_id", "lang", place.alias("place")).write.parquet(f"{folder}/places")
     read = sstable.read_shards(spark, folder, shards).withColumnRenamed("key", "place")
-    return read.join(spark.read.parquet(f"{folder}/places"), "place").select("doc_id", "place", "start", "n_tokens", "ids_crc32", "shard")
+    return read.join(spark.read.parquet(f"{folder}/places"), "place").select("doc_id", "lang", "place", "start", "n_tokens", "ids_crc32", "shard")
 
 
 STAGES = [("language_id", language_stage), ("near_dedup", near_dedup_stage), ("decontaminate", decontaminate_stage), ("mix", mix_stage), ("token_shards", shard_stage)]

@@ -107,6 +107,15 @@ def test_language_labels_vouch_for_no_copy(spark, small, docs):
     assert P.language_stage(spark, docs.unionByName(more), small).where("doc_id >= 20000").isEmpty()
 
 
+def test_languages_reach_the_shards(spark, small, docs):
+    """The language that the first stage finds for a row without one is that of its entries."""
+    bare = docs.withColumn("lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang")))
+    out = P.shard_stage(spark, P.language_stage(spark, bare, small), small).select("doc_id", "lang").collect()
+    want = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    found = [r.lang == want[r.doc_id] for r in out if r.doc_id % 3 == 0]
+    assert all(r.lang for r in out) and all(r.lang == want[r.doc_id] for r in out if r.doc_id % 3) and sum(found) >= 0.95 * len(found) > 50
+
+
 def test_near_dedup(spark, small, docs):
     out = P.near_dedup_stage(spark, docs, small)
     all_rows = rows(docs)
