@@ -11,7 +11,7 @@ by its rarest one.
 
 Segments, slots and changes are those of quire.operators.segments; `prints` and
 `runs` have a row for each key and slot with the places that have it, and how
-many, sorted by key. A search makes the quotes' keys, reads the rows of these,
+many, in runs sorted by key. A search makes the quotes' keys, reads the rows of these,
 takes the rarest of each quote, and compares the folded texts of the pages that
 come out. No text but the quotes is cut.
 
@@ -94,30 +94,30 @@ def _hashed(rows: DataFrame, keep: Sequence[str], text: str, columns: dict[str,
 
 class QuoteIndex(Segments):
     blocks = ("prints", "runs")
+    own = ("folded",)
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = ("document_id", "page_number"), content: str = "content", slot_bits: int = SLOT_BITS, fold: Callable[[Column | str], Column] = normalized):
         super().__init__(spark, path, keys, content, slot_bits)
         self.fold = fold
 
-    def _write_segment(self, pages: DataFrame) -> dict[str, str]:
-        name = self.folder.fresh("pages")
-        self._numbered(pages.select(*self.keys, self.fold(self.content).alias("folded")), name)
-        made = _hashed(self._of(name), ("slot", "at"), "folded", {"prints": prints, "runs": runs})
-        out = {"pages": name}
-        for kind in self.blocks:
-            out[kind] = self.folder.fresh(kind)
-            self._write_keys(made.select("slot", "at", F.explode(kind).alias("key")), out[kind], name)
-        return out
-
-    def _write_keys(self, keyed: DataFrame, name: str, segment: str) -> None:
-        """keyed: (slot, at, key), each once. A row has a slot's places at most."""
-        blocks = keyed.groupBy("slot", "key").agg(F.array_sort(F.collect_list(F.col("at"))).alias("ats"))
-        self._write_blocks(blocks.select(F.lit(segment).alias("segment"), "key", "slot", F.size("ats").alias("n"), "ats"), "key", name)
-
-    def _merge_blocks(self, kind: str, blocks: DataFrame, moved: DataFrame, name: str, segment: str) -> None:
-        old = blocks.select(F.col("segment").alias("_segment"), "slot", "key", F.explode("ats").alias("_at"))
-        old = old.select("_segment", self._place("_at").alias("_place"), "key")
-        self._write_keys(old.join(moved.select("_segment", "_place", "slot", "at"), ["_segment", "_place"]).select("slot", "at", "key"), name, segment)
+    def _prepared(self, pages: DataFrame) -> DataFrame:
+        return pages.select(*self.keys, self.fold(self.content).alias("folded"))
+
+    def _maker(self, kind: str) -> tuple[Callable[[np.ndarray, np.ndarray, list[str]], dict[str, pa.Array]], str]:
+        hashes = {"prints": prints, "runs": runs}[kind]
+
+        def make(slots: np.ndarray, ats: np.ndarray, texts: list[str]) -> dict[str, pa.Array]:
+            own = [hashes(t) for t in texts]
+            keys, page = np.concatenate(own), np.repeat(np.arange(len(own)), [len(k) for k in own])
+            order = np.lexsort((ats[page], slots[page], keys))
+            keys, page = keys[order], page[order]
+            slot = slots[page]
+            changed = (keys[1:] != keys[:-1]) | (slot[1:] != slot[:-1])
+            first = np.flatnonzero(np.append(True, changed)) if len(keys) else np.empty(0, np.int64)
+            ends = np.append(first, len(keys)).astype(np.int32)
+            return {"key": pa.array(keys[first]), "slot": pa.array(slot[first]), "n": pa.array(np.diff(ends)), "ats": pa.ListArray.from_arrays(pa.array(ends), pa.array(ats[page]))}
+
+        return make, "key bigint, slot bigint, n int, ats array<int>"
 
     def found(self, needles: DataFrame) -> DataFrame:
         """(needle, keys, folded) of the pages that contain a needle; needles: (needle), folded and distinct."""

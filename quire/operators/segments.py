@@ -2,29 +2,54 @@
 
 A segment holds the pages of one change in order of their keys. A page has a
 place in it, and SLOT neighbouring places make a slot; an index has a row for
-each of its terms and slot, so no frequent term makes a large row, and the rows
-are sorted by term, so a search reads the row groups of its terms. A page that
-goes is written to a list of dropped places, and merge() makes one segment of
-what is left. The newest state (quire.sources.commits) names what belongs to the
+each of its terms and slot, so no frequent term makes a large row (a slot of more
+than HELD characters has several). The pages keep what blocks are made of, so a
+task makes the blocks of its pages alone, no posting is ever shuffled, and
+merge() makes them anew. Rows are sorted by term in runs, each of about HELD
+characters of pages, so by the minima and maxima of Parquet's pages a search
+reads those that may have its terms. A page that goes is written to a list of
+dropped places, and merge() makes one segment of what is left. The newest state (quire.sources.commits) names what belongs to the
 index, so a reader sees a change whole or not at all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quire.sources.commits import Folder
 
 #: Places in a slot, as a power of two.
 SLOT_BITS = 10
+#: Characters of pages of which a task makes blocks at once.
+HELD = 4 << 20
+
+
+def _runs(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """Slots, places in them and texts of pages, about so many characters together; pages without text are left out."""
+    own: list[tuple[int, int, str]] = []
+    size = 0
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[2]:
+                own.append(row)
+                size += len(row[2])
+                if size >= held:
+                    yield np.array([r[0] for r in own]), np.array([r[1] for r in own], np.int32), [r[2] for r in own]
+                    own, size = [], 0
+    if own:
+        yield np.array([r[0] for r in own]), np.array([r[1] for r in own], np.int32), [r[2] for r in own]
 
 
 class Segments:
-    """Sub-classes name their tables of blocks, write a segment's and move blocks into a merged one."""
+    """Sub-classes name their tables of blocks, what pages keep and how blocks are made of that."""
 
     blocks: Sequence[str] = ()
+    #: The columns of a segment's pages that are made of the content; blocks are made of the last one.
+    own: Sequence[str] = ()
     #: Numbers of the state that are sums over the live pages, with the column that is summed; null: a count of rows.
     sums: dict[str, Column | None] = {"n": None}
 
@@ -32,14 +57,35 @@ class Segments:
         self.spark, self.keys, self.content, self.slot_bits = spark, list(keys), content, slot_bits
         self.folder = Folder(spark, path)
 
-    def _write_segment(self, pages: DataFrame) -> dict[str, str]:
-        """Writes the tables of a segment; pages: (keys, content), a row for each key."""
+    def _prepared(self, pages: DataFrame) -> DataFrame:
+        """(keys, own) of pages (keys, content)."""
         raise NotImplementedError
 
-    def _merge_blocks(self, kind: str, blocks: DataFrame, moved: DataFrame, name: str, segment: str) -> None:
-        """Writes blocks as those of the new segment; moved: the new segment's pages with _segment and _place, where they were."""
+    def _maker(self, kind: str) -> tuple[Callable[[np.ndarray, np.ndarray, list[str]], dict[str, pa.Array]], str]:
+        """What makes a run of blocks of slots, places and texts, and the schema of that."""
         raise NotImplementedError
 
+    def _write_segment(self, ranged: DataFrame) -> dict[str, str]:
+        """Writes the tables of a segment; ranged: (keys, own), a row for each key, in ranges of keys."""
+        out = {"pages": self.folder.fresh("pages")} | {k: self.folder.fresh(k) for k in self.blocks}
+        self._numbered(ranged, out["pages"])
+        for kind in self.blocks:
+            blocks = self._made(kind, out["pages"]).select(F.lit(out["pages"]).alias("segment"), "*")
+            blocks.write.option("compression", "zstd").parquet(self.folder.at(out[kind]))
+        return out
+
+    def _made(self, kind: str, pages: str) -> DataFrame:
+        """The blocks of a segment's pages; each task makes those of the pages that it reads, so nothing is shuffled."""
+        make, schema = self._maker(kind)
+        held = HELD
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for slots, ats, texts in _runs(batches, held):
+                made = make(slots, ats, texts)
+                yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+
+        return self._of(pages).select("slot", "at", self.own[-1]).mapInArrow(run, schema)
+
     # Changes.
 
     def change(self, pages: DataFrame | None = None, gone: DataFrame | None = None) -> None:
@@ -50,7 +96,9 @@ class Segments:
         leaving = None if gone is None else gone.select(*self.keys)
         if pages is not None:
             last = Window.partitionBy(*self.keys).orderBy(F.desc_nulls_last(self.content))
-            segment = self._write_segment(pages.select(*self.keys, self.content).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n"))
+            # Equal keys are in one range, so the texts are shuffled once.
+            ranged = pages.select(*self.keys, self.content).repartitionByRange(*self.keys)
+            segment = self._write_segment(self._prepared(ranged.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")))
             added = self._of(segment["pages"])
             new |= self._summed(added, new, 1)
             leaving = added.select(*self.keys) if leaving is None else leaving.union(added.select(*self.keys))
@@ -86,12 +134,7 @@ class Segments:
         number, state = self.folder.state()
         if not state.get("segments"):
             return
-        segment = {"pages": self.folder.fresh("pages")} | {k: self.folder.fresh(k) for k in self.blocks}
-        live = self._live(state)
-        self._numbered(live.withColumnsRenamed({"segment": "_segment", "place": "_place"}).drop("slot", "at"), segment["pages"])
-        moved = self._of(segment["pages"])
-        for kind in self.blocks:
-            self._merge_blocks(kind, self._blocks(state, kind), moved, segment[kind], segment["pages"])
+        segment = self._write_segment(self._live(state).select(*self.keys, *self.own).repartitionByRange(*self.keys))
         self.folder.commit(number, state | {"segments": [segment], "dropped": []})
         kept = [n for back in (0, 1) for s in (self.folder.state(back)[1],) for n in [*s.get("dropped", []), *(x for g in s.get("segments", []) for x in g.values())]]
         for kind in ("pages", *self.blocks, "dropped"):
@@ -105,16 +148,13 @@ class Segments:
         return self.spark.read.parquet(*[self.folder.at(n) for n in names])
 
     def _numbered(self, rows: DataFrame, name: str) -> None:
-        """Writes rows with a place each, by which those of one task and near keys are neighbours."""
-        ordered = rows.repartitionByRange(*self.keys).sortWithinPartitions(*self.keys).withColumn("place", F.monotonically_increasing_id())
-        ordered.select("*", F.shiftright("place", self.slot_bits).alias("slot"), (F.col("place") % (1 << self.slot_bits)).cast("int").alias("at"), F.lit(name).alias("segment")).write.parquet(self.folder.at(name))
+        """Writes rows, in ranges of keys, with a place each, by which those of one task and near keys are neighbours."""
+        ordered = rows.sortWithinPartitions(*self.keys).withColumn("place", F.monotonically_increasing_id())
+        ordered.select("*", F.shiftright("place", self.slot_bits).alias("slot"), (F.col("place") % (1 << self.slot_bits)).cast("int").alias("at"), F.lit(name).alias("segment")).write.option("compression", "zstd").parquet(self.folder.at(name))
 
     def _place(self, at: str = "at") -> Column:
         return F.shiftleft("slot", self.slot_bits) + F.col(at)
 
-    def _write_blocks(self, blocks: DataFrame, by: str, name: str) -> None:
-        blocks.repartitionByRange(by, "slot").sortWithinPartitions(by, "slot").write.parquet(self.folder.at(name))
-
     def _dropped(self, state: dict) -> DataFrame | None:
         """(segment, slot, gone): the places of each slot that don't count any more."""
         if not state["dropped"]:
@@ -123,7 +163,7 @@ class Segments:
 
     def _live(self, state: dict) -> DataFrame:
         """(keys, ..., place, slot, at, segment) of the pages that the index holds."""
-        pages = self._of(*[s["pages"] for s in state["segments"]]).drop("_segment", "_place")
+        pages = self._of(*[s["pages"] for s in state["segments"]])
         if not state["dropped"]:
             return pages
         return pages.join(self._of(*state["dropped"]).select("segment", "slot", "at"), ["segment", "slot", "at"], "left_anti")

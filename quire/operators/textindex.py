@@ -1,8 +1,8 @@
 """A full-text index that is kept: filled, changed, merged and searched.
 
 Segments, slots and changes are those of quire.operators.segments. A segment has
-`pages` (keys, place, number of words) and `blocks`, a row for each term and
-slot: the places with their term frequencies and page lengths, and in plain
+`pages` (keys, place, number of words, the folded words) and `blocks`, a row for
+each term and slot: the places with their term frequencies and page lengths, and in plain
 columns how many they are, the greatest frequency and the least length. A
 prefix is a range of terms.
 
@@ -24,8 +24,12 @@ types yet.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from quire.functions import text as T
@@ -50,35 +54,38 @@ class Plan(NamedTuple):
 
 class TextIndex(Segments):
     blocks = ("blocks",)
+    own = ("dl", "words")
 
     @property
     def sums(self):
         return {"n": None, "sized": F.count("dl"), "length": F.sum("dl")}
 
-    def _write_segment(self, pages: DataFrame) -> dict[str, str]:
-        staged, name, blocks = self.folder.fresh("staged"), self.folder.fresh("pages"), self.folder.fresh("blocks")
-        self._numbered(pages.select(*self.keys, T.tokens(self.content).alias("words")), staged)
-        rows = self._of(staged).withColumn("dl", F.when(F.col("words").isNotNull(), F.size("words")).cast("long"))
-        rows.select(*self.keys, "dl", "place", "slot", "at", F.lit(name).alias("segment")).write.parquet(self.folder.at(name))
-        # The pages of a slot come together once; counting and collecting need no other shuffle after that.
-        dealt = rows.select("slot", "at", "dl", "words").repartition("slot")
-        counted = dealt.select("slot", "at", "dl", F.explode("words").alias("term")).groupBy("slot", "at", "term").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).alias("tf"))
-        self._write_postings(counted, blocks, name)
-        self.folder.delete(staged)
-        return {"pages": name, "blocks": blocks}
-
-    def _write_postings(self, counted: DataFrame, name: str, segment: str) -> None:
-        """counted: (slot, at, dl, term, tf)."""
-        postings = F.array_sort(F.collect_list(F.struct("at", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))))
-        blocks = counted.groupBy("slot", "term").agg(postings.alias("p"))
-        own = lambda f: F.transform("p", lambda x: x[f])
-        blocks = blocks.select(F.lit(segment).alias("segment"), "term", "slot", F.size("p").alias("n"), F.array_max(own("tf")).alias("most"), F.array_min(own("dl")).alias("shortest"), own("at").alias("ats"), own("tf").alias("tfs"), own("dl").alias("dls"))
-        self._write_blocks(blocks, "term", name)
-
-    def _merge_blocks(self, kind: str, blocks: DataFrame, moved: DataFrame, name: str, segment: str) -> None:
-        old = blocks.select(F.col("segment").alias("_segment"), "slot", "term", F.explode(F.arrays_zip("ats", "tfs")).alias("p"))
-        old = old.select("_segment", self._place("p.ats").alias("_place"), "term", F.col("p.tfs").alias("tf"))
-        self._write_postings(old.join(moved.select("_segment", "_place", "slot", "at", "dl"), ["_segment", "_place"]).select("slot", "at", "dl", "term", "tf"), name, segment)
+    def _prepared(self, pages: DataFrame) -> DataFrame:
+        rows = pages.select(*self.keys, T.tokens(self.content).alias("words"))
+        dl = F.when(F.col("words").isNotNull(), F.size("words")).cast("long")
+        return rows.select(*self.keys, dl.alias("dl"), F.array_join("words", " ").alias("words"))
+
+    def _maker(self, kind: str) -> tuple[Callable[[np.ndarray, np.ndarray, list[str]], dict[str, pa.Array]], str]:
+        def make(slots: np.ndarray, ats: np.ndarray, texts: list[str]) -> dict[str, pa.Array]:
+            by_place = np.lexsort((ats, slots))
+            slots, ats = slots[by_place], ats[by_place]
+            words = pc.split_pattern(pa.array([texts[i] for i in by_place], pa.string()), " ")
+            dls = pc.list_value_length(words).to_numpy().astype(np.int32)
+            coded = words.flatten().dictionary_encode()
+            order = pc.array_sort_indices(coded.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            both, tfs = np.unique(rank[coded.indices.to_numpy()] * len(dls) + np.repeat(np.arange(len(dls)), dls), return_counts=True)
+            term, page = np.divmod(both, len(dls))
+            slot, tfs = slots[page], tfs.astype(np.int32)
+            first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (slot[1:] != slot[:-1])))
+            ends = pa.array(np.append(first, len(term)).astype(np.int32))
+            listed = lambda x: pa.ListArray.from_arrays(ends, pa.array(x))
+            out = {"term": coded.dictionary.take(pa.array(order[term[first]])), "slot": pa.array(slot[first]), "n": pa.array(np.diff(ends.to_numpy()))}
+            out |= {"most": pa.array(np.maximum.reduceat(tfs, first)), "shortest": pa.array(np.minimum.reduceat(dls[page], first))}
+            return out | {"ats": listed(ats[page]), "tfs": listed(tfs), "dls": listed(dls[page])}
+
+        return make, "term string, slot bigint, n int, most int, shortest int, ats array<int>, tfs array<int>, dls array<int>"
 
     # Searches.
 

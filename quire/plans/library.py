@@ -129,9 +129,10 @@ def orphan_creators(spark, d):
 _PAGES = "(SELECT doc_id, CAST(i + 1 AS INTEGER) AS page_number, substr(text, i * 4000 + 1, 4000) AS content FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 4000.0) AS BIGINT))) AS i FROM documents))"
 
 
-def _pages(spark, d):
-    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
-    return docs.select(F.col("doc_id").alias("document_id"), F.posexplode(T.paginate("text")).alias("n", "content")).select("document_id", (F.col("n") + 1).alias("page_number"), "content")
+def _pages(spark, d, *more):
+    """The pages of documents; more: columns of documents that each page has too."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", *more))
+    return docs.select(F.col("doc_id").alias("document_id"), F.posexplode(T.paginate("text")).alias("n", "content"), *more).select("document_id", (F.col("n") + 1).alias("page_number"), "content", *more)
 
 
 _PAGE_KEYS, _SOURCE = "document_id, page_number", f"(SELECT doc_id AS document_id, page_number, content FROM {_PAGES})"
@@ -330,7 +331,7 @@ def quote_kept(spark, d):
     """Whole items and their last characters, in an index that was written, changed and merged before: replaced pages, removed documents."""
     items = table(spark, d, "benchmark")
     quotes = items.select(F.concat(F.lit("whole "), "item_id").alias("quote_id"), F.col("text").alias("quote")).union(items.select(F.concat(F.lit("end "), "item_id"), F.substring("text", -12, 12)))
-    pages = _pages(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "lang", "source"), "document_id")
+    pages = _pages(spark, d, "lang", "source")
     index = QuoteIndex(spark, scratch(spark))
     index.add(pages)
     index.remove(pages.where("source = 'src3'"))

@@ -64,6 +64,27 @@ def test_quotes_after_changes(spark, tmp_path):
     assert {tuple(r) for r in index.locate(asked).collect()} == _all(spark, rows, quotes)
 
 
+def test_blocks_are_made_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """However little a task holds, a key's places are the same, and no key moves to another task."""
+    rows = [(d, n, prose(7 * i + n, 20)) for i, d in enumerate("abc") for n in range(1, 6)]
+    found = []
+    for held in (1, 300, 4 << 20):
+        monkeypatch.setattr("quire.operators.segments.HELD", held)
+        index = Q.QuoteIndex(spark, f"file://{tmp_path}/{held}", slot_bits=2)
+        index.add(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+        pages = index.folder.state()[1]["segments"][0]["pages"]
+        own = {}
+        for kind, hashes in (("prints", Q.prints), ("runs", Q.runs)):
+            made = index._made(kind, pages)
+            assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+            got = made.collect()
+            assert all(r.n == len(r.ats) and r.ats == sorted(r.ats) for r in got)
+            own[kind] = sorted((r.key, r.slot, at) for r in got for at in r.ats)
+            assert own[kind] == sorted((int(k), r.slot, r.at) for r in index._of(pages).collect() for k in hashes(r.folded))
+        found.append([len(x) for x in own.values()])
+    assert found[0] == found[1] == found[2]
+
+
 def test_citations_and_annotations_by_index(spark, tmp_path):
     """The same verdicts as over the texts."""
     rows = [(d, n, prose(31 * i + n, 60)) for i, d in enumerate("abc") for n in range(1, 4)]
