@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -77,6 +78,26 @@ def test_slots_that_cannot_hold_a_hit_are_not_read(spark, tmp_path, monkeypatch)
     assert [tuple(r) for r in index.search("kant", 5).collect()] == want and len(want) == 5
 
 
+def test_blocks_are_made_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """However little a task holds, postings and hits are the same, and no posting moves to another task, in a merge neither."""
+    rows = [(i, text(i, 40)) for i in range(30)] + [(30, None), (31, "")]
+    for held in (1, 300):
+        monkeypatch.setattr("quire.operators.segments.HELD", held)
+        index = TextIndex(spark, f"file://{tmp_path}/{held}", slot_bits=2)
+        index.add(pages(spark, rows))
+        index.add(pages(spark, rows[:5]))
+        index.merge()
+        same(index, spark, rows)
+        name = index.folder.state()[1]["segments"][0]["pages"]
+        made = index._made("blocks", name)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        got = made.collect()
+        assert all((r.n, r.most, r.shortest) == (len(r.ats), max(r.tfs), min(r.dls)) for r in got)
+        places = index._of(name).collect()
+        want = sorted((w, r.slot, r.at, n, r.dl) for r in places for w, n in Counter((r.words or "").split()).items())
+        assert sorted((r.term, r.slot, *x) for r in got for x in zip(r.ats, r.tfs, r.dls, strict=True)) == want and len(places) == len(rows)
+
+
 def test_a_term_reads_its_own_row_groups(spark, tmp_path):
     index = TextIndex(spark, f"file://{tmp_path}/i")
     index.add(pages(spark, [(i, text(i)) for i in range(50)]))
