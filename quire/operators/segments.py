@@ -8,7 +8,9 @@ task makes the blocks of its pages alone, no posting is ever shuffled, and
 merge() makes them anew. Rows are sorted by term in runs, each of about HELD
 characters of pages, so by the minima and maxima of Parquet's pages a search
 reads those that may have its terms. A page that goes is written to a list of
-dropped places, and merge() makes one segment of what is left. The newest state (quire.sources.commits) names what belongs to the
+dropped places, and merge() makes one segment of what is left, file by file, in the
+tasks that read it: texts move to another task only where the list is too long to be
+broadcast, and then once. The newest state (quire.sources.commits) names what belongs to the
 index, so a reader sees a change whole or not at all.
 """
 
@@ -65,10 +67,10 @@ class Segments:
         """What makes a run of blocks of slots, places and texts, and the schema of that."""
         raise NotImplementedError
 
-    def _write_segment(self, ranged: DataFrame) -> dict[str, str]:
-        """Writes the tables of a segment; ranged: (keys, own), a row for each key, in ranges of keys."""
+    def _write_segment(self, rows: DataFrame) -> dict[str, str]:
+        """Writes the tables of a segment; rows: (keys, own), a row for each key."""
         out = {"pages": self.folder.fresh("pages")} | {k: self.folder.fresh(k) for k in self.blocks}
-        self._numbered(ranged, out["pages"])
+        self._numbered(rows, out["pages"])
         for kind in self.blocks:
             blocks = self._made(kind, out["pages"]).select(F.lit(out["pages"]).alias("segment"), "*")
             blocks.write.option("compression", "zstd").parquet(self.folder.at(out[kind]))
@@ -98,7 +100,8 @@ class Segments:
             last = Window.partitionBy(*self.keys).orderBy(F.desc_nulls_last(self.content))
             # Equal keys are in one range, so the texts are shuffled once.
             ranged = pages.select(*self.keys, self.content).repartitionByRange(*self.keys)
-            segment = self._write_segment(self._prepared(ranged.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")))
+            single = ranged.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+            segment = self._write_segment(self._prepared(single).sortWithinPartitions(*self.keys))
             added = self._of(segment["pages"])
             new |= self._summed(added, new, 1)
             leaving = added.select(*self.keys) if leaving is None else leaving.union(added.select(*self.keys))
@@ -134,7 +137,8 @@ class Segments:
         number, state = self.folder.state()
         if not state.get("segments"):
             return
-        segment = self._write_segment(self._live(state).select(*self.keys, *self.own).repartitionByRange(*self.keys))
+        # Live keys are distinct and stored in order, so the pages stay with the tasks that read them, and none are held to be sorted.
+        segment = self._write_segment(self._live(state).select(*self.keys, *self.own))
         self.folder.commit(number, state | {"segments": [segment], "dropped": []})
         kept = [n for back in (0, 1) for s in (self.folder.state(back)[1],) for n in [*s.get("dropped", []), *(x for g in s.get("segments", []) for x in g.values())]]
         for kind in ("pages", *self.blocks, "dropped"):
@@ -148,9 +152,9 @@ class Segments:
         return self.spark.read.parquet(*[self.folder.at(n) for n in names])
 
     def _numbered(self, rows: DataFrame, name: str) -> None:
-        """Writes rows, in ranges of keys, with a place each, by which those of one task and near keys are neighbours."""
-        ordered = rows.sortWithinPartitions(*self.keys).withColumn("place", F.monotonically_increasing_id())
-        ordered.select("*", F.shiftright("place", self.slot_bits).alias("slot"), (F.col("place") % (1 << self.slot_bits)).cast("int").alias("at"), F.lit(name).alias("segment")).write.option("compression", "zstd").parquet(self.folder.at(name))
+        """Writes rows with a place each, by which those that follow one another in a task are neighbours."""
+        placed = rows.withColumn("place", F.monotonically_increasing_id())
+        placed.select("*", F.shiftright("place", self.slot_bits).alias("slot"), (F.col("place") % (1 << self.slot_bits)).cast("int").alias("at"), F.lit(name).alias("segment")).write.option("compression", "zstd").parquet(self.folder.at(name))
 
     def _place(self, at: str = "at") -> Column:
         return F.shiftleft("slot", self.slot_bits) + F.col(at)

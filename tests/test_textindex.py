@@ -98,6 +98,32 @@ def test_blocks_are_made_without_a_shuffle(spark, tmp_path, monkeypatch):
         assert sorted((r.term, r.slot, *x) for r in got for x in zip(r.ats, r.tfs, r.dls, strict=True)) == want and len(places) == len(rows)
 
 
+def test_a_merge_leaves_texts_with_the_tasks_that_read_them(spark, tmp_path, monkeypatch):
+    """Words move to another task only where the dropped places can't be broadcast, and then once; no order of keys is made over all tasks."""
+    index = TextIndex(spark, f"file://{tmp_path}/i", slot_bits=2)
+    rows = {i: text(i, 40) for i in range(40)} | {40: None, 41: ""}
+    index.add(pages(spark, list(rows.items())))
+    numbered, plans = index._numbered, []
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for most, sides in ((kept, 0), ("-1", 2)):  # by hash, both sides of the join once: the words and the dropped places
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            rows |= {i: text(2_000 + i + sides, 50) for i in (7, 8, 41, 50 + sides)}
+            index.add(pages(spark, [(i, rows[i]) for i in (7, 8, 41, 50 + sides)]))
+            rows.pop(20 + sides)
+            index.remove(spark.createDataFrame([(20 + sides,)], "doc_id bigint"))
+            monkeypatch.setattr(index, "_numbered", lambda r, name: (plans.append(r._jdf.queryExecution().executedPlan().toString()), numbered(r, name)))
+            index.merge()
+            monkeypatch.undo()
+            assert plans[-1].count("hashpartitioning(") == sides and "rangepartitioning(" not in plans[-1] and "words" in plans[-1]
+            assert plans[-1].count("+- Sort ") + plans[-1].count(":- Sort ") == sides  # nothing is sorted but for that join
+            same(index, spark, list(rows.items()))
+            state = index.folder.state()[1]
+            assert len(state["segments"]) == 1 and index._live(state).select("place").distinct().count() == len(rows) == state["n"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_a_term_reads_its_own_row_groups(spark, tmp_path):
     index = TextIndex(spark, f"file://{tmp_path}/i")
     index.add(pages(spark, [(i, text(i)) for i in range(50)]))
